@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import simhash, warc
 from .common import table
 
 
@@ -10,4 +10,8 @@ def op1_warc(spark, sf_dir):
     return warc.page_records(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_warc": op1_warc}
+def op2_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash}
