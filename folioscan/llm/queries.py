@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import simhash, warc
+from . import mixing, simhash, warc
 from .common import table
 
 
@@ -14,4 +14,8 @@ def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash}
+def op5_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op5_mixing": op5_mixing}
