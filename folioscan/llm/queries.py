@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, warc
+from . import mixing, quality, simhash, toxicity, warc
 from .common import table
 
 
@@ -18,4 +18,12 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op5_mixing": op5_mixing}
+def op4_toxicity(spark, sf_dir):
+    return toxicity.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality(spark, sf_dir):
+    return quality.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op9_quality": op9_quality}
