@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, simhash, toxicity, warc
+from . import decontaminate, linefreq, mixing, quality, simhash, toxicity, warc
 from .common import table
 
 
@@ -18,6 +18,14 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_linefreq(spark, sf_dir):
+    return linefreq.verdicts(table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark, sf_dir):
     return toxicity.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,4 +34,4 @@ def op9_quality(spark, sf_dir):
     return quality.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op9_quality": op9_quality}
+QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_linefreq": op3_linefreq, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate, "op9_quality": op9_quality}
