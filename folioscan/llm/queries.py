@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linefreq, mixing, quality, simhash, toxicity, warc
+from . import decontaminate, licenses, linefreq, mixing, quality, simhash, toxicity, warc
 from .common import table
 
 
@@ -30,8 +30,12 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_licenses(spark, sf_dir):
+    return licenses.labelled(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark, sf_dir):
     return quality.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_linefreq": op3_linefreq, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate, "op9_quality": op9_quality}
+QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_linefreq": op3_linefreq, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate, "op7_licenses": op7_licenses, "op9_quality": op9_quality}
