@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, linefreq, mixing, quality, simhash, toxicity, warc
+from . import decontaminate, extract, licenses, linefreq, mixing, quality, simhash, toxicity, warc
 from .common import table
 
 
@@ -34,8 +34,12 @@ def op7_licenses(spark, sf_dir):
     return licenses.labelled(table(spark, sf_dir, "documents"))
 
 
+def op8_extract(spark, sf_dir):
+    return extract.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark, sf_dir):
     return quality.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_linefreq": op3_linefreq, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate, "op7_licenses": op7_licenses, "op9_quality": op9_quality}
+QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_linefreq": op3_linefreq, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate, "op7_licenses": op7_licenses, "op8_extract": op8_extract, "op9_quality": op9_quality}
