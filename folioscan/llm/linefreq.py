@@ -127,7 +127,7 @@ def without_boilerplate(docs: DataFrame, least: int = 10, share: float = 0.05) -
     frequent = boilerplate(texts, least, share)
     bad = (
         lines.join(frequent, lines["source"].eqNullSafe(frequent["host"]) & (lines["line"] == frequent["frequent"]))
-        .groupBy(F.col("source").alias("of"), F.col("digest").alias("text_digest")).agg(F.collect_set("line").alias("bad"))
+        .groupBy(F.col("source").alias("__folio_of"), F.col("digest").alias("__folio_with")).agg(F.collect_set("line").alias("__folio_bad"))
     )
 
     @F.pandas_udf("string")
@@ -141,6 +141,6 @@ def without_boilerplate(docs: DataFrame, least: int = 10, share: float = 0.05) -
         return texts.combine(bad, clean)
 
     digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
-    marked = docs.withColumn("_digest", digest)
-    joined = marked.join(bad, marked["source"].eqNullSafe(bad["of"]) & (marked["_digest"] == bad["text_digest"]), "left")
-    return joined.withColumn("text", cleaned("text", "bad")).select(*docs.columns)
+    marked = docs.withColumn("__folio_digest", digest)
+    joined = marked.join(bad, marked["source"].eqNullSafe(bad["__folio_of"]) & (marked["__folio_digest"] == bad["__folio_with"]), "left")
+    return joined.withColumn("text", cleaned("text", "__folio_bad")).select(*docs.columns)

@@ -12,4 +12,20 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM d JOIN f USING (hex) JOIN b USING (hex)
 """
 
-ORACLE_SQL = {"op1_warc": OP1}
+OP10 = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS body, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p::INT + 1, 100) AS s FROM d, LATERAL (SELECT unnest(range(0, greatest(0, length(h) // 2 - 49))) AS p)),
+f AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+hit AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE first_id < doc_id),
+mark AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+part AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM mark),
+spans AS (SELECT doc_id, span, min(p) AS b, max(p) + 50 AS e FROM part GROUP BY doc_id, span),
+edges AS (SELECT doc_id, span, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS before FROM spans),
+cut AS (SELECT doc_id, sum(e - b) AS n_removed, count(*) AS n_spans, max(e) AS last_e FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * before::INT + 1, 2 * (b - before)::INT), '' ORDER BY b) AS k FROM edges JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, octet_length(body) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(CASE WHEN n_spans IS NULL THEN body ELSE unhex(k || substr(h, 2 * last_e::INT + 1)) END) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL = {"op1_warc": OP1, "op10_substrings": OP10}

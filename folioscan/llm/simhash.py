@@ -235,5 +235,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, tables: int = 1, shared:
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that are the smallest doc_id of their group; of repeated rows one."""
-    heads = near_duplicates(docs, **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head"), F.lit(True).alias("stays")).distinct()
-    return docs.join(heads, docs["doc_id"].eqNullSafe(heads["head"]), "left_semi").dropDuplicates(["doc_id"])
+    heads = near_duplicates(docs, **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__folio_head")).distinct()
+    return docs.join(heads, docs["doc_id"].eqNullSafe(heads["__folio_head"]), "left_semi").dropDuplicates(["doc_id"])
