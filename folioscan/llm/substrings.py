@@ -45,14 +45,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, stored, string_bytes
+from .common import NULL_ID, fresh_path, stored
 from .hashing import words_at, xxh64_spans
 from .suffixes import big_words, common_prefixes, suffix_array
 
 ANCHOR = 24
 #: Windows that are hashed at once.
 _SLAB = 1 << 19
-_KEY_BITS = 48
 
 CHUNK = "chunk long, ids array<long>, sizes array<long>, digests array<binary>, texts binary"
 REMOVED = "id long, digest binary, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary"
@@ -85,7 +84,33 @@ def _unpacked(blob: bytes) -> list[np.ndarray]:
 # -- chunks ---------------------------------------------------------------------------------------
 
 
-def packed_chunks(docs: DataFrame, chunk_bytes: int, chunk_docs: int = 20000) -> DataFrame:
+def spark_hash(values: np.ndarray) -> np.ndarray:
+    """Murmur3 of 64-bit integers with seed 42, the hash that deals rows to the buckets of a table."""
+    with np.errstate(over="ignore"):
+        h = np.full(len(values), 42, np.uint32)
+        bits = values.astype(np.int64).view(np.uint64)
+        for part in (bits & np.uint64(0xFFFFFFFF), bits >> np.uint64(32)):
+            k = part.astype(np.uint32) * np.uint32(0xCC9E2D51)
+            h ^= ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
+            h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(8)
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+        return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def chunk_name(task: int, number: int, files: int) -> int:
+    """An id for a chunk that is unique to (task, number) and falls into the task's own bucket, so a task writes one file."""
+    base = (task << 40) | (number << 22)
+    for lo in range(0, 1 << 22, 1 << 14):
+        tried = base + np.arange(lo, lo + (1 << 14))
+        fits = np.flatnonzero(spark_hash(tried) % files == task % files)
+        if len(fits):
+            return int(tried[fits[0]])
+    return base
+
+
+def packed_chunks(docs: DataFrame, chunk_bytes: int, files: int, chunk_docs: int = 20000) -> DataFrame:
     """CHUNK rows of about ``chunk_bytes`` of text and at most ``chunk_docs`` documents."""
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
@@ -97,7 +122,7 @@ def packed_chunks(docs: DataFrame, chunk_bytes: int, chunk_docs: int = 20000) ->
 
         def chunk():
             return pa.RecordBatch.from_arrays(
-                [pa.array([(task << 32) | number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([digests], pa.list_(pa.binary())), pa.array([packer.compress(b"".join(texts))], pa.binary())],
+                [pa.array([chunk_name(task, number, files)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([digests], pa.list_(pa.binary())), pa.array([packer.compress(b"".join(texts))], pa.binary())],
                 names=["chunk", "ids", "sizes", "digests", "texts"],
             )
 
@@ -118,6 +143,14 @@ def packed_chunks(docs: DataFrame, chunk_bytes: int, chunk_docs: int = 20000) ->
     return rows.mapInArrow(pack, CHUNK)
 
 
+def bucketed(chunks: DataFrame, files: int) -> DataFrame:
+    """Writes the chunks to the shared folder as a table bucketed by chunk: what is joined to them by chunk moves, they do not."""
+    spark, path = chunks.sparkSession, fresh_path(chunks.sparkSession, "chunks")
+    name = path.rpartition("/")[2].replace("-", "_")
+    chunks.write.bucketBy(files, "chunk").option("path", path).option("compression", "uncompressed").saveAsTable(name, format="parquet")
+    return spark.table(name)
+
+
 class Chunk:
     """One chunk in memory: the bytes, where documents start and end, which of them are the first of their text here."""
 
@@ -134,7 +167,7 @@ class Chunk:
         self.own = np.zeros(len(self.ids), bool)
         self.own[list(first.values())] = True
 
-    def runs(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def runs(self, window: int, key_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first window, windows, document, key) of each run of windows with one anchor, over documents that are the first of their text."""
         which = np.flatnonzero(self.own & (self.ends - self.starts >= window))
         n = len(self.bytes)
@@ -171,7 +204,7 @@ class Chunk:
             new = np.flatnonzero((new | begins[lo:hi]) & valid[lo:hi])
             at.append(new + lo)
             with np.errstate(over="ignore"):
-                keys.append(_mix(low[new] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _KEY_BITS))
+                keys.append(_mix(low[new] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - key_bits))
         at, keys = np.concatenate(at), np.concatenate(keys)
         doc = np.searchsorted(self.starts[which], at, side="right") - 1
         doc = which[doc]
@@ -197,20 +230,20 @@ def _distinct_keys(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys[starts], np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)
 
 
-def _shares(keys: np.ndarray, buckets: int) -> np.ndarray:
+def _shares(keys: np.ndarray, buckets: int, key_bits: int) -> np.ndarray:
     """Where each bucket of equal width begins among sorted keys."""
-    width = -(-(1 << _KEY_BITS) // buckets)
+    width = -(-(1 << key_bits) // buckets)
     return np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) * np.uint64(width))
 
 
-def _key_rows(window: int, buckets: int):
+def _key_rows(window: int, buckets: int, key_bits: int):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk = _chunk(batch, i)
-                _, _, doc, keys = chunk.runs(window)
+                _, _, doc, keys = chunk.runs(window, key_bits)
                 keys, twice = _distinct_keys(keys, chunk.ids[doc])
-                edges = _shares(keys, buckets)
+                edges = _shares(keys, buckets, key_bits)
                 used = np.flatnonzero(np.diff(edges))
                 blobs = []
                 for b in used:
@@ -254,16 +287,16 @@ def _gathered(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return text[shift + np.arange(len(shift))]
 
 
-def _piece_rows(window: int, buckets: int, key_buckets: int):
+def _piece_rows(window: int, buckets: int, key_buckets: int, key_bits: int):
     """Rows (kind, bucket, chunk, blob): kind 0 the pieces for a bucket, kind 1 where each piece stands in the chunk."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk, name = _chunk(batch, i), batch.column("chunk")[i].as_py()
-                at, count, doc, keys = chunk.runs(window)
+                at, count, doc, keys = chunk.runs(window, key_bits)
                 distinct = np.unique(keys)
-                edges, shared = _shares(distinct, key_buckets), np.zeros(len(distinct), bool)
+                edges, shared = _shares(distinct, key_buckets, key_bits), np.zeros(len(distinct), bool)
                 for row in batch.column("masks")[i].as_py():
                     lo, hi = edges[row["bucket"]], edges[row["bucket"] + 1]
                     shared[lo:hi] = np.unpackbits(np.frombuffer(row["mask"], np.uint8), count=hi - lo).astype(bool)
@@ -434,16 +467,18 @@ def _cut_rows(window: int):
     return run
 
 
-def removals(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, bucket_keys: int = 2_000_000, bucket_bytes: int = 4 << 20, most_bytes: int = 64 << 20) -> DataFrame:
+def removals(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, bucket_keys: int = 2_000_000, bucket_bytes: int = 8 << 20, most_bytes: int = 64 << 20) -> DataFrame:
     """REMOVED: one row for each distinct (id, text digest) of ``docs`` (doc_id, text) that loses bytes.
 
     ``window`` is 32 to 56. ``bucket_keys`` anchors and the pieces of
     ``bucket_bytes`` of text meet in a bucket on average; one with more than
     ``most_bytes`` of packed pieces is dealt out by windows.
     """
-    chunks = stored(packed_chunks(docs, chunk_bytes), "chunks", "uncompressed")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = min(100_000, max(parallel, -(-total // (4 * chunk_bytes))))
+    chunks = bucketed(packed_chunks(docs, chunk_bytes, files), files)
     index = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "sizes", "digests")).alias("place", "d")).select("chunk", "place", F.col("d.ids").alias("id"), F.col("d.sizes").alias("n_bytes"), F.col("d.digests").alias("digest"))
-    total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     firsts = index.groupBy("digest").agg(F.min(F.struct("id", "chunk", "place")).alias("first"))
     met = stored(index.join(firsts, "digest").filter((F.col("chunk") != F.col("first.chunk")) | (F.col("place") != F.col("first.place"))), "copies")
     skip = met.groupBy(F.col("chunk").alias("of")).agg(F.collect_list("place").alias("skip"))
@@ -451,16 +486,21 @@ def removals(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, buck
     copies = met.filter((F.col("id") > F.col("first.id")) & (F.col("n_bytes") >= window)).groupBy("id", "digest").agg(F.first("n_bytes").alias("n_bytes")).select("id", "digest", "n_bytes", spans.alias("spans"), F.lit(b"").alias("kept"))
 
     key_buckets, buckets = max(1, -(-total // (14 * bucket_keys))), max(1, -(-total // bucket_bytes))
-    keys = chunks.mapInArrow(_key_rows(window, key_buckets), "bucket int, chunk long, blob binary")
+    key_bits = min(48, max(24, int(total).bit_length() + 6))  # about 1 anchor in 1000 meets a stranger, which costs a piece and no error
+    keys = chunks.mapInArrow(_key_rows(window, key_buckets, key_bits), "bucket int, chunk long, blob binary")
     masks = keys.groupBy("bucket").applyInPandas(_shared_keys, "chunk long, bucket int, mask binary")
     masks = masks.groupBy(F.col("chunk").alias("to")).agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))
     ready = chunks.join(masks.hint("shuffle_hash"), F.col("chunk") == F.col("to")).join(skip.hint("shuffle_hash"), F.col("chunk") == F.col("of"), "left")
-    pieces = stored(ready.select("chunk", "ids", "sizes", "digests", "texts", "masks", "skip").mapInArrow(_piece_rows(window, buckets, key_buckets), "kind int, bucket int, chunk long, blob binary"), "pieces", "uncompressed")
+    pieces = stored(ready.select("chunk", "ids", "sizes", "digests", "texts", "masks", "skip").mapInArrow(_piece_rows(window, buckets, key_buckets, key_bits), "kind int, bucket int, chunk long, blob binary"), "pieces", "uncompressed")
 
     sent = pieces.filter("kind = 0").drop("kind")
-    large = sent.groupBy(F.col("bucket").alias("b")).agg(F.ceil(F.sum(F.octet_length("blob")) / most_bytes).cast("int").alias("parts")).filter("parts > 1")
-    dealt = sent.join(large, F.col("bucket") == F.col("b"), "left").drop("b")
-    groups = dealt.filter("parts is null").select("bucket", F.lit(0).alias("part"), "chunk", "blob").union(dealt.filter("parts > 1").mapInArrow(_dealt_out(window), "bucket int, part int, chunk long, blob binary"))
+    size = F.ceil(F.sum(F.octet_length("blob")) / most_bytes).cast("int")
+    large = stored(sent.groupBy(F.col("bucket").alias("b")).agg(size.alias("parts")).filter("parts > 1"), "large")
+    groups = sent.select("bucket", F.lit(0).alias("part"), "chunk", "blob")
+    if not large.isEmpty():
+        same = F.col("bucket") == F.col("b")
+        dealt = sent.join(large, same).drop("b").mapInArrow(_dealt_out(window), "bucket int, part int, chunk long, blob binary")
+        groups = groups.join(large, same, "left_anti").union(dealt)
     answers = groups.groupBy("bucket", "part").applyInPandas(_solved(window), "chunk long, answer binary")
     answers = answers.groupBy(F.col("chunk").alias("to")).agg(F.collect_list("answer").alias("answers"))
     places = pieces.filter("kind = 1").select(F.col("chunk").alias("of"), "blob")

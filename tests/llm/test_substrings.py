@@ -106,3 +106,12 @@ def test_types_by_definition():
         text = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 30)))
         want = [text[i:] < text[i + 1 :] for i in range(len(text))]
         assert suffixes.smaller_than_next(np.frombuffer(text, np.uint8)).tolist() == want
+
+
+def test_bucket_hash_equals_the_one_of_spark(spark):
+    from pyspark.sql import functions as F
+
+    values = [0, 1, -1, 1 << 40, (3 << 40) | (5 << 22) | 9, -(1 << 62)]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(F.hash("v")).collect()]
+    assert substrings.spark_hash(np.array(values)).tolist() == want
+    assert all(substrings.spark_hash(np.array([substrings.chunk_name(t, 3, 7)]))[0] % 7 == t % 7 for t in range(9))
