@@ -1,4 +1,400 @@
-"""The registered queries of the engine and their DuckDB twins."""
+"""The registered queries of the engine, over whole tables."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+
+from pyspark.sql import functions as F
+
+from .functions import paths
+from .functions.text import grams, query_terms
+from .operators import inventory, library, passages, postings, search, sessionlog, timings
+from .oracle_sql import ORACLE_SQL  # noqa: F401
+from .sources.corpus import searchable, table
+from .sources import corpus, parsers
+from .streaming import live
+
+Search = search.Search
+SHOWN = ("position", "id", "path", "rank", "by", "ordinal", "reason")
+
+
+def _collection(spark, sf_dir):
+    return searchable(table(spark, sf_dir, "documents"))
+
+
+def _query(search_of, limit=20):
+    def run(spark, sf_dir):
+        docs, blocks = _collection(spark, sf_dir)
+        return search.top(search.matches(docs, blocks, search_of), search_of.sort, limit).select(*SHOWN)
+
+    return run
+
+
+# The searches of the queries; the oracle has the same.
+PHRASE = Search("the than")
+FILENAME = Search("doc-1", field="filename")
+CONTENT = Search("thti", field="content")
+ALL_TERMS = Search("re ing", "all-terms")
+COVERAGE = Search("eau doc-7 ou", "all-terms")
+FILTERED = Search("en", types=(".adoc", ".md"), statuses=("indexed",), root="/corpus/root1", subtree="/corpus/root1/src3")
+BY_NAME = Search("ten", sort="filename")
+BY_TIME = Search("ten", sort="modified")
+EXACT_NAME = Search("DOC-7.TXT")
+
+
+def line_blocks(spark, sf_dir):
+    return corpus.line_blocks(corpus.inventory(table(spark, sf_dir, "documents"))).select("document_id", "ordinal", "heading", "content", "location_value")
+
+
+def search_page2(spark, sf_dir):
+    docs, blocks = _collection(spark, sf_dir)
+    return search.page(search.matches(docs, blocks, PHRASE), 2, 15).select(*SHOWN)
+
+
+def search_total(exact):
+    def run(spark, sf_dir):
+        docs, blocks = _collection(spark, sf_dir)
+        return search.total(search.matches(docs, blocks, BY_NAME), exact)
+
+    return run
+
+
+def search_phased(spark, sf_dir):
+    docs, blocks = _collection(spark, sf_dir)
+    return search.phased(docs, blocks, Search("doc-2")).select(*SHOWN)
+
+
+def refine_within(spark, sf_dir):
+    docs, blocks = _collection(spark, sf_dir)
+    first = search.top(search.matches(docs, blocks, BY_TIME), "modified", 200)
+    return search.refined(first, docs, blocks, Search("ing", sort="modified")).select(*SHOWN)
+
+
+def phrase_passages(spark, sf_dir):
+    docs, blocks = _collection(spark, sf_dir)
+    found = search.top(search.matches(docs, blocks, PHRASE), limit=50)
+    return passages.phrase_passages(found, blocks, query_terms(PHRASE.text, "phrase")[0])
+
+
+def all_terms_passages(spark, sf_dir):
+    docs, blocks = _collection(spark, sf_dir)
+    found = search.top(search.matches(docs, blocks, ALL_TERMS), limit=50)
+    return passages.all_terms_passages(found, blocks, query_terms(ALL_TERMS.text, "all-terms")[1])
+
+
+def context_passages(spark, sf_dir):
+    docs, blocks = _collection(spark, sf_dir)
+    found = search.top(search.matches(docs, blocks, ALL_TERMS), limit=20)
+    return passages.context_passages(found, blocks, query_terms(ALL_TERMS.text, "all-terms")[1])
+
+
+def snippet_page(spark, sf_dir):
+    docs, blocks = _collection(spark, sf_dir)
+    found = search.top(search.matches(docs, blocks, PHRASE), limit=20)
+    text = blocks.select(F.col("document_id").alias("d"), F.col("ordinal").alias("o"), "heading", "content")
+    rows = found.join(text, (F.col("id") == F.col("d")) & (F.col("ordinal") == F.col("o")), "left")
+    rows = rows.withColumn("source", F.when(F.col("by") == "heading", F.col("heading")).when(F.col("by") == "content", F.col("content")).otherwise(F.col("filename")))
+    return passages.with_snippets(rows, query_terms(PHRASE.text, "phrase")[1]).select("position", "id", "snippet", "snippet_truncated")
+
+
+def stable_reference(spark, sf_dir):
+    return search.with_reference(corpus.inventory(table(spark, sf_dir, "documents"))).select("id", "path", "reference")
+
+
+def heading_min_ordinal(spark, sf_dir):
+    _, blocks = _collection(spark, sf_dir)
+    return blocks.filter("heading <> ''").groupBy("document_id", "heading").agg(F.min("ordinal").alias("ordinal"))
+
+
+def gram_postings(spark, sf_dir):
+    _, blocks = _collection(spark, sf_dir)
+    return postings.gram_postings(blocks, 3).groupBy("gram").agg(F.count("*").alias("n_documents"))
+
+
+def gram_candidates(spark, sf_dir):
+    _, blocks = _collection(spark, sf_dir)
+    return postings.candidates(postings.gram_postings(blocks, 3), "thtion")
+
+
+def gram_vs_scan(spark, sf_dir):
+    _, blocks = _collection(spark, sf_dir)
+    return postings.verified(blocks, postings.gram_postings(blocks, 3), "thtion")
+
+
+def filename_grams(spark, sf_dir):
+    docs, _ = _collection(spark, sf_dir)
+    return docs.select(F.explode(grams("filename_norm", 2)).alias("gram"), "id").groupBy("gram").agg(F.count("*").alias("n_documents"))
+
+
+def html_blocks(spark, sf_dir):
+    return parsers.html_block_rows(table(spark, sf_dir, "pages"))
+
+
+def html_titles(spark, sf_dir):
+    blocks = parsers.html_block_rows(table(spark, sf_dir, "pages"))
+    return blocks.filter("ordinal = 0").select("page_id", F.col("content").alias("title"))
+
+
+def status_counts(spark, sf_dir):
+    return inventory.counted(corpus.inventory(table(spark, sf_dir, "documents")), "status", inventory.STATUSES)
+
+
+def extension_stats(spark, sf_dir):
+    docs = corpus.inventory(table(spark, sf_dir, "documents"))
+    return docs.groupBy("extension").agg(F.count("*").alias("n"), F.sum("size_bytes").cast("long").alias("bytes"), F.sum((F.col("status") == "indexed").cast("long")).alias("n_indexed"))
+
+
+def documents_in_scope(spark, sf_dir):
+    docs = corpus.inventory(table(spark, sf_dir, "documents"))
+    return search.in_scope(docs, FILTERED).groupBy("root", "extension").agg(F.count("*").alias("n"))
+
+
+def _disk_and_index(spark, sf_dir):
+    """An index and a later disk state: files come, go and change by fixed rules of the id."""
+    docs = corpus.inventory(table(spark, sf_dir, "documents")).drop("text")
+    index = docs.filter("id % 13 <> 3").withColumn("status", F.when(F.col("id") % 17 == 2, "error").otherwise(F.col("status"))).withColumn("parse_version", F.when(F.col("id") % 5 != 0, 1))
+    disk = docs.filter("id % 19 <> 4").withColumn("size_bytes", F.col("size_bytes") + F.when(F.col("id") % 7 == 1, 1).otherwise(0)).withColumn("extension", F.when(F.col("id") % 23 == 6, ".bin").otherwise(F.col("extension")))
+    return disk, index
+
+
+def reprocess_reasons(spark, sf_dir):
+    disk, index = _disk_and_index(spark, sf_dir)
+    return inventory.classified(disk, index).groupBy("reason", "action").agg(F.count("*").alias("n"))
+
+
+def text_upgrade_pending(spark, sf_dir):
+    _, index = _disk_and_index(spark, sf_dir)
+    due = index.filter(inventory.upgrade_needed(F.col("extension"), F.col("status"), F.col("parse_version")))
+    return due.groupBy("extension").agg(F.count("*").alias("n"))
+
+
+def snapshot_diff(spark, sf_dir):
+    disk, index = _disk_and_index(spark, sf_dir)
+    return inventory.difference(disk, index)
+
+
+def remove_missing_protected(spark, sf_dir):
+    disk, index = _disk_and_index(spark, sf_dir)
+    return inventory.missing(index, disk, "/corpus/root0", ["/corpus/root0/src2", "/corpus/root0/src1"]).select("path", "protected")
+
+
+IGNORE = "/src1/\n*-1?.md\nsrc2/**/doc-3*\n# a comment\n**/*.sql"
+
+
+def _relative(docs):
+    return docs.withColumn("relative", F.expr("substr(path, length(root) + 2)"))
+
+
+def ignore_rules(spark, sf_dir):
+    docs = _relative(corpus.inventory(table(spark, sf_dir, "documents")))
+    return docs.select("path", paths.ignored_by("relative", F.lit(False), paths.ignore_rules(IGNORE)).alias("pattern")).filter("pattern is not null")
+
+
+def skipped_by_rule(spark, sf_dir):
+    docs = _relative(corpus.inventory(table(spark, sf_dir, "documents")))
+    relative = F.when(F.col("id") % 29 == 0, F.concat(F.lit("lib/node_modules/"), F.col("relative"))).when(F.col("id") % 31 == 0, F.concat(F.lit("~$"), F.col("filename"))).otherwise(F.col("relative"))
+    rule = paths.excluded_by(relative, F.lit(False), F.col("id") % 37 == 0, F.col("id") % 41 == 0, paths.ignore_rules(IGNORE))
+    return docs.select(rule.alias("rule")).filter("rule is not null").groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def _roots(spark):
+    return spark.createDataFrame([("/corpus/root0",), ("/corpus/root0/src2",), ("/corpus/root1/src3",)], "root string")
+
+
+def explain_path(spark, sf_dir):
+    docs = corpus.inventory(table(spark, sf_dir, "documents"))
+    index = docs.filter("id % 9 <> 1").withColumn("status", F.when(F.col("id") % 17 == 2, "error").otherwise(F.col("status")))
+    rule = F.when(F.col("root").isNotNull(), paths.ignored_by(F.expr("substr(path, length(root) + 2)"), F.lit(False), paths.ignore_rules(IGNORE)))
+    return inventory.explained(docs.select("path"), index, _roots(spark), rule)
+
+
+def root_cover(spark, sf_dir):
+    docs = corpus.inventory(table(spark, sf_dir, "documents")).select("path")
+    return inventory.owned(docs, _roots(spark)).groupBy("root").agg(F.count("*").alias("n"))
+
+
+def root_merge(spark, sf_dir):
+    """Registering /corpus merges the roots below it: their documents move to it."""
+    docs = corpus.inventory(table(spark, sf_dir, "documents")).select("id", "path")
+    plan = paths.plan_root("/corpus", [r.root for r in _roots(spark).collect()])
+    owners = inventory.owned(docs, _roots(spark))
+    new = F.when(F.col("root").isin(*plan.merged), plan.root).otherwise(F.col("root"))
+    return owners.select("id", F.col("root").alias("old_root"), new.alias("new_root"))
+
+
+def orphan_roots(spark, sf_dir):
+    """Roots of the three state tables that are no longer registered."""
+    docs = corpus.inventory(table(spark, sf_dir, "documents"))
+    items = docs.filter("id % 3 = 0").select(F.regexp_extract("path", "^(/corpus/[^/]+/[^/]+)/", 1).alias("root"))
+    states = docs.filter("id % 3 = 1").select("root")
+    seen = docs.filter("id % 3 = 2").select(F.lit("/corpus/old").alias("root"))
+    return items.union(states).union(seen).distinct().join(_roots(spark), "root", "left_anti")
+
+
+def imported_results(spark, sf_dir):
+    """Indexed results and files that were dropped in, which take part by name."""
+    docs, blocks = _collection(spark, sf_dir)
+    found = search.matches(docs, blocks, FILENAME).select("path", "rank", F.lit(False).alias("imported"))
+    dropped = table(spark, sf_dir, "pages").select(F.concat(F.lit("doc-1-page-"), F.col("page_id"), F.lit(".html")).alias("path"))
+    return found.unionByName(dropped.withColumn("rank", F.lit(3)).withColumn("imported", F.lit(True)))
+
+
+def _events_of_conversations(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    value = F.to_json(F.struct(F.when(F.col("role") == "user", "message").otherwise("event_msg").alias("type"), F.format_string("2024-01-01T%05d", F.col("turn")).alias("timestamp"), "role", F.concat(F.col("text"), F.lit(" see /corpus/root"), F.col("conv_id") % 2, F.lit("/src"), F.col("conv_id") % 20, F.lit("/DOC-"), F.col("conv_id") + 2 * F.col("turn"), F.lit(".txt.")).alias("text")))
+    bad = F.when((F.col("conv_id") + F.col("turn")) % 11 == 0, F.lit("{not json")).otherwise(value)
+    return sessionlog.events_of_lines(rows.select(F.col("conv_id").alias("session"), F.col("turn").alias("line"), bad.alias("value")))
+
+
+def session_summary(spark, sf_dir):
+    return sessionlog.session_summary(_events_of_conversations(spark, sf_dir))
+
+
+def _references(spark, sf_dir):
+    events = _events_of_conversations(spark, sf_dir).filter("valid")
+    named = events.select("session", "event_type", "role", F.explode(sessionlog.text_paths("text")).alias("path"))
+    source = F.when(F.col("role") == "user", "user-provided").when(F.col("role") == "system", "prompt").otherwise("other-tool")
+    return sessionlog.references(named.withColumn("source", source).withColumn("confidence", F.when(F.col("role") == "user", "medium").otherwise("high")))
+
+
+def session_references(spark, sf_dir):
+    docs = corpus.inventory(table(spark, sf_dir, "documents")).select("id", "path")
+    return sessionlog.indexed_references(_references(spark, sf_dir), docs)
+
+
+def reference_totals(spark, sf_dir):
+    return sessionlog.reference_totals(session_references(spark, sf_dir))
+
+
+def _uses(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("use_id"), F.concat(F.lit("/corpus/user"), F.col("user_id")).alias("path"), F.col("ts").alias("used_at"), F.col("event_type").alias("action"))
+
+
+def recent_files(spark, sf_dir):
+    return library.recent(_uses(spark, sf_dir))
+
+
+def library_groups(spark, sf_dir):
+    uses = _uses(spark, sf_dir)
+    groups = uses.sparkSession.createDataFrame([(i, f"group {i}") for i in range(6)], "group_id int, name string")
+    items = uses.groupBy((F.substring_index("path", "user", -1).cast("int") % 5).alias("group_id"), "path").agg(F.min("used_at").alias("added_at"))
+    return library.groups_with_items(groups, items, 30)
+
+
+def saved_search_replay(spark, sf_dir):
+    """A saved search is a row of parameters; replaying it is a search."""
+    saved = spark.createDataFrame([(1, "adoc files", "ten", "phrase", "all", "modified", ".adoc")], "id int, name string, query string, mode string, field string, sort string, types string").first()
+    docs, blocks = _collection(spark, sf_dir)
+    again = Search(saved.query, saved.mode, saved.field, saved.sort, tuple(saved.types.split(",")))
+    return search.top(search.matches(docs, blocks, again), again.sort).select(*SHOWN)
+
+
+def timing_percentiles(spark, sf_dir):
+    return timings.summary(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+def slowest_topk(spark, sf_dir):
+    return timings.slowest(table(spark, sf_dir, "events"), "value", "event_id").select("event_id", "value")
+
+
+def last_samples(spark, sf_dir):
+    return timings.last_samples(table(spark, sf_dir, "events"), "event_type", "ts", "event_id").select("event_type", "event_id", "place")
+
+
+def trace_phase_rollup(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("trace", F.col("user_id") % 50)
+    out = timings.phase_rollup(rows, "trace", "event_type", "value")
+    return out.select("trace", "bottleneck", F.size("phases").alias("n_phases"))
+
+
+def event_bursts(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    return live.quiet_bursts(rows, "user_id", quiet=6 * 3600 * 1000).select("user_id", "burst", "n")
+
+
+def event_debounce(spark, sf_dir):
+    return live.debounced(table(spark, sf_dir, "events"), "user_id", quiet=6 * 3600 * 1000, forced=24 * 3600 * 1000)
+
+
+def _work(spark, sf_dir):
+    reason = F.when(F.col("event_type") == "view", "expand").when(F.col("event_type") == "error", "delete").otherwise("event")
+    return table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("root"), F.concat(F.lit("u"), F.col("user_id")).alias("rel_path"), F.lit("path").alias("kind"), reason.alias("reason"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+
+
+def queue_generations(spark, sf_dir):
+    return live.work_queue(_work(spark, sf_dir)).select("root", "rel_path", "generation", "reason")
+
+
+def queue_acknowledged(spark, sf_dir):
+    work = _work(spark, sf_dir)
+    acks = work.filter("seq % 3 = 0").groupBy("root", "rel_path").agg(F.count("*").alias("up_to"))
+    acks = acks.withColumn("up_to", F.col("up_to") * 2 + 1)
+    return live.acknowledged(live.work_queue(work), acks).select("root", "rel_path", "generation")
+
+
+def queue_depth(spark, sf_dir):
+    return live.work_queue(_work(spark, sf_dir)).groupBy("root").agg(F.count("*").alias("n"), F.min("created_at").alias("oldest"), F.max("generation").alias("generation"))
+
+
+def queue_overflow(spark, sf_dir):
+    queue = live.work_queue(_work(spark, sf_dir).filter("root <> 3 or seq % 10 = 0"))
+    return live.overflowed(queue, 20).groupBy("root", "kind", "reason").agg(F.count("*").alias("n"))
+
+
+def fair_batch(spark, sf_dir):
+    queue = live.work_queue(_work(spark, sf_dir)).withColumn("deferred", F.expr("cast(substr(rel_path, 2) as int) % 6 = 0"))
+    return live.fair_batch(queue, 8, 4).select("root", "rel_path", "expand", "deferred")
+
+
+def rescan_throttle(spark, sf_dir):
+    return live.rescans(table(spark, sf_dir, "events"), "event_type", cool=60_000, window=3_600_000, back_off=(60_000, 300_000, 900_000))
+
+
+def rescan_windows(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    return rows.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).groupBy("event_type").agg(F.count("*").alias("windows"), F.sum("n").alias("requests"), F.sum(F.least("n", F.lit(live.PER_WINDOW))).alias("at_most"))
+
+
+def pending_absorbed(spark, sf_dir):
+    docs = corpus.inventory(table(spark, sf_dir, "documents"))
+    pending = docs.filter("id % 2 = 0").select("path").union(spark.createDataFrame([("/corpus/root0/src2",), ("/corpus/root0/src4",)], "path string"))
+    return live.absorbed(pending)
+
+
+def status_json(spark, sf_dir):
+    counts = status_counts(spark, sf_dir)
+    held = F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n"))))
+    return counts.agg(F.sum("n").alias("documents"), held.alias("statuses")).select(F.to_json(F.struct(F.lit(1).alias("schemaVersion"), "documents", "statuses")).alias("status"))
+
+
+def list_preview(spark, sf_dir):
+    """The first 100 documents with a problem, the number of all, and whether the list is cut."""
+    _, index = _disk_and_index(spark, sf_dir)
+    issues = index.filter(F.col("status").isin("error", "encrypted"))
+    every = issues.agg(F.count("*").alias("total"))
+    return search.top(issues.withColumn("rank", F.lit(0)), "filename", 100).join(every).select("position", "path", "total", (F.col("total") > 100).alias("truncated"))
+
+
+def markdown_sections(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# doc "), F.col("doc_id"), F.lit("\n"), F.col("text")).alias("text"))
+    return parsers.markdown_sections(docs, "doc_id").select("doc_id", "ordinal", "heading", "content", "start_line")
+
+
+def stream_debounce(spark, sf_dir):
+    return live.replayed(spark, f"{sf_dir}/events.parquet", "user_id", 6 * 3600 * 1000, 24 * 3600 * 1000)
+
+
+QUERIES = {
+    "line_blocks": line_blocks, "search_phrase": _query(PHRASE), "search_phrase_filename": _query(FILENAME), "search_phrase_content": _query(CONTENT),
+    "search_all_terms": _query(ALL_TERMS), "search_all_terms_coverage": _query(COVERAGE), "search_filters": _query(FILTERED), "search_sort_filename": _query(BY_NAME),
+    "search_sort_modified": _query(BY_TIME), "search_exact_name": _query(EXACT_NAME), "search_page2": search_page2, "search_total_fast": search_total(False), "search_total_exact": search_total(True),
+    "search_phased": search_phased, "refine_within": refine_within, "phrase_passages": phrase_passages, "all_terms_passages": all_terms_passages, "context_passages": context_passages,
+    "snippet_page": snippet_page, "stable_reference": stable_reference, "heading_min_ordinal": heading_min_ordinal, "gram_postings": gram_postings, "gram_candidates": gram_candidates,
+    "gram_vs_scan": gram_vs_scan, "filename_grams": filename_grams, "html_blocks": html_blocks, "html_titles": html_titles, "markdown_sections": markdown_sections, "status_counts": status_counts, "extension_stats": extension_stats,
+    "documents_in_scope": documents_in_scope, "reprocess_reasons": reprocess_reasons, "text_upgrade_pending": text_upgrade_pending, "snapshot_diff": snapshot_diff,
+    "remove_missing_protected": remove_missing_protected, "ignore_rules": ignore_rules, "skipped_by_rule": skipped_by_rule, "explain_path": explain_path, "root_cover": root_cover,
+    "root_merge": root_merge, "orphan_roots": orphan_roots, "imported_results": imported_results, "session_summary": session_summary, "session_references": session_references,
+    "reference_totals": reference_totals, "recent_files": recent_files, "library_groups": library_groups, "saved_search_replay": saved_search_replay, "timing_percentiles": timing_percentiles,
+    "slowest_topk": slowest_topk, "last_samples": last_samples, "trace_phase_rollup": trace_phase_rollup, "event_bursts": event_bursts, "event_debounce": event_debounce,
+    "queue_generations": queue_generations, "queue_acknowledged": queue_acknowledged, "queue_depth": queue_depth, "queue_overflow": queue_overflow, "fair_batch": fair_batch,
+    "rescan_throttle": rescan_throttle, "rescan_windows": rescan_windows, "pending_absorbed": pending_absorbed, "status_json": status_json, "list_preview": list_preview, "stream_debounce": stream_debounce,
+}
