@@ -6,8 +6,11 @@ intermediate tables may live in any store that Spark can open.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 #: Stands for a null id inside operators: larger than any id that a table holds.
 NULL_ID = (1 << 63) - 1
 
-_WHITE = bytes(range(9, 14)) + b" "
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
@@ -55,12 +56,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(batches, columns: int = 1):
-    """Yields, for each record batch, its first columns as lists and the last one as a list of bytes."""
-    for batch in batches:
-        yield [batch.column(i).to_pylist() for i in range(columns)]
-
-
 def word_list(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes; bytes.split() splits at just these six characters."""
     return text.split()
@@ -71,25 +66,23 @@ def lower_ascii(text: bytes) -> bytes:
     return text.lower()
 
 
-def as_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+def release() -> None:
+    """Gives memory that this process no longer uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
-def string_bytes(array) -> tuple:
-    """The bytes and offsets of an Arrow string or binary array without copying them value by value.
+def freeing(batches_of):
+    """Wraps a function on batches: Python workers are kept between tasks, so each task ends with a release()."""
 
-    Nulls count as empty. Returns (uint8 numpy array, int64 numpy offsets of length n + 1), the offsets starting at 0.
-    """
-    import numpy as np
-    import pyarrow.compute as pc
-
-    if isinstance(array, pa.ChunkedArray):
-        array = array.combine_chunks()
-    if array.null_count:
-        array = pc.fill_null(array, "" if pa.types.is_string(array.type) or pa.types.is_large_string(array.type) else b"")
-    wide = pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type)
-    _, offsets, data = array.buffers()
-    ends = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
-    if data is None or not len(array):
-        return np.zeros(0, np.uint8), np.zeros(len(array) + 1, np.int64)
-    return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+    @wraps(batches_of)
+    def run(batches):
+        try:
+            yield from batches_of(batches)
+        finally:
+            release()
+
+    return run

@@ -38,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freeing
+
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -198,7 +200,7 @@ def seed_indexes(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare: float
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(own[at], pa.int64())], names=["key", "n"])
 
         counts = np.zeros(size + 1, np.int64)
-        for row in texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toLocalIterator():
+        for row in texts.mapInArrow(freeing(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toLocalIterator():
             counts[row[0]] = row[1]
         yield index.seeds(counts[:size], int(counts[size]), rare)
 
@@ -218,7 +220,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float =
                 columns = list(zip(*rows)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.float64()] + [pa.int64()] * 3)], names=[c.split()[0] for c in PAIRS.split(", ")])
 
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, PAIRS)
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(freeing(run), PAIRS)
         out = found if out is None else out.union(found)
     return out
 
@@ -234,5 +236,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
                 clean = [not leaks_of(word_hashes((t or "").encode("utf-8")), shared.value, threshold, miss, gap) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(freeing(run), docs.schema)
     return out

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freeing
+
 from . import html_blocks, html_pages
 
 PATH_SLOTS, WORD_SLOTS, WIDTH, HIDDEN = 1 << 11, 1 << 13, 16, 20
@@ -224,7 +226,7 @@ def extract(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
                 rows = main_texts(part.column(2).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), *[pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int32()))]], names=["page_id", "url", "text", "n_blocks", "n_main"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, TEXTS)
+    return pages.select("page_id", "url", "html").mapInArrow(freeing(run), TEXTS)
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

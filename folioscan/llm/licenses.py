@@ -41,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freeing
+
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 # Phrases that give a label wherever their words stand consecutively.
@@ -173,7 +175,7 @@ def block_frequency(docs: DataFrame, templates, run_words: int) -> dict[bytes, i
         if own:
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], names=["word", "n"])
 
-    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "word binary, n long")
+    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(freeing(count), "word binary, n long")
     return {bytes(r[0]): r[1] for r in rows.groupBy("word").agg(F.sum("n")).collect()}  # at most the words of the templates
 
 
@@ -198,7 +200,7 @@ def scan(docs: DataFrame, phrases: dict = PHRASES, templates=TEMPLATES, threshol
                 blocks.append(found)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(places, place_type), pa.array(blocks, block_type)], names=["doc_id", "n_words", "places", "blocks"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, SCAN)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(freeing(run), SCAN)
 
 
 def labelled(docs: DataFrame, **how) -> DataFrame:

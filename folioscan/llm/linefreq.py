@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import freeing, stored
 
 _SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOLS = bytes(b for b in range(256) if b not in _SYMBOLS)
@@ -90,7 +90,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), batch.column(2), *[pa.array(c, t) for c, t in zip(columns, types)]], names=[c.split()[0] for c in ROW.split(", ")])
 
     text = F.col("text").cast("binary")
-    return docs.select("doc_id", "source", F.unhex(F.md5(F.coalesce(text, F.lit(b"")))).alias("digest"), text.alias("text")).mapInArrow(run, ROW)
+    return docs.select("doc_id", "source", F.unhex(F.md5(F.coalesce(text, F.lit(b"")))).alias("digest"), text.alias("text")).mapInArrow(freeing(run), ROW)
 
 
 def boilerplate(texts: DataFrame, least: int, share: float) -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freeing
+
 from .textmodel import Ftrl, collected, labelled, ngram_features, sigmoid
 
 
@@ -62,7 +64,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([model.score(t) for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(freeing(run), "doc_id long, score double")
 
 
 def held_out(column: str = "doc_id"):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, lower_ascii, stored, word_list
+from .common import NULL_ID, freeing, lower_ascii, stored, word_list
 from .components import components
 from .hashing import mixed, xxh64_spans
 
@@ -110,7 +110,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, tables: int = 1) -> DataFram
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fingerprint_rows(texts, shingle, tables), pa.binary())], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp binary")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(freeing(run), "doc_id long, fp binary")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +208,7 @@ def links(classes: DataFrame, tables: int, shared: int, max_distance: int, tile:
                     F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
         )
     dealt = dealt.select(F.xxhash64("key", "i", "j").alias("gid"), "fp", "node", "side")
-    found = dealt.repartition("gid").sortWithinPartitions("gid").mapInArrow(pairs, "a long, b long")
+    found = dealt.repartition("gid").sortWithinPartitions("gid").mapInArrow(freeing(pairs), "a long, b long")
     if not star:
         return found
 
@@ -220,7 +220,7 @@ def links(classes: DataFrame, tables: int, shared: int, max_distance: int, tile:
                 flips = [0] + [1 << (63 - 16 * b - i) for b in free for i in range(16)]
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(flips), pa.binary()), pa.array([(word ^ x).to_bytes(8, "big") for x in flips], pa.binary()), pa.array([n] * len(flips), pa.int64())], names=["key", "variant", "node"])
 
-    hot = rows.filter(F.col("n") > tile).select("key", "fp", "node").mapInArrow(variants, "key binary, variant binary, node long")
+    hot = rows.filter(F.col("n") > tile).select("key", "fp", "node").mapInArrow(freeing(variants), "key binary, variant binary, node long")
     groups = hot.groupBy("key", "variant").agg(F.collect_set("node").alias("nodes")).filter("size(nodes) > 1")
     return found.union(groups.select(F.explode("nodes").alias("a"), F.array_min("nodes").alias("b")))
 

@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, fresh_path, stored
+from .common import NULL_ID, freeing, fresh_path, release, stored
 from .hashing import words_at, xxh64_spans
 from .suffixes import big_words, common_prefixes, suffix_array
 
@@ -140,7 +140,7 @@ def packed_chunks(docs: DataFrame, chunk_bytes: int, files: int, chunk_docs: int
         if ids:
             yield chunk()
 
-    return rows.mapInArrow(pack, CHUNK)
+    return rows.mapInArrow(freeing(pack), CHUNK)
 
 
 def bucketed(chunks: DataFrame, files: int) -> DataFrame:
@@ -276,6 +276,8 @@ def _shared_keys(frame: pd.DataFrame) -> pd.DataFrame:
     twice[order] = twice_ordered
     ends = np.cumsum(sizes)
     masks = [np.packbits(twice[e - s : e]).tobytes() for s, e in zip(sizes, ends)]
+    del keys, twice, ordered, order, parts
+    release()
     return pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["bucket"], "mask": masks})
 
 
@@ -409,6 +411,8 @@ def _solved(window: int):
         cuts = np.searchsorted(row[at], np.arange(len(rows) + 1))
         used = np.flatnonzero(np.diff(cuts))
         blobs = [_packed(piece[at[cuts[r] : cuts[r + 1]]], lo[cuts[r] : cuts[r + 1]].astype(np.int32), hi[cuts[r] : cuts[r + 1]].astype(np.int32)) for r in used]
+        del keys, least, size, text, order
+        release()
         return pd.DataFrame({"chunk": frame["chunk"].to_numpy()[used], "answer": blobs})
 
     return run
@@ -487,11 +491,11 @@ def removals(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, buck
 
     key_buckets, buckets = max(1, -(-total // (14 * bucket_keys))), max(1, -(-total // bucket_bytes))
     key_bits = min(48, max(24, int(total).bit_length() + 6))  # about 1 anchor in 1000 meets a stranger, which costs a piece and no error
-    keys = chunks.mapInArrow(_key_rows(window, key_buckets, key_bits), "bucket int, chunk long, blob binary")
+    keys = chunks.mapInArrow(freeing(_key_rows(window, key_buckets, key_bits)), "bucket int, chunk long, blob binary")
     masks = keys.groupBy("bucket").applyInPandas(_shared_keys, "chunk long, bucket int, mask binary")
     masks = masks.groupBy(F.col("chunk").alias("to")).agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))
     ready = chunks.join(masks.hint("shuffle_hash"), F.col("chunk") == F.col("to")).join(skip.hint("shuffle_hash"), F.col("chunk") == F.col("of"), "left")
-    pieces = stored(ready.select("chunk", "ids", "sizes", "digests", "texts", "masks", "skip").mapInArrow(_piece_rows(window, buckets, key_buckets, key_bits), "kind int, bucket int, chunk long, blob binary"), "pieces", "uncompressed")
+    pieces = stored(ready.select("chunk", "ids", "sizes", "digests", "texts", "masks", "skip").mapInArrow(freeing(_piece_rows(window, buckets, key_buckets, key_bits)), "kind int, bucket int, chunk long, blob binary"), "pieces", "uncompressed")
 
     sent = pieces.filter("kind = 0").drop("kind")
     size = F.ceil(F.sum(F.octet_length("blob")) / most_bytes).cast("int")
@@ -499,13 +503,13 @@ def removals(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, buck
     groups = sent.select("bucket", F.lit(0).alias("part"), "chunk", "blob")
     if not large.isEmpty():
         same = F.col("bucket") == F.col("b")
-        dealt = sent.join(large, same).drop("b").mapInArrow(_dealt_out(window), "bucket int, part int, chunk long, blob binary")
+        dealt = sent.join(large, same).drop("b").mapInArrow(freeing(_dealt_out(window)), "bucket int, part int, chunk long, blob binary")
         groups = groups.join(large, same, "left_anti").union(dealt)
     answers = groups.groupBy("bucket", "part").applyInPandas(_solved(window), "chunk long, answer binary")
     answers = answers.groupBy(F.col("chunk").alias("to")).agg(F.collect_list("answer").alias("answers"))
     places = pieces.filter("kind = 1").select(F.col("chunk").alias("of"), "blob")
     ready = chunks.join(places.hint("shuffle_hash"), F.col("chunk") == F.col("of")).join(answers.hint("shuffle_hash"), F.col("chunk") == F.col("to"), "left")
-    cut = ready.select("ids", "sizes", "digests", "texts", "blob", "answers").mapInArrow(_cut_rows(window), REMOVED)
+    cut = ready.select("ids", "sizes", "digests", "texts", "blob", "answers").mapInArrow(freeing(_cut_rows(window)), REMOVED)
     return cut.union(copies)
 
 

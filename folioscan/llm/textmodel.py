@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freeing
+
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+|\n")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,7 +83,7 @@ def collected(rows: DataFrame, features) -> tuple[list[tuple[np.ndarray, np.ndar
             found = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary()), batch.column(2)], names=["doc_id", "index", "value", "label"])
 
-    table = rows.mapInArrow(run, "doc_id long, index binary, value binary, label int").toArrow().sort_by("doc_id")
+    table = rows.mapInArrow(freeing(run), "doc_id long, index binary, value binary, label int").toArrow().sort_by("doc_id")
     pairs = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(table.column("index").to_pylist(), table.column("value").to_pylist())]
     return pairs, table.column("label").to_numpy().astype(np.int64)
 

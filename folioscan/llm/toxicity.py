@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freeing
+
 from .textmodel import Ftrl, collected, labelled, sigmoid
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -132,7 +134,7 @@ def score(docs: DataFrame, model: Model, reject: float = 0.2) -> DataFrame:
             found = np.array([model.severity(t) for t in batch.column(1).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found), pa.array(found >= reject)], names=["doc_id", "severity", "toxic"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, severity double, toxic boolean")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(freeing(run), "doc_id long, severity double, toxic boolean")
 
 
 def graded(docs: DataFrame, labels: DataFrame, reject: float = 0.2) -> DataFrame:
@@ -150,4 +152,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, reject: float = 0.2) -> Da
             stays = [model.severity((t or "").encode("utf-8")) < reject for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(stays, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(freeing(run), schema)

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import freeing, fresh_path
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -250,7 +250,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_by
             leading = []
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    written = rows.mapInArrow(compress, "value binary")
+    written = rows.mapInArrow(freeing(compress), "value binary")
     written.select(F.col("value").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("compression", "none").text(path)
 
 
@@ -278,7 +278,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     text, whole = pa.string(), pa.int64()
     schema = pa.schema([("archive", text), ("offset", whole), ("record_id", text), ("record_type", text), ("target_uri", text), ("record_date", text), ("content_length", whole), ("payload_digest", text), ("payload_bytes", whole), ("refers_to_id", text), ("payload", pa.binary()), ("error", text)])
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(parse, RECORDS)
+    return files.mapInArrow(freeing(parse), RECORDS)
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0, payloads: bool = True) -> DataFrame:
