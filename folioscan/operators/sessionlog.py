@@ -21,7 +21,7 @@ _OPEN = "\"'`([{<「『【〔〈《（［｛"
 _CLOSE = "\"'`)]}>」』】〕〉》）］｝"
 _SENTENCE = "、。…，：；！？"
 _START = re.compile(r"""(?:(?<=[\s"'`(<\[{=：「『【〔〈《（［｛])|^)(?:file://|[A-Za-z]:[\\/]|\\\\|/)""")
-_STOP = frozenset("\"'`<>|\n\r\t)]}」』】〕〉》）］｝")
+_STOP = frozenset("\"'`<>|()[]{}，。、！？；：…」』】〕〉》）］｝")
 _BASE64 = re.compile(r"/*(?:9j/|iVBORw0KGgo|R0lGOD|JVBER|UEsDB|H4sI|eyJ)")
 
 

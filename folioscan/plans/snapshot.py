@@ -31,20 +31,19 @@ class SnapshotStore:
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         found = [r for r in self._manifest() if version is None or r["data_version"] == version]
-        if not found:
+        if not found or name not in found[-1]["tables"]:
             raise LookupError("no such snapshot")
-        return self.spark.read.parquet(f"{found[-1]['folder']}/{name}")
+        return self.spark.read.parquet(found[-1]["tables"][name])
 
     def commit(self, **tables: DataFrame) -> int:
-        """Writes the tables as a new version; those not given stay the ones of the version before."""
-        folder, before = f"{self.path}/v-{uuid.uuid4().hex}", self.version()
+        """Writes the tables as a new version; those not given stay where the version before has them."""
+        folder, found = f"{self.path}/v-{uuid.uuid4().hex}", self._manifest()
+        before, places = (found[-1]["data_version"], dict(found[-1]["tables"])) if found else (0, {})
         for name in TABLES:
-            df = tables.get(name)
-            if df is None and before:
-                df = self.read(name)
-            if df is not None:
-                df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
-        record = json.dumps({"schema_version": 1, "data_version": before + 1, "folder": folder})
+            if tables.get(name) is not None:
+                places[name] = f"{folder}/{name}"
+                tables[name].write.option("compression", "zstd").parquet(places[name])
+        record = json.dumps({"schema_version": 1, "data_version": before + 1, "tables": places})
         self.spark.createDataFrame([(record,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/manifest")
         return before + 1
 
@@ -60,10 +59,10 @@ class SnapshotStore:
         new = placed.withColumn("id", F.col("new_id")).select(*old.columns)
         moved = blocks.join(placed.select(F.col("id").alias("document_id"), "new_id"), "document_id").withColumn("document_id", F.col("new_id")).select(*old_blocks.columns)
         replaced = new.select(F.col("id").alias("document_id"))
-        return self.commit(documents=old.join(documents, "path", "left_anti").unionByName(new), blocks=old_blocks.join(replaced, "document_id", "left_anti").unionByName(moved))
+        return self.commit(documents=old.join(documents, "path", "left_anti").unionByName(new).select(*old.columns), blocks=old_blocks.join(replaced, "document_id", "left_anti").unionByName(moved).select(*old_blocks.columns))
 
     def remove(self, gone: DataFrame) -> int:
         """Drops the documents of ``gone`` (path) and their blocks."""
-        old = self.read("documents")
+        old, old_blocks = self.read("documents"), self.read("blocks")
         ids = old.join(gone.select("path"), "path", "left_semi").select(F.col("id").alias("document_id"))
-        return self.commit(documents=old.join(gone.select("path"), "path", "left_anti"), blocks=self.read("blocks").join(ids, "document_id", "left_anti"))
+        return self.commit(documents=old.join(gone.select("path"), "path", "left_anti").select(*old.columns), blocks=old_blocks.join(ids, "document_id", "left_anti").select(*old_blocks.columns))
