@@ -1,5 +1,9 @@
 """DuckDB SQL for those corpus queries that SQL can express."""
 
+from __future__ import annotations
+
+from .licenses import PHRASES, TEMPLATES, words_of
+
 OP1 = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex FROM p),
@@ -12,6 +16,25 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM d JOIN f USING (hex) JOIN b USING (hex)
 """
 
+OP3 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+s AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT rid, p, array_to_string(w[p:p + 7], ' ') AS gram FROM (SELECT rid, w, unnest(range(1, greatest(1, len(w) - 6))) AS p FROM s)),
+twice AS (SELECT rid, gram FROM g GROUP BY ALL HAVING count(*) > 1),
+rep AS (SELECT rid, count(DISTINCT p + k) AS n FROM g JOIN twice USING (rid, gram), range(8) AS x(k) GROUP BY rid),
+texts AS (SELECT DISTINCT source, t, ls FROM s),
+lines AS (SELECT source, t, unnest(list_transform(ls, lambda l: array_to_string(regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^\x20\x09-\x0D]+'), ' '))) AS line FROM texts),
+held AS (SELECT source, t, line, count(*) * (length(line) - length(replace(line, ' ', '')) + 1) AS n FROM lines GROUP BY source, t, line),
+hosts AS (SELECT source, count(*) AS texts FROM texts GROUP BY 1),
+often AS (SELECT h.source, line FROM held h JOIN hosts o ON h.source IS NOT DISTINCT FROM o.source GROUP BY h.source, line HAVING count(*) > 10 AND count(*) > 0.05 * any_value(o.texts)),
+gone AS (SELECT h.source, h.t, sum(n)::BIGINT AS n FROM held h JOIN often f ON h.source IS NOT DISTINCT FROM f.source AND h.line = f.line GROUP BY h.source, h.t),
+c AS (SELECT s.doc_id, len(s.w) AS n_words, length(regexp_replace(s.t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(s.t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+      len(s.ls) - len(list_distinct(s.ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_boilerplate_words
+      FROM s LEFT JOIN rep USING (rid) LEFT JOIN gone ON s.source IS NOT DISTINCT FROM gone.source AND s.t = gone.t),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_words - n_boilerplate_words AS words_left FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND words_left >= 8 AND words_left >= 0.3 * n_words AS kept, n_boilerplate_words FROM f
+"""
+
 OP10 = """
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS body, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT doc_id, p, substr(h, 2 * p::INT + 1, 100) AS s FROM d, LATERAL (SELECT unnest(range(0, greatest(0, length(h) // 2 - 49))) AS p)),
@@ -28,4 +51,31 @@ SELECT d.doc_id, octet_length(body) AS n_bytes, coalesce(n_removed, 0)::BIGINT A
 FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_warc": OP1, "op10_substrings": OP10}
+_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+def _listed(words) -> str:
+    return "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
+
+
+OP7 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+s AS (SELECT *, regexp_extract_all(t, {_WORDS}) AS w FROM d),
+phrases(label, p) AS (VALUES {", ".join(f"('{label}', {_listed(words_of(phrase.encode()))})" for phrase, label in PHRASES.items())}),
+places AS (SELECT rid, label, i - 1 AS pos FROM (SELECT rid, label, w, p, unnest(range(1, len(w) - len(p) + 2)) AS i FROM s, phrases WHERE list_has_all(w, p)) WHERE w[i:i + len(p) - 1] = p),
+ls AS (SELECT rid, unnest(range(len(l))) AS n, unnest(l) AS line FROM (SELECT rid, string_split(t, chr(10)) AS l FROM s)),
+lw AS (SELECT *, regexp_extract_all(line, {_WORDS}) AS w, NOT regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS blank FROM ls),
+runs AS (SELECT rid, run, flatten(list(w ORDER BY n)) AS w FROM (SELECT *, sum(blank::INT) OVER (PARTITION BY rid ORDER BY n) AS run FROM lw) WHERE NOT blank GROUP BY rid, run HAVING count(*) > 1),
+cuts AS (SELECT rid, w[b + 1:b + 300] AS w FROM (SELECT rid, w, unnest(CASE WHEN len(w) > 300 THEN range(0, len(w) - 150, 150) ELSE [0] END) AS b FROM runs)),
+blocks AS (SELECT row_number() OVER () AS bid, rid, list_distinct(w) AS w FROM (SELECT rid, w FROM lw WHERE len(w) > 0 UNION ALL SELECT rid, w FROM cuts)),
+templates(k, label, tw) AS (VALUES {", ".join(f"({k}, '{label}', {_listed(sorted(set(words_of(text.encode()))))})" for k, (label, text) in enumerate(TEMPLATES))}),
+held AS (SELECT bid, rid, k, label, tw, len(list_intersect(w, tw)) AS n, len(list_intersect(w, tw)) / len(tw) AS c FROM blocks, templates WHERE len(list_intersect(w, tw)) >= ceil(0.8 * len(tw) - 1e-9)),
+best AS (SELECT DISTINCT h.rid, h.label FROM held h WHERE NOT EXISTS (SELECT 1 FROM held o WHERE o.bid = h.bid AND o.label <> h.label AND 2 * len(list_intersect(o.tw, h.tw)) >= len(list_distinct(o.tw || h.tw)) AND (o.c > h.c OR o.c = h.c AND o.n > h.n))),
+base AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY rid),
+every AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM places UNION ALL SELECT rid, label FROM best) GROUP BY rid),
+top AS (SELECT rid, max(c) AS c FROM held GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score
+FROM s LEFT JOIN base USING (rid) LEFT JOIN every USING (rid) LEFT JOIN top USING (rid)
+"""
+
+ORACLE_SQL = {"op1_warc": OP1, "op3_linefreq": OP3, "op7_licenses": OP7, "op10_substrings": OP10}
