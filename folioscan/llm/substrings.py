@@ -471,7 +471,7 @@ def _cut_rows(window: int):
     return run
 
 
-def removals(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, bucket_keys: int = 2_000_000, bucket_bytes: int = 8 << 20, most_bytes: int = 64 << 20) -> DataFrame:
+def removals(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, bucket_keys: int = 2_000_000, bucket_bytes: int = 4 << 20, most_bytes: int = 64 << 20) -> DataFrame:
     """REMOVED: one row for each distinct (id, text digest) of ``docs`` (doc_id, text) that loses bytes.
 
     ``window`` is 32 to 56. ``bucket_keys`` anchors and the pieces of
@@ -483,7 +483,8 @@ def removals(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, buck
     files = min(100_000, max(parallel, -(-total // (4 * chunk_bytes))))
     chunks = bucketed(packed_chunks(docs, chunk_bytes, files), files)
     index = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "sizes", "digests")).alias("place", "d")).select("chunk", "place", F.col("d.ids").alias("id"), F.col("d.sizes").alias("n_bytes"), F.col("d.digests").alias("digest"))
-    firsts = index.groupBy("digest").agg(F.min(F.struct("id", "chunk", "place")).alias("first"))
+    firsts = index.groupBy("digest").agg(F.min(F.struct("id", "chunk", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    firsts = stored(firsts, "firsts")  # a table of its own, so that a text with very many copies can be split in the join
     met = stored(index.join(firsts, "digest").filter((F.col("chunk") != F.col("first.chunk")) | (F.col("place") != F.col("first.place"))), "copies")
     skip = met.groupBy(F.col("chunk").alias("of")).agg(F.collect_list("place").alias("skip"))
     spans = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end")))
@@ -520,7 +521,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def digested(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``."""
-    gone = stored(removals(docs, **how).select("id", "digest", "n_bytes", F.size("spans").cast("long").alias("n_spans"), F.octet_length("kept").cast("long").alias("left"), F.sha2("kept", 256).alias("sha")), "removed")
+    gone = removals(docs, **how).select("id", "digest", "n_bytes", F.size("spans").cast("long").alias("n_spans"), F.octet_length("kept").cast("long").alias("left"), F.sha2("kept", 256).alias("sha"))
     rows = _keyed(docs).select("doc_id", "__folio_id", "__folio_digest", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
     out = rows.join(gone, (F.col("__folio_id") == F.col("id")) & (F.col("__folio_digest") == F.col("digest")), "left")
     none = F.lit(0).cast("long")
@@ -540,7 +541,7 @@ def cleaned(docs: DataFrame, **how) -> DataFrame:
     def text_of(kept: pd.Series) -> pd.Series:
         return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
-    gone = stored(removals(docs, **how).select(F.col("id").alias("__folio_of"), F.col("digest").alias("__folio_with"), text_of("kept").alias("__folio_kept")), "removed")
+    gone = removals(docs, **how).select(F.col("id").alias("__folio_of"), F.col("digest").alias("__folio_with"), text_of("kept").alias("__folio_kept"))
     out = _keyed(docs).join(gone, (F.col("__folio_id") == F.col("__folio_of")) & (F.col("__folio_digest") == F.col("__folio_with")), "left")
     out = out.withColumn("text", F.coalesce("__folio_kept", "text"))
     if "n_chars" in docs.columns:
