@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.functions.text import earliest, normalize, normalized, parse_types, query_terms, snippet
+from folioscan.functions.text import earliest, grams, normalize, normalized, parse_types, query_terms, snippet
 from folioscan.operators import passages, postings, search
 from folioscan.operators.search import Search
 
@@ -183,3 +183,11 @@ def test_terms_types_and_blank_queries():
     with pytest.raises(ValueError):
         query_terms("\u3000", "phrase")
     assert earliest("B then A", ["a", "b"]) == "b"
+
+
+def test_grams_are_of_code_points(spark):
+    texts = ["", "a", "ab", "abcab", "a\U0001f600b\U0001f600\U0001f600c", "\n\r\n x", "測試測試的"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 2, 3):
+        got = [set(r[0]) for r in df.select(grams("t", n)).collect()]
+        assert got == [{t[i : i + n] for i in range(len(t) - n + 1)} for t in texts]
