@@ -112,6 +112,8 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), budget: float = 1.5, cap: f
     rows = sized.join(goal, sized["source"].eqNullSafe(goal["from"])).drop("from")
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     node = F.pmod(F.col("mark"), F.ceil(F.col("docs") / fan_in))
+    kind = docs.schema["doc_id"].dataType
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would turn integers with nulls into floats
     rows = rows.withColumn("whole", F.floor(times)).withColumn("share", F.when(F.col("size") > 0, times - F.floor(times)).otherwise(0.0)).withColumn("node", node).drop("docs")
     open_share = (F.col("share") > 0) & (F.col("share") < 1)
     done, level = [rows.filter(~open_share)], rows.filter(open_share)
@@ -129,4 +131,4 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), budget: float = 1.5, cap: f
     for part in done[1:]:
         out = out.unionByName(part)
     copies = (F.col("whole") + F.col("share")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

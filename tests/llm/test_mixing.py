@@ -65,7 +65,7 @@ def test_tree_of_several_levels_stays_near_the_target(spark):
 
 
 def test_nulls_empty_repeated_and_odd_sources(spark):
-    rows = [(1, None, "b"), (2, "", "b"), (3, "a b c", "b"), (None, "one two", None), (5, "x " * 5000, "\U0001f600"), (6, "y " * 10, "￿"), (7, "z", ""), (7, "z", ""), (8, "q r s", "b")]
+    rows = [(1, None, "b"), (2, "", "b"), (3, "a b c", "b"), (None, "one two", None), ((1 << 62) + 1, "u v w", None), (5, "x " * 5000, "\U0001f600"), (6, "y " * 10, "￿"), (7, "z", ""), (7, "z", ""), (8, "q r s", "b")]
     got = mixing.mix(made(spark, rows)).collect()
     checked(rows, got)
 
