@@ -126,8 +126,7 @@ class Collection:
         return search.Session(self.store.read("documents"), self.store.read("blocks"), what, self.store.version(), self.store.version)
 
     def search(self, text: str, limit: int = 20, **how) -> DataFrame:
-        results = self.session(text, **how).results()
-        return search.with_reference(results.filter(F.col("position") <= limit)).orderBy("position")
+        return search.with_reference(self.session(text, **how).first(limit)).orderBy("position")
 
     def context(self, selected: list[tuple[str, str]], form: str = "md", **how) -> str:
         return context.rendered(context.bundle(self.store.read("documents"), self.store.read("blocks"), selected, **how), form)

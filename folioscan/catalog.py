@@ -66,7 +66,7 @@ def search_phased(spark, sf_dir):
 def refine_within(spark, sf_dir):
     docs, blocks = _collection(spark, sf_dir)
     first = search.top(search.matches(docs, blocks, BY_TIME), "modified", 200)
-    return search.refined(first, docs, blocks, Search("ing", sort="modified")).select(*SHOWN)
+    return search.top(search.refined(first, docs, blocks, Search("ing")), "modified", 200, "first_rank").select(*SHOWN)
 
 
 def phrase_passages(spark, sf_dir):

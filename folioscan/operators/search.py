@@ -38,9 +38,9 @@ def path_order(column: str | Column = "path") -> Column:
     return F.encode(column, "UTF-16BE")
 
 
-def order(sort: str) -> list[Column]:
+def order(sort: str, rank: str = "rank") -> list[Column]:
     newest, path = F.col("modified_at_ms").desc(), path_order().asc()
-    return {"relevance": [F.col("rank").desc(), newest, path], "filename": [path, newest], "modified": [newest, path]}[sort]
+    return {"relevance": [F.col(rank).desc(), newest, path], "filename": [path, newest], "modified": [newest, path]}[sort]
 
 
 def in_scope(docs: DataFrame, search: Search) -> DataFrame:
@@ -105,22 +105,22 @@ def matches(docs: DataFrame, blocks: DataFrame, search: Search) -> DataFrame:
     return out.select("id", "path", "filename", "extension", "status", "modified_at_ms", "rank", "by", "ordinal", reason.alias("reason"))
 
 
-def top(found: DataFrame, sort: str = "relevance", limit: int = 20) -> DataFrame:
-    """The first rows in order, with their position; a top-k, never a whole sort."""
+def top(found: DataFrame, sort: str = "relevance", limit: int = 20, rank: str = "rank") -> DataFrame:
+    """The first rows in order, with their position; a top-k, never a whole sort. The window sees these rows only."""
     if limit <= 0:
         raise ValueError("the limit must be positive")
-    first = found.orderBy(*order(sort)).limit(limit)
-    return first.withColumn("position", F.row_number().over(Window.orderBy(*order(sort))))
+    first = found.orderBy(*order(sort, rank)).limit(limit)
+    return first.withColumn("position", F.row_number().over(Window.orderBy(*order(sort, rank))))
 
 
-def page(found: DataFrame, number: int, size: int, sort: str = "relevance", total: int | None = None) -> DataFrame:
+def page(found: DataFrame, number: int, size: int, sort: str = "relevance", total: int | None = None, rank: str = "rank") -> DataFrame:
     """One page with positions. Errors only if there are results but not that many pages."""
     if number <= 0 or size <= 0:
         raise ValueError("page and page size must be positive")
     total = found.count() if total is None else total
     if total and number > max(1, -(-total // size)):
         raise ValueError(f"there are {max(1, -(-total // size))} pages")
-    return top(found, sort, number * size).filter(F.col("position") > (number - 1) * size)
+    return top(found, sort, number * size, rank).filter(F.col("position") > (number - 1) * size)
 
 
 def total(found: DataFrame, exact: bool, page_end: int = 0) -> DataFrame:
@@ -141,13 +141,17 @@ def phased(docs: DataFrame, blocks: DataFrame, search: Search, limit: int = 20)
 
 
 def refined(before: DataFrame, docs: DataFrame, blocks: DataFrame, search: Search) -> DataFrame:
-    """A new condition over a result with positions, in the order of that result; types, root and subtree no longer apply."""
-    ids = before.select("id", F.col("position").alias("before_at"))
+    """A new condition over the documents of ``before``; types, root and subtree no longer apply.
+
+    The rank of the first layer is carried along as ``first_rank``: with the
+    other sort keys it gives the order of that layer, without numbering rows.
+    """
+    kept_rank = "first_rank" if "first_rank" in before.columns else "rank"
+    ids = before.select("id", F.col(kept_rank).alias("first_rank"))
     inside = docs.join(ids, "id", "left_semi")
     own = blocks.join(ids, blocks["document_id"] == ids["id"], "left_semi")
     kept = matches(inside, own, Search(**(search.__dict__ | {"types": (), "root": None, "subtree": None})))
-    out = kept.join(ids, "id")
-    return out.withColumn("position", F.row_number().over(Window.orderBy("before_at"))).drop("before_at")
+    return kept.join(ids, "id")
 
 
 def with_reference(found: DataFrame) -> DataFrame:
@@ -156,25 +160,26 @@ def with_reference(found: DataFrame) -> DataFrame:
 
 
 class Session:
-    """Layers of refinement over one pinned version of the data."""
+    """Layers of refinement over one pinned version of the data, all in the order of the first layer."""
 
     def __init__(self, docs: DataFrame, blocks: DataFrame, search: Search, version=None, current=lambda: None):
         self._docs, self._blocks, self._version, self._current = docs, blocks, version, current
         first = matches(docs, blocks, search)
-        self._layers = [(search, first.withColumn("position", F.row_number().over(Window.orderBy(*order(search.sort)))))]
+        self._layers = [(search, first.withColumn("first_rank", F.col("rank")))]
 
-    def _checked(self) -> None:
+    def _checked(self) -> DataFrame:
         if self._current() != self._version:
             raise RuntimeError("SEARCH_INDEX_CHANGED")
+        return self._layers[-1][1]
 
     @property
     def conditions(self) -> list[str]:
         return [s.text for s, _ in self._layers]
 
     def append(self, text: str) -> DataFrame:
-        self._checked()
+        before = self._checked()
         search = Search(**(self._layers[0][0].__dict__ | {"text": text}))
-        self._layers.append((search, refined(self._layers[-1][1], self._docs, self._blocks, search)))
+        self._layers.append((search, refined(before, self._docs, self._blocks, search)))
         return self.results()
 
     def back(self) -> DataFrame:
@@ -187,8 +192,11 @@ class Session:
         return self.results()
 
     def results(self) -> DataFrame:
-        self._checked()
-        return self._layers[-1][1]
+        """All results in order."""
+        return self._checked().orderBy(*order(self._layers[0][0].sort, "first_rank"))
+
+    def first(self, limit: int) -> DataFrame:
+        return top(self._checked(), self._layers[0][0].sort, limit, "first_rank")
 
     def page(self, number: int, size: int) -> DataFrame:
-        return self.results().filter(F.col("position").between((number - 1) * size + 1, number * size)).orderBy("position")
+        return page(self._checked(), number, size, self._layers[0][0].sort, rank="first_rank").orderBy("position")

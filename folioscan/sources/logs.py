@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # How many files and how much of them is read.
@@ -41,5 +41,4 @@ def append_traces(traces: DataFrame, folder: str) -> None:
 
 def kept_files(files: DataFrame) -> DataFrame:
     """Of files (path, length, modified_at) the newest that rotation keeps: five, and no more than 2 MiB each."""
-    newest = Window.orderBy(F.col("modified_at").desc(), F.col("path").desc())
-    return files.filter(F.col("length") <= TRACE_BYTES).withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= TRACE_FILES).drop("n")
+    return files.filter(F.col("length") <= TRACE_BYTES).orderBy(F.col("modified_at").desc(), F.col("path").desc()).limit(TRACE_FILES)

@@ -111,12 +111,14 @@ def fair_batch(queue: DataFrame, oldest: int = OLDEST, newest: int = NEWEST) ->
     """Per root the oldest and the newest items, events before expansions, deferred ones (column deferred) last; at most oldest + newest."""
     room = oldest + newest
     group = Window.partitionBy("root", "expand", "deferred")
-    rows = queue.withColumn("expand", F.col("reason") == "expand")
-    rows = rows.withColumn("up", F.row_number().over(group.orderBy("created_at", "rel_path"))).withColumn("down", F.row_number().over(group.orderBy(F.col("created_at").desc(), F.col("rel_path").desc())))
-    fits = rows.filter((F.col("up") <= room) | (F.col("down") <= newest))
-    ends = F.when(F.col("down") <= newest, 0).otherwise(1)
-    place = Window.partitionBy("root").orderBy("expand", "deferred", F.when(F.col("deferred"), 0).otherwise(ends), "up")
-    return fits.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= room).select("root", "rel_path", "reason", "expand", "deferred", "created_at")
+    rows = queue.withColumn("expand", F.col("reason") == "expand").select("root", "rel_path", "reason", "expand", "deferred", "created_at")
+    up, down = group.orderBy("created_at", "rel_path"), group.orderBy(F.col("created_at").desc(), F.col("rel_path").desc())
+    first = rows.withColumn("n", F.row_number().over(up)).filter(F.col("n") <= room).drop("n")
+    last = rows.withColumn("n", F.row_number().over(down)).filter(F.col("n") <= newest).drop("n")
+    few = first.union(last).distinct()  # bounded for each root; both parts are limited before they are shuffled
+    late = F.row_number().over(down) <= newest
+    place = Window.partitionBy("root").orderBy("expand", "deferred", F.when(F.col("deferred") | F.col("late"), 0).otherwise(1), "created_at", "rel_path")
+    return few.withColumn("late", late).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= room).drop("late", "place")
 
 
 def throttle(times: list[int], cool: int = COOL_DOWN, window: int = WINDOW, most: int = PER_WINDOW, back_off: tuple = BACK_OFF) -> list[bool]:
