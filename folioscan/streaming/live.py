@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.paths import ancestors
+from ..functions.paths import IgnoreRule, ancestors, below, excluded_by
+from ..operators.inventory import difference
 
 # Fixed values, in milliseconds and rows.
 QUIET, FORCED = 1_500, 15_000
@@ -179,3 +180,57 @@ def replayed(spark: SparkSession, path: str, key: str, quiet: int, forced: int)
 def _shared(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return path.rstrip("/") if path else tempfile.mkdtemp(prefix="folioscan-")
+
+
+def intake(events: DataFrame, rules: list[IgnoreRule], rules_file: str = "ignore.rules") -> DataFrame:
+    """Adds ``intake`` to events (rel_path, is_folder, is_link): excluded, rescan (no name), reconcile (the root or its rules changed) or path.
+
+    Excluded events are known from their names alone, before anything is read.
+    """
+    name = F.coalesce(F.col("rel_path"), F.lit(""))
+    rule = excluded_by(name, F.col("is_folder"), F.col("is_link"), F.lit(False), rules)
+    own = F.element_at(F.split(name, "/"), -1) == rules_file
+    return events.withColumn("intake", F.when(F.col("rel_path").isNull(), "rescan").when((name == "") | own, "reconcile").when(rule.isNotNull(), "excluded").otherwise("path"))
+
+
+# Fixed values, in milliseconds: delays after which a file that keeps changing is looked at again; then it is given up.
+LOOK_AGAIN = (1_000, 2_000, 5_000, 15_000, 30_000)
+
+
+def stability(observed: DataFrame, quiet: int = QUIET) -> DataFrame:
+    """(path, state, changes, next_at) from observations (path, at, size, modified, inode).
+
+    Stable: the last two observations agree and lie ``quiet`` apart. Else it
+    is deferred with a growing delay, and given up after the last one; the
+    index keeps what it has.
+    """
+    by = Window.partitionBy("path").orderBy("at")
+    identity = F.struct("size", "modified", "inode")
+    rows = observed.withColumn("identity", identity).withColumn("before", F.lag(identity).over(by))
+    rows = rows.withColumn("changed", F.col("before").isNotNull() & (F.col("before") != F.col("identity"))).withColumn("run", F.sum(F.col("changed").cast("int")).over(by))
+    runs = rows.groupBy("path", "run").agg(F.min("at").alias("since"), F.max("at").alias("until"))
+    last = runs.groupBy("path").agg(F.max("run").alias("changes"), F.max_by(F.struct("since", "until"), "run").alias("last"))
+    held = F.col("last.until") - F.col("last.since") >= quiet
+    state = F.when(held, "stable").when(F.col("changes") >= len(LOOK_AGAIN), "given-up").otherwise("deferred")
+    delay = F.element_at(F.array(*[F.lit(d) for d in LOOK_AGAIN]), F.least(F.col("changes") + 1, F.lit(len(LOOK_AGAIN))).cast("int"))
+    return last.select("path", state.alias("state"), "changes", F.when(state == "deferred", F.col("last.until") + delay).alias("next_at"))
+
+
+def deletions(gone: DataFrame, online: DataFrame, readable: DataFrame) -> DataFrame:
+    """Adds ``action`` to missing paths (root, path): delete, or keep as DELETE_UNCONFIRMED where the root is offline or the folder cannot be read."""
+    parent = F.regexp_replace("path", "/[^/]*$", "")
+    rows = gone.withColumn("_parent", parent).join(online.select("root", F.lit(True).alias("_online")), "root", "left").join(readable.select(F.col("folder").alias("_parent"), F.lit(True).alias("_readable")), "_parent", "left")
+    safe = F.coalesce("_online", F.lit(False)) & F.coalesce("_readable", F.lit(False))
+    return rows.withColumn("action", F.when(safe, "delete").otherwise("DELETE_UNCONFIRMED")).select(*gone.columns, "action")
+
+
+def reconciled(disk: DataFrame, index: DataFrame, scope: str, unreadable: list[str], pending: DataFrame) -> DataFrame:
+    """(path, change) of a whole comparison of a scope: removals only where no folder failed to be read and nothing is pending at or below the path."""
+    found = difference(disk.filter(below("path", scope)), index.filter(below("path", scope)))
+    safe = F.lit(True)
+    for folder in unreadable:
+        safe = safe & ~below("path", folder)
+    busy = pending.select(F.explode(ancestors("path")).alias("path")).union(pending.select("path")).distinct().withColumn("_busy", F.lit(True))
+    rows = found.join(busy, "path", "left")
+    change = F.when((F.col("change") == "removed") & (~safe | F.coalesce("_busy", F.lit(False))), "kept").otherwise(F.col("change"))
+    return rows.select("path", change.alias("change"))
