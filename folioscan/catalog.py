@@ -370,8 +370,9 @@ def list_preview(spark, sf_dir):
     """The first 100 documents with a problem, the number of all, and whether the list is cut."""
     _, index = _disk_and_index(spark, sf_dir)
     issues = index.filter(F.col("status").isin("error", "encrypted"))
-    every = issues.agg(F.count("*").alias("total"))
-    return search.top(issues.withColumn("rank", F.lit(0)), "filename", 100).join(every).select("position", "path", "total", (F.col("total") > 100).alias("truncated"))
+    total = issues.count()
+    first = search.top(issues.withColumn("rank", F.lit(0)), "filename", 100)
+    return first.select("position", "path", F.lit(total).cast("long").alias("total"), F.lit(total > 100).alias("truncated"))
 
 
 def markdown_sections(spark, sf_dir):
