@@ -435,8 +435,9 @@ def merged(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[heads], begin[heads], (reach[last] - doc[last].astype(np.int64) * wide) if len(heads) else end
 
 
-def _cut_rows(window: int):
+def _cut_rows(window: int, whole_chars: bool):
     names = [c.split()[0] for c in ("id", "digest", "n_bytes", "spans", "kept")]
+    valid = (lambda kept: kept.decode("utf-8", "ignore").encode("utf-8")) if whole_chars else (lambda kept: kept)
     types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.binary()]
 
     def run(batches):
@@ -464,16 +465,18 @@ def _cut_rows(window: int):
                     stays = np.ones(len(text), bool)
                     for k in own:
                         stays[begin[k] : end[k]] = False
-                    rows.append((int(chunk.ids[d]), chunk.digests[d], len(text), [{"begin": int(begin[k]), "end": int(end[k])} for k in own], text[stays].tobytes()))
+                    rows.append((int(chunk.ids[d]), chunk.digests[d], len(text), [{"begin": int(begin[k]), "end": int(end[k])} for k in own], valid(text[stays].tobytes())))
                 for lo in range(0, len(rows), 2000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 2000]), types)], names=names)
 
     return run
 
 
-def removals(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, bucket_keys: int = 2_000_000, bucket_bytes: int = 4 << 20, most_bytes: int = 64 << 20) -> DataFrame:
+def removals(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, bucket_keys: int = 2_000_000, bucket_bytes: int = 4 << 20, most_bytes: int = 64 << 20, whole_chars: bool = False) -> DataFrame:
     """REMOVED: one row for each distinct (id, text digest) of ``docs`` (doc_id, text) that loses bytes.
 
+    With ``whole_chars`` what a cut leaves of a character is not kept either.
+
     ``window`` is 32 to 56. ``bucket_keys`` anchors and the pieces of
     ``bucket_bytes`` of text meet in a bucket on average; one with more than
     ``most_bytes`` of packed pieces is dealt out by windows.
@@ -510,7 +513,7 @@ def removals(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, buck
     answers = answers.groupBy(F.col("chunk").alias("to")).agg(F.collect_list("answer").alias("answers"))
     places = pieces.filter("kind = 1").select(F.col("chunk").alias("of"), "blob")
     ready = chunks.join(places.hint("shuffle_hash"), F.col("chunk") == F.col("of")).join(answers.hint("shuffle_hash"), F.col("chunk") == F.col("to"), "left")
-    cut = ready.select("ids", "sizes", "digests", "texts", "blob", "answers").mapInArrow(freeing(_cut_rows(window)), REMOVED)
+    cut = ready.select("ids", "sizes", "digests", "texts", "blob", "answers").mapInArrow(freeing(_cut_rows(window, whole_chars)), REMOVED)
     return cut.union(copies)
 
 
@@ -537,11 +540,7 @@ def cleaned(docs: DataFrame, **how) -> DataFrame:
     A character that a cut leaves incomplete goes as well.
     """
 
-    @F.pandas_udf("string")
-    def text_of(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    gone = removals(docs, **how).select(F.col("id").alias("__folio_of"), F.col("digest").alias("__folio_with"), text_of("kept").alias("__folio_kept"))
+    gone = removals(docs, whole_chars=True, **how).select(F.col("id").alias("__folio_of"), F.col("digest").alias("__folio_with"), F.col("kept").cast("string").alias("__folio_kept"))
     out = _keyed(docs).join(gone, (F.col("__folio_id") == F.col("__folio_of")) & (F.col("__folio_digest") == F.col("__folio_with")), "left")
     out = out.withColumn("text", F.coalesce("__folio_kept", "text"))
     if "n_chars" in docs.columns:
