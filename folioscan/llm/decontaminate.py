@@ -1,18 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
 The test set is worked through in chunks of at most ``chunk_words`` words, so
 what the executors get of it is bounded however large it is; each chunk takes
-two passes over the documents and no shuffle of text:
+one pass over the documents and no shuffle.
 
-1. the document frequency of every n-gram of the items, over all documents,
-   added up inside each task first;
-2. seeds are the n-grams of an item that are rare (at most ``rare`` of all
-   documents, 10 at least) or among the rarer half of the item, so an item
-   that leaked everywhere keeps its seeds. Where a document holds seeds of an
-   item, the passage around each cluster of them is aligned with the item.
+Every n-gram of an item is a seed, however many documents hold it: copies that
+were edited and repeated make just their own n-grams frequent. Where a document
+holds seeds of an item, the passage around each cluster of them is aligned with
+the item.
 
-A passage that holds too few of the item's words to reach the threshold is
-left out before it is aligned; this bound is exact. Score: local alignment of
+A passage that holds too few of the item's words to reach the threshold, as a
+whole or in every stretch that an alignment can span, is left out before it is
+aligned; both bounds are exact. Score: local alignment of
 words (1 for a match, ``miss`` for a mismatch, ``gap`` for a word left out),
 divided by the words of the item, so 1 is a whole copy.
 
@@ -68,9 +67,8 @@ class Index:
     ids: list
     words: list[np.ndarray]
     keys: np.ndarray  # distinct n-grams
-    key: np.ndarray  # for each place of an n-gram in an item: its key, sorted
+    key: np.ndarray  # for each distinct n-gram of an item: its key, sorted
     item: np.ndarray
-    place: np.ndarray
     n: int
 
     @classmethod
@@ -79,10 +77,10 @@ class Index:
         each = [grams(w, n) for w in words]
         every = np.concatenate([np.zeros(0, np.uint64), *each])
         item = np.repeat(np.arange(len(rows)), [len(g) for g in each])
-        place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in each]]).astype(np.int64)
         keys, key = np.unique(every, return_inverse=True)
-        order = np.argsort(key, kind="stable")
-        return cls([i for i, _ in rows], words, keys, key[order], item[order], place[order], n)
+        pairs = np.unique(key * max(1, len(rows)) + item)
+        key, item = np.divmod(pairs, max(1, len(rows)))
+        return cls([i for i, _ in rows], words, keys, key, item, n)
 
     def found(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in the document, keys) of the n-grams that items have too."""
@@ -93,21 +91,6 @@ class Index:
         hit = np.flatnonzero(self.keys[at] == own)
         return hit, at[hit]
 
-    def seeds(self, counts: np.ndarray, documents: int, rare: float) -> "Index":
-        """The index of the rare n-grams only, given the documents that hold each key."""
-        limit = max(10.0, rare * documents)
-        middle = np.full(len(self.ids), -1.0)
-        df = counts[self.key].astype(np.float64)
-        order = np.lexsort((df, self.item))
-        starts = np.searchsorted(self.item[order], np.arange(len(self.ids)))
-        ends = np.searchsorted(self.item[order], np.arange(len(self.ids)), side="right")
-        has = ends > starts
-        middle[has] = df[order][(starts[has] + ends[has] - 1) // 2]
-        keep = (df <= limit) | (df <= middle[self.item])
-        keys, key = np.unique(self.keys[self.key[keep]], return_inverse=True)
-        order = np.argsort(key, kind="stable")
-        return Index(self.ids, self.words, keys, key[order], self.item[keep][order], self.place[keep][order], self.n)
-
 
 def align(item: np.ndarray, passage: np.ndarray, miss: float, gap: float) -> tuple[float, int]:
     """(best local score, place after its last word in the passage) by Smith-Waterman with linear gaps."""
@@ -134,15 +117,16 @@ def leaks_of(words: np.ndarray, index: Index, threshold: float, miss: float, gap
     first = np.searchsorted(index.key, keys)
     count = np.searchsorted(index.key, keys, side="right") - first
     at = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-    place, item, inner = np.repeat(places, count), index.item[at], index.place[at]
+    place, item = np.repeat(places, count), index.item[at]
     order = np.lexsort((place, item))
-    place, item, inner = place[order], item[order], inner[order]
+    place, item = place[order], item[order]
     out = []
     for lo, hi in zip(*_runs(item)):
         number = int(item[lo])
         target = index.words[number]
         need = threshold * len(target)
         slack = len(target) + len(target) // 2 + 4
+        span = len(target) + int((len(target) - need) / -gap + 1e-9) if gap < 0 else len(words)
         own = place[lo:hi]
         cuts = np.flatnonzero(np.diff(own) > slack) + 1
         found, passages = None, 0
@@ -151,6 +135,10 @@ def leaks_of(words: np.ndarray, index: Index, threshold: float, miss: float, gap
             passage = words[begin:end]
             if np.isin(target, passage).sum() < need - 1e-9:
                 continue
+            if len(passage) > span:
+                held = np.concatenate(([0], np.cumsum(np.isin(passage, target))))
+                if (held[span:] - held[:-span]).max() < need - 1e-9:
+                    continue
             score, stop = align(target, passage, miss, gap)
             if score < need - 1e-9:
                 continue
@@ -180,35 +168,16 @@ def _chunks(benchmark: DataFrame, chunk_words: int):
         yield sorted(((r[0], bytes(r[1])) for r in chosen.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def seed_indexes(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare: float = 1e-4, chunk_words: int = 2_000_000):
-    """An Index of rare seeds for each chunk of the test set; frequencies are those of all of ``docs``."""
-    texts = docs.select(F.col("text").cast("binary").alias("text"))
+def seed_indexes(benchmark: DataFrame, n: int = 3, chunk_words: int = 2_000_000):
+    """An Index of all n-grams for each chunk of the test set."""
     for rows in _chunks(benchmark, chunk_words):
-        index = Index.of(rows, n)
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        size = len(index.keys)
-
-        def count(batches, shared=shared, size=size):
-            own, seen = np.zeros(size + 1, np.int64), False
-            for batch in batches:
-                seen = True
-                for text in batch.column(0).to_pylist():
-                    own[np.unique(shared.value.found(word_hashes(text))[1])] += 1
-                    own[size] += 1
-            if seen:
-                at = np.flatnonzero(own)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(own[at], pa.int64())], names=["key", "n"])
-
-        counts = np.zeros(size + 1, np.int64)
-        for row in texts.mapInArrow(freeing(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toLocalIterator():
-            counts[row[0]] = row[1]
-        yield index.seeds(counts[:size], int(counts[size]), rare)
+        yield Index.of(rows, n)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, miss: float = -0.5, gap: float = -0.5, rare: float = 1e-4, chunk_words: int = 2_000_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, miss: float = -0.5, gap: float = -0.5, chunk_words: int = 2_000_000) -> DataFrame:
     """PAIRS: each document row (doc_id, text) and test item (item_id, text) whose alignment reaches ``threshold``."""
     out = None
-    for index in seed_indexes(docs, benchmark, n, rare, chunk_words):
+    for index in seed_indexes(benchmark, n, chunk_words):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
@@ -228,7 +197,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float =
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, miss: float = -0.5, gap: float = -0.5, **how) -> DataFrame:
     """The rows of ``docs`` that hold no test item, all columns kept; nothing is shuffled."""
     out, at = docs, docs.columns.index("text")
-    for index in seed_indexes(docs, benchmark, **how):
+    for index in seed_indexes(benchmark, **how):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):

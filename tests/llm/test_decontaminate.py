@@ -74,6 +74,27 @@ def test_an_item_that_leaked_everywhere_is_found(spark):
     assert len(got) == 300 and {r.score for r in got} == {1.0}
 
 
+def test_a_repeated_edited_passage_is_found(spark):
+    words = [f"word{i}" for i in range(40)]
+    edited = {step: " ".join(f"other{i}" if i % step == step - 1 else w for i, w in enumerate(words)) for step in (4, 5, 6)}
+    for step, passage in edited.items():
+        docs = [(i, f"intro {i} {passage} outro {i * 7}") for i in range(1000)] + [(1000 + i, f"plain text {i} word1 word2") for i in range(50)]
+        pair = made(spark, docs, [(1, " ".join(words))])
+        score = slow_align(words, passage.split()) / 40
+        got = decontaminate.leaks(*pair).collect()
+        assert {r.doc_id for r in got} == set(range(1000)) and {r.score for r in got} == {score}, step
+        assert {r.doc_id for r in decontaminate.without_leaks(*pair).collect()} == set(range(1000, 1050))
+
+
+def test_seeds_far_apart_in_a_long_text(spark):
+    rng = random.Random(8)
+    item = [f"word{i}" for i in range(40)]
+    text = [w for _ in range(300) for at in [rng.randrange(38)] for w in [*item[at : at + 3], *(f"x{rng.randrange(900)}" for _ in range(30))]]
+    docs = [(1, " ".join(text)), (2, " ".join(text + item + text))]
+    got = decontaminate.leaks(*made(spark, docs, [(5, " ".join(item))])).collect()
+    assert [(r.doc_id, r.item_id, r.score, r.start_word, r.end_word) for r in got] == [(2, 5, 1.0, len(text), len(text) + 40)]
+
+
 def test_odd_rows(spark):
     item = "one two three four five six seven eight"
     docs = [(1, None), (2, ""), (3, item.upper().replace(" ", ", ")), (3, item.upper().replace(" ", ", ")), (None, item), (4, "x " * 50000 + item + " y" * 50000 + " " + item), (5, "one two")]
