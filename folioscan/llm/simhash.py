@@ -16,9 +16,11 @@ returned, so no group gives more rows than it has members.
 
 Defined results
     null text, no words   fingerprint zero; such documents link to each other
-    null doc_id           counts as the largest id; component_id is null only
-                          if no other document is reachable
-    repeated doc_id       rows of one doc_id are one document: their links unite
+    null doc_id           each such row is a document of its own, linked by its
+                          text only; component_id is null only if no row of the
+                          group has an id
+    repeated doc_id       rows of one doc_id are one document: their links unite;
+                          keep_one() goes by the texts alone
     empty table           an empty result
 """
 
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, freeing, lower_ascii, stored, word_list
+from .common import freeing, lower_ascii, stored, word_list
 from .components import components
 from .hashing import mixed, xxh64_spans
 
@@ -103,14 +105,14 @@ def fingerprint_rows(texts: list, shingle: int = 3, tables: int = 1) -> list[byt
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, tables: int = 1) -> DataFrame:
-    """(doc_id, fp) of every row of ``docs``."""
+    """(doc_id, row, fp) of every row of ``docs`` (doc_id, text, row)."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fingerprint_rows(texts, shingle, tables), pa.binary())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(fingerprint_rows(texts, shingle, tables), pa.binary())], names=["doc_id", "row", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(freeing(run), "doc_id long, fp binary")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), "row").mapInArrow(freeing(run), "doc_id long, row binary, fp binary")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,19 +227,39 @@ def links(classes: DataFrame, tables: int, shared: int, max_distance: int, tile:
     return found.union(groups.select(F.explode("nodes").alias("a"), F.array_min("nodes").alias("b")))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, tables: int = 1, shared: int = 2, max_distance: int = 2, tile: int = 4096) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text)."""
-    marked = stored(fingerprints(docs, shingle, tables).withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID))), "simhash")
-    classes = stored(marked.groupBy("fp").agg(F.min("id").alias("node")), "classes")
-    found = links(classes, tables, shared, max_distance, tile)
-    same_id = marked.join(classes, "fp").filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    again = same_id.join(classes.select(F.col("node").alias("a")).distinct(), "a", "left_semi")  # an id that heads another class
-    roots = components(found.union(again))
-    placed = classes.join(roots, classes["node"] == roots["node"], "left").select("fp", F.least(classes["node"], "root").alias("root"))
-    return marked.join(placed, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.when(F.col("root") != NULL_ID, F.col("root")).alias("component_id"))
+def _groups(docs: DataFrame, by_id: bool, shingle: int = 3, tables: int = 1, shared: int = 2, max_distance: int = 2, tile: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``docs`` as (doc_id, row, fp), (fp, node, root, head) of each distinct fingerprint).
+
+    ``root`` is one node of the group, ``head`` the least (no id, doc_id, row) of the fingerprint's rows. Nodes are
+    numbers of fingerprints, so null ids and repeated ids unite nothing; with ``by_id`` fingerprints of one doc_id are linked too.
+    """
+    marked = stored(fingerprints(docs, shingle, tables), "simhash")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head")
+    classes = stored(marked.groupBy("fp").agg(head).withColumn("node", F.monotonically_increasing_id()), "classes")
+    found = links(classes.select("fp", "node"), tables, shared, max_distance, tile)
+    if by_id:
+        ids = marked.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
+        again = marked.join(ids, "doc_id").select("fp", "low").filter("fp <> low").distinct()
+        again = again.join(classes.select("fp", F.col("node").alias("a")), "fp").join(classes.select(F.col("fp").alias("low"), F.col("node").alias("b")), "low")
+        found = found.union(again.select("a", "b"))
+    roots = components(found)
+    return marked, classes.join(roots, "node", "left").select("fp", "node", F.least("node", "root").alias("root"), "head")
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text); component_id is the least doc_id of the group."""
+    marked, classes = _groups(docs.select("doc_id", "text", F.lit(None).cast("binary").alias("row")), True, **how)
+    heads = classes.groupBy("root").agg(F.min("head.doc_id").alias("component_id"))
+    placed = classes.join(heads, "root").select("fp", "component_id")
+    return marked.join(placed, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that are the smallest doc_id of their group; of repeated rows one."""
-    heads = near_duplicates(docs, **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__folio_head")).distinct()
-    return docs.join(heads, docs["doc_id"].eqNullSafe(heads["__folio_head"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of ``docs``: that of the smallest doc_id, one without an id only if no row of the group has one.
+
+    Ids need not be unique: a row is known by the SHA-256 of its doc_id and text, and repeated rows are one.
+    """
+    named = docs.withColumn("__folio_row", F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"), 256)))
+    _, classes = _groups(named.select("doc_id", "text", F.col("__folio_row").alias("row")), False, **how)
+    heads = classes.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.row").alias("__folio_row"))
+    return named.join(heads, "__folio_row", "left_semi").dropDuplicates(["__folio_row"]).select(docs.columns)

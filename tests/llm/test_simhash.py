@@ -72,6 +72,26 @@ def test_empty_null_and_repeated_ids(spark):
     assert sorted(str(r.doc_id) for r in simhash.keep_one(made(spark, [(1, "a b c d"), (1, "a b c d"), (2, "A b c d")])).collect()) == ["1"]
 
 
+def test_null_ids_are_documents_of_their_own(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40))
+    alone, copied, nameless = [text() for _ in range(20)], text(), text()
+    rows = [(None, t) for t in alone] + [(5, copied), (None, copied), (None, nameless), (None, nameless.upper()), (None, nameless), (9, text())]
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(made(spark, rows)).collect()}
+    assert len(got) == 20 + 2 + 1 + 1
+    assert {k: c for k, c in got.items() if c is not None} == {(5, f"{slow_fp(copied):016x}"): 5, (None, f"{slow_fp(copied):016x}"): 5, (9, f"{slow_fp(rows[-1][1]):016x}"): 9}
+    for how in ({}, simhash.EIGHTY_PERCENT):
+        kept = [(r.doc_id, r.text) for r in simhash.keep_one(made(spark, rows), **how).collect()]
+        assert len(kept) == 23 and {t for d, t in kept if d is None} - {nameless, nameless.upper()} == set(alone)
+        assert {(d, t) for d, t in kept if d is not None} == {(5, copied), rows[-1]}
+
+
+def test_rows_of_one_id_with_other_texts_stay(spark):
+    rows = [(6, "left text of the one row"), (6, "right words in another row"), (6, "Left text  of the one row"), (4, "right words in another row"), (6, "left text of the one row")]
+    kept = sorted((r.doc_id, r.text.lower().split()[0]) for r in simhash.keep_one(made(spark, rows), **simhash.EIGHTY_PERCENT).collect())
+    assert kept == [(4, "right"), (6, "left")]
+
+
 def test_hot_block_by_star_and_by_tiles(spark):
     rng = random.Random(3)
     base = rng.getrandbits(64)
