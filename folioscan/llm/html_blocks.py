@@ -18,6 +18,8 @@ SCOPE = frozenset("ul ol dl table article section main aside nav div form body t
 ENDS_P = BLOCK - frozenset("button option optgroup col colgroup title select".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+#: Where the content of a raw element ends; ASCII letters only, as lower() of other letters can change the length.
+_RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 
@@ -64,7 +66,7 @@ def blocks(html: str) -> list[Block]:
             if state["link"]:
                 state["linked"] += len(piece.strip())
 
-    at, lower = 0, None
+    at = 0
     while True:
         found = _TOKEN.search(html, at)
         if not found:
@@ -78,10 +80,9 @@ def blocks(html: str) -> list[Block]:
         name = name.lower()
         closing = bool(found.group(1) or found.group(4))
         if not closing and name in RAW:
-            lower = html.lower() if lower is None else lower
-            end = lower.find(f"</{name}", at)
+            end = _RAW_END[name].search(html, at)
             # an element that is never closed runs to the end of the page
-            at = len(html) if end < 0 else (lower.find(">", end) + 1 or len(html))
+            at = len(html) if end is None else (html.find(">", end.end()) + 1 or len(html))
             continue
         if name == "br":
             parts.append(" ")

@@ -27,6 +27,14 @@ def test_every_page_of_the_table(spark, sf):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_letters_that_lower_case_lengthens():
+    for raw in sorted(html_blocks.RAW):
+        page = f"<title>{'İ' * 5}</title><p>İİ</p><{raw}>x < İ y</{raw.upper()} >Hello world<{raw}>z</{raw}><p>İstanbul</p>"
+        assert [b.text for b in html_blocks.blocks(page)] == ["İ" * 5, "İİ", "Hello world", "İstanbul"], raw
+    assert [b.text for b in html_blocks.blocks("<title>İİİİİ</title><script>x</script>Hello world")] == ["İİİİİ", "Hello world"]
+    assert html_blocks.blocks("<script>x</ſcript>y</script") == []
+
+
 def test_held_out_training_pages():
     model, pages = extract.trained(), extract.training_pages(200, seed=77)
     chances = model.chances([i for ids, _ in pages for i in ids], np.array([len(ids) for ids, _ in pages]))
