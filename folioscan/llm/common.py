@@ -22,8 +22,9 @@ NULL_ID = (1 << 63) - 1
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (one machine, tests) a temporary folder
-    stands in; it is also set as the checkpoint folder of the context.
+    Only where that setting is absent and Spark runs in one process (tests) a
+    temporary folder stands in; it is also set as the checkpoint folder of the
+    context. On a cluster no machine-local folder is ever used.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
@@ -32,12 +33,34 @@ def shared_dir(spark: SparkSession) -> str:
     known = context.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="folioscan-"))
     return context.getCheckpointDir().rstrip("/")
 
 
+#: Intermediate folders and tables that this process has made and not yet dropped.
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def drop_intermediate(spark: SparkSession, keep: tuple = ()) -> None:
+    """Deletes the intermediate folders and tables made so far but those of ``keep``.
+
+    For callers that have written a result: frames that still read an intermediate table can not be computed afterwards.
+    """
+    for path in [p for p in _MADE if p not in keep]:
+        name = path.rpartition("/")[2].replace("-", "_")
+        if spark.catalog.tableExists(name):
+            spark.sql(f"DROP TABLE {name}")
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _MADE.remove(path)
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

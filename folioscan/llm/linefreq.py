@@ -1,24 +1,35 @@
 """Quality rules with cross-document line frequency.
 
-One pass over the texts gives the base counts and, for each text, its distinct
+One pass over the texts gives the base counts and, for each row, its distinct
 normalised lines as hashes with their numbers of words. A line's frequency on
-a host (the source) is the number of distinct texts of that host that hold it,
-so exact copies count once. Lines above the limit are boilerplate and are
-removed; a document that the base rules let pass is kept unless its boilerplate
-leaves it depleted.
+a host (the source) is the number of distinct documents of that host that hold
+it. Lines above the limit are boilerplate and are removed; a document that the
+base rules let pass is kept unless its boilerplate leaves it depleted.
 
-Limit: more than ``least`` texts and more than ``share`` of the host's distinct
-texts. Depleted: fewer than ``left_words`` words left, or less than
+Limit: more than ``least`` documents and more than ``share`` of the host's
+documents. Depleted: fewer than ``left_words`` words left, or less than
 ``left_share`` of its words.
 
-Normalised line: A-Z lower-cased, digits as 0, words joined by single spaces.
+Normalised line: A-Z lower-cased, digits as 0, words joined by single spaces;
+its XXH64 stands for it. Windows of repeated words are found by 64-bit hashes
+and then compared word by word.
+
+Counting is a distinct of (host, line, document) and then a sum of partial
+counts, so a line that a third of all rows hold is counted in every task and
+added up once; boilerplate lines meet the rows in a join of shuffled sides,
+which the adaptive skew join can split.
 
 Defined results
     null or empty text   counts of 0, base_failed (it has under 20 words)
+    very long texts      measured whole
     null source          a host of its own
-    null doc_id          a row like others
-    repeated rows        each row gets its verdict; the text counts once a host
+    null doc_id          each such row is a document of its own
+    repeated doc_id      one document a host, whatever the texts; each row gets
+                         its own verdict
+    a tie at a limit     stays: only more than the limit is boilerplate, only
+                         less than what must be left is depleted
     empty table          an empty result
+    extra columns        ignored; without_boilerplate() returns them
 """
 
 from __future__ import annotations
@@ -38,7 +49,7 @@ _CONTINUED = bytes(b for b in range(256) if not 0x80 <= b < 0xC0)
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
 _WINDOW = 8
 
-ROW = "doc_id long, source string, digest binary, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
+ROW = "doc_id long, source string, row long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -46,16 +57,24 @@ def repeated_words(words: list[bytes]) -> int:
     n = len(words) - _WINDOW + 1
     if n < 2:
         return 0
-    ids = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint64, len(words))
     window = np.zeros(n, np.uint64)
     for k in range(_WINDOW):
         window = window * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n]
         window ^= window >> np.uint64(29)
-    order = np.sort(window)
-    twice = order[1:][order[1:] == order[:-1]]
-    if not len(twice):
+    order = np.argsort(window, kind="stable")
+    pair = np.flatnonzero(window[order[1:]] == window[order[:-1]])
+    if not len(pair):
         return 0
-    at = np.flatnonzero(np.isin(window, np.unique(twice)))
+    one, two = order[pair], order[pair + 1]
+    if all((ids[one + k] == ids[two + k]).all() for k in range(_WINDOW)):
+        at = np.unique(np.concatenate((one, two)))
+    else:  # two windows with one hash: the words decide
+        held: dict[tuple, list[int]] = {}
+        for i in np.unique(np.concatenate((one, two))).tolist():
+            held.setdefault(tuple(words[i : i + _WINDOW]), []).append(i)
+        at = np.array([i for places in held.values() if len(places) > 1 for i in places], np.int64)
     edge = np.zeros(len(words) + 1, np.int64)
     edge[at] += 1
     np.add.at(edge, at + _WINDOW, -1)
@@ -89,29 +108,28 @@ def base_counts(docs: DataFrame) -> DataFrame:
             columns = list(zip(*[measured(t or b"") for t in batch.column(3).to_pylist()])) or [()] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), batch.column(2), *[pa.array(c, t) for c, t in zip(columns, types)]], names=[c.split()[0] for c in ROW.split(", ")])
 
-    text = F.col("text").cast("binary")
-    return docs.select("doc_id", "source", F.unhex(F.md5(F.coalesce(text, F.lit(b"")))).alias("digest"), text.alias("text")).mapInArrow(freeing(run), ROW)
+    return docs.select("doc_id", "source", F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text")).mapInArrow(freeing(run), ROW)
 
 
-def boilerplate(texts: DataFrame, least: int, share: float) -> DataFrame:
-    """(host, line, n_texts): the lines above the limit on each host of ``texts`` (source, digest, lines)."""
-    hosts = texts.groupBy(F.col("source").alias("on")).agg(F.count("*").alias("texts"))
-    lines = texts.select("source", F.explode("lines").alias("line")).groupBy("source", "line").agg(F.count("*").alias("n_texts")).filter(F.col("n_texts") > least)
-    over = F.col("n_texts") > F.col("texts") * F.lit(share)
-    return lines.join(hosts, lines["source"].eqNullSafe(hosts["on"])).filter(over).select(F.col("source").alias("host"), F.col("line").alias("frequent"), "n_texts")
+def frequent_lines(rows: DataFrame, least: int, share: float) -> DataFrame:
+    """(host, frequent, n_documents): the lines above the limit on each host of stored ``rows`` (source, doc_id, row, lines)."""
+    rows = rows.withColumn("document", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.col("row"))))
+    hosts = rows.groupBy(F.col("source").alias("on")).agg(F.count_distinct("document").alias("documents"))
+    lines = rows.select("source", "document", F.explode("lines").alias("line")).groupBy("source", "line").agg(F.count_distinct("document").alias("n_documents")).filter(F.col("n_documents") > least)
+    over = F.col("n_documents") > F.col("documents") * F.lit(share)
+    return lines.join(hosts, lines["source"].eqNullSafe(hosts["on"])).filter(over).select(F.col("source").alias("host"), F.col("line").alias("frequent"), "n_documents")
 
 
 def verdicts(docs: DataFrame, least: int = 10, share: float = 0.05, left_words: int = 8, left_share: float = 0.3) -> DataFrame:
     """Base counts, base_failed, n_boilerplate_words and kept for every row of ``docs``."""
     rows = stored(base_counts(docs), "lines")
-    texts = stored(rows.groupBy("source", "digest").agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words")), "texts")
-    lines = texts.select("source", "digest", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("source", "digest", "x.lines", "x.line_words")
-    frequent = boilerplate(texts, least, share)
+    lines = rows.select("source", F.col("row").alias("of"), F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("source", "of", "x.lines", "x.line_words")
+    frequent = frequent_lines(rows, least, share)
     removed = (
         lines.join(frequent, lines["source"].eqNullSafe(frequent["host"]) & (lines["lines"] == frequent["frequent"]))
-        .groupBy(F.col("source").alias("of"), F.col("digest").alias("text_digest")).agg(F.sum("line_words").alias("n_boilerplate_words"))
+        .groupBy("of").agg(F.sum("line_words").alias("n_boilerplate_words"))
     )
-    out = rows.join(removed, rows["source"].eqNullSafe(removed["of"]) & (rows["digest"] == removed["text_digest"]), "left")
+    out = rows.drop("lines", "line_words").join(removed, F.col("row") == F.col("of"), "left")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     gone = F.coalesce("n_boilerplate_words", F.lit(0)).cast("long")
     left = F.col("n_words") - gone
@@ -121,14 +139,12 @@ def verdicts(docs: DataFrame, least: int = 10, share: float = 0.05, left_words:
 
 def without_boilerplate(docs: DataFrame, least: int = 10, share: float = 0.05) -> DataFrame:
     """``docs`` with the boilerplate lines of their host taken out of the text; all rows and columns stay."""
-    rows = base_counts(docs)
-    texts = stored(rows.groupBy("source", "digest").agg(F.first("lines").alias("lines")), "texts")
-    lines = texts.select("source", "digest", F.explode("lines").alias("line"))
-    frequent = boilerplate(texts, least, share)
-    bad = (
-        lines.join(frequent, lines["source"].eqNullSafe(frequent["host"]) & (lines["line"] == frequent["frequent"]))
-        .groupBy(F.col("source").alias("__folio_of"), F.col("digest").alias("__folio_with")).agg(F.collect_set("line").alias("__folio_bad"))
-    )
+    rows = stored(base_counts(docs), "lines")
+    lines = rows.select("source", "doc_id", "row", F.explode("lines").alias("line"))
+    frequent = frequent_lines(rows, least, share)
+    # rows of one host and document lose the same lines, so they need not be told apart
+    hit = lines.join(frequent, lines["source"].eqNullSafe(frequent["host"]) & (lines["line"] == frequent["frequent"]))
+    bad = hit.groupBy(F.col("source").alias("__folio_of"), F.col("doc_id").alias("__folio_with")).agg(F.collect_set("line").alias("__folio_bad"))
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series, bad: pd.Series) -> pd.Series:
@@ -140,7 +156,5 @@ def without_boilerplate(docs: DataFrame, least: int = 10, share: float = 0.05) -
 
         return texts.combine(bad, clean)
 
-    digest = F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
-    marked = docs.withColumn("__folio_digest", digest)
-    joined = marked.join(bad, marked["source"].eqNullSafe(bad["__folio_of"]) & (marked["__folio_digest"] == bad["__folio_with"]), "left")
-    return joined.withColumn("text", cleaned("text", "__folio_bad")).select(*docs.columns)
+    joined = docs.join(bad, docs["source"].eqNullSafe(bad["__folio_of"]) & docs["doc_id"].eqNullSafe(bad["__folio_with"]), "left")
+    return joined.select(*[cleaned("text", "__folio_bad").alias("text") if c == "text" else docs[c] for c in docs.columns])

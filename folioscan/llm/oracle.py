@@ -22,15 +22,14 @@ s AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(str
 g AS (SELECT rid, p, array_to_string(w[p:p + 7], ' ') AS gram FROM (SELECT rid, w, unnest(range(1, greatest(1, len(w) - 6))) AS p FROM s)),
 twice AS (SELECT rid, gram FROM g GROUP BY ALL HAVING count(*) > 1),
 rep AS (SELECT rid, count(DISTINCT p + k) AS n FROM g JOIN twice USING (rid, gram), range(8) AS x(k) GROUP BY rid),
-texts AS (SELECT DISTINCT source, t, ls FROM s),
-lines AS (SELECT source, t, unnest(list_transform(ls, lambda l: array_to_string(regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^\x20\x09-\x0D]+'), ' '))) AS line FROM texts),
-held AS (SELECT source, t, line, count(*) * (length(line) - length(replace(line, ' ', '')) + 1) AS n FROM lines GROUP BY source, t, line),
-hosts AS (SELECT source, count(*) AS texts FROM texts GROUP BY 1),
-often AS (SELECT h.source, line FROM held h JOIN hosts o ON h.source IS NOT DISTINCT FROM o.source GROUP BY h.source, line HAVING count(*) > 10 AND count(*) > 0.05 * any_value(o.texts)),
-gone AS (SELECT h.source, h.t, sum(n)::BIGINT AS n FROM held h JOIN often f ON h.source IS NOT DISTINCT FROM f.source AND h.line = f.line GROUP BY h.source, h.t),
+docs AS (SELECT rid, source, coalesce(doc_id::VARCHAR, '#' || rid) AS doc, ls FROM s),
+lines AS (SELECT rid, source, doc, unnest(list_transform(ls, lambda l: array_to_string(regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^\x20\x09-\x0D]+'), ' '))) AS line FROM docs),
+hosts AS (SELECT source, count(DISTINCT doc) AS documents FROM docs GROUP BY 1),
+often AS (SELECT l.source, line FROM lines l JOIN hosts o ON l.source IS NOT DISTINCT FROM o.source GROUP BY l.source, line HAVING count(DISTINCT doc) > 10 AND count(DISTINCT doc) > 0.05 * any_value(o.documents)),
+gone AS (SELECT rid, sum(length(l.line) - length(replace(l.line, ' ', '')) + 1)::BIGINT AS n FROM lines l JOIN often f ON l.source IS NOT DISTINCT FROM f.source AND l.line = f.line GROUP BY rid),
 c AS (SELECT s.doc_id, len(s.w) AS n_words, length(regexp_replace(s.t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(s.t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
       len(s.ls) - len(list_distinct(s.ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_boilerplate_words
-      FROM s LEFT JOIN rep USING (rid) LEFT JOIN gone ON s.source IS NOT DISTINCT FROM gone.source AND s.t = gone.t),
+      FROM s LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_words - n_boilerplate_words AS words_left FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND words_left >= 8 AND words_left >= 0.3 * n_words AS kept, n_boilerplate_words FROM f
 """

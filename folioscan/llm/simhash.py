@@ -5,7 +5,8 @@ majority of the shingles' XXH64, the others of rehashes of it) and is kept as
 big-endian bytes. It is cut into blocks of 16 bits; documents meet where
 ``shared`` blocks agree. With B blocks, B - shared >= max_distance, no pair
 within ``max_distance`` can miss each other; otherwise a pair at bit
-difference p meets in each block with (1 - p) ** 16.
+difference p meets in each block with (1 - p) ** 16, and ``overlap`` adds the
+blocks that start in the middle of these.
 
 Copies collapse into one class a fingerprint before anything is linked. A
 block that very many classes share is never dealt to one task: within
@@ -14,14 +15,22 @@ variant has at most 33 members), beyond that it is cut into pairs of tiles.
 Linked pairs of a task are reduced to a spanning forest before they are
 returned, so no group gives more rows than it has members.
 
+With ``similar`` a link needs that share of common shingles. The forest is
+then one of smallest distances: links of at most ``sure`` bits hold, the
+others are looked up in the texts and compared exactly. What the closest pair
+of two groups does not reach, their other pairs reach still less.
+
 Defined results
     null text, no words   fingerprint zero; such documents link to each other
+    very long texts       hashed in slabs of 1 MB of words, whole
     null doc_id           each such row is a document of its own, linked by its
                           text only; component_id is null only if no row of the
                           group has an id
     repeated doc_id       rows of one doc_id are one document: their links unite;
                           keep_one() goes by the texts alone
+    equal texts           one class, whatever their number
     empty table           an empty result
+    extra columns         ignored; keep_one() returns them, also under these names
 """
 
 from __future__ import annotations
@@ -37,9 +46,13 @@ from .common import freeing, lower_ascii, stored, word_list
 from .components import components
 from .hashing import mixed, xxh64_spans
 
-#: Settings for copies whose five-word shingles agree to 0.8 or more: the angle between such shingle counts is at most
-#: acos(8 / 9), 15.1 % of 512 bits with a margin of one standard deviation; they meet in one of 32 blocks with 0.91.
-EIGHTY_PERCENT = {"shingle": 5, "tables": 8, "shared": 1, "max_distance": 84}
+#: Settings for copies whose five-word shingles agree to 0.8 or more. The angle between such shingle counts is at most
+#: acos(8 / 9), 15.1 % of 512 bits: 78 with a standard deviation of 8, so 104 bits lose one in 1,000 and the texts decide
+#: from 57 bits on. At exactly 0.8 a pair meets in one of the 63 blocks with 0.967.
+EIGHTY_PERCENT = {"shingle": 5, "tables": 8, "shared": 1, "max_distance": 104, "overlap": True, "similar": 0.8, "sure": 56}
+
+#: Blocks above a tile are broadcast up to this number, 20 bytes each; beyond it they are joined.
+_BROADCAST_KEYS = 400_000
 
 #: Bytes of words that are hashed at once.
 _SLAB = 1 << 20
@@ -135,21 +148,54 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
+def _nearest_forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b, apart) that join the same nodes: a forest of the pairs within ``sure`` bits, and of the rest one of smallest distances.
+
+    Each round takes the closest pair of every group (ties by place) and unites the groups, so there are few rounds.
+    """
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    close = apart <= sure
+    group = np.arange(len(nodes))
+
+    def unite(p, q):
+        node, root = _forest(p, q)
+        to = np.arange(len(nodes))
+        to[node] = root
+        return node, root, to
+
+    node, root, to = unite(x[close], y[close])
+    group = to[group]
+    out = [(nodes[node], nodes[root], np.zeros(len(node), np.int64))]
+    order = np.argsort(apart, kind="stable")
+    x, y, apart = x[order], y[order], apart[order]
+    while True:
+        other = group[x] != group[y]
+        x, y, apart = x[other], y[other], apart[other]
+        if not len(x):
+            break
+        _, first = np.unique(np.stack((group[x], group[y]), axis=1).reshape(-1), return_index=True)
+        chosen = np.unique(first // 2)
+        out.append((nodes[x[chosen]], nodes[y[chosen]], apart[chosen]))
+        group = unite(group[x[chosen]], group[y[chosen]])[2][group]
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
+
+
 def _close_pairs(group: np.ndarray, side: np.ndarray, fp: np.ndarray, most: int):
-    """Index pairs of rows of one group (sorted by group) within ``most`` bits; side 0 rows of a tile pair meet side 1 rows only, side 2 rows meet all."""
+    """(i, j, distance) of rows of one group (sorted by group) within ``most`` bits; side 0 rows of a tile pair meet side 1 rows only, side 2 rows meet all."""
     n = len(group)
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     sizes = np.diff(np.concatenate((starts, [n])))
     start_of = np.repeat(starts, sizes)
     small = np.repeat(sizes <= 48, sizes)
-    found = []
+    found = [(np.zeros(0, np.int64),) * 3]
     for step in range(1, min(48, int(sizes.max(initial=0)))):
         i = np.flatnonzero(small[:-step] & (start_of[:-step] == start_of[step:]))
         if not len(i):
             continue
-        ok = np.bitwise_count(fp[i] ^ fp[i + step]).sum(axis=1, dtype=np.int64) <= most
-        ok &= (side[i] != side[i + step]) | (side[i] == 2)
-        found.append((i[ok], i[ok] + step))
+        apart = np.bitwise_count(fp[i] ^ fp[i + step]).sum(axis=1, dtype=np.int64)
+        ok = (apart <= most) & ((side[i] != side[i + step]) | (side[i] == 2))
+        found.append((i[ok], i[ok] + step, apart[ok]))
     for s, size in zip(starts[sizes > 48], sizes[sizes > 48]):
         rows = np.arange(s, s + size)
         for lo in range(0, size, 256):
@@ -159,21 +205,26 @@ def _close_pairs(group: np.ndarray, side: np.ndarray, fp: np.ndarray, most: int)
             for t in range(fp.shape[1]):
                 apart += np.bitwise_count(fp[part, t][:, None] ^ fp[rest, t][None, :])
             x, y = np.nonzero(apart <= most)
+            apart = apart[x, y]
             x, y = part[x], rest[y]
             ok = (x < y) & ((side[x] != side[y]) | (side[x] == 2))
-            found.append((x[ok], y[ok]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            found.append((x[ok], y[ok], apart[ok]))
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+
 
+def links(classes: DataFrame, tables: int, shared: int, max_distance: int, tile: int = 4096, overlap: bool = False, sure: int | None = None) -> DataFrame:
+    """(a, b, apart): links that connect all classes (fp, node) within ``max_distance`` bits that share ``shared`` blocks.
 
-def links(classes: DataFrame, tables: int, shared: int, max_distance: int, tile: int = 4096) -> DataFrame:
-    """(a, b): links that connect all classes (fp, node) within ``max_distance`` bits that share ``shared`` blocks."""
+    ``apart`` is 0 for links within ``sure`` bits (default: all), else the distance of just this pair.
+    """
     blocks = 4 * tables
+    sure = max_distance if sure is None else sure
     keys = [F.concat(F.lit(bytes(chosen)), *[F.substring("fp", 2 * b + 1, 2) for b in chosen]) for chosen in combinations(range(blocks), shared)]
+    if overlap:
+        keys += [F.concat(F.lit(bytes([blocks + b])), F.substring("fp", 2 * b + 2, 2)) for b in range(blocks - 1)]
     keyed = classes.select("fp", "node", F.explode(F.array(*keys)).alias("key"))
-    met = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = keyed.join(met, "key")
+    hot = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile), "hot")
+    rows = keyed.join(F.broadcast(hot) if hot.count() <= _BROADCAST_KEYS else hot, "key", "left")
     star = tables == 1 and max_distance <= 2
 
     def pairs(batches):
@@ -193,16 +244,15 @@ def links(classes: DataFrame, tables: int, shared: int, max_distance: int, tile:
         group = np.unique(table.column("gid").to_numpy(), return_inverse=True)[1] if table.num_rows else np.zeros(0, np.int64)
         fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(table.num_rows, tables)
         node = table.column("node").to_numpy()
-        x, y = _close_pairs(group, table.column("side").to_numpy(), fp, max_distance)
+        x, y, apart = _close_pairs(group, table.column("side").to_numpy(), fp, max_distance)
         if len(x):
-            a, b = _forest(node[x], node[y])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _nearest_forest(node[x], node[y], apart, sure)], names=["a", "b", "apart"])
 
-    plain = rows.filter(F.col("n") <= tile) if star else rows
+    plain = rows.filter("n is null") if star else rows
     if star:
         dealt = plain.select("key", "fp", "node", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"))
     else:
-        count = F.ceil(F.col("n") / tile).cast("int")
+        count = F.ceil(F.coalesce("n", F.lit(1)) / tile).cast("int")
         own = F.pmod(F.xxhash64("fp"), count).cast("int")
         dealt = (
             rows.select("key", "fp", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
@@ -210,7 +260,7 @@ def links(classes: DataFrame, tables: int, shared: int, max_distance: int, tile:
                     F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
         )
     dealt = dealt.select(F.xxhash64("key", "i", "j").alias("gid"), "fp", "node", "side")
-    found = dealt.repartition("gid").sortWithinPartitions("gid").mapInArrow(freeing(pairs), "a long, b long")
+    found = dealt.repartition("gid").sortWithinPartitions("gid").mapInArrow(freeing(pairs), "a long, b long, apart long")
     if not star:
         return found
 
@@ -222,12 +272,50 @@ def links(classes: DataFrame, tables: int, shared: int, max_distance: int, tile:
                 flips = [0] + [1 << (63 - 16 * b - i) for b in free for i in range(16)]
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(flips), pa.binary()), pa.array([(word ^ x).to_bytes(8, "big") for x in flips], pa.binary()), pa.array([n] * len(flips), pa.int64())], names=["key", "variant", "node"])
 
-    hot = rows.filter(F.col("n") > tile).select("key", "fp", "node").mapInArrow(freeing(variants), "key binary, variant binary, node long")
-    groups = hot.groupBy("key", "variant").agg(F.collect_set("node").alias("nodes")).filter("size(nodes) > 1")
-    return found.union(groups.select(F.explode("nodes").alias("a"), F.array_min("nodes").alias("b")))
+    near = rows.filter("n is not null").select("key", "fp", "node").mapInArrow(freeing(variants), "key binary, variant binary, node long")
+    groups = near.groupBy("key", "variant").agg(F.collect_set("node").alias("nodes")).filter("size(nodes) > 1")
+    return found.union(groups.select(F.explode("nodes").alias("a"), F.array_min("nodes").alias("b"), F.lit(0).cast("long").alias("apart")))
 
 
-def _groups(docs: DataFrame, by_id: bool, shingle: int = 3, tables: int = 1, shared: int = 2, max_distance: int = 2, tile: int = 4096) -> tuple[DataFrame, DataFrame]:
+def shingle_set(text: bytes | None, shingle: int) -> frozenset:
+    """The distinct shingles of a text; a text with fewer words is one shingle, one without words has none."""
+    words = word_list(lower_ascii(text or b""))
+    return frozenset(b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))) if words else frozenset()
+
+
+def similarity(a: frozenset, b: frozenset) -> float:
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def _confirmed(found: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """(a, b) of the links ``found`` that hold: those without a distance, and of the others those whose texts share enough shingles.
+
+    Links inside a group that is held together already are not looked at.
+    """
+    found = stored(found.distinct(), "links")
+    held = found.filter("apart = 0").select("a", "b")
+    roots = components(held)
+    open_ = found.filter("apart > 0").select("a", "b")
+    for end in "ab":
+        own = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        open_ = open_.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    open_ = stored(open_.filter("root_a <> root_b").select("a", "b").distinct(), "open")
+    wanted = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", F.col("head.row").alias("row")), "node")
+    wanted = stored(wanted, "wanted")
+    few = wanted.count() <= _BROADCAST_KEYS
+    said = stored(texts.select("row", F.col("text").cast("binary").alias("text")).join(F.broadcast(wanted) if few else wanted, "row").groupBy("node").agg(F.min("text").alias("text")), "said")
+
+    def compare(batches):
+        for batch in batches:
+            a, b, one, other = (c.to_pylist() for c in batch.columns)
+            ok = [similarity(shingle_set(s, shingle), shingle_set(t, shingle)) >= similar for s, t in zip(one, other)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, ok) if k], pa.int64()), pa.array([x for x, k in zip(b, ok) if k], pa.int64())], names=["a", "b"])
+
+    both = open_.join(said.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(said.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return held.union(both.select("a", "b", "text_a", "text_b").mapInArrow(freeing(compare), "a long, b long"))
+
+
+def _groups(docs: DataFrame, by_id: bool, shingle: int = 3, tables: int = 1, shared: int = 2, max_distance: int = 2, tile: int = 4096, overlap: bool = False, similar: float | None = None, sure: int = 0) -> tuple[DataFrame, DataFrame]:
     """(rows of ``docs`` as (doc_id, row, fp), (fp, node, root, head) of each distinct fingerprint).
 
     ``root`` is one node of the group, ``head`` the least (no id, doc_id, row) of the fingerprint's rows. Nodes are
@@ -236,7 +324,8 @@ def _groups(docs: DataFrame, by_id: bool, shingle: int = 3, tables: int = 1, sha
     marked = stored(fingerprints(docs, shingle, tables), "simhash")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head")
     classes = stored(marked.groupBy("fp").agg(head).withColumn("node", F.monotonically_increasing_id()), "classes")
-    found = links(classes.select("fp", "node"), tables, shared, max_distance, tile)
+    found = links(classes.select("fp", "node"), tables, shared, max_distance, tile, overlap, None if similar is None else sure)
+    found = found.select("a", "b") if similar is None else _confirmed(found, docs, classes, shingle, similar)
     if by_id:
         ids = marked.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
         again = marked.join(ids, "doc_id").select("fp", "low").filter("fp <> low").distinct()
@@ -248,18 +337,25 @@ def _groups(docs: DataFrame, by_id: bool, shingle: int = 3, tables: int = 1, sha
 
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text); component_id is the least doc_id of the group."""
-    marked, classes = _groups(docs.select("doc_id", "text", F.lit(None).cast("binary").alias("row")), True, **how)
+    row = _row() if how.get("similar") else F.lit(None).cast("binary")
+    marked, classes = _groups(docs.select("doc_id", "text", row.alias("row")), True, **how)
     heads = classes.groupBy("root").agg(F.min("head.doc_id").alias("component_id"))
     placed = classes.join(heads, "root").select("fp", "component_id")
     return marked.join(placed, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def _row():
+    """The SHA-256 of doc_id and text."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"), 256))
+
+
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """One row of each group of ``docs``: that of the smallest doc_id, one without an id only if no row of the group has one.
 
-    Ids need not be unique: a row is known by the SHA-256 of its doc_id and text, and repeated rows are one.
+    Ids need not be unique: a row is known by the SHA-256 of its doc_id and text; of rows equal in both the first in order of the other columns stays.
     """
-    named = docs.withColumn("__folio_row", F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"), 256)))
+    named = docs.withColumn("__folio_row", _row())
     _, classes = _groups(named.select("doc_id", "text", F.col("__folio_row").alias("row")), False, **how)
     heads = classes.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.row").alias("__folio_row"))
-    return named.join(heads, "__folio_row", "left_semi").dropDuplicates(["__folio_row"]).select(docs.columns)
+    left = named.join(heads, "__folio_row", "left_semi").groupBy("__folio_row").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("__folio_first"))
+    return left.select("__folio_first.*")

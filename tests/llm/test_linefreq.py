@@ -26,15 +26,16 @@ def slow(rows, least=10, share=0.05, left_words=8, left_share=0.3):
     normal = lambda line: " ".join(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[1-9]", "0", re.sub("[A-Z]", lambda m: m[0].lower(), line))))
     held = lambda text: {normal(x) for x in (text or "").split("\n")} - {""}
     hosts = {}
-    for _, text, source in rows:
-        hosts.setdefault(source, set()).add(text or "")
+    for at, (d, text, source) in enumerate(rows):
+        own = hosts.setdefault(source, {}).setdefault(("row", at) if d is None else d, set())
+        own |= held(text)
     bad = {}
-    for source, texts in hosts.items():
+    for source, docs in hosts.items():
         n = {}
-        for t in texts:
-            for line in held(t):
+        for lines in docs.values():
+            for line in lines:
                 n[line] = n.get(line, 0) + 1
-        bad[source] = {line for line, k in n.items() if k > least and k > share * len(texts)}
+        bad[source] = {line for line, k in n.items() if k > least and k > share * len(docs)}
     out = []
     for d, text, source in rows:
         base = slow_base(text)
@@ -50,7 +51,7 @@ def test_all_documents(spark, sf):
     assert sorted(map(tuple, queries.op3_linefreq(spark, sf).collect()), key=str) == slow(rows)
 
 
-def test_boilerplate_depletes_and_copies_count_once(spark):
+def test_boilerplate_depletes_documents(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(6))
     menu = "Home | About us | Page 7 of 12 | all rights are reserved here and there"
@@ -65,10 +66,23 @@ def test_boilerplate_depletes_and_copies_count_once(spark):
     assert got == slow(rows)
     verdict = {r[0]: (r[6], r[7]) for r in got}
     assert not any(verdict[100 + i][1] for i in range(3)) and all(verdict[i][1] for i in range(60))
+    # copies are documents: what 50 of the 50 documents of a host hold is boilerplate there
+    assert not any(verdict[200 + i][1] for i in range(50))
     cleaned = {r.doc_id: r.text for r in linefreq.without_boilerplate(made(spark, rows)).collect() if r.doc_id is not None and r.doc_id < 60}
     assert all("Home" not in t and len(t.split()) == 30 for t in cleaned.values())
 
 
+def test_limits_repeated_ids_and_null_ids(spark):
+    line, own = "one two three four five six seven eight nine ten eleven twelve", "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(i, f"{line}\n{own} {i}", "at the limit") for i in range(10)] + [(7, f"{line}\nagain {own}", "at the limit")] * 5
+    rows += [(None, f"{line}\n{own} x{i}", "above") for i in range(11)] + [(50 + i, f"{own} {own} {own}", "above") for i in range(9)]
+    got = sorted(map(tuple, linefreq.verdicts(made(spark, rows)).collect()), key=str)
+    assert got == slow(rows)
+    gone = {r[0]: r[-1] for r in got}
+    assert gone[7] == gone[0] == 0 and gone[None] == 12
+    assert linefreq.without_boilerplate(made(spark, rows)).count() == len(rows)
+
+
 def test_empty_table(spark):
     assert linefreq.verdicts(made(spark, [])).count() == 0
 

@@ -116,17 +116,83 @@ def test_components_of_a_long_chain(spark):
     assert got == {(i, 0) for i in range(1, 201)} | {(501, 500)}
 
 
-def test_wide_fingerprints_find_copies_of_eighty_percent(spark):
+def jaccard(a, b):
+    return simhash.similarity(simhash.shingle_set(a.encode(), 5), simhash.shingle_set(b.encode(), 5))
+
+
+def test_eighty_percent_against_brute_force(spark):
+    """Edited copies on both sides of the threshold: no link under it, none of the others lost; recall by similarity is that of the blocks."""
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(2000)]
-    rows, truth = [], []
-    for i in range(60):
+    rows, truth = [], {}
+    for i in range(150):
         text = [rng.choice(words) for _ in range(300)]
         other = list(text)
-        for at in rng.sample(range(300), 4):
+        for at in rng.sample(range(0, 300, 5), rng.randrange(1, 14)):
             other[at] = rng.choice(words)
         rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
-        truth.append((2 * i, 2 * i + 1))
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(made(spark, rows), shingle=5, tables=8, shared=1, max_distance=84).collect()}
-    assert sum(got[b] == a for a, b in truth) >= 57
+        truth[2 * i + 1] = jaccard(rows[-2][1], rows[-1][1])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(made(spark, rows), **simhash.EIGHTY_PERCENT).collect()}
     assert all(got[d] // 2 == d // 2 for d in got)
+    assert {b for b, j in truth.items() if j < 0.8 and got[b] != b} == set()
+    near = [b for b, j in truth.items() if 0.8 <= j < 0.85]
+    assert len(near) >= 15 and sum(got[b] == b - 1 for b in near) >= 0.9 * len(near)
+    assert all(got[b] == b - 1 for b, j in truth.items() if j >= 0.85)
+
+
+def test_open_links_of_a_group_are_those_of_the_closest_pairs(spark):
+    """One text with many edits, tiles of two rows: the groups are those of an exact comparison of all pairs."""
+    rng = random.Random(15)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(900)]
+    base = [rng.choice(words) for _ in range(200)]
+    texts = [base]
+    for n in range(40):
+        other = list(rng.choice(texts))
+        for at in rng.sample(range(200), rng.choice([1, 2, 4, 9])):
+            other[at] = rng.choice(words)
+        texts.append(other)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100 + i, " ".join(t)) for i, t in enumerate(texts[:5])]
+    root = {d: d for d, _ in rows}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for i, (a, s) in enumerate(rows):
+        for b, t in rows[:i]:
+            if jaccard(s, t) >= 0.8:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    for tile in (2, 4096):
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(made(spark, rows), tile=tile, **simhash.EIGHTY_PERCENT).collect()}
+        assert got == {d: find(d) for d in root}
+
+
+def test_nearest_forest_joins_what_all_pairs_join():
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        a, b = r.integers(0, 30, 60), r.integers(0, 30, 60)
+        apart = r.integers(1, 9, 60)
+        a, b, apart = a[a != b], b[a != b], apart[a != b]
+        x, y, d = simhash._nearest_forest(a, b, apart, 3)
+        for most in range(1, 9):
+            keep, all_ = (d <= most) if most >= 3 else (d < 0), apart <= most
+            if most >= 3:
+                one = dict(zip(*simhash._forest(x[keep], y[keep]))) if keep.any() else {}
+                assert one == (dict(zip(*simhash._forest(a[all_], b[all_]))) if all_.any() else {})
+        assert len(x) < 30
+
+
+def test_components_of_a_hub(spark):
+    edges = [(0, i) for i in range(1, 400)] + [(399, 1000 + i) for i in range(400)] + [(5000, 5001)]
+    got = {tuple(r) for r in components.components(spark.createDataFrame(edges, "a long, b long"), most=8).collect()}
+    assert got == {(i, 0) for i in range(1, 400)} | {(1000 + i, 0) for i in range(400)} | {(5001, 5000)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_that_differ_in_other_columns_only(spark):
+    rows = [(1, "a b c d", "z", 3), (1, "a b c d", "b", 9), (1, "a b c d", "b", 2)]
+    for n in (1, 3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, key int").repartition(n)
+        assert [tuple(r) for r in simhash.keep_one(docs, **simhash.EIGHTY_PERCENT).collect()] == [(1, "a b c d", "b", 2)]
