@@ -4,33 +4,41 @@ A page becomes a sequence of leaf blocks. Each block is a vector: the mean of
 its hashed tag-path tokens beside the mean of its hashed words. A bidirectional
 LSTM in numpy reads the sequence and labels every block as main text or not, so
 each decision sees the whole page. The labeller is trained on the driver on
-``count`` made-up pages (a documented bound) and has a fixed size.
+``PAGES`` made-up pages (a documented bound) and has a fixed size; the trained
+arrays are kept in the shared folder under a key of their settings, so that a
+later session reads them.
 
 The blocks with label main, in page order, joined by one newline, are the text.
 
 Defined results
     null or empty html   no blocks, text empty
+    very long pages      all blocks, read in time proportional to the page
     malformed html       read leniently, nothing fails
+    a tie (0.5)          main text
     repeated rows        each row is extracted
     null ids, urls       kept
     empty table          an empty result
+    extra columns        ignored
 """
 
 from __future__ import annotations
 
+import inspect
 from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import freeing
-
 from . import html_blocks, html_pages
+from .common import freeing, shared_dir
 
-PATH_SLOTS, WORD_SLOTS, WIDTH, HIDDEN = 1 << 11, 1 << 13, 16, 20
+#: Made-up pages that the labeller is trained on, and passes over them.
+PAGES, EPOCHS = 2400, 7
+PATH_SLOTS, WORD_SLOTS, WIDTH, HIDDEN = 1 << 14, 1 << 13, 16, 20
 
 TEXTS = "page_id long, url string, text string, n_blocks int, n_main int"
 
@@ -156,7 +164,7 @@ class Labeller:
         loss = -np.mean(np.log(np.maximum(1e-9, np.where(truth > 0.5, chance, 1 - chance))))
         return float(loss), grads
 
-    def train(self, pages: list[tuple], epochs: int = 6, batch: int = 24, rate: float = 0.01, unknown: float = 0.3, seed: int = 2) -> "Labeller":
+    def train(self, pages: list[tuple], epochs: int = EPOCHS, batch: int = 24, rate: float = 0.01, unknown: float = 0.3, strange: float = 0.2, seed: int = 2) -> "Labeller":
         """Adam on pages (ids of the blocks, truth)."""
         r, step = np.random.default_rng(seed), 0
         mean = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -165,8 +173,8 @@ class Labeller:
             order = r.permutation(len(pages))
             for lo in range(0, len(order), batch):
                 chosen = [pages[i] for i in order[lo : lo + batch]]
-                # some blocks show unknown words, so that no single word decides
-                shown = [(path, r.integers(0, WORD_SLOTS, 2).tolist() if r.random() < unknown else words) for ids, _ in chosen for path, words in ids]
+                # some blocks show unknown words or another name on their path, so that no single one decides
+                shown = [(path + r.integers(0, PATH_SLOTS, 2).tolist() if r.random() < strange else path, r.integers(0, WORD_SLOTS, 2).tolist() if r.random() < unknown else words) for ids, _ in chosen for path, words in ids]
                 _, grads = self.gradients(shown, np.array([len(ids) for ids, _ in chosen]), np.concatenate([t for _, t in chosen]))
                 step += 1
                 size = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
@@ -187,8 +195,26 @@ def training_pages(count: int, seed: int = 8) -> list[tuple]:
 
 
 @lru_cache(maxsize=2)
-def trained(count: int = 1400, **how) -> Labeller:
-    return Labeller().train(training_pages(count), **how)
+def trained(count: int = PAGES) -> Labeller:
+    return Labeller().train(training_pages(count))
+
+
+def kept(spark: SparkSession, count: int = PAGES) -> Labeller:
+    """The labeller of the shared folder; trained and put there if it is not. The key follows the code that it comes from."""
+    code = "".join(inspect.getsource(part) for part in (html_blocks, html_pages, Labeller, path_tokens, block_ids, training_pages))
+    path = f"{shared_dir(spark)}/labeller-{count}-{PATH_SLOTS}-{WORD_SLOTS}-{WIDTH}-{HIDDEN}-{crc32(code.encode('utf-8')):08x}"
+    model = Labeller.__new__(Labeller)
+    try:
+        rows = spark.read.schema("name string, shape array<int>, data binary").parquet(path).collect()
+    except AnalysisException:
+        rows = []
+    if len(rows) == len(Labeller().p):
+        model.p = {r.name: np.frombuffer(r.data, np.float32).reshape(r.shape) for r in rows}
+        return model
+    model = trained(count)
+    frame = spark.createDataFrame([(k, list(v.shape), v.astype(np.float32).tobytes()) for k, v in model.p.items()], "name string, shape array<int>, data binary")
+    frame.coalesce(1).write.mode("overwrite").parquet(path)  # a writer beside this one writes the same
+    return model
 
 
 def main_texts(pages: list[str | None], labeller: Labeller) -> list[tuple[str, int, int]]:
@@ -215,7 +241,7 @@ def main_texts(pages: list[str | None], labeller: Labeller) -> list[tuple[str, i
 
 def extract(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
     """TEXTS for every row of ``pages`` (page_id, url, html)."""
-    shared = pages.sparkSession.sparkContext.broadcast((labeller or trained()).p)
+    shared = pages.sparkSession.sparkContext.broadcast((labeller or kept(pages.sparkSession)).p)
 
     def run(batches):
         model = Labeller.__new__(Labeller)

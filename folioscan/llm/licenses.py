@@ -3,8 +3,8 @@
 The join finds every pair of a text block and a template whose containment
 |block & template| / |template| of distinct words reaches the threshold:
 
-* words are ordered by their frequency in blocks of all documents, rarest first
-  (one counting pass; only words of templates are counted);
+* words are ordered by the number of documents that hold them, rarest first
+  (one counting pass over all documents; only words of templates are counted);
 * prefix filter: a block that reaches the threshold holds one of the first
   |t| - ceil(threshold * |t|) + 1 words of the template, so only these are looked up;
 * length filter: a block has at least ceil(threshold * |t|) distinct words;
@@ -14,21 +14,30 @@ The join finds every pair of a text block and a template whose containment
 The templates are a fixed list of bounded size, so the lookup table goes to
 every task and no text is shuffled.
 
-Every pair that reaches the threshold is returned; ``best`` marks those that no
-rival (a template of another label that shares at least half of the words of
-both, such as another version of the license) matches better, and only these
-give labels.
+Blocks of a document, for each template, are windows over all of its words,
+whatever its lines: ``step`` words are the least power of two from 8 on that
+is 1.25 times the words of the template or more; windows are two steps long
+and start every step, so a passage of up to ``step`` words is whole in one of
+them and no block is much longer than the template. Templates of fewer than
+``short`` distinct words need all of their words and pairs.
 
-Blocks of a document: each line, and each run of lines without an empty line
-between them, runs of over ``run_words`` words as overlapping windows of that
-size that start every half window. Words: A-Z lower-cased, runs of
-``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``.
+A set of words says nothing about their order, so an exact check follows: of
+the template's neighbouring word pairs a share of ``pairs`` must be neighbours
+in the block too. Matches that pass it are returned; ``best`` marks those that
+no rival (a template of another label that shares at least half of the words
+of both, such as another version of the license) matches better in the same
+block or one that overlaps it, and only these give labels.
+
+Words: A-Z lower-cased, runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``.
 
 Defined results
     null or empty text   no words, no labels, score 0
+    very long texts      all windows of the whole text
+    equal rivals         both are best: a tie gives both labels
     null doc_id          kept
     repeated rows        each row is scanned
     empty table          an empty result
+    extra columns        ignored
 """
 
 from __future__ import annotations
@@ -72,76 +81,101 @@ TEMPLATES = (
 
 SCAN = "doc_id long, n_words long, places array<struct<label: string, word: long>>, blocks array<struct<label: string, first_word: long, words: long, containment: double, best: boolean>>"
 
+#: The templates with fewer distinct words need all words and pairs; the share of neighbouring pairs that the others need.
+SHORT, PAIRS = 10, 0.5
+
 
 def words_of(text: bytes | None) -> list[bytes]:
     return _WORD.findall((text or b"").lower())
 
 
-def blocks_of(text: bytes, run_words: int = 300):
-    """(first word, words) of each block: lines, and runs of lines, with word numbers from 0."""
-    at, run, run_at = 0, [], 0
-    for line in [*text.lower().split(b"\n"), None]:
-        words = _WORD.findall(line) if line is not None else []
-        if line is None or not line.strip():
-            if len(run) > 1:
-                whole = [w for part in run for w in part]
-                step = run_words // 2
-                for start in range(0, max(1, len(whole) - run_words + step) if len(whole) > run_words else 1, step):
-                    yield run_at + start, whole[start : start + run_words]
-            run, run_at = [], at
-            continue
-        if words:
-            yield at, words
-        run.append(words)
-        at += len(words)
+def step_of(words: int) -> int:
+    """Half the length of the windows for a template of so many words."""
+    return max(8, 1 << math.ceil(math.log2(1.25 * max(1, words))))
+
+
+def window_starts(places, step: int, n: int) -> list[int]:
+    """The starts of the windows of a text of ``n`` words that hold one of the places."""
+    last = max(0, -(-n // step) - 2)
+    return [k * step for k in sorted({k for p in places for k in (p // step - 1, p // step) if 0 <= k <= last})]
+
+
+def _neighbours(words) -> set:
+    return set(zip(words, words[1:]))
 
 
 @dataclass
 class Templates:
     """Templates as word tuples in the global order, with the lookup of their prefixes."""
 
-    threshold: float
     labels: list[str]
     words: list[tuple]
     least: list[int]
+    steps: list[int]
+    near: list[set]  # neighbouring words
+    least_near: list[int]
     prefix: dict = field(default_factory=dict)  # word -> [(template, place of the word)]
     rivals: list = field(default_factory=list)  # of each template: those of other labels that share at least half of the words of both
 
     @classmethod
-    def of(cls, templates, threshold: float, frequency: dict) -> "Templates":
-        sets = [tuple(sorted(set(words_of(t.encode("utf-8"))), key=lambda w: (frequency.get(w, 0), w))) for _, t in templates]
-        least = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in sets]
-        out = cls(threshold, [label for label, _ in templates], sets, least)
+    def of(cls, templates, threshold: float, frequency: dict, short: int = SHORT, pairs: float = PAIRS) -> "Templates":
+        said = [words_of(t.encode("utf-8")) for _, t in templates]
+        sets = [tuple(sorted(set(w), key=lambda w: (frequency.get(w, 0), w))) for w in said]
+        least = [len(s) if len(s) < short else math.ceil(threshold * len(s) - 1e-9) for s in sets]
+        near = [_neighbours(w) for w in said]
+        out = cls([label for label, _ in templates], sets, least, [step_of(len(w)) for w in said], near, [len(n) if len(s) < short else math.ceil(pairs * len(n) - 1e-9) for s, n in zip(sets, near)])
         for number, (words, need) in enumerate(zip(sets, least)):
             for place, word in enumerate(words[: len(words) - need + 1]):
                 out.prefix.setdefault(word, []).append((number, place))
-        near = lambda a, b: 2 * len(set(a) & set(b)) >= len(set(a) | set(b))
-        out.rivals = [{m for m, other in enumerate(sets) if out.labels[m] != out.labels[n] and near(words, other)} for n, words in enumerate(sets)]
+        alike = lambda a, b: 2 * len(set(a) & set(b)) >= len(set(a) | set(b))
+        out.rivals = [[m for m, other in enumerate(sets) if out.labels[m] != out.labels[n] and alike(words, other)] for n, words in enumerate(sets)]
         return out
 
-    def best(self, matches: list[tuple[int, float, int]]) -> list[bool]:
-        """For each match of a block whether no rival matches it better: versions of one license differ in a word only."""
-        rank = {number: (contained, shared) for number, contained, shared in matches}
-        return [not any(rank.get(r, (0.0, 0)) > rank[number] for r in self.rivals[number]) for number, _, _ in matches]
+    def shared(self, number: int, own: set, near: set) -> int:
+        """Words of a template that a block holds; 0 where they are too few or their order is another one."""
+        n = sum(w in own for w in self.words[number])
+        return n if n >= self.least[number] and len(self.near[number] & near) >= self.least_near[number] else 0
 
-    def matches(self, block: list[bytes]) -> list[tuple[int, float, int]]:
-        """(template, containment, shared words) of each template that the block holds to the threshold."""
+    def matches(self, words: list[bytes], start: int, step: int) -> list[tuple[int, float, bool]]:
+        """(template, containment, whether no rival matches better) of each template with this step that the block from ``start`` on holds."""
+        block = words[start : start + 2 * step]
         own = set(block)
         first: dict[int, int] = {}
         for word in own & self.prefix.keys():
             for number, place in self.prefix[word]:
-                if place < first.get(number, 1 << 30):
+                if self.steps[number] == step and place < first.get(number, 1 << 30):
                     first[number] = place
-        found = []
+        found, around = [], None
         for number, place in sorted(first.items()):
-            words, need = self.words[number], self.least[number]
-            if len(own) < need or len(words) - place < need:
+            target, need = self.words[number], self.least[number]
+            if len(own) < need or len(target) - place < need or sum(w in own for w in target[place:]) < need:
+                continue
+            shared = self.shared(number, own, _neighbours(block))
+            if not shared:
                 continue
-            shared = sum(w in own for w in words[place:])
-            if shared >= need:
-                found.append((number, shared / len(words), shared))
+            if around is None:  # a block that holds the end of a notice overlaps one that holds all of it
+                last = max(0, -(-len(words) // step) - 2) * step
+                parts = [words[s : s + 2 * step] for s in (start - step, start, start + step) if 0 <= s <= last]
+                around = [(set(part), _neighbours(part)) for part in parts]
+            rank = (shared / len(target), shared)
+            others = [(n / len(self.words[r]), n) for r in self.rivals[number] for n in (self.shared(r, *part) for part in around)]
+            found.append((number, rank[0], not any(other > rank for other in others)))
         return found
 
+    def found(self, words: list[bytes]) -> list[tuple[int, int, int, float, bool]]:
+        """(template, first word, words, containment, best) of each block of a text that holds a template."""
+        if self.prefix.keys().isdisjoint(words):
+            return []
+        places: dict[int, list[int]] = {}
+        for at, word in enumerate(words):
+            for number, _ in self.prefix.get(word, ()):
+                places.setdefault(self.steps[number], []).append(at)
+        out = []
+        for step, at in sorted(places.items()):
+            for start in window_starts(at, step, len(words)):
+                out += [(n, start, min(2 * step, len(words) - start), c, b) for n, c, b in self.matches(words, start, step)]
+        return out
+
 
 def phrase_places(words: list[bytes], phrases: dict) -> list[tuple[str, int]]:
     """(label, first word) of each place where the words of a phrase stand consecutively."""
@@ -161,17 +195,16 @@ def phrase_places(words: list[bytes], phrases: dict) -> list[tuple[str, int]]:
     return out
 
 
-def block_frequency(docs: DataFrame, templates, run_words: int) -> dict[bytes, int]:
-    """For each word of the templates the number of blocks, over all documents, that hold it; added up in each task first."""
+def document_frequency(docs: DataFrame, templates) -> dict[bytes, int]:
+    """For each word of the templates the number of documents that hold it; added up in each task first."""
     vocabulary = {w for _, t in templates for w in words_of(t.encode("utf-8"))}
 
     def count(batches):
         own: dict[bytes, int] = {}
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for _, block in blocks_of(text or b"", run_words):
-                    for word in vocabulary.intersection(block):
-                        own[word] = own.get(word, 0) + 1
+                for word in vocabulary.intersection(words_of(text)):
+                    own[word] = own.get(word, 0) + 1
         if own:
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], names=["word", "n"])
 
@@ -179,9 +212,9 @@ def block_frequency(docs: DataFrame, templates, run_words: int) -> dict[bytes, i
     return {bytes(r[0]): r[1] for r in rows.groupBy("word").agg(F.sum("n")).collect()}  # at most the words of the templates
 
 
-def scan(docs: DataFrame, phrases: dict = PHRASES, templates=TEMPLATES, threshold: float = 0.8, run_words: int = 300) -> DataFrame:
+def scan(docs: DataFrame, phrases: dict = PHRASES, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """SCAN for every row of ``docs`` (doc_id, text): phrase places and blocks that hold a template."""
-    index = Templates.of(templates, threshold, block_frequency(docs, templates, run_words))
+    index = Templates.of(templates, threshold, document_frequency(docs, templates))
     place_type = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
     block_type = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("words", pa.int64()), ("containment", pa.float64()), ("best", pa.bool_())]))
 
@@ -192,12 +225,7 @@ def scan(docs: DataFrame, phrases: dict = PHRASES, templates=TEMPLATES, threshol
                 words = words_of(text)
                 counts.append(len(words))
                 places.append([{"label": label, "word": at} for label, at in phrase_places(words, phrases)])
-                found = []
-                if not index.prefix.keys().isdisjoint(words):
-                    for at, block in blocks_of(text or b"", run_words):
-                        pairs = index.matches(block)
-                        found += [{"label": index.labels[n], "first_word": at, "words": len(block), "containment": c, "best": b} for (n, c, _), b in zip(pairs, index.best(pairs))]
-                blocks.append(found)
+                blocks.append([{"label": index.labels[n], "first_word": at, "words": size, "containment": c, "best": b} for n, at, size, c, b in index.found(words)])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(places, place_type), pa.array(blocks, block_type)], names=["doc_id", "n_words", "places", "blocks"])
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(freeing(run), SCAN)

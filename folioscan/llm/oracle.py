@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import PHRASES, TEMPLATES, words_of
+from .licenses import PAIRS, PHRASES, SHORT, TEMPLATES, step_of, words_of
 
 OP1 = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
@@ -62,17 +62,20 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text,
 s AS (SELECT *, regexp_extract_all(t, {_WORDS}) AS w FROM d),
 phrases(label, p) AS (VALUES {", ".join(f"('{label}', {_listed(words_of(phrase.encode()))})" for phrase, label in PHRASES.items())}),
 places AS (SELECT rid, label, i - 1 AS pos FROM (SELECT rid, label, w, p, unnest(range(1, len(w) - len(p) + 2)) AS i FROM s, phrases WHERE list_has_all(w, p)) WHERE w[i:i + len(p) - 1] = p),
-ls AS (SELECT rid, unnest(range(len(l))) AS n, unnest(l) AS line FROM (SELECT rid, string_split(t, chr(10)) AS l FROM s)),
-lw AS (SELECT *, regexp_extract_all(line, {_WORDS}) AS w, NOT regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS blank FROM ls),
-runs AS (SELECT rid, run, flatten(list(w ORDER BY n)) AS w FROM (SELECT *, sum(blank::INT) OVER (PARTITION BY rid ORDER BY n) AS run FROM lw) WHERE NOT blank GROUP BY rid, run HAVING count(*) > 1),
-cuts AS (SELECT rid, w[b + 1:b + 300] AS w FROM (SELECT rid, w, unnest(CASE WHEN len(w) > 300 THEN range(0, len(w) - 150, 150) ELSE [0] END) AS b FROM runs)),
-blocks AS (SELECT row_number() OVER () AS bid, rid, list_distinct(w) AS w FROM (SELECT rid, w FROM lw WHERE len(w) > 0 UNION ALL SELECT rid, w FROM cuts)),
-templates(k, label, tw) AS (VALUES {", ".join(f"({k}, '{label}', {_listed(sorted(set(words_of(text.encode()))))})" for k, (label, text) in enumerate(TEMPLATES))}),
-held AS (SELECT bid, rid, k, label, tw, len(list_intersect(w, tw)) AS n, len(list_intersect(w, tw)) / len(tw) AS c FROM blocks, templates WHERE len(list_intersect(w, tw)) >= ceil(0.8 * len(tw) - 1e-9)),
-best AS (SELECT DISTINCT h.rid, h.label FROM held h WHERE NOT EXISTS (SELECT 1 FROM held o WHERE o.bid = h.bid AND o.label <> h.label AND 2 * len(list_intersect(o.tw, h.tw)) >= len(list_distinct(o.tw || h.tw)) AND (o.c > h.c OR o.c = h.c AND o.n > h.n))),
+templates(k, label, step, said, tw) AS (VALUES {", ".join(f"({k}, '{label}', {step_of(len(words_of(text.encode())))}, {_listed(words_of(text.encode()))}, {_listed(sorted(set(words_of(text.encode()))))})" for k, (label, text) in enumerate(TEMPLATES))}),
+rules AS (SELECT *, CASE WHEN len(tw) < {SHORT} THEN len(tw) ELSE ceil(0.8 * len(tw) - 1e-9) END AS need, list_distinct(list_transform(range(1, len(said)), lambda i: said[i] || ' ' || said[i + 1])) AS near, CASE WHEN len(tw) < {SHORT} THEN len(near) ELSE ceil({PAIRS} * len(near) - 1e-9) END AS need_near FROM templates),
+cuts AS (SELECT rid, step, unnest(range(0, greatest(1, len(w) - step), step)) AS b FROM s, (SELECT DISTINCT step FROM rules)),
+blocks AS (SELECT rid, step, b, w[b + 1:b + 2 * step] AS w FROM cuts JOIN s USING (rid)),
+held AS (SELECT rid, b, c.step, k, label, tw, c.w AS w, len(list_intersect(c.w, tw)) AS n FROM blocks c JOIN rules r ON c.step = r.step WHERE len(list_intersect(c.w, tw)) >= need),
+pairs AS (SELECT h.*, list_distinct(list_transform(range(1, len(h.w)), lambda i: h.w[i] || ' ' || h.w[i + 1])) AS near FROM held h),
+firm AS (SELECT h.*, n / len(h.tw) AS c FROM pairs h JOIN rules r USING (k) WHERE len(list_intersect(h.near, r.near)) >= r.need_near),
+wide AS (SELECT f.rid, f.b, f.step, f.k, f.label, f.tw, c.w, list_distinct(list_transform(range(1, len(c.w)), lambda i: c.w[i] || ' ' || c.w[i + 1])) AS near FROM firm f JOIN blocks c ON c.rid = f.rid AND c.step = f.step AND abs(c.b - f.b) <= f.step),
+other AS (SELECT f.rid, f.b, f.step, f.k, len(list_intersect(f.w, o.tw)) AS n, len(list_intersect(f.w, o.tw)) / len(o.tw) AS c FROM wide f JOIN rules o ON o.label <> f.label AND 2 * len(list_intersect(o.tw, f.tw)) >= len(list_distinct(o.tw || f.tw))
+          WHERE len(list_intersect(f.w, o.tw)) >= o.need AND len(list_intersect(f.near, o.near)) >= o.need_near),
+best AS (SELECT DISTINCT f.rid, f.label FROM firm f WHERE NOT EXISTS (SELECT 1 FROM other o WHERE o.rid = f.rid AND o.b = f.b AND o.step = f.step AND o.k = f.k AND (o.c > f.c OR o.c = f.c AND o.n > f.n))),
 base AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY rid),
 every AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM places UNION ALL SELECT rid, label FROM best) GROUP BY rid),
-top AS (SELECT rid, max(c) AS c FROM held GROUP BY rid)
+top AS (SELECT rid, max(c) AS c FROM firm GROUP BY rid)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score
 FROM s LEFT JOIN base USING (rid) LEFT JOIN every USING (rid) LEFT JOIN top USING (rid)
 """

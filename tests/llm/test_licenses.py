@@ -15,40 +15,35 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
 
 
-def slow_blocks(text, size):
-    out, run = [], []
-    for line in (text or "").split("\n") + [""]:
-        if line.strip(" \t\n\r\v\f"):
-            if words(line):
-                out.append(words(line))
-            run.append(line)
-            continue
-        if len(run) > 1:
-            whole = words("\n".join(run))
-            if len(whole) <= size:
-                out.append(whole)
-            else:
-                at = 0
-                while at == 0 or at + size // 2 < len(whole):
-                    out.append(whole[at : at + size])
-                    at += size // 2
-        run = []
-    return out
-
-
-def slow(rows, threshold=0.8, size=300):
-    templates = [(label, set(words(t))) for label, t in licenses.TEMPLATES]
+def slow(rows, threshold=0.8):
+    templates = [(label, words(t)) for label, t in licenses.TEMPLATES]
+    pairs = lambda w: {(w[i], w[i + 1]) for i in range(len(w) - 1)}
+
+    def held(template, block):
+        t, b = set(template), set(block)
+        n, near = len(t & b), pairs(template)
+        need, need_near = (1.0, 1.0) if len(t) < 10 else (threshold, 0.5)
+        return n if n / len(t) >= need - 1e-9 and len(near & pairs(block)) >= need_near * len(near) else 0
+
     out = []
     for doc, text in rows:
         w = words(text)
         places = [(label, i) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
         best, found = 0.0, set()
-        for block in slow_blocks(text, size):
-            held = [(len(t & set(block)) / len(t), len(t & set(block)), label, t) for label, t in templates]
-            held = [h for h in held if h[0] >= threshold - 1e-9]
-            for c, n, label, t in held:
-                best = max(best, c)
-                if not any(other != label and 2 * len(t & u) >= len(t | u) and (d, m) > (c, n) for d, m, other, u in held):
+        for label, template in templates:
+            step = 8
+            while step < 1.25 * len(template):
+                step *= 2
+            for at in range(0, max(1, len(w) - step), step):
+                block = w[at : at + 2 * step]
+                n = held(template, block)
+                if not n:
+                    continue
+                rank = (n / len(set(template)), n)
+                best = max(best, rank[0])
+                rivals = [u for other, u in templates if other != label and 2 * len(set(template) & set(u)) >= len(set(template) | set(u))]
+                around = [w[b : b + 2 * step] for b in range(0, max(1, len(w) - step), step) if abs(b - at) <= step]
+                if not any((held(u, b) / len(set(u)), held(u, b)) > rank for u in rivals for b in around):
                     found.add(label)
         base = {label for label, _ in places}
         at = [i for _, i in places]
@@ -92,3 +87,28 @@ def test_versions_are_told_apart(spark):
     rows = [(1, "This work is licensed under the GNU General Public License, version 3."), (2, "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"), (3, "This work is licensed under the GNU General Public License.")]
     got = {r.doc_id: (r.labels, r.score) for r in licenses.labelled(made(spark, rows)).collect()}
     assert got[1] == ("gpl-3", 1.0) and got[2] == ("cc-by-sa", 1.0) and got[3][0] == "gpl-2,gpl-3" and 0.8 <= got[3][1] < 1
+
+
+def test_words_of_a_license_in_prose_are_no_license(spark):
+    rng = random.Random(8)
+    pool = [w.lower().strip(".,") for _, t in licenses.TEMPLATES for w in t.split()]
+    rows = [
+        (1, "the new album was released today and the license fees fall under a separate contract"),
+        (2, "the film was released into the free market; unencumbered by rights and this software of the public is now domain of all"),
+        (3, "Version 2 of the public bus is licensed, and under general law this work is the gnu of all"),
+        (4, " ".join(rng.choice(pool) for _ in range(20000))),
+        (5, ("a public license, under the law, is granted and the software of any person is free of charge for the work " * 300)),
+    ]
+    prose = "the of and to in a is that for it with as was on be by this are from at or an not under general public work free license version software any use".split()
+    rows += [(100 + i, " ".join(rng.choice(prose) for _ in range(rng.randrange(5, 60)))) for i in range(10000)]
+    assert {(r.doc_id, r.labels, r.score) for r in licenses.labelled(made(spark, rows)).filter("labels <> '' or score > 0").collect()} == set()
+
+
+def test_notices_in_long_lines_and_over_lines(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join(rng.choice("lorem ipsum dolor sit amet under the of and".split()) for _ in range(n))
+    rows = []
+    for i, (_, t) in enumerate(licenses.TEMPLATES):
+        rows += [(i, f"{prose(rng.randrange(3000))} {t}. {prose(rng.randrange(3000))}"), (100 + i, prose(50) + "\n" + t.replace(" ", "\n") + "\n" + prose(7))]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.labelled(made(spark, rows)).collect()}
+    assert all(licenses.TEMPLATES[d % 100][0] in labels for d, labels in got.items())
