@@ -10,6 +10,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import wraps
 
 import pyarrow as pa
@@ -39,28 +40,35 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-#: Intermediate folders and tables that this process has made and not yet dropped.
-_MADE: list[str] = []
+#: For each dropped_after() that is open the intermediate folders made since.
+_SCOPES: list[list[str]] = []
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return path
 
 
-def drop_intermediate(spark: SparkSession, keep: tuple = ()) -> None:
-    """Deletes the intermediate folders and tables made so far but those of ``keep``.
-
-    For callers that have written a result: frames that still read an intermediate table can not be computed afterwards.
-    """
-    for path in [p for p in _MADE if p not in keep]:
-        name = path.rpartition("/")[2].replace("-", "_")
-        if spark.catalog.tableExists(name):
-            spark.sql(f"DROP TABLE {name}")
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        _MADE.remove(path)
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate folder and the table over it, if there is one."""
+    name = path.rpartition("/")[2].replace("-", "_")
+    if spark.catalog.tableExists(name):
+        spark.sql(f"DROP TABLE {name}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def dropped_after(spark: SparkSession):
+    """Deletes what operators store inside the block when it ends: write the result inside, frames of it can not be computed afterwards."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            drop(spark, path)
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

@@ -4,6 +4,9 @@ The test set is worked through in chunks of at most ``chunk_words`` words, so
 what the executors get of it is bounded however large it is; each chunk takes
 one pass over the documents and no shuffle.
 
+One pass over the documents serves 2 million words of test items, about 50,000
+items of 40 words; a larger test set takes one more pass for each such part.
+
 Every n-gram of an item is a seed, however many documents hold it: copies that
 were edited and repeated make just their own n-grams frequent. Where a document
 holds seeds of an item, the passage around each cluster of them is aligned with
@@ -20,10 +23,15 @@ A-Z lower-cased; hashes stand for them (CRC-32).
 
 Defined results
     null or empty text, item   no words, never a match
-    items under ``n`` words    no seeds, never a match
+    items under ``n`` words    their only seed is the whole item, so they match
+                               where all of their words stand in order
+    very long texts, items     compared whole; memory grows with one text and one
+                               item, not with their product
+    equal passages             of passages with one score the first is reported
     repeated rows              each row is compared; repeated items each match
     null ids                   kept as they are
     empty tables               an empty result
+    extra columns              ignored; without_leaks() returns them
 """
 
 from __future__ import annotations
@@ -69,27 +77,29 @@ class Index:
     keys: np.ndarray  # distinct n-grams
     key: np.ndarray  # for each distinct n-gram of an item: its key, sorted
     item: np.ndarray
-    n: int
+    sizes: list[int]  # words of an n-gram: n, and less for items with fewer words
 
     @classmethod
     def of(cls, rows: list[tuple], n: int) -> "Index":
         words = [word_hashes(text) for _, text in rows]
-        each = [grams(w, n) for w in words]
+        each = [grams(w, min(n, max(1, len(w)))) for w in words]
         every = np.concatenate([np.zeros(0, np.uint64), *each])
         item = np.repeat(np.arange(len(rows)), [len(g) for g in each])
         keys, key = np.unique(every, return_inverse=True)
         pairs = np.unique(key * max(1, len(rows)) + item)
         key, item = np.divmod(pairs, max(1, len(rows)))
-        return cls([i for i, _ in rows], words, keys, key, item, n)
+        return cls([i for i, _ in rows], words, keys, key, item, sorted({min(n, len(w)) for w in words if len(w)}))
 
     def found(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in the document, keys) of the n-grams that items have too."""
-        own = grams(words, self.n)
-        if not len(own) or not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
-        hit = np.flatnonzero(self.keys[at] == own)
-        return hit, at[hit]
+        places, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n in self.sizes:
+            own = grams(words, n)
+            at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[at] == own)
+            places.append(hit)
+            keys.append(at[hit])
+        return np.concatenate(places), np.concatenate(keys)
 
 
 def align(item: np.ndarray, passage: np.ndarray, miss: float, gap: float) -> tuple[float, int]:

@@ -10,15 +10,24 @@ up a tree of fixed fan-in. What is left at the root is at most one document
 a source, and a small one, as each group trades from its largest document down.
 
 A leaf holds about ``fan_in`` documents whatever the size of the source, so a
-source with a third of all rows only has more leaves. Random numbers come from
-hashes of the documents: reruns and other partitionings give the same rows.
+source with a third of all rows only has more leaves. Rows that are equal in
+id, source and text are one entry with a number: of n such rows with the
+fraction p, floor(n p) are taken wholly and one carries the rest on, so they
+never fill a leaf however many they are. Random numbers come from hashes of
+the documents: reruns and other partitionings give the same rows.
+
+The targets come from windows over one row a source (see targets()).
 
 Defined results
     null or empty text   size 0, taken 0
+    very long texts      counted whole; each group trades from its largest
+                         document down
     null source          a source of its own, the last one
     null doc_id          a document like others
     repeated rows        each row is a document
+    equal marks          documents with one mark trade in order of their ids
     empty table          an empty result
+    extra columns        ignored
 """
 
 from __future__ import annotations
@@ -34,6 +43,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _GOLD, _A, _B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _FULL = (1 << 64) - 1
+#: Equal rows that are written out at once.
+_BLOCK = 10_000
 
 
 def uniform(*parts: int) -> float:
@@ -80,7 +91,8 @@ def targets(sized: DataFrame, weights: tuple = (3, 1, 2), budget: float = 1.5, c
     With sources in order of cap / weight, the level after the first k stop at
     their cap is (budget - their caps) / (weights of the rest); it rises as
     long as sources must stop and falls afterwards, so the level is its maximum.
-    The windows run over one row a source.
+    The windows run over one row a source, in one task: 40 bytes each, so ten
+    million sources are 400 MB, which Spark spills.
     """
     own = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -109,12 +121,14 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), budget: float = 1.5, cap: f
     """(doc_id, source, size, source_size, target, copies, taken) for every row of ``docs`` (doc_id, text, source)."""
     sized = stored(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("mark")), "sized")
     goal = stored(targets(sized, weights, budget, cap), "targets").withColumnRenamed("source", "from")
-    rows = sized.join(goal, sized["source"].eqNullSafe(goal["from"])).drop("from")
+    equal = sized.groupBy("doc_id", "source", "size", "mark").agg(F.count("*").alias("rows"))
+    rows = equal.join(goal, equal["source"].eqNullSafe(goal["from"])).drop("from")
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     node = F.pmod(F.col("mark"), F.ceil(F.col("docs") / fan_in))
     kind = docs.schema["doc_id"].dataType
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would turn integers with nulls into floats
-    rows = rows.withColumn("whole", F.floor(times)).withColumn("share", F.when(F.col("size") > 0, times - F.floor(times)).otherwise(0.0)).withColumn("node", node).drop("docs")
+    mass = F.when(F.col("size") > 0, (times - F.floor(times)) * F.col("rows")).otherwise(0.0)
+    rows = rows.withColumn("whole", F.floor(times)).withColumn("up", F.floor(mass)).withColumn("share", mass - F.floor(mass)).withColumn("node", node).drop("docs")
     open_share = (F.col("share") > 0) & (F.col("share") < 1)
     done, level = [rows.filter(~open_share)], rows.filter(open_share)
     leaves = -(-(goal.agg(F.max("docs")).first()[0] or 0) // fan_in)
@@ -130,5 +144,10 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), budget: float = 1.5, cap: f
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    copies = (F.col("whole") + F.col("share")).cast("long")
+    most = sized.groupBy("doc_id", "source", "size", "mark").count().agg(F.max("count")).first()[0] or 0
+    out = out.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / _BLOCK))))
+    out = out.repartition("mark", "block") if most > _BLOCK else out
+    out = out.withColumn("number", F.explode(F.sequence(F.col("block") * _BLOCK, F.least(F.col("rows"), (F.col("block") + 1) * _BLOCK) - 1)))
+    extra = F.when(F.col("number") < F.col("up"), 1).when(F.col("number") == F.col("up"), F.col("share")).otherwise(0)
+    copies = (F.col("whole") + extra).cast("long")
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -5,10 +5,14 @@ by hash), whole texts, on the driver. Scoring is a sparse dot product for
 each document; the weights that go to the executors have a fixed size.
 
 Defined results
-    null or empty text   the score of the bias alone
-    no labels            score 0.5 for all
-    repeated rows        a score for each
-    extra columns        ignored
+    null or empty text      the score of the bias alone
+    very long texts         scored whole, features scaled to length 1
+    a tie at ``threshold``  predicted 1
+    null doc_id             scored, not held out; never a training row
+    no labels               score 0.5 for all
+    repeated rows           a score for each; one of them is trained on
+    empty table             an empty result
+    extra columns           ignored
 """
 
 from __future__ import annotations

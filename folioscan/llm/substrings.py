@@ -30,7 +30,9 @@ Defined results
     null doc_id          counts as the largest id
     repeated doc_id      rows of one id do not remove from each other
     repeated rows        each row gets the same result
+    very long texts      a chunk of its own, matched whole
     empty table          an empty result
+    extra columns        ignored; cleaned() returns them
 """
 
 from __future__ import annotations

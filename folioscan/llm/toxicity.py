@@ -16,9 +16,13 @@ endings), each with a log count that no length of text dilutes.
 
 Defined results
     null or empty text   no features: the severity of the bias alone
+    very long texts      scored whole; log counts keep them from adding up
+    a tie at ``reject``  rejected
+    null doc_id          scored; never a training row
     no labels            severity 0 for all
-    repeated rows        a score for each
-    extra columns        ignored
+    repeated rows        a score for each; one of them is trained on
+    empty table          an empty result
+    extra columns        ignored; without_toxic() returns them
 """
 
 from __future__ import annotations

@@ -11,8 +11,13 @@ Writing needs no file system API on the executors: a record is a row, the
 bytes go through Spark's text writer with the empty skippable frame (eight
 ASCII bytes) as line separator, so archives reach any store Spark writes to.
 
+Pages are read twice: once for digests and lengths, which are stored, and once
+for the records. Rows go to archives by page and payload; a pair of these with
+very many rows is dealt out over several archives.
+
 Defined results
     null html           an empty payload
+    very long html      one record in one frame; a reader's ``limit`` is 2 GiB
     empty table         no archive records, an empty result
     repeated rows       every row is a record; of rows with one payload all
                         that carry the smallest page_id are responses
@@ -33,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import freeing, fresh_path
+from .common import freeing, fresh_path, stored
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -206,40 +211,47 @@ def read_archive(content: bytes, limit: int = 1 << 31):
             yield offset, {"error": str(problem)[:200]}
 
 
-def plan_records(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """(page_id, sha1, first_id, revisit) for each distinct pair of page and payload.
+def plan_records(keys: DataFrame, least_bytes: int) -> DataFrame:
+    """(page_id, sha1, first_id, revisit, rows) for each distinct pair of page and payload of ``keys`` (page_id, sha1, payload_bytes).
 
-    Only digests and ids are shuffled, and they are reduced to one row a
-    digest before the join, so a payload that a third of the pages share costs
-    one partial row for each task.
+    Digests and ids are reduced to one row a digest before the join, so a
+    payload that a third of the pages share costs one partial row for each task.
     """
-    keys = pages.select("page_id", F.unhex(F.sha1("payload")).alias("sha1"), (F.octet_length("payload") >= least_bytes).alias("large"))
+    pairs = keys.groupBy("page_id", "sha1").agg(F.max("payload_bytes").alias("payload_bytes"), F.count("*").alias("rows"))
     firsts = keys.groupBy("sha1").agg(F.min("page_id").alias("first_id"))
-    return (
-        keys.distinct().join(firsts, "sha1")
-        .select("page_id", "sha1", "first_id", (F.col("large") & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))).alias("revisit"))
-    )
+    other = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    return pairs.join(firsts, "sha1").select("page_id", "sha1", "first_id", ((F.col("payload_bytes") >= least_bytes) & other).alias("revisit"), "rows")
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = 32 << 20, dictionary_samples: int = 400, sample_bytes: int = 16 << 10, dictionary_bytes: int = 64 << 10) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = 32 << 20, dictionary_samples: int = 400, sample_bytes: int = 16 << 10, dictionary_bytes: int = 64 << 10, pair_rows: int = 1000) -> None:
     """Writes a record for each row (page_id, url, html) to zstd archives below ``path``.
 
     ``archive_bytes``: payload that one archive takes on average, so that a
     reader holds one bounded file at a time. ``dictionary_samples`` pages, each
     cut to ``sample_bytes``, are the bounded sample that trains the dictionary;
-    it decides about compression only.
+    it decides about compression only. ``pair_rows``: rows of one page and
+    payload that stay together; it grows with the table so that at most
+    100,000 pairs have more, which are broadcast.
     """
     base = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    total = base.agg(F.sum(F.octet_length("payload") + 600)).first()[0] or 0
+    keys = stored(base.select("page_id", F.unhex(F.sha1("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes")), "digests")
+    rows, total = keys.agg(F.count("*"), F.coalesce(F.sum(F.col("payload_bytes") + 600), F.lit(0))).first()
     samples = [bytes(r[0]) for r in base.select(F.substring("payload", 1, sample_bytes)).limit(dictionary_samples).collect()]
     dictionary = train_dictionary(samples, dictionary_bytes)
     count = max(1, -(-total // archive_bytes))
-    plan = plan_records(base, least_bytes)
-    key = F.xxhash64("page_id")
-    left = base.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("key", key).repartition(count, "key")
-    right = plan.withColumn("key", key).repartition(count, "key").hint("shuffle_hash")
-    same = (left["key"] == right["key"]) & left["page_id"].eqNullSafe(right["page_id"]) & (left["sha1"] == right["sha1"])
-    rows = left.join(right, same).select(left["page_id"], "url", "payload", left["sha1"], "first_id", "revisit")
+    plan = stored(plan_records(keys, least_bytes), "plan")
+    together = max(pair_rows, rows // 100_000)
+    parts = F.ceil(F.col("rows") / together).cast("int")
+    many = plan.filter(F.col("rows") > together).select(F.col("page_id").alias("many_id"), F.col("sha1").alias("many_sha1"), parts.alias("parts"))
+    left = base.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("own", F.monotonically_increasing_id())
+    left = left.join(F.broadcast(many), left["page_id"].eqNullSafe(many["many_id"]) & (left["sha1"] == many["many_sha1"]), "left")
+    left = left.withColumn("part", F.pmod(F.col("own"), F.coalesce("parts", F.lit(1))).cast("int")).select("page_id", "url", "payload", "sha1", "part")
+    right = plan.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    # the one key of the join is the one of the partitioning, so the join keeps the number of archives
+    key = F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.hex("sha1"), "part")
+    left = left.withColumn("key", key).repartition(count, "key")
+    right = right.withColumn("key", key).repartition(count, "key").hint("shuffle_hash").select("key", "first_id", "revisit")
+    rows = left.join(right, "key").select("page_id", "url", "payload", "sha1", "first_id", "revisit")
 
     def compress(batches):
         packer = _compressor(dictionary)

@@ -57,6 +57,37 @@ def test_planted_exact_and_edited_copies(spark):
         assert slow_align(dict(items)[r.item_id].split(), passage) / len(words[r.item_id]) >= r.score - 1e-9
 
 
+def test_all_pairs_of_documents_and_items(spark):
+    """Every document of the 0.01 scale, and edited copies of passages of it, against every item by plain alignment."""
+    folder = "/root/testdata/sf0.01"
+    docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
+    rng = random.Random(21)
+    for i, (number, text) in enumerate(items * 4):
+        copy, around = text.split(), docs[rng.randrange(len(docs))][1].split()[:200]
+        for at in rng.sample(range(len(copy)), len(copy) * rng.randrange(0, 6) // 10):
+            copy[at : at + 1] = [rng.choice(["edited", "words here", ""])]
+        docs.append((10_000 + i, " ".join(around[:90] + copy + around[90:])))
+    words = {i: decontaminate.word_hashes(t.encode()) for i, t in items}
+    want, seedless = set(), set()
+    for d, text in docs:
+        own = decontaminate.word_hashes((text or "").encode())
+        seeds = set(decontaminate.grams(own, 3).tolist())
+        for i, w in words.items():
+            if np.isin(w, own).sum() >= 0.5 * len(w) and decontaminate.align(w, own, -0.5, -0.5)[0] >= 0.5 * len(w) - 1e-9:
+                (want if seeds & set(decontaminate.grams(w, 3).tolist()) else seedless).add((d, i))
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+    assert len(want) > 80 and not seedless
+
+
+def test_items_of_one_and_two_words(spark):
+    docs = [(1, "there is a Zyxgloria here"), (2, "alpha beta gamma"), (3, "beta alpha, gamma"), (4, "ALPHA-beta"), (5, None), (6, "three word item"), (7, "three item word")]
+    items = [(10, "zyxgloria"), (11, "alpha beta"), (12, "three word item"), (13, ""), (14, None), (15, "absent")]
+    got = {(r.doc_id, r.item_id, r.score) for r in decontaminate.leaks(*made(spark, docs, items)).collect()}
+    assert got == {(1, 10, 1.0), (2, 11, 1.0), (4, 11, 1.0), (6, 12, 1.0)}
+
+
 def test_chunks_give_the_same_pairs(spark):
     docs, items, _ = corpus(9)
     pair = made(spark, docs, items)
@@ -100,7 +131,7 @@ def test_odd_rows(spark):
     docs = [(1, None), (2, ""), (3, item.upper().replace(" ", ", ")), (3, item.upper().replace(" ", ", ")), (None, item), (4, "x " * 50000 + item + " y" * 50000 + " " + item), (5, "one two")]
     items = [(1, item), (1, item), (2, "one two"), (3, None), (4, ""), (None, item)]
     got = decontaminate.leaks(*made(spark, docs, items)).collect()
-    assert len(got) == 4 * 3 and {r.score for r in got} == {1.0}
+    assert len(got) == 4 * 3 + 5 and {r.score for r in got} == {1.0}
     assert {r.n_passages for r in got if r.doc_id == 4} == {2}
     assert decontaminate.leaks(*made(spark, [], items)).count() == 0
     assert decontaminate.leaks(*made(spark, docs, [])).count() == 0

@@ -70,6 +70,33 @@ def test_nulls_empty_repeated_and_odd_sources(spark):
     checked(rows, got)
 
 
+def test_equal_rows_never_fill_a_leaf(spark):
+    rng = random.Random(3)
+    rows = [(7, "a b c d e f g", "big")] * 700 + [(None, "one two", "big")] * 300 + [(i, "w " * rng.randrange(1, 60), "big" if i % 3 else rng.choice("abc")) for i in range(1000, 2000)]
+    rounding = mixing._round
+
+    def seen(fan_in):
+        inner = rounding(fan_in)
+
+        def run(frame):
+            assert len(frame) <= 40 * fan_in
+            return inner(frame)
+
+        return run
+
+    mixing._round = seen
+    try:
+        got = mixing.mix(made(spark, rows), fan_in=16).collect()
+        again = mixing.mix(made(spark, rows).repartition(5), fan_in=16).collect()
+    finally:
+        mixing._round = rounding
+    taken, target = checked(rows, got)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)
+    seven = [r.copies for r in got if r.doc_id == 7]
+    assert len(seven) == 700 and max(seven) - min(seven) <= 1
+    assert abs(taken["big"] - target["big"]) <= 60
+
+
 def test_no_words_and_no_rows(spark):
     assert mixing.mix(made(spark, [])).count() == 0
     got = mixing.mix(made(spark, [(1, None, None), (2, " ", "a")])).collect()

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 from zlib import crc32
 
 import numpy as np
@@ -59,6 +61,34 @@ def test_severity_separates_and_rises(spark, corpus):
     assert one == model.severity((base * 50 + " zqwort").encode()) or model.severity((base * 50 + " zqwort").encode()) >= 0.2
 
 
+def test_severity_of_rows_that_were_not_trained_on(spark, corpus):
+    """Two thirds of the labels are read; the others are graded."""
+    docs, labels = frames(spark, corpus)
+    got = {r.doc_id: r for r in toxicity.graded(docs, labels.filter("doc_id % 3 <> 1")).collect()}
+    held = {i: t for i, _, t in corpus[1] if i % 3 == 1}
+    caught = sum(got[i].toxic for i, t in held.items() if t)
+    assert caught >= 0.95 * sum(held.values())
+    assert sum(got[i].toxic for i, t in held.items() if not t) <= 0.01 * len(held)
+    assert min(got[i].severity for i, t in held.items() if t and got[i].toxic) > max(got[i].severity for i, t in held.items() if not t and not got[i].toxic)
+
+
+def test_severity_equals_a_dense_ordinal_model(spark, sf):
+    """The query's scores against sums of logistic thresholds over dense feature vectors."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.severity for r in queries.op4_toxicity(spark, sf).collect()}
+    for r in docs.collect():
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", (r.text or "").encode().lower())
+        count = {}
+        for token in words + [b"^" + w[:5] for w in words if len(w) > 5]:
+            slot = crc32(token) * 0x9E3779B97F4A7C15 % (1 << 64) >> 64 - model.bits
+            count[slot] = count.get(slot, 0) + 1
+        f = sum(float(model.weights[k]) * math.log1p(n) for k, n in count.items())
+        chances = [1 / (1 + math.exp(min(40, max(-40, t - f)))) for t in model.thresholds]
+        assert got[r.doc_id] == pytest.approx(sum(chances), abs=1e-4)
+        assert all(a >= b for a, b in zip(chances, chances[1:]))
+
+
 def test_rejecting_keeps_rows_and_columns(spark, corpus):
     docs, labels = frames(spark, corpus)
     kept = toxicity.without_toxic(docs.withColumn("other", docs["label"]), labels)

@@ -46,6 +46,19 @@ def test_payloads_and_small_payloads_stay_responses(spark):
     assert sorted(r.target_uri for r in got) == sorted(r[1] for r in rows)
 
 
+def test_hot_pages_and_null_ids_are_dealt_out(spark, tmp_path):
+    rows = [(None, "u", "same text " * 20)] * 900 + [(7, "u", "other text " * 20)] * 700 + [(i, "u", f"page {i} " * 30) for i in range(100, 300)]
+    warc.write_archives(made(spark, rows).repartition(3), str(tmp_path / "w"), archive_bytes=40_000, pair_rows=50)
+    got = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert len(got) == len(rows) and not any(r.error for r in got)
+    per = {}
+    for r in got:
+        per[r.archive] = per.get(r.archive, 0) + 1
+    assert len(per) >= 8 and max(per.values()) < 0.3 * len(rows)
+    ids = sorted((r.record_id, r.record_type) for r in got if r.record_id in ("<urn:page:null>", "<urn:page:7>"))
+    assert ids == [("<urn:page:7>", "response")] * 700 + [("<urn:page:null>", "response")] * 900
+
+
 def test_query_on_all_pages(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
     got = queries.op1_warc(spark, sf).collect()
