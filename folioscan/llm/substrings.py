@@ -292,7 +292,7 @@ def _gathered(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
 
 
 def _piece_rows(window: int, buckets: int, key_buckets: int, key_bits: int):
-    """Rows (kind, bucket, chunk, blob): kind 0 the pieces for a bucket, kind 1 where each piece stands in the chunk."""
+    """Rows (kind, bucket, chunk, size, blob): kind 0 the pieces for a bucket and the bytes they unpack to, kind 1 where each piece stands in the chunk."""
 
     def run(batches):
         for batch in batches:
@@ -321,13 +321,14 @@ def _piece_rows(window: int, buckets: int, key_buckets: int, key_bits: int):
                 text = _gathered(chunk.bytes, starts, sizes)
                 byte_ends = np.concatenate(([0], np.cumsum(sizes)))
                 cuts = np.searchsorted(share[order], np.arange(buckets + 1))
-                kinds, names, blobs = [1], [-1], [_packed(piece.astype(np.int32), doc.astype(np.int32), (at - chunk.starts[doc]).astype(np.int64), count.astype(np.int32))]
+                kinds, names, unpacked, blobs = [1], [-1], [0], [_packed(piece.astype(np.int32), doc.astype(np.int32), (at - chunk.starts[doc]).astype(np.int64), count.astype(np.int32))]
                 for b in np.flatnonzero(np.diff(cuts)):
                     own = order[cuts[b] : cuts[b + 1]]
                     kinds.append(0)
                     names.append(int(b))
+                    unpacked.append(int(byte_ends[cuts[b + 1]] - byte_ends[cuts[b]]) + 28 * len(own))
                     blobs.append(_packed(keys[first][own], least[own], size[first][own].astype(np.int32), own.astype(np.int32), np.zeros(len(own), np.int32), text[byte_ends[cuts[b]] : byte_ends[cuts[b + 1]]]))
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(names, pa.int32()), pa.array([name] * len(kinds), pa.int64()), pa.array(blobs, pa.binary())], names=["kind", "bucket", "chunk", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(names, pa.int32()), pa.array([name] * len(kinds), pa.int64()), pa.array(unpacked, pa.int64()), pa.array(blobs, pa.binary())], names=["kind", "bucket", "chunk", "size", "blob"])
 
     return run
 
@@ -474,14 +475,14 @@ def _cut_rows(window: int, whole_chars: bool):
     return run
 
 
-def removals(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, bucket_keys: int = 2_000_000, bucket_bytes: int = 4 << 20, most_bytes: int = 64 << 20, whole_chars: bool = False) -> DataFrame:
+def removals(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, bucket_keys: int = 2_000_000, bucket_bytes: int = 4 << 20, most_bytes: int = 32 << 20, whole_chars: bool = False) -> DataFrame:
     """REMOVED: one row for each distinct (id, text digest) of ``docs`` (doc_id, text) that loses bytes.
 
     With ``whole_chars`` what a cut leaves of a character is not kept either.
 
     ``window`` is 32 to 56. ``bucket_keys`` anchors and the pieces of
-    ``bucket_bytes`` of text meet in a bucket on average; one with more than
-    ``most_bytes`` of packed pieces is dealt out by windows.
+    ``bucket_bytes`` of text meet in a bucket on average; one whose pieces
+    unpack to more than ``most_bytes`` is dealt out by windows.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -501,11 +502,11 @@ def removals(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, buck
     masks = keys.groupBy("bucket").applyInPandas(_shared_keys, "chunk long, bucket int, mask binary")
     masks = masks.groupBy(F.col("chunk").alias("to")).agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))
     ready = chunks.join(masks.hint("shuffle_hash"), F.col("chunk") == F.col("to")).join(skip.hint("shuffle_hash"), F.col("chunk") == F.col("of"), "left")
-    pieces = stored(ready.select("chunk", "ids", "sizes", "digests", "texts", "masks", "skip").mapInArrow(freeing(_piece_rows(window, buckets, key_buckets, key_bits)), "kind int, bucket int, chunk long, blob binary"), "pieces", "uncompressed")
+    pieces = stored(ready.select("chunk", "ids", "sizes", "digests", "texts", "masks", "skip").mapInArrow(freeing(_piece_rows(window, buckets, key_buckets, key_bits)), "kind int, bucket int, chunk long, size long, blob binary"), "pieces", "uncompressed")
 
     sent = pieces.filter("kind = 0").drop("kind")
-    size = F.ceil(F.sum(F.octet_length("blob")) / most_bytes).cast("int")
-    large = stored(sent.groupBy(F.col("bucket").alias("b")).agg(size.alias("parts")).filter("parts > 1"), "large")
+    parts = F.ceil(F.col("bytes") * window / most_bytes).cast("int")  # every byte starts a window
+    large = stored(sent.groupBy(F.col("bucket").alias("b")).agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > most_bytes).select("b", parts.alias("parts")), "large")
     groups = sent.select("bucket", F.lit(0).alias("part"), "chunk", "blob")
     if not large.isEmpty():
         same = F.col("bucket") == F.col("b")
