@@ -1,9 +1,20 @@
-"""Sessions of a tool log: events, and references to absolute paths with their sources and confidence."""
+"""Sessions of a tool log: events, and references to absolute paths with their sources and confidence.
+
+Paths in free text: one pattern finds where a path starts (drive, share, slash
+or file URI after a blank, bracket or =) and how far it can reach; what ends
+it early (a file extension before a blank, closing brackets, punctuation, a
+line number) is cut by a second one. Paths may hold blanks.
+"""
 
 from __future__ import annotations
 
+import json
+import ntpath
 import posixpath
 import re
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as Expired
 from urllib.parse import unquote, urlsplit
 
 import pandas as pd
@@ -12,89 +23,84 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 LONGEST_PATH, LONGEST_TEXT, LONGEST_LINE = 400, 2_000_000, 2_000_000
+#: Levels of a JSON value that are searched for paths.
+DEEPEST = 8
 
 # Sources in order of priority, confidences in order of rank.
 SOURCES = ("prompt", "user-provided", "search-tool", "other-tool")
 CONFIDENCES = ("low", "medium", "high")
 
-_OPEN = "\"'`([{<「『【〔〈《（［｛"
-_CLOSE = "\"'`)]}>」』】〕〉》）］｝"
-_SENTENCE = "、。…，：；！？"
-_START = re.compile(r"""(?:(?<=[\s"'`(<\[{=：「『【〔〈《（［｛])|^)(?:file://|[A-Za-z]:[\\/]|\\\\|/)""")
-_STOP = frozenset("\"'`<>|()[]{}，。、！？；：…」』】〕〉》）］｝")
-_BASE64 = re.compile(r"/*(?:9j/|iVBORw0KGgo|R0lGOD|JVBER|UEsDB|H4sI|eyJ)")
+# Brackets that may stand around a path, sentence marks that end one, words that join two of them,
+# beginnings of base64 data of common formats.
+OPENING, CLOSING = "\"'`([{<「『【〔〈《（［｛", "\"'`)]}>」』】〕〉》）］｝"
+MARKS, WIDE_MARKS = ",:;.!?", "、。…，：；！？"
+BARRIERS = "\"'`<>|()[]{}，。、！？；：…」』】〕〉》）］｝"
+JOINING = ("與", "和", "及", "以及", "and", "or", "&")
+BASE64 = ("9j/", "iVBORw0KGgo", "R0lGOD", "JVBER", "UEsDB", "H4sI", "eyJ")
+
+_one = lambda letters: "[" + re.escape(letters) + "]"
+_BEGIN = r"(?:file://|[A-Za-z]:[\\/]|\\\\|/)"
+_BEFORE = rf"(?:(?<=\s)|(?<={_one(OPENING)})|(?<=[=：])|^)"
+_CANDIDATE = re.compile(rf"{_BEFORE}(?=({_BEGIN}(?:(?!{_BEFORE}{_BEGIN})[^\r\n{re.escape(BARRIERS)}])*))", re.M | re.I)
+_EXTENDED = re.compile(r"^.*?\.[A-Za-z0-9]{1,16}(?=\s|$)", re.S)
+_CJK_EXTENDED = re.compile(rf"^[^{WIDE_MARKS}]+\.[A-Za-z0-9]{{1,16}}(?=[{WIDE_MARKS}])")
+_LEADING = re.compile(rf"^(?:\s|{_one(OPENING)})+")
+_TRAILING = re.compile(rf"(?:\s|:\d+|{_one(CLOSING + MARKS + WIDE_MARKS)})+$")
+_JOINED = re.compile(rf"(?<=[\\/])\s+(?:{'|'.join(map(re.escape, JOINING))})\s*$", re.I)
+_NO_PATH = re.compile(rf"/*(?:{'|'.join(BASE64)})|(?i:data|https?|ftp):|//[^/]|.*(?i:;base64(?:[,;]|$))", re.S)
+_WINDOWS = re.compile(r"[A-Za-z]:[\\/]|\\\\")
 
 
-def _trim(token: str) -> str:
-    token = token.strip().lstrip(_OPEN)
-    boundary = re.search(f"[{_SENTENCE}]", token)
-    if boundary and boundary.start() and re.search(r"\.[A-Za-z0-9]{1,16}$", token[: boundary.start()]):
-        token = token[: boundary.start()]
-    for _ in range(3):
-        before = token
-        token = re.sub(r":\d+$", "", token).rstrip(_CLOSE).rstrip(",:;.!?" + _SENTENCE)
-        if token == before:
-            break
-    return token.strip()
+def bare(token: str) -> str:
+    """A token without what stands around it: brackets, punctuation, a line number."""
+    token = _LEADING.sub("", token)
+    early = _CJK_EXTENDED.match(token)
+    return _TRAILING.sub("", early[0] if early else token)
 
 
-def _windows(path: str) -> bool:
-    return bool(re.match(r"[A-Za-z]:[\\/]|\\\\", path))
+def _from_uri(token: str) -> str:
+    parts = urlsplit(token)
+    path = unquote(parts.path)
+    if parts.hostname and parts.hostname != "localhost":
+        return "\\\\" + parts.hostname + path.replace("/", "\\")
+    return path[1:] if _WINDOWS.match(path[1:]) else path
 
 
 def absolute_path(value: str) -> str | None:
-    """The absolute path that a token stands for, else None."""
-    token = _trim(value)
-    if not token or len(token) > LONGEST_PATH or re.search(r"[\r\n]", token) or _BASE64.match(token):
-        return None
-    if re.match(r"(?i)(?:data|https?|ftp):|//[^/]", token) or re.search(r"(?i);base64(?:,|;|$)", token):
+    """The absolute path that a token stands for, else None: URLs, data and what is too long are none."""
+    token = bare(value)
+    if token[:7].lower() == "file://":
+        token = bare(_from_uri(token))
+    if not 0 < len(token) <= LONGEST_PATH or len(token.splitlines()) > 1 or _NO_PATH.match(token):
         return None
-    if token.lower().startswith("file://"):
-        parsed = urlsplit(token)
-        token = unquote(parsed.path)
-        if re.match(r"/[A-Za-z]:[\\/]", token):
-            token = token[1:]
-        if parsed.hostname and parsed.hostname != "localhost":
-            token = f"\\\\{parsed.hostname}" + token.replace("/", "\\")
-        token = _trim(token)
-    if not token or len(token) > LONGEST_PATH:
-        return None
-    if _windows(token):
-        import ntpath
-
+    if _WINDOWS.match(token):
         path = ntpath.normpath(token)
-        return path if re.fullmatch(r"[A-Za-z]:\\", path) else path.rstrip("\\")
-    if token.startswith("/"):
-        path = posixpath.normpath(token)
-        path = "/" + path.lstrip("/") if path.startswith("//") else path
-        return path if path == "/" else path.rstrip("/")
-    return None
+        return path if path.endswith(":\\") else path.rstrip("\\")
+    return "/" + posixpath.normpath(token).strip("/") if token[0] == "/" else None
 
 
 def path_key(path: str) -> str:
     """Windows paths are the same in any case."""
-    return path.lower() if _windows(path) else path
+    return path.lower() if _WINDOWS.match(path) else path
 
 
 def paths_in(text: str) -> list[str]:
     """The absolute paths that a text names, in order, without repeats."""
-    out: dict[str, None] = {}
-    for line in text[:LONGEST_TEXT].splitlines():
-        at = 0
-        while found := _START.search(line, at):
-            start = end = found.start()
-            limit = min(len(line), start + LONGEST_PATH + 1)
-            while end < limit and line[end] not in _STOP and not (end > start and _START.match(line, end)):
-                end += 1
-            token, at = line[start:end], max(start + 1, end)
-            if token in ("", "/") or token.startswith("//") or _BASE64.match(token):
-                continue
-            token = re.sub(r"(?i)([\\/])\s+(?:與|和|及|以及|and|or|&)\s*$", r"\1", _trim(token))
-            ended = re.search(r"\.[A-Za-z0-9]{1,16}(?=\s|$)", token)
-            path = absolute_path(token[: ended.end()] if ended and ended.end() < len(token) else token)
-            if path:
-                out.setdefault(path)
-    return list(out)
+    found: dict[str, None] = {}
+    end = 0
+    for candidate in _CANDIDATE.finditer(text[:LONGEST_TEXT]):
+        if candidate.start() < end:
+            continue  # inside the one before, as the path of a file URI
+        token = candidate[1][: LONGEST_PATH + 1]
+        end = candidate.start() + len(token)
+        if _NO_PATH.match(token):
+            continue
+        token = _JOINED.sub("", bare(token))
+        short = _EXTENDED.match(token)
+        path = absolute_path(short[0] if short else token)
+        if path and path != "/":
+            found.setdefault(path)
+    return list(found)
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -102,6 +108,171 @@ def text_paths(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: paths_in(t) if t else [])
 
 
+# -- evidence of tool calls ----------------------------------------------------------------------------
+
+# Keys whose strings are paths, and keys that name a tool.
+PATH_KEYS = ("path", "file", "file_path", "filePath", "filename", "cwd", "workdir", "directory", "root")
+TOOL_KEYS = ("name", "tool_name", "toolName", "tool")
+_PATCH = re.compile(r"^\*\*\* (?:Update|Add|Delete) File: (.+?)\s*$", re.M)
+
+
+def strings_of(value, depth: int = DEEPEST) -> Iterator[str]:
+    """All strings of a JSON value in order, ``depth`` levels deep; strings that hold JSON themselves count as one more level."""
+    if isinstance(value, str):
+        inner = None
+        if depth > 0 and value[:1] in ("{", "["):
+            try:
+                inner = json.loads(value)
+            except ValueError:
+                inner = None
+        if isinstance(inner, (dict, list)):
+            yield from strings_of(inner, depth - 1)
+        else:
+            yield value
+    elif depth > 0 and isinstance(value, (dict, list)):
+        for part in value.values() if isinstance(value, dict) else value:
+            yield from strings_of(part, depth - 1)
+
+
+def fields_of(value, keys=PATH_KEYS, depth: int = DEEPEST) -> Iterator[str]:
+    """The strings that stand under one of ``keys`` at any level of a JSON value."""
+    if depth <= 0 or not isinstance(value, (dict, list)):
+        return
+    for key, part in value.items() if isinstance(value, dict) else ((None, v) for v in value):
+        if key in keys:
+            yield from strings_of(part, depth - 1)
+        else:
+            yield from fields_of(part, keys, depth - 1)
+
+
+def patch_paths(text: str) -> list[str]:
+    """The files that the headers of a patch name."""
+    return list(dict.fromkeys(p for p in map(absolute_path, _PATCH.findall(text)) if p))
+
+
+def _said(value) -> list[str]:
+    """The paths of all strings of a value; a string that is a path as a whole is that one."""
+    out: list[str] = []
+    for text in strings_of(value):
+        whole = _whole(text)
+        out += [whole] if whole else paths_in(text)
+    return out
+
+
+def _whole(text: str) -> str | None:
+    """The path that a string is as a whole."""
+    path = absolute_path(text)
+    return path if path and bare(text) == text else None
+
+
+def _prompted(text: str) -> list[str]:
+    """The paths of a message that holds nothing but one path a line."""
+    lines = [line.strip() for line in text.strip().splitlines() if line.strip()]
+    paths = [_whole(line) for line in lines]
+    return paths if paths and all(paths) else []
+
+
+def _kind(event: dict, payload: dict) -> str:
+    kind = event.get("type")
+    inner = payload.get("type")
+    return f"{kind}/{inner}" if kind in ("response_item", "event_msg") and isinstance(inner, str) else str(kind)
+
+
+def _named(keys, *records: dict) -> str:
+    return next((r[k].lower() for r in records for k in keys if isinstance(r.get(k), str)), "")
+
+
+def evidence_of(line: str, search_tools: tuple = ("document_search",)) -> list[tuple[str, str, str, str]]:
+    """(path, source, confidence, event type) of each path that one JSON line of a session gives evidence of.
+
+    What a user types counts as user-provided (a list of paths alone as a
+    prompt), arguments of the tools named in ``search_tools`` as search-tool,
+    of shell commands, patches and file changes as other-tool. Other structured
+    events say nothing; loose messages count with low confidence.
+    """
+    try:
+        event = json.loads(line) if len(line) <= LONGEST_LINE else None
+    except ValueError:
+        event = None
+    if not isinstance(event, dict):
+        return []
+    payload = event["payload"] if isinstance(event.get("payload"), dict) else {}
+    item = payload["item"] if isinstance(payload.get("item"), dict) else {}
+    kind, tool = _kind(event, payload), _named(TOOL_KEYS, payload, event)
+    servers = [v.lower() for r in (item, payload, event) for k, v in r.items() if k in ("server", "server_name", "serverName", "namespace") and isinstance(v, str)]
+    searched = any(name == t or name.startswith(f"mcp__{t}") for t in search_tools for name in (*servers, tool))
+    found: list[tuple[list[str], str, str]] = []
+    if kind == "response_item/message":
+        for part in payload.get("content") or [] if str(payload.get("role", "")).lower() == "user" and isinstance(payload.get("content"), list) else []:
+            what = str(part.get("type", "")).lower() if isinstance(part, dict) else ""
+            if what == "input_text" and isinstance(part.get("text"), str):
+                listed = _prompted(part["text"])
+                found.append((listed, "prompt", "high") if listed else (paths_in(part["text"]), "user-provided", "medium"))
+            elif what == "input_image":
+                found.append((_said(part), "user-provided", "medium"))
+    elif kind == "response_item/function_call":
+        if searched:
+            found.append((_said(payload.get("arguments")), "search-tool", "high"))
+        elif tool == "shell_command":
+            found.append((_said(payload.get("arguments")), "other-tool", "high"))
+    elif kind == "response_item/custom_tool_call":
+        given = payload.get("input")
+        if tool == "apply_patch":
+            found.append(([p for text in strings_of(given) for p in patch_paths(text)], "other-tool", "high"))
+        elif tool == "exec":
+            found.append((_said(given), "other-tool", "high"))
+    elif kind == "event_msg/item_completed":
+        what = str(item.get("type", "")).replace("_", "").lower()
+        if what == "filechange":
+            changed = item.get("changes") if isinstance(item.get("changes"), dict) else {}
+            named = [*fields_of({k: v for k, v in item.items() if k != "changes"}), *changed]
+            found.append(([p for p in map(absolute_path, named) if p], "other-tool", "high"))
+        elif what == "commandexecution":
+            found.append((_said([item.get("command"), item.get("parsed_cmd")]), "other-tool", "high"))
+        elif what == "mcptoolcall" and searched:
+            found.append((_said([item.get("arguments"), item.get("input")]), "search-tool", "high"))
+    elif not kind.startswith(("session_meta", "turn_context", "world_state", "compacted", "response_item", "event_msg")):
+        found.append((_said([event.get("message"), event.get("text"), payload.get("message"), payload.get("text")]), "user-provided", "low"))
+    return list(dict.fromkeys((path, source, confidence, kind) for paths, source, confidence in found for path in paths))
+
+
+def evidence(lines: DataFrame, search_tools: tuple = ("document_search",)) -> DataFrame:
+    """(session, line, path, source, confidence, event_type) of JSON lines (session, line, value), for references()."""
+    shape = "array<struct<path: string, source: string, confidence: string, event_type: string>>"
+
+    @F.pandas_udf(shape)
+    def read(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: [dict(zip(("path", "source", "confidence", "event_type"), e)) for e in evidence_of(v, search_tools)] if v else [])
+
+    return lines.select("session", "line", F.explode(read("value")).alias("e")).select("session", "line", "e.*")
+
+
+def existence(paths: list[str], look: Callable[[str], str | None], seconds: float = 0.3, at_once: int = 8) -> dict[str, tuple[str, str | None]]:
+    """For each path of one page (file, folder, missing or unknown, why unknown); ``look`` gives file, folder or None.
+
+    Shares of other machines are never asked; a look that takes longer than
+    ``seconds`` or fails is unknown. At most ``at_once`` looks run together.
+    """
+    asked = [p for p in dict.fromkeys(paths) if not p.startswith(("\\\\", "//"))]
+    out = {p: ("unknown", "network") for p in paths if p not in asked}
+    pool = ThreadPoolExecutor(at_once)
+    try:
+        for start in range(0, len(asked), at_once):
+            for path, answer in [(p, pool.submit(look, p)) for p in asked[start : start + at_once]]:
+                try:
+                    out[path] = (answer.result(seconds) or "missing", None)
+                except Expired:
+                    out[path] = ("unknown", "timeout")
+                except OSError as problem:
+                    out[path] = ("unknown", type(problem).__name__)
+            if any(out[p][1] == "timeout" for p in asked[start : start + at_once]):
+                out |= {p: ("unknown", "timeout") for p in asked[start + at_once :]}
+                break
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+    return {p: out[p] for p in paths}
+
+
 def events_of_lines(lines: DataFrame) -> DataFrame:
     """Parses JSON lines (session, line, value): type, role, text, time; lines that are no JSON objects or too long are invalid."""
     fields = "type string, timestamp string, role string, text string, payload struct<type: string, role: string, text: string, timestamp: string>"
@@ -149,6 +320,17 @@ def indexed_references(refs: DataFrame, docs: DataFrame) -> DataFrame:
     return out.withColumn("document_id", F.coalesce("exact_id", "folded_id")).withColumn("indexed", F.col("document_id").isNotNull()).drop("p", "q", "exact_id", "folded_id")
 
 
+def reference_buckets(refs: DataFrame) -> DataFrame:
+    """Per session the references that are shown at once, those of low confidence and those whose ``state`` is unknown.
+
+    A reference is in one of them only: unknown before low; ``state`` (optional) is the answer of existence().
+    """
+    unknown = F.col("state") == "unknown" if "state" in refs.columns else F.lit(False)
+    bucket = F.when(unknown, "unknown").when(F.col("confidence") == "low", "low").otherwise("visible")
+    counted = [F.sum((F.col("bucket") == b).cast("long")).alias(f"n_{b}") for b in ("visible", "low", "unknown")]
+    return refs.withColumn("bucket", bucket).groupBy("session").agg(*counted)
+
+
 def reference_totals(refs: DataFrame) -> DataFrame:
     """Per session the number of references, of those in the index, and of those of each source."""
     return refs.groupBy("session").agg(F.count("*").alias("n_references"), F.sum(F.col("indexed").cast("long")).alias("n_indexed"), *[F.sum(F.array_contains(F.split("sources", ","), s).cast("long")).alias("n_" + s.replace("-", "_")) for s in SOURCES])

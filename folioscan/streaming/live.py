@@ -6,9 +6,9 @@ per key and can be replayed, so writers only have to be idempotent.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -122,23 +122,51 @@ def fair_batch(queue: DataFrame, oldest: int = OLDEST, newest: int = NEWEST) ->
     return few.withColumn("late", late).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= room).drop("late", "place")
 
 
-def throttle(times: list[int], cool: int = COOL_DOWN, window: int = WINDOW, most: int = PER_WINDOW, back_off: tuple = BACK_OFF) -> list[bool]:
-    """Which requests for a rescan are accepted: a cool-down, a number in each window, growing delays beyond it."""
-    out, opened, accepted, allowed, step = [], None, 0, 0, 0
-    for now in times:
-        if opened is None or now < opened:
-            opened, accepted, allowed, step = now, 0, now, 0
-        elif now - opened >= window:
-            opened, accepted = now, 0
-        if now < allowed:
-            out.append(False)
-        elif accepted >= most:
-            allowed, step = now + back_off[min(step, len(back_off) - 1)], step + 1
-            out.append(False)
-        else:
-            accepted, allowed = accepted + 1, now + cool
-            out.append(True)
-    return out
+@dataclass
+class Throttle:
+    """Decides about requests for a rescan, one key at a time; all times in milliseconds.
+
+    ============================================  ========  ==============================================
+    request                                       accepted  next request is allowed
+    ============================================  ========  ==============================================
+    before the allowed time                       no        as before
+    when the window has room                      yes       ``cool`` later
+    when the window is full                       no        after the next delay of ``back_off``
+    ============================================  ========  ==============================================
+
+    A window opens with the first request after the last one has run out and has room for ``most`` accepted requests.
+    A clock that was set back starts everything anew.
+    """
+
+    cool: int = COOL_DOWN
+    window: int = WINDOW
+    most: int = PER_WINDOW
+    back_off: tuple = BACK_OFF
+    opened: float = float("-inf")
+    room: int = 0
+    allowed: float = float("-inf")
+    refused: int = 0  # full windows met so far
+
+    def request(self, now: int) -> bool:
+        if now < self.opened:
+            self.opened, self.allowed, self.refused = float("-inf"), now, 0
+        if now >= self.opened + self.window:
+            self.opened, self.room = now, self.most
+        open_now = now >= self.allowed
+        if open_now and self.room:
+            self.room -= 1
+            self.allowed = now + self.cool
+        elif open_now:
+            self.allowed = now + self.back_off[min(self.refused, len(self.back_off) - 1)]
+            self.refused += 1
+            return False
+        return open_now
+
+
+def throttle(times: list[int], **limits) -> list[bool]:
+    """Which of the requests for a rescan are accepted."""
+    state = Throttle(**limits)
+    return [state.request(now) for now in times]
 
 
 def rescans(events: DataFrame, key: str, ts: str = "ts", **limits) -> DataFrame:
@@ -178,8 +206,11 @@ def replayed(spark: SparkSession, path: str, key: str, quiet: int, forced: int)
 
 
 def _shared(spark: SparkSession) -> str:
+    """The folder that all executors share; there is no machine-local stand-in."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/") if path else tempfile.mkdtemp(prefix="folioscan-")
+    if not path:
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return path.rstrip("/")
 
 
 def intake(events: DataFrame, rules: list[IgnoreRule], rules_file: str = "ignore.rules") -> DataFrame:
