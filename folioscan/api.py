@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions import paths
 from .functions.text import normalized, parse_types
-from .operators import context, inventory, search
+from .operators import context, inventory, postings, search
+from .plans.scratch import stored
 from .plans.snapshot import SnapshotStore
-from .sources import parsers
+from .sources import parsers, scan
 
 #: The file of a root that holds its ignore rules.
 RULES_FILE = "ignore.rules"
@@ -21,15 +22,12 @@ BLOCKS = "document_id long, ordinal int, heading string, content string, locatio
 ROOTS = "root string, trashed boolean, synced_at_ms double"
 
 
-def _plain(column: str):
-    return F.regexp_replace(column, "^file:/+", "/")
-
-
 class Collection:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.store = spark, SnapshotStore(spark, path)
         if not self.store.version():
-            self.store.commit(documents=spark.createDataFrame([], DOCUMENTS), blocks=spark.createDataFrame([], BLOCKS), roots=spark.createDataFrame([], ROOTS))
+            empty = {"documents": DOCUMENTS, "blocks": BLOCKS, "postings": postings.POSTINGS, "roots": ROOTS}
+            self.store.commit(**{name: spark.createDataFrame([], schema) for name, schema in empty.items()})
 
     # -- roots ---------------------------------------------------------------------------------------
 
@@ -52,25 +50,32 @@ class Collection:
     def trash(self, root: str) -> int:
         """Drops the documents of a root and remembers it; index() restores it, purge() forgets it."""
         gone = self.store.read("documents").filter(F.col("root") == root)
-        docs = self.store.read("documents").filter(F.col("root") != root)
-        blocks = self.store.read("blocks").join(gone.select(F.col("id").alias("document_id")), "document_id", "left_anti").select(*self.store.read("blocks").columns)
-        return self.store.commit(documents=docs, blocks=blocks, roots=self._roots_with(root, True))
+        return self.store.patch(gone.select("id"), roots=self._roots_with(root, True))
+
+    def restore(self, root: str) -> dict:
+        """Takes a root out of the trash and indexes it anew."""
+        if self.store.read("roots").filter((F.col("root") == root) & F.col("trashed")).isEmpty():
+            raise LookupError(f"not in the trash: {root}")
+        return self.index(root)
+
+    def trashed(self) -> list[str]:
+        return sorted(r.root for r in self.store.read("roots").filter("trashed").collect())
 
     def purge(self) -> int:
+        """Forgets the roots in the trash; their documents are gone since trash()."""
         return self.store.commit(roots=self.store.read("roots").filter("not trashed"))
 
     # -- index ---------------------------------------------------------------------------------------
 
-    def _listed(self, folder: str, root: str) -> DataFrame:
-        """Files below a folder with the rule that keeps each out (null for sources); contents are not read."""
-        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-        rules = self.spark.read.text(f"{root}/{RULES_FILE}", wholetext=True).first().value if not found.filter(_plain("path") == f"{root}/{RULES_FILE}").select("path").isEmpty() else ""
-        path = _plain("path")
-        name = F.element_at(F.split(path, "/"), -1)
-        rows = found.select(path.alias("path"), name.alias("filename"), F.lower(F.regexp_extract(name, r"^.+(\.[^.]*)$", 1)).alias("extension"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").cast("double").alias("modified_at_ms"))
-        rows = rows.withColumn("relative", F.expr(f"substr(path, {len(root.rstrip('/')) + 2})"))
-        own = paths.below("path", self.store.path.removeprefix("file:")) | (F.col("relative") == RULES_FILE)
-        return rows.withColumn("rule", paths.excluded_by("relative", F.lit(False), F.lit(False), own, paths.ignore_rules(rules)))
+    def _listed(self, start: str, root: str) -> tuple[DataFrame, list[str]]:
+        """(files and folders kept out below ``start``, folders that could not be read); contents are not read."""
+        try:
+            with open(f"{root}/{RULES_FILE}", encoding="utf-8") as file:
+                rules = file.read()
+        except FileNotFoundError:
+            rules = ""
+        own = lambda path: paths.below(path, self.store.path.removeprefix("file:"))
+        return scan.scanned(self.spark, start, root, paths.ignore_rules(rules), own, RULES_FILE)
 
     def _numbered(self, rows: DataFrame) -> DataFrame:
         """(path, n): consecutive numbers from 0 in order of path, by a range partitioning and a count for each partition."""
@@ -84,46 +89,56 @@ class Collection:
         place = F.row_number().over(Window.partitionBy("part").orderBy("path"))
         return sorted_rows.withColumn("place", place).join(F.broadcast(offsets), "part").select("path", (F.col("start") + F.col("place") - 1).alias("n"))
 
-    def index(self, folder: str, rebuild: bool = False) -> dict:
-        """Brings the index of a folder up to date; only files that need it are read. Returns counts of what was done."""
-        folder = folder.rstrip("/") or "/"
+    def index(self, folder: str, rebuild: bool = False, allow_empty: bool = False) -> dict:
+        """Brings the index of a folder up to date; only files that need it are read. Returns counts of what was done.
+
+        Documents below folders that could not be read stay. A root without a
+        single file is an error while the index has documents of it, as under a
+        mount point whose volume is missing, unless ``allow_empty``.
+        """
+        folder = scan.validated(folder)
         plan = paths.plan_root(folder, self.roots())
-        listed = self._listed(plan.subtree or plan.root, plan.root).cache()
+        start = plan.subtree or plan.root
+        listed, protected = self._listed(start, plan.root)
         disk = listed.filter("rule is null")
-        old, old_blocks = self.store.read("documents"), self.store.read("blocks")
-        inside = old.filter(paths.below("path", plan.subtree or plan.root))
-        chosen = inventory.classified(disk, inside, rebuild).cache()
+        old = self.store.read("documents")
+        inside = old.filter(paths.below("path", start))
+        if not allow_empty and disk.isEmpty() and not protected and not inside.isEmpty():
+            raise scan.RootError("ROOT_IS_EMPTY", start)
+        chosen = stored(inventory.classified(disk, inside, rebuild), "chosen")
         reasons = {r.reason: r["count"] for r in chosen.groupBy("reason").count().collect()}
-        due = [r.path for r in chosen.filter("action <> 'skip'").select("path").toLocalIterator()]
-        gone = inventory.missing(inside, disk, plan.subtree or plan.root, []).select("path")
-        removed = gone.count()
-        docs, blocks = old.join(gone, "path", "left_anti").select(*old.columns), old_blocks
-        if due:
-            read = parsers.read_files(self.spark, due).cache()
-            base = (old.agg(F.max("id")).first()[0] or 0) + 1
-            known = old.select("path", F.col("id").alias("old_id"))
-            fresh = read.join(known, "path", "left")
-            numbered = self._numbered(fresh.filter("old_id is null").select("path"))
-            fresh = fresh.join(numbered, "path", "left").withColumn("id", F.coalesce("old_id", F.col("n") + base))
-            new = fresh.select("id", F.lit(plan.root).alias("root"), "path", "filename", "extension", "size_bytes", "modified_at_ms", "status", "error_code", "error_message", F.lit(inventory.TEXT_VERSION).alias("parse_version"), F.lit(time.time() * 1000).alias("indexed_at_ms"), normalized("filename").alias("filename_norm"))
-            parts = fresh.select(F.col("id").alias("document_id"), F.inline("blocks"))
-            parts = parts.withColumn("heading_norm", normalized("heading")).withColumn("content_norm", normalized("content"))
-            docs = docs.join(new.select("path"), "path", "left_anti").select(*old.columns).unionByName(new)
-            blocks = blocks.join(new.select(F.col("id").alias("document_id")), "document_id", "left_anti").select(*old_blocks.columns).unionByName(parts)
+        due = chosen.filter("action <> 'skip'").select("path", "action", "reason").join(disk, "path")
+        read = parsers.read_listed(due.filter("action = 'parse'"))
+        known = due.filter("action = 'metadata'").select("path", "filename", "extension", "size_bytes", "modified_at_ms", F.lit("unsupported").alias("status"))
+        read = stored(read.unionByName(known, allowMissingColumns=True), "read")
+        gone = stored(inventory.missing(inside, disk, start, protected).select("id", "path", "protected"), "gone")
+        removed = {r.protected: r["count"] for r in gone.groupBy("protected").count().collect()}
+        base = (old.agg(F.max("id")).first()[0] or 0) + 1
+        fresh = read.join(old.select("path", F.col("id").alias("old_id")), "path", "left")
+        numbered = self._numbered(fresh.filter("old_id is null").select("path"))
+        fresh = stored(fresh.join(numbered, "path", "left").withColumn("id", F.coalesce("old_id", F.col("n") + base)), "fresh")
+        new = fresh.select("id", F.lit(plan.root).alias("root"), "path", "filename", "extension", "size_bytes", "modified_at_ms", "status", "error_code", "error_message", F.lit(inventory.TEXT_VERSION).alias("parse_version"), F.lit(time.time() * 1000).alias("indexed_at_ms"), normalized("filename").alias("filename_norm"))
+        parts = fresh.select(F.col("id").alias("document_id"), F.inline("blocks"))
+        parts = stored(parts.withColumn("heading_norm", normalized("heading")).withColumn("content_norm", normalized("content")), "blocks")
+        grams = postings.gram_postings(parts, 1, 2, 3, headings=True)
+        dead = gone.filter("not protected").select("id").union(new.select("id"))
         if plan.merged:
-            docs = docs.withColumn("root", F.when(F.col("root").isin(*plan.merged), plan.root).otherwise(F.col("root")))
-        blocks = blocks.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi").select(*old_blocks.columns)
-        version = self.store.commit(documents=docs, blocks=blocks, roots=self._roots_with(plan.root, False, plan.merged))
+            moved = old.filter(F.col("root").isin(*plan.merged)).withColumn("root", F.lit(plan.root)).select(*old.columns)
+            self.store.touch(moved)
+        version = self.store.patch(dead, roots=self._roots_with(plan.root, False, plan.merged), documents=new, blocks=parts, postings=grams)
+        committed = {r.reason: r["count"] for r in due.join(new.select("path"), "path", "left_semi").groupBy("reason").count().collect()}
         skipped = {r.rule: r["count"] for r in listed.filter("rule is not null").groupBy("rule").count().collect()}
-        listed.unpersist()
-        return {"version": version, "plan": plan.kind, "reasons": reasons, "read": len(due), "removed": removed, "skipped": skipped}
+        return {
+            "version": version, "plan": plan.kind, "reasons": reasons, "committed": committed, "read": read.filter("status <> 'unsupported'").count(), "removed": removed.get(False, 0),
+            "protected": removed.get(True, 0), "unreadable": protected, "skipped": skipped,
+        }
 
     # -- use -----------------------------------------------------------------------------------------
 
     def session(self, text: str, mode: str = "phrase", field: str = "all", sort: str = "relevance", types: str | None = None, under: str | None = None) -> search.Session:
         root, subtree = self.scope(under) if under else (None, None)
         what = search.Search(text, mode, field, sort, tuple(parse_types(types)) if types else (), (), root, subtree)
-        return search.Session(self.store.read("documents"), self.store.read("blocks"), what, self.store.version(), self.store.version)
+        return search.Session(self.store.read("documents"), self.store.read("blocks"), what, self.store.version(), self.store.version, self.store.read("postings"))
 
     def search(self, text: str, limit: int = 20, **how) -> DataFrame:
         return search.with_reference(self.session(text, **how).first(limit)).orderBy("position")
@@ -147,6 +162,6 @@ class Collection:
             return "outside-root"
         row = self.store.read("documents").filter(F.col("path") == path).select("status").first()
         if row is None:
-            listed = self._listed(root, root).filter(F.col("path") == path).select("rule").first()
-            return "excluded" if listed is not None and listed.rule is not None else "unindexed"
+            listed = self._listed(root, root)[0].filter("rule is not null").filter(paths.below(F.lit(path), F.col("path")))
+            return "unindexed" if listed.isEmpty() else "excluded"
         return {"indexed": "indexed", "unsupported": "filename-only", "no_text": "filename-only"}.get(row.status, "parse-failed")

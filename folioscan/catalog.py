@@ -107,7 +107,8 @@ def heading_min_ordinal(spark, sf_dir):
 
 def gram_postings(spark, sf_dir):
     _, blocks = _collection(spark, sf_dir)
-    return postings.gram_postings(blocks, 3).groupBy("gram").agg(F.count("*").alias("n_documents"))
+    counts = postings.gram_postings(blocks, 3).groupBy("gram").agg(F.count("*").alias("n_documents"))
+    return counts.select(postings.gram_text("gram").alias("gram"), "n_documents")
 
 
 def gram_candidates(spark, sf_dir):
@@ -224,10 +225,9 @@ def root_merge(spark, sf_dir):
 def orphan_roots(spark, sf_dir):
     """Roots of the three state tables that are no longer registered."""
     docs = corpus.inventory(table(spark, sf_dir, "documents"))
-    items = docs.filter("id % 3 = 0").select(F.regexp_extract("path", "^(/corpus/[^/]+/[^/]+)/", 1).alias("root"))
-    states = docs.filter("id % 3 = 1").select("root")
-    seen = docs.filter("id % 3 = 2").select(F.lit("/corpus/old").alias("root"))
-    return items.union(states).union(seen).distinct().join(_roots(spark), "root", "left_anti")
+    items = docs.select(F.regexp_extract("path", "^(/corpus/[^/]+/[^/]+)/", 1).alias("root"))
+    seen = docs.select(F.concat(F.lit("/corpus/old"), F.col("extension")).alias("root"))
+    return live.orphans(_roots(spark), items, docs, seen)
 
 
 def imported_results(spark, sf_dir):
@@ -300,10 +300,19 @@ def last_samples(spark, sf_dir):
     return timings.last_samples(table(spark, sf_dir, "events"), "event_type", "ts", "event_id").select("event_type", "event_id", "place")
 
 
+def _phases(spark, sf_dir):
+    """Views stand for a phase that holds clicks and purchases."""
+    inner = F.when(F.col("event_type").isin("click", "purchase"), F.concat(F.lit("view/"), F.col("event_type"))).otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("trace"), inner.alias("phase"), "value")
+
+
 def trace_phase_rollup(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").withColumn("trace", F.col("user_id") % 50)
-    out = timings.phase_rollup(rows, "trace", "event_type", "value")
-    return out.select("trace", "bottleneck", F.size("phases").alias("n_phases"))
+    return timings.phase_rollup(_phases(spark, sf_dir), "trace", "phase", "value")
+
+
+def watcher_errors(spark, sf_dir):
+    code = F.when(F.col("event_type") == "error", F.concat(F.lit("E"), F.col("user_id") % 7))
+    return timings.error_counts(table(spark, sf_dir, "events").select(code.alias("code"), F.col("ts").alias("at")))
 
 
 def event_bursts(spark, sf_dir):
@@ -336,8 +345,9 @@ def queue_depth(spark, sf_dir):
 
 
 def queue_overflow(spark, sf_dir):
-    queue = live.work_queue(_work(spark, sf_dir).filter("root <> 3 or seq % 10 = 0"))
-    return live.overflowed(queue, 20).groupBy("root", "kind", "reason").agg(F.count("*").alias("n"))
+    """Roots differ in size: the last one takes the users of four."""
+    work = _work(spark, sf_dir).withColumn("root", F.least(F.expr("cast(substr(rel_path, 2) as bigint) % 8"), F.lit(4)))
+    return live.overflowed(live.work_queue(work), 20).groupBy("root", "kind", "reason").agg(F.count("*").alias("n"))
 
 
 def fair_batch(spark, sf_dir):
@@ -356,7 +366,7 @@ def rescan_windows(spark, sf_dir):
 
 def pending_absorbed(spark, sf_dir):
     docs = corpus.inventory(table(spark, sf_dir, "documents"))
-    pending = docs.filter("id % 2 = 0").select("path").union(spark.createDataFrame([("/corpus/root0/src2",), ("/corpus/root0/src4",)], "path string"))
+    pending = docs.select("path").union(spark.createDataFrame([("/corpus/root0/src2",), ("/corpus/root0/src4",)], "path string"))
     return live.absorbed(pending)
 
 
@@ -395,7 +405,7 @@ QUERIES = {
     "remove_missing_protected": remove_missing_protected, "ignore_rules": ignore_rules, "skipped_by_rule": skipped_by_rule, "explain_path": explain_path, "root_cover": root_cover,
     "root_merge": root_merge, "orphan_roots": orphan_roots, "imported_results": imported_results, "session_summary": session_summary, "session_references": session_references,
     "reference_totals": reference_totals, "recent_files": recent_files, "library_groups": library_groups, "saved_search_replay": saved_search_replay, "timing_percentiles": timing_percentiles,
-    "slowest_topk": slowest_topk, "last_samples": last_samples, "trace_phase_rollup": trace_phase_rollup, "event_bursts": event_bursts, "event_debounce": event_debounce,
+    "slowest_topk": slowest_topk, "last_samples": last_samples, "trace_phase_rollup": trace_phase_rollup, "watcher_errors": watcher_errors, "event_bursts": event_bursts, "event_debounce": event_debounce,
     "queue_generations": queue_generations, "queue_acknowledged": queue_acknowledged, "queue_depth": queue_depth, "queue_overflow": queue_overflow, "fair_batch": fair_batch,
     "rescan_throttle": rescan_throttle, "rescan_windows": rescan_windows, "pending_absorbed": pending_absorbed, "status_json": status_json, "list_preview": list_preview, "stream_debounce": stream_debounce,
 }

@@ -102,13 +102,19 @@ def ignored_by(relative: str | Column, is_folder: Column, rules: list[IgnoreRule
     return F.coalesce(*[hit(r) for r in rules], F.lit(None).cast("string"))
 
 
-# Folders and files that are never sources.
+# Folders and files that are never sources, by name; then folders directly below the root of a volume,
+# and those that are kept out by default where a whole volume is the root (* is one component).
 FOLDERS = {".git": "builtin:.git", "node_modules": "builtin:node-modules", ".folioscan": "builtin:folioscan"}
 TEMPORARY = ("~$", "builtin:office-temp")
+AT_TOP = {"$recycle.bin": "builtin:$recycle-bin", "system volume information": "builtin:system-volume-information"}
+VOLUME = {
+    "windows": "volume-default:windows", "program files": "volume-default:program-files", "program files (x86)": "volume-default:program-files-x86",
+    "programdata": "volume-default:program-data", "users/*/appdata": "volume-default:users-profile-appdata", "perflogs": "volume-default:perflogs",
+}
 
 
-def builtin_rule(relative: str | Column, is_folder: Column) -> Column:
-    """The id of the built-in rule of the first component that one names, else null."""
+def builtin_rule(relative: str | Column, is_folder: Column, volume: bool = False) -> Column:
+    """The id of the built-in rule of the first component that one names, else null; ``volume``: the root is a whole volume."""
     c = F.col(relative) if isinstance(relative, str) else relative
     pieces = F.split(c, "/")
     last = F.size(pieces) - 1
@@ -121,10 +127,14 @@ def builtin_rule(relative: str | Column, is_folder: Column) -> Column:
         return F.coalesce(named, F.when((i == last) & ~is_folder & piece.startswith(TEMPORARY[0]), F.lit(TEMPORARY[1])))
 
     found = F.filter(F.transform(pieces, rule), lambda x: x.isNotNull())
-    return F.when(F.size(found) > 0, F.get(found, 0))
+    named = F.when(F.size(found) > 0, F.get(found, 0))
+    for pattern, rule_id in (AT_TOP | (VOLUME if volume else {})).items():
+        inside = F.lower(c).rlike("^" + glob_pattern(pattern) + "(/|$)") & (is_folder | (last > pattern.count("/")))
+        named = F.coalesce(named, F.when(inside, F.lit(rule_id)))
+    return named
 
 
-def excluded_by(relative: str | Column, is_folder: Column, is_link: Column, own: Column, rules: list[IgnoreRule]) -> Column:
+def excluded_by(relative: str | Column, is_folder: Column, is_link: Column, own: Column, rules: list[IgnoreRule], volume: bool = False) -> Column:
     """The rule that keeps a path out, by precedence: own files, links, built-in rules, user rules."""
     user = ignored_by(relative, is_folder, rules)
-    return F.coalesce(F.when(own, F.lit("index-artifact")), F.when(is_link, F.lit("link")), builtin_rule(relative, is_folder), F.when(user.isNotNull(), F.concat(F.lit("user-rule:"), user)))
+    return F.coalesce(F.when(own, F.lit("index-artifact")), F.when(is_link, F.lit("link")), builtin_rule(relative, is_folder, volume), F.when(user.isNotNull(), F.concat(F.lit("user-rule:"), user)))

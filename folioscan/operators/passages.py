@@ -27,18 +27,20 @@ def hit_blocks(blocks: DataFrame, terms: list[str]) -> DataFrame:
     """Blocks with a hit, the terms in it (in text order) and the text to show: the heading and the content as far as either holds a term."""
     heading, content = _term_hits(blocks, terms)
     any_heading, any_content = reduce(lambda a, b: a | b, heading), reduce(lambda a, b: a | b, content)
-    source = F.concat_ws("\n", F.when(any_heading, F.col("heading")), F.when(any_content, F.col("content")))
-    places = [F.struct(F.instr(F.lower("source"), t).alias("at"), F.lit(i).alias("i"), F.lit(t).alias("term")) for i, t in enumerate(terms)]
-    rows = blocks.filter(any_heading | any_content).withColumn("source", source)
-    return rows.withColumn("terms", F.transform(F.array_sort(F.filter(F.array(*places), lambda p: p["at"] > 0)), lambda p: p["term"]))
+    shown = lambda kind: F.concat_ws("\n", F.when(any_heading, F.col(f"heading{kind}")), F.when(any_content, F.col(f"content{kind}")))
+    # hits are hits of the normal form, so their order is that of the normal form too
+    places = [F.struct(F.instr("source_norm", t).alias("at"), F.lit(i).alias("i"), F.lit(t).alias("term")) for i, t in enumerate(terms)]
+    rows = blocks.filter(any_heading | any_content).withColumn("source", shown("")).withColumn("source_norm", shown("_norm"))
+    return rows.withColumn("terms", F.transform(F.array_sort(F.filter(F.array(*places), lambda p: p["at"] > 0)), lambda p: p["term"])).drop("source_norm")
 
 
 def of_ids(blocks: DataFrame, results: DataFrame) -> DataFrame:
     return blocks.join(results.select(F.col("id").alias("document_id")), "document_id", "left_semi")
 
 
-def phrase_passages(results: DataFrame, blocks: DataFrame, query: str) -> DataFrame:
-    """At most two blocks a document: the one that ranked it first, then by ordinal."""
+def phrase_passages(results: DataFrame, blocks: DataFrame, query: str, field: str = "all") -> DataFrame:
+    """At most two blocks a document: the one that ranked it first, then by ordinal; none for a search of file names."""
+    blocks = blocks.filter(F.lit(field != "filename"))
     hits = hit_blocks(of_ids(blocks, results), [query]).join(results.select(F.col("id").alias("document_id"), F.col("ordinal").alias("chosen")), "document_id")
     first = Window.partitionBy("document_id").orderBy((F.col("ordinal") == F.coalesce("chosen", F.lit(-1))).desc(), "ordinal")
     return hits.withColumn("place", F.row_number().over(first)).filter("place <= 2").select("document_id", "place", "ordinal", "heading", "location_value", "source")

@@ -1,30 +1,86 @@
-"""Gram postings: an optional layer that narrows a search to candidates, which are then checked exactly."""
+"""Gram postings: which documents hold which substrings of one to three code points.
+
+Postings narrow a search to candidates, which are then checked exactly. A gram
+is kept as one number, each code point as a digit of 21 bits (plus one, so
+that grams of different lengths differ); nothing is lost by that. The distinct
+grams of a document are found with numpy over its blocks in one row, so no
+(gram, document) pair is made twice and none is shuffled to be made distinct.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from ..functions.text import grams
+from pyspark.sql.types import StringType
 
 LARGEST = 3
+#: Grams of a term that are looked up; they are spread over the term and only narrow the search.
+LOOKED_UP = 8
+
+POSTINGS = "gram long, document_id long"
+
+
+def number(gram: str) -> int:
+    return reduce(lambda n, c: n << 21 | ord(c) + 1, gram, 0)
+
+
+def gram(number: int) -> str:
+    out = ""
+    while number:
+        number, digit = number >> 21, number & 0x1FFFFF
+        out = chr(digit - 1) + out
+    return out
+
+
+@F.pandas_udf(StringType())
+def gram_text(numbers: pd.Series) -> pd.Series:
+    return numbers.map(gram)
+
+
+def numbers_of(texts: list[str], sizes) -> np.ndarray:
+    """The distinct grams of some texts, sorted; none goes over the end of a text."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+    ends = np.repeat(np.cumsum([len(t) for t in texts]), [len(t) for t in texts])
+    found = []
+    for n in sizes:
+        at = np.flatnonzero(np.arange(len(points)) + n <= ends)
+        found.append(reduce(lambda key, k: key << 21 | points[at + k], range(1, n), points[at]))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def gram_postings(blocks: DataFrame, *sizes: int, headings: bool = False) -> DataFrame:
+    """POSTINGS: each distinct gram of ``sizes`` code points of a document's blocks (document_id, content_norm, heading_norm)."""
+    texts = [F.col("content_norm"), F.col("heading_norm")] if headings else [F.col("content_norm")]
+    whole = blocks.groupBy("document_id").agg(F.flatten(F.collect_list(F.array_compact(F.array(*texts)))).alias("texts"))
+    names = [c.split()[0] for c in POSTINGS.split(", ")]
 
+    def run(batches):
+        for batch in batches:
+            for document, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                grams = numbers_of(texts, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(np.full(len(grams), document, np.int64))], names=names)
 
-def gram_postings(blocks: DataFrame, n: int) -> DataFrame:
-    """(gram, document_id): each distinct gram of n code points of a document's blocks; repeats fall away before the shuffle."""
-    return blocks.select("document_id", F.explode(grams("content_norm", n)).alias("gram")).distinct()
+    return whole.mapInArrow(run, POSTINGS)
 
 
-def query_grams(term: str) -> list[str]:
-    """The grams that a text with the term must hold: of 3 code points, or as many as the term has."""
+def query_grams(term: str, most: int = LOOKED_UP) -> list[str]:
+    """Grams that a text with the term must hold: of 3 code points, or as many as the term has, ``most`` of them from all over the term."""
     n = min(LARGEST, len(term))
-    return list(dict.fromkeys(term[i : i + n] for i in range(len(term) - n + 1)))
+    every = list(dict.fromkeys(term[i : i + n] for i in range(len(term) - n + 1)))
+    return [every[i] for i in sorted({k * (len(every) - 1) // max(1, most - 1) for k in range(most)})] if len(every) > most else every
 
 
-def candidates(postings: DataFrame, term: str) -> DataFrame:
-    """Documents that hold every gram of the term: one aggregation instead of a join for each gram."""
-    wanted = query_grams(term)
-    return postings.filter(F.col("gram").isin(*wanted)).groupBy("document_id").agg(F.count("*").alias("n")).filter(F.col("n") == len(wanted)).select("document_id")
+def candidates(postings: DataFrame, *terms: str) -> DataFrame:
+    """(document_id) of documents that hold every gram of one of the terms: one aggregation over the rows of these grams."""
+    wanted = [[number(g) for g in query_grams(t)] for t in terms]
+    rows = postings.filter(F.col("gram").isin(sorted({g for grams in wanted for g in grams})))
+    held = [F.sum(F.col("gram").isin(grams).cast("int")) == len(grams) for grams in wanted]
+    return rows.groupBy("document_id").agg(reduce(lambda a, b: a | b, held).alias("all")).filter("all").select("document_id")
 
 
 def verified(blocks: DataFrame, postings: DataFrame, term: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Match classes: 4 the whole query is the file name, 3 the file name holds all
 terms, 2 a heading does, 1 a block does; with several terms 1 as well where
 file name and blocks hold them between them. Blocks are reduced to one row a
-document before the join, and only blocks with a hit are shuffled.
+document before the join, and only blocks with a hit are shuffled. With
+postings only the blocks of documents that hold the grams of a term are read.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import below
 from ..functions.text import query_terms
+from .postings import candidates
 
 REASONS = ("content", "heading", "filename contains", "filename equals")
 FAST_TOTAL = 500
@@ -80,10 +82,12 @@ def evidence(blocks: DataFrame, terms: list[str]) -> DataFrame:
     )
 
 
-def matches(docs: DataFrame, blocks: DataFrame, search: Search) -> DataFrame:
-    """Every matching document with rank, source, ordinal and reason; not ordered."""
+def matches(docs: DataFrame, blocks: DataFrame, search: Search, postings: DataFrame | None = None) -> DataFrame:
+    """Every matching document with rank, source, ordinal and reason; not ordered. ``postings`` (of contents and headings) prune the blocks."""
     query, terms = query_terms(search.text, search.mode)
     docs = in_scope(docs, search)
+    if postings is not None and search.field != "filename":
+        blocks = blocks.join(candidates(postings, *terms), "document_id", "left_semi")
     name = F.col("filename_norm")
     if search.field == "content":
         name_rank = F.lit(0)
@@ -131,16 +135,16 @@ def total(found: DataFrame, exact: bool, page_end: int = 0) -> DataFrame:
     return found.select("id").limit(target).agg(F.count("*").alias("total")).withColumn("relation", F.when(F.col("total") < target, "eq").otherwise("gte"))
 
 
-def phased(docs: DataFrame, blocks: DataFrame, search: Search, limit: int = 20) -> DataFrame:
+def phased(docs: DataFrame, blocks: DataFrame, search: Search, limit: int = 20, postings: DataFrame | None = None) -> DataFrame:
     """The first ``limit`` by relevance; blocks are read only if too few file names match."""
     if search.field != "content":
         names = matches(docs, blocks, Search(**(search.__dict__ | {"field": "filename"})))
         if names.limit(limit).count() >= limit:
             return top(names, "relevance", limit)
-    return top(matches(docs, blocks, search), "relevance", limit)
+    return top(matches(docs, blocks, search, postings), "relevance", limit)
 
 
-def refined(before: DataFrame, docs: DataFrame, blocks: DataFrame, search: Search) -> DataFrame:
+def refined(before: DataFrame, docs: DataFrame, blocks: DataFrame, search: Search, postings: DataFrame | None = None) -> DataFrame:
     """A new condition over the documents of ``before``; types, root and subtree no longer apply.
 
     The rank of the first layer is carried along as ``first_rank``: with the
@@ -150,7 +154,7 @@ def refined(before: DataFrame, docs: DataFrame, blocks: DataFrame, search: Searc
     ids = before.select("id", F.col(kept_rank).alias("first_rank"))
     inside = docs.join(ids, "id", "left_semi")
     own = blocks.join(ids, blocks["document_id"] == ids["id"], "left_semi")
-    kept = matches(inside, own, Search(**(search.__dict__ | {"types": (), "root": None, "subtree": None})))
+    kept = matches(inside, own, Search(**(search.__dict__ | {"types": (), "root": None, "subtree": None})), postings)
     return kept.join(ids, "id")
 
 
@@ -162,9 +166,9 @@ def with_reference(found: DataFrame) -> DataFrame:
 class Session:
     """Layers of refinement over one pinned version of the data, all in the order of the first layer."""
 
-    def __init__(self, docs: DataFrame, blocks: DataFrame, search: Search, version=None, current=lambda: None):
-        self._docs, self._blocks, self._version, self._current = docs, blocks, version, current
-        first = matches(docs, blocks, search)
+    def __init__(self, docs: DataFrame, blocks: DataFrame, search: Search, version=None, current=lambda: None, postings: DataFrame | None = None):
+        self._docs, self._blocks, self._postings, self._version, self._current = docs, blocks, postings, version, current
+        first = matches(docs, blocks, search, postings)
         self._layers = [(search, first.withColumn("first_rank", F.col("rank")))]
 
     def _checked(self) -> DataFrame:
@@ -179,7 +183,7 @@ class Session:
     def append(self, text: str) -> DataFrame:
         before = self._checked()
         search = Search(**(self._layers[0][0].__dict__ | {"text": text}))
-        self._layers.append((search, refined(before, self._docs, self._blocks, search)))
+        self._layers.append((search, refined(before, self._docs, self._blocks, search, self._postings)))
         return self.results()
 
     def back(self) -> DataFrame:

@@ -23,6 +23,21 @@ def last_samples(samples: DataFrame, key: str, time: str, ident: str, limit: int
 
 
 def phase_rollup(records: DataFrame, key: str, phase: str, value: str) -> DataFrame:
-    """The total of each phase and the phase that takes most (the first by name where several do)."""
-    totals = records.groupBy(key, phase).agg(F.sum(value).alias("total"))
-    return totals.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(phase, F.round("total", 2))))).alias("phases"), F.min_by(phase, F.struct(-F.col("total"), F.col(phase))).alias("bottleneck"))
+    """(key, phase, inclusive, self, bottleneck): what each phase of a trace took, with and without the phases inside it.
+
+    Phases are named by path, ``parent/child``. What a phase took by itself is
+    its total less that of its children, never below 0; the bottleneck of a
+    trace is the phase that took most by itself, the first by name where several did.
+    """
+    totals = records.groupBy(F.col(key).alias("key"), F.col(phase).alias("phase")).agg(F.sum(value).alias("inclusive"))
+    parent = F.regexp_extract("phase", "^(.*)/[^/]*$", 1)
+    inner = totals.filter(F.col("phase").contains("/")).groupBy(F.col("key").alias("k"), parent.alias("p")).agg(F.sum("inclusive").alias("inner"))
+    rows = totals.join(inner, (F.col("key") == F.col("k")) & (F.col("phase") == F.col("p")), "left")
+    rows = rows.withColumn("self", F.greatest(F.col("inclusive") - F.coalesce("inner", F.lit(0.0)), F.lit(0.0)))
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.col("self").desc(), "phase"))
+    return rows.select(F.col("key").alias(key), "phase", F.round("inclusive", 2).alias("inclusive"), F.round("self", 2).alias("self"), (first == 1).alias("bottleneck"))
+
+
+def error_counts(samples: DataFrame, code: str = "code") -> DataFrame:
+    """(code, n, last_at) of watcher errors (code, at), most frequent first by the caller's order."""
+    return samples.filter(F.col(code).isNotNull()).groupBy(F.col(code).alias("code")).agg(F.count("*").alias("n"), F.max("at").alias("last_at"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 INV = """inv AS (SELECT doc_id AS id, '/corpus/root' || (doc_id % 2) AS root, 'doc-' || doc_id || '.' || ext AS filename,
  '/corpus/root' || (doc_id % 2) || '/' || source || '/doc-' || doc_id || '.' || ext AS path, '.' || ext AS extension, n_chars AS size_bytes,
- 1.7e12 + (doc_id * 7919 % 1000) * 1000.0 AS modified_at_ms, CASE WHEN doc_id % 11 = 5 THEN 'unsupported' ELSE 'indexed' END AS status, text, doc_id, source
+ 1.7e12 + (doc_id * 7919 % 1000) * 1000.0 AS modified_at_ms, CASE WHEN regexp_matches(coalesce(text, ''), '\\S') THEN 'indexed' ELSE 'no_text' END AS status, text, doc_id, source
  FROM (SELECT *, CASE lang WHEN 'en' THEN 'txt' WHEN 'fr' THEN 'md' WHEN 'de' THEN 'adoc' ELSE 'sql' END AS ext FROM documents))"""
 BLK = """raw AS (SELECT id AS document_id, extension, unnest(range(len(l))) AS ordinal, unnest(l) AS content FROM (SELECT id, extension, regexp_split_to_array(text, '\\r\\n|\\n|\\r') AS l FROM inv WHERE status = 'indexed')),
  blk AS (SELECT document_id, ordinal::INT AS ordinal, CASE WHEN extension = '.md' THEN first_value(content) OVER (PARTITION BY document_id ORDER BY ordinal) END AS heading, content, 'line ' || (ordinal + 1) AS location_value
@@ -66,6 +66,12 @@ REFS = f"""WITH {INV}, {EVENTS}, refs AS (SELECT session, path, count(*) AS occu
 WORK = """w AS (SELECT user_id % 4 AS root, 'u' || user_id AS rel_path, CASE event_type WHEN 'view' THEN 'expand' WHEN 'error' THEN 'delete' ELSE 'event' END AS reason, ts, event_id FROM events)"""
 QUEUE = """q AS (SELECT root, rel_path, count(*) AS generation, min(ts) AS created_at, CASE WHEN arg_max(reason, (ts, event_id)) = 'expand' AND arg_max(reason, (ts, event_id)) FILTER (reason <> 'expand') = 'event' THEN 'event' ELSE arg_max(reason, (ts, event_id)) END AS reason FROM w GROUP BY root, rel_path)"""
 
+DEBOUNCED = """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, epoch_us(ts) // 1000 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+ w AS (SELECT key, k, 1 AS burst, tm AS first, tm AS last, 1 AS n, tm + 21600000 AS due FROM e WHERE k = 1
+  UNION ALL SELECT e.key, e.k, CASE WHEN tm < due THEN burst ELSE burst + 1 END, CASE WHEN tm < due THEN first ELSE tm END, tm, CASE WHEN tm < due THEN n + 1 ELSE 1 END, least(tm + 21600000, CASE WHEN tm < due THEN first ELSE tm END + 86400000)
+  FROM w JOIN e ON e.key = w.key AND e.k = w.k + 1)
+ SELECT key, first, last, n, due FROM w QUALIFY row_number() OVER (PARTITION BY key, burst ORDER BY k DESC) = 1"""
+
 ORACLE_SQL = {
     "line_blocks": f"WITH {INV}, {BLK} SELECT * FROM blk",
     "search_phrase": _search("the than"),
@@ -122,7 +128,7 @@ ORACLE_SQL = {
  SELECT path, CASE WHEN own IS NULL THEN 'outside-root' WHEN rule IS NOT NULL THEN 'excluded' WHEN id % 9 = 1 THEN 'unindexed' WHEN id % 17 = 2 THEN 'parse-failed' WHEN status <> 'indexed' THEN 'filename-only' ELSE 'indexed' END AS state, rule FROM g""",
     "root_cover": f"WITH {INV} SELECT {OWNED} AS root, count(*) AS n FROM inv GROUP BY 1",
     "root_merge": f"WITH {INV} SELECT id, {OWNED} AS old_root, CASE WHEN {OWNED} IS NOT NULL THEN '/corpus' END AS new_root FROM inv",
-    "orphan_roots": f"WITH {INV} SELECT DISTINCT root FROM (SELECT regexp_extract(path, '^(/corpus/[^/]+/[^/]+)/', 1) AS root FROM inv WHERE id % 3 = 0 UNION ALL SELECT root FROM inv WHERE id % 3 = 1 UNION ALL SELECT '/corpus/old' FROM inv WHERE id % 3 = 2) WHERE root NOT IN ('/corpus/root0', '/corpus/root0/src2', '/corpus/root1/src3')",
+    "orphan_roots": f"WITH {INV} SELECT DISTINCT root FROM (SELECT regexp_extract(path, '^(/corpus/[^/]+/[^/]+)/', 1) AS root FROM inv UNION ALL SELECT root FROM inv UNION ALL SELECT '/corpus/old' || extension FROM inv) WHERE root NOT IN ('/corpus/root0', '/corpus/root0/src2', '/corpus/root1/src3')",
     "imported_results": f"WITH {INV} SELECT path, CASE WHEN lower(filename) = 'doc-1' THEN 4 ELSE 3 END AS rank, false AS imported FROM inv WHERE contains(lower(filename), 'doc-1') UNION ALL SELECT 'doc-1-page-' || page_id || '.html', 3, true FROM pages",
     "session_summary": f"""WITH {EVENTS}, k AS (SELECT session, string_agg(event_type || '=' || n, ',' ORDER BY event_type || '=' || n) AS event_types FROM (SELECT session, event_type, count(*) AS n FROM ev WHERE valid GROUP BY ALL) GROUP BY 1)
  SELECT ev.session, count(*) FILTER (valid) AS events, count(*) FILTER (NOT valid) AS invalid_lines, arg_min(time, line) FILTER (valid) AS started_at, arg_max(time, line) FILTER (valid) AS last_event_at, any_value(k.event_types) AS event_types FROM ev LEFT JOIN k USING (session) GROUP BY 1""",
@@ -135,17 +141,30 @@ ORACLE_SQL = {
     "timing_percentiles": "SELECT event_type, count(value) AS n, round(quantile_disc(value, 0.5), 2) AS p50, round(quantile_disc(value, 0.95), 2) AS p95, round(max(value), 2) AS most FROM events GROUP BY 1",
     "slowest_topk": "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 20",
     "last_samples": "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS place FROM events QUALIFY place <= 32",
-    "trace_phase_rollup": "SELECT trace, arg_min(event_type, (-total, event_type)) AS bottleneck, count(*) AS n_phases FROM (SELECT user_id % 50 AS trace, event_type, sum(value) AS total FROM events GROUP BY ALL) GROUP BY 1",
+    "trace_phase_rollup": """WITH e AS (SELECT user_id % 50 AS trace, CASE WHEN event_type IN ('click', 'purchase') THEN 'view/' || event_type ELSE event_type END AS phase, value FROM events),
+ t AS (SELECT trace, phase, sum(value) AS total FROM e GROUP BY ALL), s AS (SELECT *, CASE WHEN phase = 'view' THEN greatest(0, total - coalesce((SELECT sum(u.total) FROM t u WHERE u.trace = t.trace AND u.phase LIKE 'view/%'), 0)) ELSE total END AS own FROM t)
+ SELECT trace, phase, round(total, 2) AS inclusive, round(own, 2) AS self, row_number() OVER (PARTITION BY trace ORDER BY own DESC, phase) = 1 AS bottleneck FROM s""",
+    "watcher_errors": "SELECT 'E' || (user_id % 7) AS code, count(*) AS n, max(ts) AS last_at FROM events WHERE event_type = 'error' GROUP BY 1",
     "event_bursts": "WITH g AS (SELECT *, CASE WHEN epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 21600000 THEN 0 ELSE 1 END AS new FROM events), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g) SELECT user_id, burst, count(*) AS n FROM b GROUP BY ALL",
     "queue_generations": f"WITH {WORK}, {QUEUE} SELECT root, rel_path, generation, reason FROM q",
     "queue_acknowledged": f"WITH {WORK}, {QUEUE}, a AS (SELECT root, rel_path, count(*) * 2 + 1 AS up_to FROM w WHERE event_id % 3 = 0 GROUP BY ALL) SELECT root, rel_path, generation FROM q LEFT JOIN a USING (root, rel_path) WHERE up_to IS NULL OR generation > up_to",
     "queue_depth": f"WITH {WORK}, {QUEUE} SELECT root, count(*) AS n, min(created_at) AS oldest, max(generation) AS generation FROM q GROUP BY 1",
-    "queue_overflow": f"""WITH {WORK.replace('FROM events', 'FROM events WHERE user_id % 4 <> 3 OR event_id % 10 = 0')}, {QUEUE}, s AS (SELECT root, count(*) AS n FROM q GROUP BY 1)
+    "queue_overflow": f"""WITH {WORK.replace('user_id % 4 AS root', 'least(user_id % 8, 4) AS root')}, {QUEUE}, s AS (SELECT root, count(*) AS n FROM q GROUP BY 1)
  SELECT root, 'path' AS kind, reason, count(*) AS n FROM q WHERE root IN (SELECT root FROM s WHERE n <= 20) GROUP BY ALL UNION ALL SELECT root, 'dirty-scope', 'overflow', 1 FROM s WHERE n > 20""",
     "fair_batch": f"""WITH {WORK}, {QUEUE}, z AS (SELECT root, rel_path, reason = 'expand' AS expand, substr(rel_path, 2)::INT % 6 = 0 AS deferred, created_at FROM q),
  r AS (SELECT *, row_number() OVER (PARTITION BY root, expand, deferred ORDER BY created_at, rel_path) AS up, row_number() OVER (PARTITION BY root, expand, deferred ORDER BY created_at DESC, rel_path DESC) AS down FROM z)
  SELECT root, rel_path, expand, deferred FROM r QUALIFY row_number() OVER (PARTITION BY root ORDER BY expand, deferred, CASE WHEN deferred OR down <= 4 THEN 0 ELSE 1 END, up) <= 12""",
+    "event_debounce": DEBOUNCED,
+    "stream_debounce": DEBOUNCED,
+    "rescan_throttle": """WITH RECURSIVE e AS (SELECT event_type AS key, epoch_us(ts) // 1000 AS tm, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS k FROM events),
+ w AS (SELECT key, k, tm AS opened, 3 AS room, tm + 60000 AS allowed, 0 AS refused, 1 AS accepted FROM e WHERE k = 1
+  UNION ALL SELECT key, k, opened, CASE WHEN tm >= allowed AND room > 0 THEN room - 1 ELSE room END, CASE WHEN tm >= allowed AND room > 0 THEN tm + 60000 WHEN tm >= allowed THEN tm + [60000, 300000, 900000][least(refused, 2) + 1] ELSE allowed END,
+   CASE WHEN tm >= allowed AND room = 0 THEN refused + 1 ELSE refused END, CASE WHEN tm >= allowed AND room > 0 THEN accepted + 1 ELSE accepted END
+  FROM (SELECT e.key, e.k, e.tm, CASE WHEN tm >= opened + 3600000 THEN tm ELSE opened END AS opened, CASE WHEN tm >= opened + 3600000 THEN 4 ELSE room END AS room, allowed, refused, accepted FROM w JOIN e ON e.key = w.key AND e.k = w.k + 1))
+ SELECT key, max(k) AS requests, max(accepted) AS accepted FROM w GROUP BY key""",
+    "status_json": f"""WITH {INV}, c AS (SELECT s.status, count(inv.status) AS n FROM (SELECT unnest(['indexed', 'no_text', 'unsupported', 'too_large', 'encrypted', 'error']) AS status) s LEFT JOIN inv USING (status) GROUP BY 1)
+ SELECT '{{"schemaVersion":1,"documents":' || sum(n) || ',"statuses":{{' || string_agg('"' || status || '":' || n, ',' ORDER BY status) || '}}}}' AS status FROM c""",
     "rescan_windows": "SELECT event_type, count(*) AS windows, sum(n)::BIGINT AS requests, sum(least(n, 4))::BIGINT AS at_most FROM (SELECT event_type, date_trunc('hour', ts) AS w, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1",
-    "pending_absorbed": f"WITH {INV}, p AS (SELECT path FROM inv WHERE id % 2 = 0 UNION ALL SELECT unnest(['/corpus/root0/src2', '/corpus/root0/src4'])) SELECT path FROM p WHERE path NOT LIKE '/corpus/root0/src2/%' AND path NOT LIKE '/corpus/root0/src4/%'",
+    "pending_absorbed": f"WITH {INV}, p AS (SELECT path FROM inv UNION ALL SELECT unnest(['/corpus/root0/src2', '/corpus/root0/src4'])) SELECT path FROM p WHERE path NOT LIKE '/corpus/root0/src2/%' AND path NOT LIKE '/corpus/root0/src4/%'",
     "list_preview": f"{DISK} SELECT row_number() OVER (ORDER BY path) AS position, path, count(*) OVER () AS total, count(*) OVER () > 100 AS truncated FROM idx WHERE status = 'error' QUALIFY position <= 100",
 }

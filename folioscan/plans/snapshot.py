@@ -1,51 +1,151 @@
-"""Immutable snapshots with a manifest: a new version becomes current by one small write."""
+"""Immutable snapshots with a manifest: a new version becomes current by one small write.
+
+Documents, blocks and postings are dealt to ``buckets`` by document id; a
+version names a folder for each bucket of each table. A change of some
+documents writes the buckets that hold them and no others; the new version
+shares the rest with the one before.
+
+A version's manifest entry is created under its number and never replaced, so
+of two writers that start from one version one fails with ``Conflict`` and has
+changed nothing that readers see; it reads again and repeats its work.
+"""
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Tables and the column whose hash deals their rows to buckets; None: one folder.
+TABLES = {"documents": "id", "blocks": "document_id", "postings": "document_id", "roots": None}
+BUCKET = "__bucket"
 
-TABLES = ("documents", "blocks", "roots")
+
+class Conflict(RuntimeError):
+    """Another writer has made this version."""
 
 
 class SnapshotStore:
-    """Tables below ``path``/v-<id>/ and rows of ``path``/manifest that say which one is current."""
+    """Tables below ``path``/v-<id>/ and one entry for each version below ``path``/manifest."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    # -- files ---------------------------------------------------------------------------------------
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def _place(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _create(self, path: str, text: str) -> None:
+        """Writes a small file that must not exist yet."""
+        place, files = self._place(path)
+        try:
+            if files.getScheme() == "file":  # its create() is not atomic
+                local = place.toUri().getPath()
+                os.makedirs(os.path.dirname(local), exist_ok=True)
+                with open(local, "x", encoding="utf-8") as out:
+                    out.write(text)
+                return
+            stream = files.create(place, False)
+        except FileExistsError as found:
+            raise Conflict(path) from found
+        except Exception as found:  # noqa: BLE001  the exception of the JVM that says the file exists
+            if "AlreadyExists" in str(found):
+                raise Conflict(path) from found
+            raise
+        stream.write(bytearray(text.encode("utf-8")))
+        stream.close()
 
     def _manifest(self) -> list[dict]:
         try:
-            rows = self.spark.read.schema("value string").text(f"{self.path}/manifest").collect()
+            rows = self.spark.read.text(f"{self.path}/manifest", wholetext=True).collect()
         except AnalysisException:
             return []
-        return sorted((json.loads(r.value) for r in rows), key=lambda r: r["data_version"])
+        return sorted((json.loads(r.value) for r in rows if r.value.endswith("\n")), key=lambda r: r["data_version"])
+
+    # -- reading -------------------------------------------------------------------------------------
 
     def version(self) -> int:
         found = self._manifest()
         return found[-1]["data_version"] if found else 0
 
-    def read(self, name: str, version: int | None = None) -> DataFrame:
+    def _entry(self, version: int | None = None) -> dict:
         found = [r for r in self._manifest() if version is None or r["data_version"] == version]
-        if not found or name not in found[-1]["tables"]:
+        if not found:
+            raise LookupError("no such snapshot")
+        return found[-1]
+
+    def _table(self, entry: dict, name: str, only: list[str] | None = None) -> DataFrame:
+        if name not in entry["tables"]:
             raise LookupError("no such snapshot")
-        return self.spark.read.parquet(found[-1]["tables"][name])
+        schema = StructType.fromJson(entry["tables"][name]["schema"])
+        parts = [p for b, p in sorted(entry["tables"][name]["parts"].items()) if only is None or b in only]
+        return self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        return self._table(self._entry(version), name)
+
+    # -- writing -------------------------------------------------------------------------------------
+
+    def _bucket(self, column: str):
+        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
+
+    def _written(self, name: str, table: DataFrame, folder: str) -> dict:
+        """Writes a table and returns its folders by bucket."""
+        key = TABLES[name]
+        if key is None:
+            table.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+            return {"0": f"{folder}/{name}"}
+        # a bucket is one task's work and one file; postings are sorted so that a look-up reads few row groups
+        dealt = table.withColumn(BUCKET, self._bucket(key)).repartition(self.buckets, BUCKET).sortWithinPartitions(BUCKET, *[c for c in ("gram", key, "ordinal") if c in table.columns])
+        dealt.write.option("compression", "zstd").partitionBy(BUCKET).parquet(f"{folder}/{name}")
+        place, files = self._place(f"{folder}/{name}")
+        names = [s.getPath().getName() for s in files.listStatus(place)]
+        return {n.partition("=")[2]: f"{folder}/{name}/{n}" for n in names if n.startswith(f"{BUCKET}=")}
+
+    def _finish(self, before: dict | None, tables: dict) -> int:
+        number = (before["data_version"] if before else 0) + 1
+        self._create(f"{self.path}/manifest/{number:012d}.json", json.dumps({"schema_version": 2, "data_version": number, "tables": tables}) + "\n")
+        return number
 
     def commit(self, **tables: DataFrame) -> int:
-        """Writes the tables as a new version; those not given stay where the version before has them."""
+        """Writes whole tables as a new version; those not given stay as the version before has them."""
         folder, found = f"{self.path}/v-{uuid.uuid4().hex}", self._manifest()
-        before, places = (found[-1]["data_version"], dict(found[-1]["tables"])) if found else (0, {})
-        for name in TABLES:
-            if tables.get(name) is not None:
-                places[name] = f"{folder}/{name}"
-                tables[name].write.option("compression", "zstd").parquet(places[name])
-        record = json.dumps({"schema_version": 1, "data_version": before + 1, "tables": places})
-        self.spark.createDataFrame([(record,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/manifest")
-        return before + 1
+        before = found[-1] if found else None
+        places = dict(before["tables"]) if before else {}
+        for name, table in tables.items():
+            places[name] = {"schema": json.loads(table.schema.json()), "parts": self._written(name, table, folder)}
+        return self._finish(before, places)
+
+    def patch(self, gone: DataFrame, roots: DataFrame | None = None, **fresh: DataFrame) -> int:
+        """A new version without the documents of ``gone`` (id) and with the ``fresh`` rows of the tables; only touched buckets are written.
+
+        A document that changes is both gone and fresh. Buckets are few, so their numbers are collected.
+        """
+        folder, before = f"{self.path}/v-{uuid.uuid4().hex}", self._entry()
+        tables = dict(before["tables"])
+        dead = gone.select(F.col("id").cast("long").alias("id")).distinct()
+        touched = dead.select(self._bucket("id").alias("b"))
+        for name, rows in fresh.items():
+            touched = touched.union(rows.select(self._bucket(TABLES[name])))
+        only = sorted(str(r.b) for r in touched.distinct().collect())
+        for name, key in TABLES.items():
+            if key is None or name not in tables:
+                continue
+            old = self._table(before, name, only)
+            left = old.join(dead.withColumnRenamed("id", key), key, "left_anti").select(*old.columns)
+            whole = left.unionByName(fresh[name].select(*old.columns)) if name in fresh else left
+            parts = {b: p for b, p in tables[name]["parts"].items() if b not in only}
+            tables[name] = tables[name] | {"parts": parts | (self._written(name, whole, folder) if only else {})}
+        if roots is not None:
+            tables["roots"] = {"schema": json.loads(roots.schema.json()), "parts": self._written("roots", roots, folder)}
+        return self._finish(before, tables)
 
     def upsert(self, documents: DataFrame, blocks: DataFrame) -> int:
         """Replaces whole documents by path, ids kept; repeated ordinals of a document fail it."""
@@ -53,16 +153,38 @@ class SnapshotStore:
             raise ValueError("a document has an ordinal twice")
         if not self.version():
             return self.commit(documents=documents, blocks=blocks)
-        old, old_blocks = self.read("documents"), self.read("blocks")
+        old = self.read("documents")
         kept_id = old.select("path", F.col("id").alias("old_id"))
         placed = documents.join(kept_id, "path", "left").withColumn("new_id", F.coalesce("old_id", "id"))
         new = placed.withColumn("id", F.col("new_id")).select(*old.columns)
-        moved = blocks.join(placed.select(F.col("id").alias("document_id"), "new_id"), "document_id").withColumn("document_id", F.col("new_id")).select(*old_blocks.columns)
-        replaced = new.select(F.col("id").alias("document_id"))
-        return self.commit(documents=old.join(documents, "path", "left_anti").unionByName(new).select(*old.columns), blocks=old_blocks.join(replaced, "document_id", "left_anti").unionByName(moved).select(*old_blocks.columns))
+        moved = blocks.join(placed.select(F.col("id").alias("document_id"), "new_id"), "document_id").withColumn("document_id", F.col("new_id")).select(*blocks.columns)
+        return self.patch(new.select("id"), documents=new, blocks=moved)
+
+    def touch(self, documents: DataFrame) -> int:
+        """Replaces the rows of known documents by id and leaves their blocks and postings as they are."""
+        folder, before = f"{self.path}/v-{uuid.uuid4().hex}", self._entry()
+        only = sorted(str(r.b) for r in documents.select(self._bucket("id").alias("b")).distinct().collect())
+        old = self._table(before, "documents", only)
+        whole = old.join(documents.select("id"), "id", "left_anti").select(*old.columns).unionByName(documents.select(*old.columns))
+        tables = dict(before["tables"])
+        parts = {b: p for b, p in tables["documents"]["parts"].items() if b not in only}
+        tables["documents"] = tables["documents"] | {"parts": parts | (self._written("documents", whole, folder) if only else {})}
+        return self._finish(before, tables)
 
     def remove(self, gone: DataFrame) -> int:
-        """Drops the documents of ``gone`` (path) and their blocks."""
-        old, old_blocks = self.read("documents"), self.read("blocks")
-        ids = old.join(gone.select("path"), "path", "left_semi").select(F.col("id").alias("document_id"))
-        return self.commit(documents=old.join(gone.select("path"), "path", "left_anti").select(*old.columns), blocks=old_blocks.join(ids, "document_id", "left_anti").select(*old_blocks.columns))
+        """Drops the documents of ``gone`` (path), their blocks and postings."""
+        return self.patch(self.read("documents").join(gone.select("path"), "path", "left_semi").select("id"))
+
+    def compact(self, keep: int = 1) -> int:
+        """Deletes the folders and manifest entries that only versions before the last ``keep`` use; the number of folders that went."""
+        found = self._manifest()
+        entries = lambda chosen: {p for e in chosen for t in e["tables"].values() for p in t["parts"].values()}
+        old = found[: max(0, len(found) - keep)]
+        gone = entries(old) - entries(found[len(old) :])
+        for path in gone:
+            place, files = self._place(path)
+            files.delete(place, True)
+        for entry in old:
+            place, files = self._place(f"{self.path}/manifest/{entry['data_version']:012d}.json")
+            files.delete(place, False)
+        return len(gone)

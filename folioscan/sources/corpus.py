@@ -10,10 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import WHITE
-
-#: Documents that this many divide with remainder 5 are known by name only.
-UNREAD = 11
+from ..functions.text import WHITE, normalized
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +22,7 @@ def inventory(documents: DataFrame) -> DataFrame:
     ext = F.element_at(F.create_map(*[F.lit(x) for pair in (("en", "txt"), ("fr", "md"), ("de", "adoc"), ("es", "sql")) for x in pair]), F.col("lang"))
     name = F.concat(F.lit("doc-"), F.col("doc_id"), F.lit("."), ext)
     root = F.concat(F.lit("/corpus/root"), F.col("doc_id") % 2)
-    status = F.when(F.col("doc_id") % UNREAD == 5, "unsupported").otherwise("indexed")
+    status = F.when(F.coalesce("text", F.lit("")).rlike(f"^[{WHITE}]*$"), "no_text").otherwise("indexed")
     return documents.select(
         F.col("doc_id").alias("id"), root.alias("root"), F.concat(root, F.lit("/"), F.col("source"), F.lit("/"), name).alias("path"), name.alias("filename"),
         F.concat(F.lit("."), ext).alias("extension"), F.col("n_chars").alias("size_bytes"), (F.lit(1.7e12) + (F.col("doc_id") * 7919 % 1000) * 1000.0).alias("modified_at_ms"), status.alias("status"), "text",
@@ -42,10 +39,7 @@ def line_blocks(inventory: DataFrame) -> DataFrame:
 
 
 def searchable(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(inventory, blocks) with the lower-case search columns of a collection that NFKC leaves as it is.
-
-    Collections with other characters take ``functions.text.normalized`` once at ingest instead of lower().
-    """
-    docs = inventory(documents).withColumn("filename_norm", F.lower("filename"))
-    blocks = line_blocks(docs).withColumn("heading_norm", F.lower("heading")).withColumn("content_norm", F.lower("content"))
+    """(inventory, blocks) with the search columns in normal form."""
+    docs = inventory(documents).withColumn("filename_norm", normalized("filename"))
+    blocks = line_blocks(docs).withColumn("heading_norm", normalized("heading")).withColumn("content_norm", normalized("content"))
     return docs.drop("text"), blocks

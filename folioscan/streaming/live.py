@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.paths import IgnoreRule, ancestors, below, excluded_by
 from ..operators.inventory import difference
+from ..plans.scratch import shared
 
 # Fixed values, in milliseconds and rows.
 QUIET, FORCED = 1_500, 15_000
@@ -186,13 +188,27 @@ def absorbed(pending: DataFrame) -> DataFrame:
     return pending.join(covered, "path", "left_anti")
 
 
+def orphans(registered: DataFrame, *states: DataFrame) -> DataFrame:
+    """(root): the roots that any of the state tables (root, ..) names and that are not registered (root)."""
+    named = reduce(DataFrame.union, [s.select("root") for s in states]).distinct()
+    return named.join(registered.select("root"), "root", "left_anti")
+
+
+def purged(state: DataFrame, registered: DataFrame) -> DataFrame:
+    """A state table (root, ..) without the rows of roots that are not registered."""
+    return state.join(F.broadcast(registered.select("root").distinct()), "root", "left_semi")
+
+
 def replayed(spark: SparkSession, path: str, key: str, quiet: int, forced: int) -> DataFrame:
-    """Runs the stream over the files at ``path`` to their end and returns the updates that it wrote.
+    """Runs the stream over the files at ``path`` to their end and returns all updates: those that it wrote and those still open.
 
     The sink is a folder beside the checkpoint; each micro-batch overwrites its
-    own sub-folder, so a batch that is run again leaves the same files.
+    own sub-folder, so a batch that is run again leaves the same files. An
+    update that no later event closes is read from the state of the stream.
+    Events more than the lateness behind the newest one of an earlier batch are
+    dropped by the stream; the number is in its progress (numRowsDroppedByWatermark).
     """
-    home = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    home = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     glob = f"{path[:-1]}[{path[-1]}]"
     source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(glob)
@@ -202,15 +218,9 @@ def replayed(spark: SparkSession, path: str, key: str, quiet: int, forced: int)
 
     run = debounced_stream(source, key, quiet=quiet, forced=forced).writeStream.foreachBatch(write).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{home}/out").drop("batch")
-
-
-def _shared(spark: SparkSession) -> str:
-    """The folder that all executors share; there is no machine-local stand-in."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-    return path.rstrip("/")
+    out = spark.read.parquet(f"{home}/out").drop("batch")
+    held = spark.read.format("statestore").load(f"{home}/checkpoint").select("key.*", "value.groupState.*")
+    return out.unionByName(held.select(*out.columns))
 
 
 def intake(events: DataFrame, rules: list[IgnoreRule], rules_file: str = "ignore.rules") -> DataFrame:
