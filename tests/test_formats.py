@@ -1,0 +1,207 @@
+"""Older and binary formats, from files that are put together here byte by byte."""
+
+import os
+import struct
+import time
+import zlib
+
+import pytest
+
+from folioscan.sources import office97, parsers, pdf
+from folioscan.sources.compound import Compound, CompoundError
+
+
+def compound(streams: dict[str, bytes]) -> bytes:
+    """A compound file of version 3; folders come from the paths, small streams go to the mini stream."""
+    folders = sorted({p.rsplit("/", 1)[0] for p in streams if "/" in p})
+    nodes = [("Root Entry", 5, "")] + [(f, 1, "") for f in folders] + [(p, 2, p.rsplit("/", 1)[0] if "/" in p else "") for p in streams]
+    number = {n[0]: i for i, n in enumerate(nodes)}
+    sectors, table, mini, mini_table = [], [], b"", []
+
+    def put(data, chain=table, size=512):
+        parts = [data[i : i + size].ljust(size, b"\0") for i in range(0, len(data), size)]
+        first = len(chain)
+        chain += [first + k + 1 for k in range(len(parts) - 1)] + [0xFFFFFFFE] * bool(parts)
+        return first if parts else 0xFFFFFFFE, parts
+
+    place = {}
+    for path, data in streams.items():
+        if len(data) >= 4096:
+            place[path], parts = put(data)
+            sectors += parts
+        else:
+            place[path], parts = put(data, mini_table, 64)
+            mini += b"".join(parts)
+    mini_start, parts = put(mini)
+    sectors += parts
+    mini_fat, parts = put(struct.pack(f"<{len(mini_table)}I", *mini_table))
+    sectors += parts
+    raw = b""
+    for i, (path, kind, folder) in enumerate(nodes):
+        inside = [k for k, n in enumerate(nodes) if k and (n[2] == path if kind == 1 else n[2] == "" and kind == 5)]
+        same = [k for k, n in enumerate(nodes) if k and n[2] == folder] if i else []
+        later = next((k for k in same if k > i), 0xFFFFFFFF)
+        name = path.rsplit("/", 1)[-1].encode("utf-16-le")
+        start, size = (mini_start, len(mini)) if kind == 5 else (place[path], len(streams[path])) if kind == 2 else (0, 0)
+        raw += name.ljust(64, b"\0") + struct.pack("<HBB3I", len(name) + 2, kind, 1, 0xFFFFFFFF, later, inside[0] if inside else 0xFFFFFFFF) + bytes(36) + struct.pack("<IQ", start, size)
+    assert number
+    directory, parts = put(raw)
+    sectors += parts
+    count = -(-(len(table) + 1) // 127)
+    fat_at = [len(sectors) + k for k in range(count)]
+    table += [0xFFFFFFFD] * count
+    fat = struct.pack(f"<{len(table)}I", *table).ljust(512 * count, b"\xff")
+    sectors += [fat[i : i + 512] for i in range(0, len(fat), 512)]
+    header = bytes.fromhex("d0cf11e0a1b11ae1") + bytes(16) + struct.pack("<5H", 0x3E, 3, 0xFFFE, 9, 6) + bytes(6) + struct.pack("<9I", 0, count, directory, 0, 4096, mini_fat, 1, 0xFFFFFFFE, 0)
+    return header + struct.pack("<109I", *(fat_at + [0xFFFFFFFF] * (109 - count))) + b"".join(sectors)
+
+
+def test_compound_files():
+    streams = {"a": b"small", "B": b"x" * 10_000, "dir/inner": b"y" * 4096, "dir/tiny": b"", "last": b"z" * 200}
+    got = Compound(compound(streams)).streams
+    assert got == {k.lower(): v for k, v in streams.items()}
+    data = bytearray(compound(streams))
+    with pytest.raises(CompoundError):
+        Compound(b"no" + data)
+    data[48:52] = struct.pack("<I", 9999)
+    with pytest.raises(CompoundError):
+        Compound(bytes(data))
+
+
+def doc(parts: dict, flags: int = 0x200, wide: bool = True) -> bytes:
+    order = ("body", "footnotes", "headers", "macros", "comments", "endnotes", "text boxes", "header text boxes")
+    text = "".join(parts.get(p, "") for p in order)
+    raw = text.encode("utf-16-le" if wide else "cp1252")
+    word = bytearray(0x400) + raw
+    word[0:2] = b"\xec\xa5"
+    struct.pack_into("<H", word, 10, flags)
+    struct.pack_into("<8I", word, 0x4C, *(len(parts.get(p, "")) for p in order))
+    place = 0x400 if wide else 0x400 * 2 | 0x40000000
+    plex = struct.pack("<2I", 0, len(text)) + struct.pack("<HIH", 0, place, 0)
+    clx = b"\x01" + struct.pack("<H", 3) + b"abc" + b"\x02" + struct.pack("<I", len(plex)) + plex
+    stories = parts.get("stories", ())
+    struct.pack_into("<2I", word, 0x1A2, 0, len(clx))
+    struct.pack_into("<2I", word, 154 + 88, len(clx), 4 * len(stories))
+    return compound({"WordDocument": bytes(word), "1Table": (clx + struct.pack(f"<{len(stories)}I", *stories))})
+
+
+def test_doc():
+    parts = {"body": "First line\rcell\x07\x07second \x13 HYPERLINK \"http://a\" \x14shown\x15 end\x0cnext page\r", "footnotes": "\x02 a note\r", "headers": "Even\rOdd head\rfoot\r", "stories": (0,) * 6 + (0, 5, 14, 14, 19, 19, 19, 19), "endnotes": "the end\r"}
+    got = [(b[2], b[4]) for b in office97.doc_blocks(doc(parts))]
+    assert [t for t, _ in got] == ["First line", "cell", "second shown end", "next page", "Even", "Odd head", "foot", " a note", "the end"]
+    assert [p.split(",")[0] for _, p in got] == ["body"] * 4 + ["header"] * 2 + ["footer", "footnotes", "endnotes"]
+    assert [b[2] for b in office97.doc_blocks(doc({"body": "café\r"}, wide=False))] == ["café"]
+    for bad, code in ((doc(parts, 0x100), "DOC_ENCRYPTED"), (b"text", "DOC_FORMAT_ERROR"), (compound({"x": b""}), "DOC_FORMAT_ERROR")):
+        with pytest.raises(parsers.ParseError) as problem:
+            office97.doc_blocks(bad)
+        assert problem.value.code == code
+
+
+def record(kind, body=b""):
+    return struct.pack("<2H", kind, len(body)) + body
+
+
+def test_xls():
+    wide, plain = "Ünï".encode("utf-16-le"), b"shared text that goes on"
+    strings = struct.pack("<2I", 3, 3) + struct.pack("<HB", len(plain), 0) + plain[:10]
+    more = b"\0" + plain[10:] + struct.pack("<HB", 3, 1) + wide + struct.pack("<HBH", 2, 8, 1) + b"rt" + bytes(4)
+    heads = record(0x809, bytes(16)) + record(0x41E, struct.pack("<HHB", 164, 4, 0) + b"0.0%") + b"".join(record(0xE0, struct.pack("<2H", 0, f) + bytes(16)) for f in (0, 14, 164, 4))
+    cells = [
+        record(0xFD, struct.pack("<3HI", 0, 0, 0, 0)), record(0xFD, struct.pack("<3HI", 0, 1, 0, 1)), record(0xFD, struct.pack("<3HI", 5, 27, 0, 2)), record(0x203, struct.pack("<3Hd", 1, 0, 0, 12.5)), record(0x203, struct.pack("<3Hd", 1, 1, 1, 45292.0)),
+        record(0x27E, struct.pack("<3HI", 2, 0, 2, 25 << 2 | 3)), record(0xBD, struct.pack("<2H", 3, 0) + struct.pack("<HIHI", 0, 7 << 2 | 2, 3, 123456789 << 2 | 3) + struct.pack("<H", 1)), record(0x06, struct.pack("<3H", 4, 0, 0) + b"\0\0\0\0\0\0\xff\xff" + bytes(8)),
+        record(0x207, struct.pack("<HB", 6, 0) + b"result"), record(0x06, struct.pack("<3Hd", 4, 1, 0, 3.0) + bytes(8)), record(0x205, struct.pack("<3HBB", 4, 2, 0, 1, 0)), record(0x205, struct.pack("<3HBB", 4, 3, 0, 7, 1)), record(0x204, struct.pack("<3H", 0, 2, 0) + struct.pack("<HB", 2, 0) + b"ok"),
+    ]
+    sheet = record(0x809, bytes(16)) + b"".join(cells) + record(0x0A)
+    tail = record(0xFC, strings) + record(0x3C, more) + record(0x0A)
+    place = len(heads) + len(record(0x85, bytes(6) + struct.pack("<BB", 3, 0) + b"Tab")) + len(tail)
+    book = heads + record(0x85, struct.pack("<IH", place, 0) + struct.pack("<BB", 3, 0) + b"Tab") + tail + sheet
+    want = {"A1": plain.decode(), "B1": "Ünï", "C1": "ok", "A2": "12.5", "B2": "2024-01-01", "A3": "25.0%", "A4": "7", "B4": "1,234,567.89", "A5": "result", "B5": "3", "C5": "TRUE", "D5": "#DIV/0!", "AB6": "rt"}
+    for data in (compound({"Workbook": book}), book):
+        got = office97.xls_blocks(data)
+        assert {b[4].removeprefix("Tab!"): b[2] for b in got} == want and {b[1] for b in got} == {"Tab"} and [b[0] for b in got] == list(range(len(want)))
+    for bad, code in ((b"a,b", "XLS_FORMAT_ERROR"), (compound({"Workbook": record(0x809, bytes(16)) + record(0x2F)}), "XLS_ENCRYPTED")):
+        with pytest.raises(parsers.ParseError) as problem:
+            office97.xls_blocks(bad)
+        assert problem.value.code == code
+
+
+def mail(body: dict, numbers=(), kind="IPM.Note", people=(("Bo", "bo@x.org", 1), ("Cy", "", 2))):
+    text = lambda tag, said: (f"__substg1.0_{tag:04X}001F", said.encode("utf-16-le"))
+    table = bytes(32) + b"".join(struct.pack("<4I", tag << 16 | 3, 0, value, 0) for tag, value in numbers)
+    streams = dict([text(0x1A, kind), text(0x37, "The subject"), text(0x0C1A, "Ann"), text(0x0C1F, "ann@x.org"), ("__properties_version1.0", table)]) | body
+    for i, (name, address, how) in enumerate(people):
+        folder = f"__recip_version1.0_#{i:08X}/"
+        streams |= {folder + k: v for k, v in (text(0x3001, name), text(0x39FE, address))}
+        streams[folder + "__properties_version1.0"] = bytes(8) + struct.pack("<4I", 0x0C15 << 16 | 3, 0, how, 0)
+    return compound(streams)
+
+
+def test_msg():
+    plain = {"__substg1.0_1000001F": "Line one\r\n\r\nline two".encode("utf-16-le")}
+    got = [(b[2], b[4]) for b in office97.msg_blocks(mail(plain))]
+    assert got == [("The subject", "subject"), ("Ann\nann@x.org", "sender"), ("Bo\nbo@x.org", "to 1"), ("Cy", "cc 2"), ("Line one", "body (text), paragraph 1"), ("line two", "body (text), paragraph 2")]
+    assert office97.msg_blocks(mail(plain))[0][1] == "The subject"
+    html = plain | {"__substg1.0_10130102": "<p>R\xe9sum\xe9</p>".encode("cp1252")}
+    assert office97.msg_blocks(mail(html, [(0x3FDE, 1252)]))[-1][2] == "Résumé"
+    rtf = b"{\\rtf1\\ansi packed\\par}"
+    packed = b"".join(b"\0" + rtf[i : i + 8] for i in range(0, len(rtf), 8))
+    held = struct.pack("<2I", len(packed) + 12, len(rtf)) + b"LZFu" + struct.pack("<I", zlib.crc32(packed, 0xFFFFFFFF) ^ 0xFFFFFFFF) + packed
+    assert office97.expanded_rtf(held) == rtf
+    assert office97.msg_blocks(mail({"__substg1.0_10090102": held}))[-1][2] == "packed"
+    shown = {"__substg1.0_0E04001F": "Only shown".encode("utf-16-le")}
+    assert ("Only shown", "to") in [(b[2], b[4]) for b in office97.msg_blocks(mail(plain | shown, people=()))]
+    for bad, code in ((mail(plain, kind="IPM.Appointment"), "MSG_ITEM_UNSUPPORTED"), (mail(plain, kind="IPM.Note.SMIME"), "MSG_SMIME_UNSUPPORTED"), (b"x", "MSG_FORMAT_ERROR")):
+        with pytest.raises(parsers.ParseError) as problem:
+            office97.msg_blocks(bad)
+        assert problem.value.code == code
+
+
+def test_compressed_rtf_of_the_published_example():
+    data = bytes.fromhex("2d0000002b0000004c5a4675f1c5c7a703000a007263706731323542320af32068656c090020627705b06c647d0a800fa0")
+    assert office97.expanded_rtf(data) == b"{\\rtf1\\ansi\\ansicpg1252\\pard hello world}\r\n"
+
+
+def made_pdf(objects: dict, trailer: bytes = b"<</Root 1 0 R>>") -> bytes:
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, body) for n, body in objects.items()) + b"trailer " + trailer
+
+
+def stream(body: bytes, more: bytes = b"", packed: bool = False) -> bytes:
+    data = zlib.compress(body) if packed else body
+    return b"<</Length %d%s%s>>\nstream\n%s\nendstream" % (len(data), b"/Filter/FlateDecode" if packed else b"", more, data)
+
+
+def test_pdf():
+    text = rb"BT /F1 12 Tf 72 700 Td (Hello \(big\) w\366rld) Tj 0 -14 Td [(sec)-20(ond) -300 (line)] TJ T* (third) ' ET"
+    cmap = b"1 begincodespacerange <0000> <ffff> endcodespacerange 2 beginbfchar <0001> <6E2C> <0002> <8A66> endbfchar 1 beginbfrange <0010> <0012> <0041> endbfrange"
+    objects = {
+        1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[3 0 R 6 0 R 9 0 R]/Count 3/Resources<</Font<</F1 5 0 R/F2 7 0 R>>>>>>", 3: b"<</Type/Page/Parent 2 0 R/Contents 4 0 R>>", 4: stream(text, packed=True), 5: b"<</Type/Font/Subtype/Type1/Encoding/WinAnsiEncoding>>",
+        6: b"<</Type/Page/Contents[10 0 R 11 0 R]>>", 7: b"<</Type/Font/Subtype/Type0/ToUnicode 8 0 R>>", 8: stream(cmap, packed=True), 9: b"<</Type/Page>>", 10: stream(b"BT /F2 9 Tf 1 0 0 1 50 600 Tm <00010002> Tj"), 11: stream(b"1 0 0 1 50 500 Tm <001000110012> Tj ET"),
+    }
+    got = pdf.pdf_blocks(made_pdf(objects))
+    assert [(b[2], b[4]) for b in got] == [("Hello (big) wörld\nsecond line\nthird", "page 1"), ("測試\nABC", "page 2")]
+    inner = b"1 0 2 33 " + b"<</Type/Catalog/Pages 2 0 R>>    " + b"<</Type/Pages/Kids[3 0 R]/Resources<</Font<</F1 5 0 R>>>>>>"
+    packed = {3: objects[3], 4: objects[4], 5: objects[5], 20: stream(inner, b"/Type/ObjStm/N 2/First 9", True)}
+    assert pdf.pdf_blocks(made_pdf(packed, b""))[0][2].startswith("Hello")
+    for bad, code in ((made_pdf(objects, b"<</Root 1 0 R/Encrypt 9 0 R>>"), "PDF_ENCRYPTED"), (b"none", "PDF_CORRUPT"), (b"%PDF-1.4 nothing", "PDF_CORRUPT")):
+        with pytest.raises(parsers.ParseError) as problem:
+            pdf.pdf_blocks(bad)
+        assert problem.value.code == code
+
+
+def test_parsers_in_a_process_of_their_own():
+    blocks = parsers.isolated(lambda data: [(0, None, data.decode(), "x", "y")], b"text")
+    assert blocks == [(0, None, "text", "x", "y")]
+    for parser, code in ((lambda d: time.sleep(20), "PARSER_TIMEOUT"), (lambda d: os._exit(3), "PARSER_CRASHED"), (lambda d: bytearray(1 << 30), "PARSER_MEMORY"), (lambda d: 1 // 0, "PARSE_ERROR")):
+        start = time.monotonic()
+        with pytest.raises(parsers.ParseError) as problem:
+            parsers.isolated(parser, b"", seconds=1, memory=256 << 20)
+        assert problem.value.code == code and time.monotonic() - start < 8
+
+
+def test_every_new_format_is_read_from_a_folder(spark, tmp_path):
+    (tmp_path / "a.msg").write_bytes(mail({"__substg1.0_1000001F": "hello mail".encode("utf-16-le")}))
+    (tmp_path / "b.doc").write_bytes(doc({"body": "hello doc\r"}))
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-1.4 broken")
+    (tmp_path / "d.xls").write_bytes(b"no,table")
+    got = {r.filename: (r.status, r.error_code) for r in parsers.read_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.msg": ("indexed", None), "b.doc": ("indexed", None), "c.pdf": ("error", "PDF_CORRUPT"), "d.xls": ("error", "XLS_FORMAT_ERROR")}
