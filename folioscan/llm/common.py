@@ -14,7 +14,7 @@ from contextlib import contextmanager
 from functools import wraps
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 #: Stands for a null id inside operators: larger than any id that a table holds.
 NULL_ID = (1 << 63) - 1
@@ -83,6 +83,13 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_and_told(df: DataFrame, name: str, **told) -> tuple[DataFrame, dict]:
+    """The same with aggregates of the rows, taken while they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, *[c.alias(k) for k, c in told.items()]), name)
+    return out, seen.get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

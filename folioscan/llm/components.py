@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, stored_and_told
 
 #: The largest number of nodes whose minima are broadcast, 16 bytes each.
 LARGE = 100_000
@@ -50,12 +50,13 @@ def components(edges: DataFrame, most: int = 64) -> DataFrame:
     Each step is written to the shared folder, so the lineage stays one step
     deep. ``most``: edges that a node may have before its minimum is broadcast.
     """
-    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    seen, found = None, mark(now)
-    while found[0] and found != seen:
-        limit = max(most, 2 * found[0] // LARGE)
+    told = {"rows": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    low_first = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now, found = stored_and_told(low_first, "edges", **told)
+    seen = None
+    while found["rows"] and found != seen:
+        limit = max(most, 2 * found["rows"] // LARGE)
         wide = stored(_star(now, True, limit), "edges")
-        now, seen = stored(_star(wide, False, limit), "edges"), found
-        found = mark(now)
+        seen = found
+        now, found = stored_and_told(_star(wide, False, limit), "edges", **told)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freeing
+from .common import freeing, release
 
 from .textmodel import Ftrl, collected, labelled, ngram_features, sigmoid
 
@@ -58,7 +58,10 @@ def fit(pairs, labels, bits: int = 20, epochs: int = 4, alpha: float = 0.5, beta
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 8000, keep=None, bits: int = 20, **how) -> Model:
     pairs, marks = collected(labelled(docs, labels, "quality", most, keep), lambda text: ngram_features(text, bits))
-    return fit(pairs, marks, bits, **how)
+    model = fit(pairs, marks, bits, **how)
+    del pairs
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freeing, lower_ascii, stored, word_list
+from .common import freeing, lower_ascii, stored, stored_and_told, word_list
 from .components import components
 from .hashing import mixed, xxh64_spans
 
@@ -223,8 +223,8 @@ def links(classes: DataFrame, tables: int, shared: int, max_distance: int, tile:
     if overlap:
         keys += [F.concat(F.lit(bytes([blocks + b])), F.substring("fp", 2 * b + 2, 2)) for b in range(blocks - 1)]
     keyed = classes.select("fp", "node", F.explode(F.array(*keys)).alias("key"))
-    hot = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile), "hot")
-    rows = keyed.join(F.broadcast(hot) if hot.count() <= _BROADCAST_KEYS else hot, "key", "left")
+    hot, told = stored_and_told(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile), "hot", rows=F.count(F.lit(1)))
+    rows = keyed.join(F.broadcast(hot) if told["rows"] <= _BROADCAST_KEYS else hot, "key", "left")
     star = tables == 1 and max_distance <= 2
 
     def pairs(batches):
@@ -288,31 +288,34 @@ def similarity(a: frozenset, b: frozenset) -> float:
 
 
 def _confirmed(found: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int, similar: float) -> DataFrame:
-    """(a, b) of the links ``found`` that hold: those without a distance, and of the others those whose texts share enough shingles.
+    """(node, root) of the links ``found`` that hold: those without a distance, and of the others those whose texts share enough shingles.
 
-    Links inside a group that is held together already are not looked at.
+    Links inside a group that is held together already are not looked at; the
+    others unite whole groups, so their components are those of group roots.
     """
     found = stored(found.distinct(), "links")
-    held = found.filter("apart = 0").select("a", "b")
-    roots = components(held)
+    roots = components(found.filter("apart = 0").select("a", "b"))
     open_ = found.filter("apart > 0").select("a", "b")
     for end in "ab":
         own = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
         open_ = open_.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    open_ = stored(open_.filter("root_a <> root_b").select("a", "b").distinct(), "open")
+    open_, told = stored_and_told(open_.filter("root_a <> root_b").select("a", "b", "root_a", "root_b").distinct(), "open", rows=F.count(F.lit(1)))
+    if not told["rows"]:
+        return roots
     wanted = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", F.col("head.row").alias("row")), "node")
-    wanted = stored(wanted, "wanted")
-    few = wanted.count() <= _BROADCAST_KEYS
+    wanted, told = stored_and_told(wanted, "wanted", rows=F.count(F.lit(1)))
+    few = told["rows"] <= _BROADCAST_KEYS
     said = stored(texts.select("row", F.col("text").cast("binary").alias("text")).join(F.broadcast(wanted) if few else wanted, "row").groupBy("node").agg(F.min("text").alias("text")), "said")
 
     def compare(batches):
         for batch in batches:
-            a, b, one, other = (c.to_pylist() for c in batch.columns)
-            ok = [similarity(shingle_set(s, shingle), shingle_set(t, shingle)) >= similar for s, t in zip(one, other)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, ok) if k], pa.int64()), pa.array([x for x, k in zip(b, ok) if k], pa.int64())], names=["a", "b"])
+            ok = [similarity(shingle_set(s, shingle), shingle_set(t, shingle)) >= similar for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select(["root_a", "root_b"]).filter(pa.array(ok, pa.bool_()))
 
     both = open_.join(said.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(said.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return held.union(both.select("a", "b", "text_a", "text_b").mapInArrow(freeing(compare), "a long, b long"))
+    united = components(both.select("root_a", "root_b", "text_a", "text_b").mapInArrow(freeing(compare), "root_a long, root_b long").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    placed = roots.join(united.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return placed.union(united.select("node", "root").join(roots.select("node"), "node", "left_anti"))
 
 
 def _groups(docs: DataFrame, by_id: bool, shingle: int = 3, tables: int = 1, shared: int = 2, max_distance: int = 2, tile: int = 4096, overlap: bool = False, similar: float | None = None, sure: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -325,13 +328,12 @@ def _groups(docs: DataFrame, by_id: bool, shingle: int = 3, tables: int = 1, sha
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head")
     classes = stored(marked.groupBy("fp").agg(head).withColumn("node", F.monotonically_increasing_id()), "classes")
     found = links(classes.select("fp", "node"), tables, shared, max_distance, tile, overlap, None if similar is None else sure)
-    found = found.select("a", "b") if similar is None else _confirmed(found, docs, classes, shingle, similar)
     if by_id:
         ids = marked.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
         again = marked.join(ids, "doc_id").select("fp", "low").filter("fp <> low").distinct()
         again = again.join(classes.select("fp", F.col("node").alias("a")), "fp").join(classes.select(F.col("fp").alias("low"), F.col("node").alias("b")), "low")
-        found = found.union(again.select("a", "b"))
-    roots = components(found)
+        found = found.union(again.select("a", "b", F.lit(0).cast("long").alias("apart")))
+    roots = components(found.select("a", "b")) if similar is None else _confirmed(found, docs, classes, shingle, similar)
     return marked, classes.join(roots, "node", "left").select("fp", "node", F.least("node", "root").alias("root"), "head")
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freeing
+from .common import freeing, release
 
 from .textmodel import Ftrl, collected, labelled, sigmoid
 
@@ -127,7 +127,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 8000, cuts: tuple = (2
     pairs, toxic = collected(labelled(docs, labels, "toxic", most), lambda text: features(text, bits))
     if not len(toxic):
         return Model(np.zeros(1 << bits, np.float32), np.full(len(cuts) + 1, 100.0), bits)
-    return fit(pairs, severity_grades(pairs, toxic, 1 << bits, cuts), len(cuts) + 1, bits, **how)
+    model = fit(pairs, severity_grades(pairs, toxic, 1 << bits, cuts), len(cuts) + 1, bits, **how)
+    del pairs
+    release()  # the driver's memory is small beside the sample's features
+    return model
 
 
 def score(docs: DataFrame, model: Model, reject: float = 0.2) -> DataFrame:
