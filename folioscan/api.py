@@ -11,8 +11,9 @@ from .functions import paths
 from .functions.text import normalized, parse_types
 from .operators import context, inventory, postings, search
 from .plans.scratch import stored
-from .plans.snapshot import SnapshotStore
+from .plans.snapshot import Conflict, SnapshotStore
 from .sources import parsers, scan
+from .streaming.live import with_back_off
 
 #: The file of a root that holds its ignore rules.
 RULES_FILE = "ignore.rules"
@@ -25,6 +26,7 @@ ROOTS = "root string, trashed boolean, synced_at_ms double"
 class Collection:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.store = spark, SnapshotStore(spark, path)
+        self._status: dict | None = None
         if not self.store.version():
             empty = {"documents": DOCUMENTS, "blocks": BLOCKS, "postings": postings.POSTINGS, "roots": ROOTS}
             self.store.commit(**{name: spark.createDataFrame([], schema) for name, schema in empty.items()})
@@ -90,6 +92,10 @@ class Collection:
         return sorted_rows.withColumn("place", place).join(F.broadcast(offsets), "part").select("path", (F.col("start") + F.col("place") - 1).alias("n"))
 
     def index(self, folder: str, rebuild: bool = False, allow_empty: bool = False) -> dict:
+        """Like refreshed(), tried again after growing delays where another writer was faster."""
+        return with_back_off(lambda: self.refreshed(folder, rebuild, allow_empty), Conflict)
+
+    def refreshed(self, folder: str, rebuild: bool = False, allow_empty: bool = False) -> dict:
         """Brings the index of a folder up to date; only files that need it are read. Returns counts of what was done.
 
         Documents below folders that could not be read stay. A root without a
@@ -140,19 +146,35 @@ class Collection:
         what = search.Search(text, mode, field, sort, tuple(parse_types(types)) if types else (), (), root, subtree)
         return search.Session(self.store.read("documents"), self.store.read("blocks"), what, self.store.version(), self.store.version, self.store.read("postings"))
 
+    def page(self, text: str, number: int, size: int = 20, **how) -> DataFrame:
+        """A page of at most 50 of the first 500 results, as tools ask for them."""
+        session = self.session(text, **how)
+        return search.with_reference(search.limited_page(session.found(), number, size)).orderBy("position")
+
+    def compact(self, keep: int = 1) -> int:
+        """Deletes what only older versions than the last ``keep`` use."""
+        return self.store.compact(keep)
+
     def search(self, text: str, limit: int = 20, **how) -> DataFrame:
         return search.with_reference(self.session(text, **how).first(limit)).orderBy("position")
 
     def context(self, selected: list[tuple[str, str]], form: str = "md", **how) -> str:
-        return context.rendered(context.bundle(self.store.read("documents"), self.store.read("blocks"), selected, **how), form)
+        version = self.store.version()
+        tables = [self.store.read(name, version) for name in ("documents", "blocks")]
+        return context.rendered(context.bundle(*tables, selected, version=version, current=self.store.version, postings=self.store.read("postings", version), **how), form)
 
     def status(self) -> dict:
-        docs = self.store.read("documents")
-        return {
-            "schemaVersion": 1, "dataVersion": self.store.version(), "roots": self.roots(), "counts": {r.status: r.n for r in inventory.counted(docs, "status", inventory.STATUSES).collect()},
+        """Counts of the newest version; they are kept until there is another one."""
+        version = self.store.version()
+        if self._status is not None and self._status["dataVersion"] == version:
+            return self._status
+        docs = self.store.read("documents", version)
+        self._status = {
+            "schemaVersion": 1, "dataVersion": version, "roots": self.roots(), "counts": {r.status: r.n for r in inventory.counted(docs, "status", inventory.STATUSES).collect()},
             "extensions": {r.extension: r["count"] for r in docs.groupBy("extension").count().collect()},
             "issues": [r.asDict() for r in docs.filter(F.col("status").isin("error", "encrypted")).orderBy("path").limit(100).select("path", "status", "error_code").collect()],
         }
+        return self._status
 
     def explain(self, path: str) -> str:
         """outside-root, excluded, unindexed, parse-failed, filename-only or indexed."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import paths
 from .functions.text import grams, query_terms
-from .operators import inventory, library, passages, postings, search, sessionlog, timings
+from .operators import chunks, inventory, library, passages, postings, search, sessionlog, timings
 from .oracle_sql import ORACLE_SQL  # noqa: F401
 from .sources.corpus import searchable, table
 from .sources import corpus, parsers
@@ -126,6 +126,34 @@ def filename_grams(spark, sf_dir):
     return docs.select(F.explode(grams("filename_norm", 2)).alias("gram"), "id").groupBy("gram").agg(F.count("*").alias("n_documents"))
 
 
+def chunk_assignment(spark, sf_dir):
+    _, blocks = _collection(spark, sf_dir)
+    return chunks.chunked(blocks, 2000)
+
+
+def payload_search(spark, sf_dir):
+    _, blocks = _collection(spark, sf_dir)
+    return chunks.holding(blocks, "thtion")
+
+
+def preview_ids(spark, sf_dir):
+    return corpus.inventory(table(spark, sf_dir, "documents")).select("id", search.preview_id("path", b"key of this installation").alias("preview"))
+
+
+def search_pruned(spark, sf_dir):
+    """The phrase search over blocks that postings have narrowed to candidates."""
+    docs, blocks = _collection(spark, sf_dir)
+    grams = postings.gram_postings(blocks, 1, 2, 3, headings=True)
+    return search.top(search.matches(docs, blocks, PHRASE, grams)).select(*SHOWN)
+
+
+def unicode_search(spark, sf_dir):
+    """Every text with a full-width letter, a ligature and a decomposed accent behind it is found in normal form."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\n\uff26\uff55\uff4c\uff4c \ufb01nd caf"), F.lit("e\u0301 "), F.col("doc_id")))
+    docs, blocks = searchable(docs)
+    return search.top(search.matches(docs, blocks, Search("full find caf\u00e9 7")), limit=50).select(*SHOWN)
+
+
 def html_blocks(spark, sf_dir):
     return parsers.html_block_rows(table(spark, sf_dir, "pages"))
 
@@ -231,11 +259,14 @@ def orphan_roots(spark, sf_dir):
 
 
 def imported_results(spark, sf_dir):
-    """Indexed results and files that were dropped in, which take part by name."""
+    """Indexed results and the 20 files that were dropped in last, which take part if their names match."""
     docs, blocks = _collection(spark, sf_dir)
+    query, terms = query_terms(FILENAME.text, FILENAME.mode)
     found = search.matches(docs, blocks, FILENAME).select("path", "rank", F.lit(False).alias("imported"))
-    dropped = table(spark, sf_dir, "pages").select(F.concat(F.lit("doc-1-page-"), F.col("page_id"), F.lit(".html")).alias("path"))
-    return found.unionByName(dropped.withColumn("rank", F.lit(3)).withColumn("imported", F.lit(True)))
+    newest = table(spark, sf_dir, "pages").orderBy(F.col("page_id").desc()).limit(library.IMPORTED)
+    name = F.concat(F.lit("doc-"), F.col("page_id"), F.lit(".html"))
+    dropped = newest.select(F.concat(F.lit("/dropped/"), name).alias("path"), name.alias("filename_norm"))
+    return found.unionByName(library.imported(dropped, terms, query))
 
 
 def _events_of_conversations(spark, sf_dir):
@@ -249,6 +280,25 @@ def session_summary(spark, sf_dir):
     return sessionlog.session_summary(_events_of_conversations(spark, sf_dir))
 
 
+def _tool_lines(spark, sf_dir):
+    """Each turn as a line of a tool log: users type a path, assistants run a shell command, systems patch a file."""
+    rows = table(spark, sf_dir, "conversations")
+    path = F.concat(F.lit("/corpus/root"), F.col("conv_id") % 2, F.lit("/src"), F.col("conv_id") % 20, F.lit("/doc-"), F.col("conv_id") + 2 * F.col("turn"), F.lit(".txt"))
+    typed = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("message").alias("type"), F.lit("user").alias("role"), F.array(F.struct(F.lit("input_text").alias("type"), F.concat(F.lit("look at "), path, F.lit(" please")).alias("text"))).alias("content")).alias("payload")))
+    ran = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("function_call").alias("type"), F.lit("shell_command").alias("name"), F.to_json(F.struct(F.concat(F.lit("cat "), path).alias("command"))).alias("arguments")).alias("payload")))
+    patched = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("custom_tool_call").alias("type"), F.lit("apply_patch").alias("name"), F.concat(F.lit("*** Begin Patch\n*** Update File: "), path, F.lit("\n@@")).alias("input")).alias("payload")))
+    line = F.when(F.col("role") == "user", typed).when(F.col("role") == "assistant", ran).otherwise(patched)
+    return rows.select(F.col("conv_id").alias("session"), F.col("turn").alias("line"), line.alias("value"))
+
+
+def tool_evidence(spark, sf_dir):
+    return sessionlog.evidence(_tool_lines(spark, sf_dir))
+
+
+def reference_buckets(spark, sf_dir):
+    return sessionlog.reference_buckets(sessionlog.references(sessionlog.evidence(_tool_lines(spark, sf_dir))))
+
+
 def _references(spark, sf_dir):
     events = _events_of_conversations(spark, sf_dir).filter("valid")
     named = events.select("session", "event_type", "role", F.explode(sessionlog.text_paths("text")).alias("path"))
@@ -359,6 +409,36 @@ def rescan_throttle(spark, sf_dir):
     return live.rescans(table(spark, sf_dir, "events"), "event_type", cool=60_000, window=3_600_000, back_off=(60_000, 300_000, 900_000))
 
 
+def intake_counts(spark, sf_dir):
+    kind = F.col("event_type")
+    events = table(spark, sf_dir, "events").select(F.when(kind != "error", F.concat(F.lit("src1/u"), F.col("user_id"), F.when(kind == "signup", F.lit(".log")).otherwise(F.lit(".txt")))).alias("rel_path"), F.lit(False).alias("is_folder"), (kind == "purchase").alias("is_link"))
+    return live.intake_counts(events, paths.ignore_rules("*.log"))
+
+
+def live_status(spark, sf_dir):
+    samples = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("root"), "value")
+    return live.live_status(live.work_queue(_work(spark, sf_dir)), samples, "2024-02-01 00:00:00")
+
+
+def folder_expansion(spark, sf_dir):
+    """Two rounds over the folders of the collection, 30 entries a folder and round: what the second one takes."""
+    docs = corpus.inventory(table(spark, sf_dir, "documents"))
+    listing = docs.select("root", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "path")
+    folders = listing.select("root", "folder").distinct().withColumn("after", F.lit(None).cast("string"))
+    _, state = live.expanded(folders, listing, 30)
+    return live.expanded(state.drop("complete"), listing, 30)[0]
+
+
+def reconcile_round(spark, sf_dir):
+    disk, index = _disk_and_index(spark, sf_dir)
+    return live.reconcile_round(inventory.difference(disk, index), "/corpus/root0/src2", 100)
+
+
+def verified_again(spark, sf_dir):
+    disk, index = _disk_and_index(spark, sf_dir)
+    return live.verified_again(index.select("path", "size_bytes", "modified_at_ms"), disk).groupBy("commit").agg(F.count("*").alias("n"))
+
+
 def rescan_windows(spark, sf_dir):
     rows = table(spark, sf_dir, "events")
     return rows.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).groupBy("event_type").agg(F.count("*").alias("windows"), F.sum("n").alias("requests"), F.sum(F.least("n", F.lit(live.PER_WINDOW))).alias("at_most"))
@@ -407,5 +487,7 @@ QUERIES = {
     "reference_totals": reference_totals, "recent_files": recent_files, "library_groups": library_groups, "saved_search_replay": saved_search_replay, "timing_percentiles": timing_percentiles,
     "slowest_topk": slowest_topk, "last_samples": last_samples, "trace_phase_rollup": trace_phase_rollup, "watcher_errors": watcher_errors, "event_bursts": event_bursts, "event_debounce": event_debounce,
     "queue_generations": queue_generations, "queue_acknowledged": queue_acknowledged, "queue_depth": queue_depth, "queue_overflow": queue_overflow, "fair_batch": fair_batch,
-    "rescan_throttle": rescan_throttle, "rescan_windows": rescan_windows, "pending_absorbed": pending_absorbed, "status_json": status_json, "list_preview": list_preview, "stream_debounce": stream_debounce,
+    "rescan_throttle": rescan_throttle, "rescan_windows": rescan_windows, "intake_counts": intake_counts, "live_status": live_status, "folder_expansion": folder_expansion, "reconcile_round": reconcile_round, "verified_again": verified_again,
+    "chunk_assignment": chunk_assignment, "payload_search": payload_search, "preview_ids": preview_ids, "search_pruned": search_pruned, "unicode_search": unicode_search, "tool_evidence": tool_evidence, "reference_buckets": reference_buckets,
+    "pending_absorbed": pending_absorbed, "status_json": status_json, "list_preview": list_preview, "stream_debounce": stream_debounce,
 }

@@ -43,8 +43,21 @@ def shown(column: str | Column) -> Column:
     return F.regexp_replace(column, r"[\p{Cc}؜‎‏‪-‮⁦-⁩]+", " ")
 
 
-def bundle(docs: DataFrame, blocks: DataFrame, selected: list[tuple[str, str]], mode: str = "phrase", limit: int = 3, created_at: str | None = None, times: bool = True) -> dict:
-    """The bundle of selected (query, reference) pairs; each must still be among the first 500 results of its query."""
+#: Characters that take two columns of a terminal, and those that take none.
+_WIDE = r"[\x{1100}-\x{115F}\x{2E80}-\x{303E}\x{3041}-\x{33FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{A000}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE6F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}\x{1F300}-\x{1F64F}\x{1F900}-\x{1F9FF}\x{20000}-\x{3FFFD}]"
+_NONE = r"[\p{Mn}\p{Me}\p{Cf}]"
+
+
+def display_width(column: str | Column) -> Column:
+    """The columns that a text takes in a terminal."""
+    return (F.char_length(F.regexp_replace(column, _NONE, "")) + F.regexp_count(column, F.lit(_WIDE))).cast("int")
+
+
+def bundle(docs: DataFrame, blocks: DataFrame, selected: list[tuple[str, str]], mode: str = "phrase", limit: int = 3, created_at: str | None = None, times: bool = True, version=None, current=lambda: None, postings: DataFrame | None = None) -> dict:
+    """The bundle of selected (query, reference) pairs; each must still be among the first 500 results of its query.
+
+    ``version`` is that of the data, ``current`` tells the newest one: a bundle of data that changed meanwhile is an error.
+    """
     references = [r for _, r in selected]
     if not 1 <= len(selected) <= MOST_DOCUMENTS or len(set(references)) != len(references):
         raise ContextError("CONTEXT_SELECTION_INVALID")
@@ -55,7 +68,7 @@ def bundle(docs: DataFrame, blocks: DataFrame, selected: list[tuple[str, str]],
     found, shown_of = {}, {}
     for query in dict.fromkeys(q.strip() for q, _ in selected):
         wanted = [r for q, r in selected if q.strip() == query]
-        results = search.with_reference(search.top(search.matches(docs, blocks, search.Search(query, mode)), limit=SEARCHED)).filter(F.col("reference").isin(wanted))
+        results = search.with_reference(search.top(search.matches(docs, blocks, search.Search(query, mode), postings), limit=SEARCHED)).filter(F.col("reference").isin(wanted))
         rows = {r.reference: r for r in results.collect()}  # at most 20 rows
         if set(wanted) - rows.keys():
             raise ContextError("CONTEXT_REFERENCE_MISSING")
@@ -72,6 +85,8 @@ def bundle(docs: DataFrame, blocks: DataFrame, selected: list[tuple[str, str]],
         if times:
             entry["modifiedAt"] = datetime.datetime.fromtimestamp(row.modified_at_ms / 1000, datetime.timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
         documents.append(entry)
+    if current() != version:
+        raise ContextError("CONTEXT_STALE")
     out = {"schemaVersion": 4, "queries": list(found), "matchMode": mode, "note": NOTE, "documents": documents}
     return out | ({"createdAt": created_at} if times and created_at else {})
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,39 @@ def upserted(old: DataFrame, new: DataFrame, key: str, time: str, keep: int) ->
     return rows.orderBy(F.col(time).desc(), key).limit(keep)
 
 
+class Full(ValueError):
+    """A list of the library has no room for another entry."""
+
+
+def added(old: DataFrame, new: DataFrame, key: str, most: int) -> DataFrame:
+    """``old`` with the ``new`` rows in place of those with the same key; Full if that makes more than ``most``.
+
+    For lists that a user keeps by hand, such as pinned files and saved
+    searches, where nothing may fall out by itself. They are small by nature.
+    """
+    rows = old.join(new.select(key), key, "left_anti").select(*old.columns).unionByName(new)
+    if rows.limit(most + 1).count() > most:
+        raise Full(f"more than {most} entries")
+    return rows
+
+
+def removed(old: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    return old.join(gone.select(key), key, "left_anti").select(*old.columns)
+
+
+# Fixed value: files that can be dropped in at once.
+IMPORTED = 20
+
+
+def imported(files: DataFrame, terms: list[str], query: str, most: int = IMPORTED) -> DataFrame:
+    """(path, rank, imported) of files dropped in (path, filename_norm) whose names match: 4 as a whole, 3 with all terms."""
+    if files.limit(most + 1).count() > most:
+        raise Full(f"more than {most} files")
+    name = F.col("filename_norm")
+    rank = F.when(name == query, 4).when(reduce(lambda a, b: a & b, [name.contains(t) for t in terms]), 3)
+    return files.withColumn("rank", rank).filter("rank is not null").select("path", "rank", F.lit(True).alias("imported"))
+
+
 def groups_with_items(groups: DataFrame, items: DataFrame, keep: int = ITEMS) -> DataFrame:
     """Each group with its paths, at most ``keep`` by position; empty groups stay."""
     at = Window.partitionBy("group_id").orderBy("added_at", "path")

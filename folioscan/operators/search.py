@@ -9,10 +9,13 @@ postings only the blocks of documents that hold the grams of a term are read.
 
 from __future__ import annotations
 
+import hashlib
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from threading import Lock
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import below
@@ -135,13 +138,46 @@ def total(found: DataFrame, exact: bool, page_end: int = 0) -> DataFrame:
     return found.select("id").limit(target).agg(F.count("*").alias("total")).withColumn("relation", F.when(F.col("total") < target, "eq").otherwise("gte"))
 
 
-def phased(docs: DataFrame, blocks: DataFrame, search: Search, limit: int = 20, postings: DataFrame | None = None) -> DataFrame:
-    """The first ``limit`` by relevance; blocks are read only if too few file names match."""
+# Results that pages can reach, and the largest pages of tools and of the workbench.
+REACHABLE, TOOL_PAGE, WORKBENCH_PAGE = 500, 50, 20
+
+
+def limited_page(found: DataFrame, number: int, size: int, most: int = TOOL_PAGE, sort: str = "relevance") -> DataFrame:
+    """A page for clients that may only reach the first 500 results, with pages of at most ``most``; beyond it is empty."""
+    if not 1 <= size <= most:
+        raise ValueError(f"pages have 1 to {most} results")
+    if number <= 0:
+        raise ValueError("page and page size must be positive")
+    return top(found, sort, min(number * size, REACHABLE)).filter(F.col("position") > (number - 1) * size)
+
+
+def phases(docs: DataFrame, blocks: DataFrame, search: Search, postings: DataFrame | None = None) -> list[DataFrame]:
+    """The matches by class, best first: whole file names, parts of file names, headings, contents. Nothing runs until one is read."""
+    classes = []
     if search.field != "content":
         names = matches(docs, blocks, Search(**(search.__dict__ | {"field": "filename"})))
-        if names.limit(limit).count() >= limit:
-            return top(names, "relevance", limit)
-    return top(matches(docs, blocks, search, postings), "relevance", limit)
+        classes += [names.filter("rank = 4"), names.filter("rank = 3")]
+    if search.field != "filename":
+        rest = matches(docs, blocks, search, postings)
+        classes += [rest.filter("rank = 2"), rest.filter("rank = 1")]
+    return classes
+
+
+def phased(docs: DataFrame, blocks: DataFrame, search: Search, limit: int = 20, postings: DataFrame | None = None) -> DataFrame:
+    """The first ``limit`` by relevance; a class is only looked at if those before it do not fill the result.
+
+    The classes are searched one after the other with a small job each, which
+    is the point: a query that file names answer never reads a block.
+    """
+    taken, missing = None, limit
+    for found in phases(docs, blocks, search, postings):
+        part = found.orderBy(*order("relevance")).limit(missing)
+        rows = docs.sparkSession.createDataFrame(part.collect(), part.schema)  # at most ``limit`` rows
+        taken = rows if taken is None else taken.unionByName(rows)
+        missing -= rows.count()
+        if missing <= 0:
+            break
+    return top(taken, "relevance", limit)
 
 
 def refined(before: DataFrame, docs: DataFrame, blocks: DataFrame, search: Search, postings: DataFrame | None = None) -> DataFrame:
@@ -163,6 +199,34 @@ def with_reference(found: DataFrame) -> DataFrame:
     return found.withColumn("reference", F.concat_ws("-", F.col("id").cast("string"), F.substring(F.sha2(F.col("path"), 256), 1, 16)))
 
 
+def preview_id(path: str | Column, key: bytes) -> Column:
+    """An identifier of a path that only holders of ``key`` can make: HMAC-SHA256 in hex, by built-in functions."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    c = F.col(path) if isinstance(path, str) else path
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(c, "UTF-8")), 256))), 256)
+
+
+class Latest:
+    """Runs searches for a client that wants only its newest one: a new search interrupts the one that still runs."""
+
+    def __init__(self, spark: SparkSession, workers: int = 4):
+        self.spark, self._number, self._lock = spark, 0, Lock()
+        self._pool = ThreadPoolExecutor(workers)
+
+    def submit(self, found: DataFrame) -> Future:
+        with self._lock:
+            before, self._number = f"search-{id(self)}-{self._number}", self._number + 1
+            mine = f"search-{id(self)}-{self._number}"
+        self.spark.sparkContext.cancelJobGroup(before)
+
+        def run():
+            self.spark.sparkContext.setJobGroup(mine, "search", interruptOnCancel=True)
+            return found.collect()
+
+        return self._pool.submit(run)
+
+
 class Session:
     """Layers of refinement over one pinned version of the data, all in the order of the first layer."""
 
@@ -195,6 +259,10 @@ class Session:
         del self._layers[1:]
         return self.results()
 
+    def found(self) -> DataFrame:
+        """All results, not ordered."""
+        return self._checked()
+
     def results(self) -> DataFrame:
         """All results in order."""
         return self._checked().orderBy(*order(self._layers[0][0].sort, "first_rank"))

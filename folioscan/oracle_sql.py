@@ -72,6 +72,17 @@ DEBOUNCED = """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, epoch_us(ts)
   FROM w JOIN e ON e.key = w.key AND e.k = w.k + 1)
  SELECT key, first, last, n, due FROM w QUALIFY row_number() OVER (PARTITION BY key, burst ORDER BY k DESC) = 1"""
 
+
+
+def _pad(byte: int) -> str:
+    """The padded key of an HMAC in hex."""
+    return bytes(b ^ byte for b in b"key of this installation".ljust(64, b"\0")).hex()
+
+
+TOOLS = """t AS (SELECT conv_id AS session, turn AS line, '/corpus/root' || (conv_id % 2) || '/src' || (conv_id % 20) || '/doc-' || (conv_id + 2 * turn) || '.txt' AS path,
+ CASE role WHEN 'user' THEN 'user-provided' ELSE 'other-tool' END AS source, CASE role WHEN 'user' THEN 'medium' ELSE 'high' END AS confidence,
+ CASE role WHEN 'user' THEN 'response_item/message' WHEN 'assistant' THEN 'response_item/function_call' ELSE 'response_item/custom_tool_call' END AS event_type FROM conversations)"""
+
 ORACLE_SQL = {
     "line_blocks": f"WITH {INV}, {BLK} SELECT * FROM blk",
     "search_phrase": _search("the than"),
@@ -129,7 +140,7 @@ ORACLE_SQL = {
     "root_cover": f"WITH {INV} SELECT {OWNED} AS root, count(*) AS n FROM inv GROUP BY 1",
     "root_merge": f"WITH {INV} SELECT id, {OWNED} AS old_root, CASE WHEN {OWNED} IS NOT NULL THEN '/corpus' END AS new_root FROM inv",
     "orphan_roots": f"WITH {INV} SELECT DISTINCT root FROM (SELECT regexp_extract(path, '^(/corpus/[^/]+/[^/]+)/', 1) AS root FROM inv UNION ALL SELECT root FROM inv UNION ALL SELECT '/corpus/old' || extension FROM inv) WHERE root NOT IN ('/corpus/root0', '/corpus/root0/src2', '/corpus/root1/src3')",
-    "imported_results": f"WITH {INV} SELECT path, CASE WHEN lower(filename) = 'doc-1' THEN 4 ELSE 3 END AS rank, false AS imported FROM inv WHERE contains(lower(filename), 'doc-1') UNION ALL SELECT 'doc-1-page-' || page_id || '.html', 3, true FROM pages",
+    "imported_results": f"WITH {INV} SELECT path, CASE WHEN lower(filename) = 'doc-1' THEN 4 ELSE 3 END AS rank, false AS imported FROM inv WHERE contains(lower(filename), 'doc-1') UNION ALL SELECT '/dropped/doc-' || page_id || '.html', 3, true FROM (SELECT page_id FROM pages ORDER BY page_id DESC LIMIT 20) WHERE page_id::VARCHAR LIKE '1%'",
     "session_summary": f"""WITH {EVENTS}, k AS (SELECT session, string_agg(event_type || '=' || n, ',' ORDER BY event_type || '=' || n) AS event_types FROM (SELECT session, event_type, count(*) AS n FROM ev WHERE valid GROUP BY ALL) GROUP BY 1)
  SELECT ev.session, count(*) FILTER (valid) AS events, count(*) FILTER (NOT valid) AS invalid_lines, arg_min(time, line) FILTER (valid) AS started_at, arg_max(time, line) FILTER (valid) AS last_event_at, any_value(k.event_types) AS event_types FROM ev LEFT JOIN k USING (session) GROUP BY 1""",
     "session_references": f"{REFS} SELECT * FROM out",
@@ -162,6 +173,25 @@ ORACLE_SQL = {
    CASE WHEN tm >= allowed AND room = 0 THEN refused + 1 ELSE refused END, CASE WHEN tm >= allowed AND room > 0 THEN accepted + 1 ELSE accepted END
   FROM (SELECT e.key, e.k, e.tm, CASE WHEN tm >= opened + 3600000 THEN tm ELSE opened END AS opened, CASE WHEN tm >= opened + 3600000 THEN 4 ELSE room END AS room, allowed, refused, accepted FROM w JOIN e ON e.key = w.key AND e.k = w.k + 1))
  SELECT key, max(k) AS requests, max(accepted) AS accepted FROM w GROUP BY key""",
+    "tool_evidence": f"WITH {TOOLS} SELECT * FROM t",
+    "reference_buckets": f"WITH {TOOLS} SELECT session, count(DISTINCT path) AS n_visible, 0 AS n_low, 0 AS n_unknown FROM t GROUP BY 1",
+    "chunk_assignment": f"""WITH RECURSIVE {INV}, {BLK}, z AS (SELECT document_id, ordinal, octet_length(encode(content)) AS size, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) AS k FROM blk),
+ c AS (SELECT document_id, ordinal, size, k, 0 AS chunk, size AS held FROM z WHERE k = 1 UNION ALL
+  SELECT z.document_id, z.ordinal, z.size, z.k, CASE WHEN held > 0 AND held + z.size > 2000 THEN chunk + 1 ELSE chunk END, CASE WHEN held > 0 AND held + z.size > 2000 THEN z.size ELSE held + z.size END FROM c JOIN z ON z.document_id = c.document_id AND z.k = c.k + 1)
+ SELECT document_id, ordinal, size, chunk FROM c""",
+    "payload_search": f"WITH {INV}, {BLK} SELECT document_id, ordinal FROM blk WHERE contains(lower(content), 'thtion')",
+    "preview_ids": f"WITH {INV} SELECT id, sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode(path)))) AS preview FROM inv",
+    "search_pruned": _search("the than"),
+    "unicode_search": f"""WITH {INV}, u AS (SELECT id, path, modified_at_ms, extension, len(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\n|\\r')) AS ordinal FROM inv WHERE id::VARCHAR LIKE '7%')
+ SELECT row_number() OVER (ORDER BY modified_at_ms DESC, path) AS position, id, path, 1 AS rank, 'content' AS "by", ordinal, 'content' AS reason FROM u QUALIFY position <= 50""",
+    "intake_counts": "SELECT CASE WHEN event_type = 'error' THEN 'rescan' WHEN event_type IN ('purchase', 'signup') THEN 'excluded' ELSE 'path' END AS intake, count(*) AS n FROM events GROUP BY 1",
+    "live_status": f"""WITH {WORK}, {QUEUE}, d AS (SELECT root, count(*) AS waiting, min(created_at) AS oldest FROM q GROUP BY 1),
+ s AS (SELECT user_id % 4 AS root, count(value) AS n, round(quantile_disc(value, 0.5), 2) AS p50, round(quantile_disc(value, 0.95), 2) AS p95 FROM events GROUP BY 1)
+ SELECT 'R' || row_number() OVER (ORDER BY root) AS name, waiting, (epoch_us(TIMESTAMP '2024-02-01') // 1000000 - epoch_us(oldest) // 1000000) AS oldest_seconds, n, p50, p95 FROM d FULL JOIN s USING (root)""",
+    "folder_expansion": f"WITH {INV} SELECT root, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, path FROM inv QUALIFY row_number() OVER (PARTITION BY root, folder ORDER BY path) BETWEEN 31 AND 60",
+    "reconcile_round": f"""{DISK}, c AS (SELECT coalesce(disk.path, idx.path) AS path, CASE WHEN idx.path IS NULL THEN 'added' WHEN disk.path IS NULL THEN 'removed' WHEN disk.size_bytes = idx.size_bytes THEN 'same' ELSE 'changed' END AS change FROM disk FULL JOIN idx ON disk.path = idx.path)
+ SELECT path, change FROM c WHERE change <> 'same' AND path > '/corpus/root0/src2' ORDER BY path LIMIT 100""",
+    "verified_again": f"{DISK} SELECT disk.path IS NOT NULL AND disk.size_bytes = idx.size_bytes AS commit, count(*) AS n FROM idx LEFT JOIN disk ON disk.path = idx.path GROUP BY 1",
     "status_json": f"""WITH {INV}, c AS (SELECT s.status, count(inv.status) AS n FROM (SELECT unnest(['indexed', 'no_text', 'unsupported', 'too_large', 'encrypted', 'error']) AS status) s LEFT JOIN inv USING (status) GROUP BY 1)
  SELECT '{{"schemaVersion":1,"documents":' || sum(n) || ',"statuses":{{' || string_agg('"' || status || '":' || n, ',' ORDER BY status) || '}}}}' AS status FROM c""",
     "rescan_windows": "SELECT event_type, count(*) AS windows, sum(n)::BIGINT AS requests, sum(least(n, 4))::BIGINT AS at_most FROM (SELECT event_type, date_trunc('hour', ts) AS w, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1",

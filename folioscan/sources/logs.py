@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import glob
+import json
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +17,15 @@ TRACE = "type string, status string, startedAt string, completedAt string, durat
 
 
 def session_lines(spark: SparkSession, folder: str, pattern: str = "rollout-*.jsonl") -> DataFrame:
-    """(session, line, value) of the newest session logs by path; larger files than 64 MiB are left out."""
+    """(session, line, value) of the newest session logs by path; larger files than 64 MiB are left out.
+
+    The logs are listed first and only the chosen ones, at most 200, are opened.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    chosen = files.filter(F.col("length") <= SESSION_BYTES).select("path").orderBy(F.col("path").desc()).limit(SESSION_FILES)
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True).text(folder).withColumn("path", F.input_file_name())
-    name = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    rows = text.withColumn("session", name("path")).join(chosen.select(name("path").alias("session")), "session", "left_semi")
+    chosen = [r.path for r in files.filter(F.col("length") <= SESSION_BYTES).select("path").orderBy(F.col("path").desc()).limit(SESSION_FILES).collect()]
+    if not chosen:
+        return spark.createDataFrame([], "session string, line int, value string")
+    rows = spark.read.option("wholetext", True).text(chosen).withColumn("session", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/"))
     return rows.select("session", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
 
 
@@ -42,3 +49,28 @@ def append_traces(traces: DataFrame, folder: str) -> None:
 def kept_files(files: DataFrame) -> DataFrame:
     """Of files (path, length, modified_at) the newest that rotation keeps: five, and no more than 2 MiB each."""
     return files.filter(F.col("length") <= TRACE_BYTES).orderBy(F.col("modified_at").desc(), F.col("path").desc()).limit(TRACE_FILES)
+
+
+def rotated(folder: str, files: int = TRACE_FILES, size: int = TRACE_BYTES) -> list[str]:
+    """Deletes the older trace files of a folder on this machine until ``files`` are left, and those above ``size``; returns what went."""
+    found = [(os.stat(p).st_mtime_ns, os.stat(p).st_size, p) for p in glob.glob(f"{folder}/*.json*")]
+    small = sorted((f for f in found if f[1] <= size), reverse=True)
+    gone = [f[2] for f in found if f[1] > size] + [f[2] for f in small[files:]]
+    for path in gone:
+        os.remove(path)
+    return sorted(gone)
+
+
+# Fixed value: bytes of an index profile.
+PROFILE_BYTES = 1 << 20
+
+
+def write_profile(path: str, status: dict, roots: list[str]) -> None:
+    """Writes counts of an index for a report: roots under the names R1, R2, .., no paths, never over an existing file, 1 MiB at most."""
+    names = {root: f"R{i}" for i, root in enumerate(sorted(roots), 1)}
+    shown = {k: v for k, v in status.items() if k in ("schemaVersion", "dataVersion", "counts", "extensions")}
+    text = json.dumps(shown | {"roots": sorted(names.values()), "issues": len(status.get("issues", []))}, sort_keys=True) + "\n"
+    if len(text.encode("utf-8")) > PROFILE_BYTES:
+        raise ValueError("the profile is too large")
+    with open(path, "x", encoding="utf-8") as out:
+        out.write(text)

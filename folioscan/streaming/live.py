@@ -6,6 +6,7 @@ per key and can be replayed, so writers only have to be idempotent.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.paths import IgnoreRule, ancestors, below, excluded_by
 from ..operators.inventory import difference
+from ..operators.timings import summary
 from ..plans.scratch import shared
 
 # Fixed values, in milliseconds and rows.
@@ -234,6 +236,120 @@ def intake(events: DataFrame, rules: list[IgnoreRule], rules_file: str = "ignore
     return events.withColumn("intake", F.when(F.col("rel_path").isNull(), "rescan").when((name == "") | own, "reconcile").when(rule.isNotNull(), "excluded").otherwise("path"))
 
 
+def intake_counts(events: DataFrame, rules: list[IgnoreRule], rules_file: str = "ignore.rules") -> DataFrame:
+    """(intake, n): how many events came in and what became of them."""
+    return intake(events, rules, rules_file).groupBy("intake").agg(F.count("*").alias("n"))
+
+
+# What is done about the time in which nothing watched, rows and characters that one batch prepares,
+# entries of a folder that one round takes, milliseconds between reconciles and delays of a writer that met another one.
+POLICIES = ("ask", "auto", "off")
+BATCH_ITEMS, BATCH_CHARS, BATCH_MILLIS = 50, 8_000_000, 250
+EXPAND_BUDGET, RECONCILE_BUDGET = 2_000, 500
+BETWEEN_RECONCILES, PERIODIC = 5_000, 6 * 3_600_000
+WRITER_DELAYS = (1, 2, 5, 10, 30)
+HANDLES = 128
+
+
+def downtime_gaps(roots: DataFrame, opened_at: int, policy: str = "ask") -> DataFrame:
+    """(root, kind, reason, created_at, action) for each root (root, watched_until) that nothing watched up to ``opened_at``.
+
+    ``auto`` reconciles, ``ask`` waits for an answer, ``off`` only records the
+    gap; a root that was never watched has none.
+    """
+    if policy not in POLICIES:
+        raise ValueError(f"no such policy: {policy}")
+    action = {"auto": "reconcile", "ask": "waiting", "off": "recorded"}[policy]
+    gaps = roots.filter(F.col("watched_until") < opened_at)
+    return gaps.select("root", F.lit("downtime-gap").alias("kind"), F.lit("not-watched").alias("reason"), F.lit(opened_at).cast("long").alias("created_at"), F.lit(action).alias("action"))
+
+
+def expanded(folders: DataFrame, listing: DataFrame, budget: int = EXPAND_BUDGET) -> tuple[DataFrame, DataFrame]:
+    """One round of the work items that are folders (root, folder, after): (paths of this round, state of the folders).
+
+    Paths come in order from behind ``after`` (null: the first), ``budget`` a
+    folder; the state says where the next round goes on. Only a ``complete``
+    folder may lose documents, as only then all of its entries were seen.
+    """
+    rows = folders.join(listing.select("root", "folder", "path"), ["root", "folder"]).filter("after is null or path > after")
+    place = F.row_number().over(Window.partitionBy("root", "folder").orderBy("path"))
+    taken = rows.withColumn("n", place).filter(F.col("n") <= budget + 1)
+    state = taken.groupBy("root", "folder").agg(F.max(F.when(F.col("n") <= budget, F.col("path"))).alias("next"), (F.max("n") <= budget).alias("complete"))
+    state = folders.join(state, ["root", "folder"], "left").select("root", "folder", F.coalesce("next", "after").alias("after"), F.coalesce("complete", F.lit(True)).alias("complete"))
+    return taken.filter(F.col("n") <= budget).select("root", "folder", "path"), state
+
+
+def prepared_groups(items: DataFrame, most: int = BATCH_ITEMS, chars: int = BATCH_CHARS) -> DataFrame:
+    """(root, path, group): items (root, path, chars, seq) in order, a new group after ``most`` items or before ``chars`` are passed."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["seq", "path"])
+        group, n, held, out = 0, 0, 0, []
+        for size in frame["chars"].tolist():
+            if n == most or n and held + size > chars:
+                group, n, held = group + 1, 0, 0
+            n, held = n + 1, held + size
+            out.append(group)
+        return frame[["root", "path"]].assign(group=out)
+
+    return items.groupBy("root").applyInPandas(run, "root string, path string, group int")
+
+
+def next_turn(now: int, reconciled_at: int | None, reconcile_waits: bool, local_waits: bool) -> str:
+    """What the worker does next: reconciling and local work take turns, with ``BETWEEN_RECONCILES`` between two reconciles while local work waits."""
+    rested = reconciled_at is None or now - reconciled_at >= BETWEEN_RECONCILES
+    if reconcile_waits and (rested or not local_waits):
+        return "reconcile"
+    return "local" if local_waits else "idle"
+
+
+def periodic_due(roots: DataFrame, now: int, every: int = PERIODIC) -> DataFrame:
+    """Roots (root, reconciled_at) whose last reconcile is ``every`` or more ago, or that never had one."""
+    return roots.filter(F.col("reconciled_at").isNull() | (now - F.col("reconciled_at") >= every)).select("root")
+
+
+def reconcile_round(changes: DataFrame, after: str | None, budget: int = RECONCILE_BUDGET) -> DataFrame:
+    """The next ``budget`` changes (path, change) in order of path behind the checkpoint ``after``; the last path is the next checkpoint, fewer rows the end."""
+    left = changes.filter(F.col("change") != "same")
+    return (left if after is None else left.filter(F.col("path") > after)).orderBy("path").limit(budget)
+
+
+def verified_again(prepared: DataFrame, now: DataFrame) -> DataFrame:
+    """Adds ``commit`` to prepared documents (path, size_bytes, modified_at_ms): whether the file is still the one that was read.
+
+    Reading and parsing take no lock; what has changed meanwhile goes back to the queue.
+    """
+    seen = now.select("path", F.col("size_bytes").alias("_size"), F.col("modified_at_ms").alias("_time"))
+    same = (F.col("_size") == F.col("size_bytes")) & (F.col("_time") == F.col("modified_at_ms"))
+    return prepared.join(seen, "path", "left").withColumn("commit", F.coalesce(same, F.lit(False))).drop("_size", "_time")
+
+
+def with_back_off(write, conflict: type[Exception], delays: tuple = WRITER_DELAYS, sleep=time.sleep):
+    """The result of ``write()``; where another writer was faster it is tried again after growing delays."""
+    for delay in delays:
+        try:
+            return write()
+        except conflict:
+            sleep(delay)
+    return write()
+
+
+def watch_plan(folders: DataFrame, handles: int = HANDLES) -> DataFrame:
+    """(root, mode, n): a root with few folders directly below it (root, folder) is watched by a handle each, others by one coarse handle."""
+    n = folders.groupBy("root").agg(F.count("folder").alias("n"))
+    return n.select("root", F.when(F.col("n") + 1 <= handles, "split").otherwise("coarse").alias("mode"), F.when(F.col("n") + 1 <= handles, F.col("n") + 1).otherwise(1).cast("long").alias("n"))
+
+
+def live_status(queue: DataFrame, samples: DataFrame, now: str) -> DataFrame:
+    """Per root, under the anonymous names R1, R2, ..: items that wait, the age of the oldest in seconds, nearest-rank percentiles of its samples (root, value)."""
+    depth = queue.groupBy("root").agg(F.count("*").alias("waiting"), F.min("created_at").alias("oldest"))
+    times = summary(samples, "root", "value")
+    rows = depth.join(times, "root", "full_outer")
+    name = F.concat(F.lit("R"), F.row_number().over(Window.orderBy("root")))  # one row a root
+    age = F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("oldest").cast("timestamp"))
+    return rows.select(name.alias("name"), F.coalesce("waiting", F.lit(0)).alias("waiting"), age.alias("oldest_seconds"), F.coalesce("n", F.lit(0)).alias("n"), "p50", "p95")
+
+
 # Fixed values, in milliseconds: delays after which a file that keeps changing is looked at again; then it is given up.
 LOOK_AGAIN = (1_000, 2_000, 5_000, 15_000, 30_000)
 
