@@ -421,12 +421,12 @@ def live_status(spark, sf_dir):
 
 
 def folder_expansion(spark, sf_dir):
-    """Two rounds over the folders of the collection, 30 entries a folder and round: what the second one takes."""
+    """Two rounds over the folders of the collection, 3 entries a folder and round: what the second one takes."""
     docs = corpus.inventory(table(spark, sf_dir, "documents"))
     listing = docs.select("root", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "path")
     folders = listing.select("root", "folder").distinct().withColumn("after", F.lit(None).cast("string"))
-    _, state = live.expanded(folders, listing, 30)
-    return live.expanded(state.drop("complete"), listing, 30)[0]
+    _, state = live.expanded(folders, listing, 3)
+    return live.expanded(state.drop("complete"), listing, 3)[0]
 
 
 def reconcile_round(spark, sf_dir):

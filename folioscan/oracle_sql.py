@@ -188,7 +188,7 @@ ORACLE_SQL = {
     "live_status": f"""WITH {WORK}, {QUEUE}, d AS (SELECT root, count(*) AS waiting, min(created_at) AS oldest FROM q GROUP BY 1),
  s AS (SELECT user_id % 4 AS root, count(value) AS n, round(quantile_disc(value, 0.5), 2) AS p50, round(quantile_disc(value, 0.95), 2) AS p95 FROM events GROUP BY 1)
  SELECT 'R' || row_number() OVER (ORDER BY root) AS name, waiting, (epoch_us(TIMESTAMP '2024-02-01') // 1000000 - epoch_us(oldest) // 1000000) AS oldest_seconds, n, p50, p95 FROM d FULL JOIN s USING (root)""",
-    "folder_expansion": f"WITH {INV} SELECT root, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, path FROM inv QUALIFY row_number() OVER (PARTITION BY root, folder ORDER BY path) BETWEEN 31 AND 60",
+    "folder_expansion": f"WITH {INV} SELECT root, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, path FROM inv QUALIFY row_number() OVER (PARTITION BY root, folder ORDER BY path) BETWEEN 4 AND 6",
     "reconcile_round": f"""{DISK}, c AS (SELECT coalesce(disk.path, idx.path) AS path, CASE WHEN idx.path IS NULL THEN 'added' WHEN disk.path IS NULL THEN 'removed' WHEN disk.size_bytes = idx.size_bytes THEN 'same' ELSE 'changed' END AS change FROM disk FULL JOIN idx ON disk.path = idx.path)
  SELECT path, change FROM c WHERE change <> 'same' AND path > '/corpus/root0/src2' ORDER BY path LIMIT 100""",
     "verified_again": f"{DISK} SELECT disk.path IS NOT NULL AND disk.size_bytes = idx.size_bytes AS commit, count(*) AS n FROM idx LEFT JOIN disk ON disk.path = idx.path GROUP BY 1",
