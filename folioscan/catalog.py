@@ -460,9 +460,9 @@ def list_preview(spark, sf_dir):
     """The first 100 documents with a problem, the number of all, and whether the list is cut."""
     _, index = _disk_and_index(spark, sf_dir)
     issues = index.filter(F.col("status").isin("error", "encrypted"))
-    total = issues.count()
+    total = issues.agg(F.count(F.lit(1)).alias("n")).scalar()
     first = search.top(issues.withColumn("rank", F.lit(0)), "filename", 100)
-    return first.select("position", "path", F.lit(total).cast("long").alias("total"), F.lit(total > 100).alias("truncated"))
+    return first.select("position", "path", total.alias("total")).withColumn("truncated", F.col("total") > 100)
 
 
 def markdown_sections(spark, sf_dir):

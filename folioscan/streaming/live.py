@@ -54,11 +54,26 @@ def debounce(times: list[int], quiet: int = QUIET, forced: int = FORCED) -> list
 
 
 def debounced(events: DataFrame, key: str, ts: str = "ts", quiet: int = QUIET, forced: int = FORCED) -> DataFrame:
+    """(key, first, last, n, due) of the updates of each key.
+
+    A pause of ``quiet`` always ends an update, so pauses cut the events of a
+    key into bursts by a window. A burst shorter than ``forced`` is one update;
+    only the events of longer ones are gone through one after the other, each
+    burst by itself.
+    """
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rows = debounce(frame["at"].tolist(), quiet, forced)
         return pd.DataFrame([(frame["key"].iloc[0], *r) for r in rows], columns=["key", "first", "last", "n", "due"])
 
-    return events.select(F.col(key).cast("string").alias("key"), millis(ts).alias("at")).groupBy("key").applyInPandas(run, "key string, first long, last long, n long, due long")
+    by = Window.partitionBy("key").orderBy("at")
+    rows = events.select(F.col(key).cast("string").alias("key"), millis(ts).alias("at")).withColumn("gap", F.col("at") - F.lag("at").over(by))
+    rows = rows.withColumn("burst", F.sum(F.when(F.col("gap") < quiet, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    bursts = rows.groupBy("key", "burst").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n"))
+    short = bursts.filter(F.col("last") - F.col("first") < forced)
+    short = short.select("key", "first", "last", "n", F.least(F.col("last") + quiet, F.col("first") + forced).alias("due"))
+    long = rows.join(bursts.filter(F.col("last") - F.col("first") >= forced).select("key", "burst"), ["key", "burst"], "left_semi")
+    return short.union(long.groupBy("key", "burst").applyInPandas(run, "key string, first long, last long, n long, due long"))
 
 
 def debounced_stream(events: DataFrame, key: str, ts: str = "ts", quiet: int = QUIET, forced: int = FORCED, late: str = "10 minutes") -> DataFrame:
