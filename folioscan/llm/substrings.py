@@ -16,6 +16,13 @@ substrings (their anchor), so strings meet by anchor, never by document:
    document with a smaller id;
 5. each chunk joins the windows to spans and cuts them out.
 
+A chunk never meets more than ``fan`` buckets in steps 2 to 4. Where there are
+more, it sends to ``fan`` ranges of buckets; a cell takes one range from as
+many chunks as fill a bucket, merges what is equal and sends that on to the
+buckets of its range, and hands their answers back to its chunks. So chunks
+send at most ``fan`` rows each, and cells buckets * buckets / ``fan`` in all,
+100 thousand at 30 GB, where chunks by buckets were 56 million.
+
 Exact copies are settled by digest before step 3: all but the first lose all
 windows. What a chunk sends is free of repeats, so an anchor or a passage that
 a third of the documents share costs a bucket one entry a chunk. A bucket
@@ -232,41 +239,74 @@ def _distinct_keys(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys[starts], np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)
 
 
-def _shares(keys: np.ndarray, buckets: int, key_bits: int) -> np.ndarray:
-    """Where each bucket of equal width begins among sorted keys."""
-    width = -(-(1 << key_bits) // buckets)
-    return np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) * np.uint64(width))
+def _shares(keys: np.ndarray, width: int, count: int, first: int = 0) -> np.ndarray:
+    """Where each of ``count`` buckets of ``width`` keys, from the ``first`` one on, begins among sorted keys."""
+    edges = [min((first + k) * width, (1 << 64) - 1) for k in range(count + 1)]
+    return np.searchsorted(keys, np.array(edges, np.uint64))
+
+
+def _key_blob(keys: np.ndarray, twice: np.ndarray) -> bytes:
+    """Sorted keys as the bytes of their differences, which pack well, and their flags."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T[:6]).reshape(-1)
+    return _packed(planes, np.packbits(twice), np.array([len(keys)]))
+
 
+def _keys_of(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes, twice, (n,) = _unpacked(blob)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :6] = planes.reshape(6, n).T
+    return np.cumsum(steps.view(np.uint64).reshape(-1)), np.unpackbits(twice, count=n).astype(bool)
 
-def _key_rows(window: int, buckets: int, key_bits: int):
+
+def _key_rows(window: int, width: int, count: int, key_bits: int):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk = _chunk(batch, i)
                 _, _, doc, keys = chunk.runs(window, key_bits)
                 keys, twice = _distinct_keys(keys, chunk.ids[doc])
-                edges = _shares(keys, buckets, key_bits)
+                edges = _shares(keys, width, count)
                 used = np.flatnonzero(np.diff(edges))
-                blobs = []
-                for b in used:
-                    part = keys[edges[b] : edges[b + 1]]
-                    steps = np.diff(part, prepend=np.uint64(0))
-                    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T[:6]).reshape(-1)
-                    blobs.append(_packed(planes, np.packbits(twice[edges[b] : edges[b + 1]]), np.array([len(part)])))
+                blobs = [_key_blob(keys[edges[b] : edges[b + 1]], twice[edges[b] : edges[b + 1]]) for b in used]
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([batch.column("chunk")[i].as_py()] * len(used), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "blob"])
 
     return run
 
 
+def _merged_keys(width: int, inner: int):
+    """The distinct keys of a cell (column ``range``, rows of chunks) for each of the ``inner`` buckets of its range; a key of two chunks occurs in two documents."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        which, cell = int(frame["range"].iloc[0]), int(frame["cell"].iloc[0])
+        rows = [_keys_of(blob) for blob in frame["blob"]]
+        keys, first, count = np.unique(np.concatenate([k for k, _ in rows]), return_index=True, return_counts=True)
+        flags = np.concatenate([t for _, t in rows])
+        every = np.concatenate([k for k, _ in rows])
+        twice = count > 1
+        twice[np.searchsorted(keys, every[flags])] = True
+        edges = _shares(keys, width, inner, which * inner)
+        used = np.flatnonzero(np.diff(edges))
+        return pd.DataFrame({"bucket": which * inner + used, "chunk": np.full(len(used), cell), "blob": [_key_blob(keys[edges[b] : edges[b + 1]], twice[edges[b] : edges[b + 1]]) for b in used]})
+
+    return run
+
+
+def _spread_masks(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """The masks of a cell's keys, handed back to its chunks."""
+    rows = [_keys_of(blob)[0] for blob in frame["blob"]]
+    keys = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.uint64)
+    answers = answers.sort_values("bucket")
+    bits = [np.unpackbits(np.frombuffer(mask, np.uint8))[:n] for mask, n in zip(answers["mask"], answers["n"])]
+    shared = np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool)
+    masks = [np.packbits(shared[np.searchsorted(keys, own)]).tobytes() for own in rows]
+    return pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["range"], "mask": masks})
+
+
 def _shared_keys(frame: pd.DataFrame) -> pd.DataFrame:
     """For each row of keys a bit mask of those that occur in two documents."""
-    parts, flags = [], []
-    for blob in frame["blob"]:
-        planes, twice, (n,) = _unpacked(blob)
-        steps = np.zeros((n, 8), np.uint8)
-        steps[:, :6] = planes.reshape(6, n).T
-        parts.append(np.cumsum(steps.view(np.uint64).reshape(-1)))
-        flags.append(np.unpackbits(twice, count=n).astype(bool))
+    rows = [_keys_of(blob) for blob in frame["blob"]]
+    parts, flags = [r[0] for r in rows], [r[1] for r in rows]
     sizes = np.array([len(p) for p in parts])
     keys, twice = np.concatenate(parts), np.concatenate(flags)
     order = np.argsort(keys, kind="stable")
@@ -280,7 +320,7 @@ def _shared_keys(frame: pd.DataFrame) -> pd.DataFrame:
     masks = [np.packbits(twice[e - s : e]).tobytes() for s, e in zip(sizes, ends)]
     del keys, twice, ordered, order, parts
     release()
-    return pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["bucket"], "mask": masks})
+    return pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["bucket"], "n": sizes, "mask": masks})
 
 
 # -- pieces ---------------------------------------------------------------------------------------
@@ -291,8 +331,12 @@ def _gathered(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return text[shift + np.arange(len(shift))]
 
 
-def _piece_rows(window: int, buckets: int, key_buckets: int, key_bits: int):
-    """Rows (kind, bucket, chunk, size, blob): kind 0 the pieces for a bucket and the bytes they unpack to, kind 1 where each piece stands in the chunk."""
+def _piece_share(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (_mix(keys + np.uint64(0x51)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _piece_rows(window: int, buckets: int, inner: int, key_width: int, key_count: int, key_bits: int):
+    """Rows (kind, bucket, chunk, size, blob): kind 0 the pieces for a range of ``inner`` buckets and the bytes they unpack to, kind 1 where each piece stands in the chunk."""
 
     def run(batches):
         for batch in batches:
@@ -300,7 +344,7 @@ def _piece_rows(window: int, buckets: int, key_buckets: int, key_bits: int):
                 chunk, name = _chunk(batch, i), batch.column("chunk")[i].as_py()
                 at, count, doc, keys = chunk.runs(window, key_bits)
                 distinct = np.unique(keys)
-                edges, shared = _shares(distinct, key_buckets, key_bits), np.zeros(len(distinct), bool)
+                edges, shared = _shares(distinct, key_width, key_count), np.zeros(len(distinct), bool)
                 for row in batch.column("masks")[i].as_py():
                     lo, hi = edges[row["bucket"]], edges[row["bucket"] + 1]
                     shared[lo:hi] = np.unpackbits(np.frombuffer(row["mask"], np.uint8), count=hi - lo).astype(bool)
@@ -315,12 +359,12 @@ def _piece_rows(window: int, buckets: int, key_buckets: int, key_bits: int):
                 _, first, piece = np.unique(code, return_index=True, return_inverse=True)
                 least = np.full(len(first), NULL_ID, np.int64)
                 np.minimum.at(least, piece, chunk.ids[doc])
-                share = (_mix(keys[first] + np.uint64(0x51)) % np.uint64(buckets)).astype(np.int64)
+                share = _piece_share(keys[first], buckets) // inner
                 order = np.argsort(share, kind="stable")
                 starts, sizes = at[first][order], size[first][order]
                 text = _gathered(chunk.bytes, starts, sizes)
                 byte_ends = np.concatenate(([0], np.cumsum(sizes)))
-                cuts = np.searchsorted(share[order], np.arange(buckets + 1))
+                cuts = np.searchsorted(share[order], np.arange(-(-buckets // inner) + 1))
                 kinds, names, unpacked, blobs = [1], [-1], [0], [_packed(piece.astype(np.int32), doc.astype(np.int32), (at - chunk.starts[doc]).astype(np.int64), count.astype(np.int32))]
                 for b in np.flatnonzero(np.diff(cuts)):
                     own = order[cuts[b] : cuts[b + 1]]
@@ -333,6 +377,72 @@ def _piece_rows(window: int, buckets: int, key_buckets: int, key_bits: int):
     return run
 
 
+def _joined(blobs) -> tuple:
+    """(rows, and of all of their pieces: keys, least, size, start, end, text, the row, the piece of that row, equal pieces as one number)."""
+    rows = [_unpacked(blob) for blob in blobs]
+    keys, least, size, piece, _, text = (np.concatenate([r[k] for r in rows]) for k in range(6))
+    end = np.cumsum(size, dtype=np.int64)
+    code = xxh64_spans(text, end - size, end, 7) ^ size.astype(np.uint64)
+    _, first, same = np.unique(code, return_index=True, return_inverse=True)
+    lowest = np.full(len(first), NULL_ID, np.int64)
+    np.minimum.at(lowest, same, least)
+    return rows, keys, least, size, end, text, piece, first, same, lowest
+
+
+def _merged_pieces(buckets: int, inner: int):
+    """The distinct pieces of a cell (rows of chunks) with their least ids, for each bucket of its range; the piece's number is its rank in the cell."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        cell = int(frame["cell"].iloc[0])
+        _, keys, _, size, end, text, _, first, _, lowest = _joined(frame["blob"])
+        share = _piece_share(keys[first], buckets)
+        order = np.argsort(share, kind="stable")
+        share = share[order]
+        heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(share)), bool), share[1:] != share[:-1])))
+        names, sizes, blobs = [], [], []
+        for lo, hi in zip(heads, [*heads[1:], len(share)]):
+            own = order[lo:hi]
+            at = first[own]
+            part = _gathered(text, end[at] - size[at], size[at].astype(np.int64))
+            names.append(int(share[lo]))
+            sizes.append(len(part) + 28 * len(own))
+            blobs.append(_packed(keys[at], lowest[own], size[at], own.astype(np.int32), np.zeros(len(own), np.int32), part))
+        release()
+        return pd.DataFrame({"bucket": names, "chunk": np.full(len(names), cell), "size": sizes, "blob": blobs})
+
+    return run
+
+
+def _spread_answers(window: int):
+    """The answers for a cell's pieces, handed back to the pieces of its chunks; a piece that another chunk of the cell has with a smaller id goes as a whole."""
+
+    def run(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame):
+            return pd.DataFrame({"chunk": [], "answer": []})
+        rows, _, least, size, _, _, piece, first, same, lowest = _joined(frame["blob"])
+        found = [_unpacked(blob) for blob in answers["answer"]]
+        which, lo, hi = (np.concatenate([np.zeros(0, np.int32), *[f[k] for f in found]]).astype(np.int64) for k in range(3))
+        order = np.argsort(which, kind="stable")
+        which, lo, hi = which[order], lo[order], hi[order]
+        whole = least > lowest[same]
+        begin, end = np.searchsorted(which, same), np.searchsorted(which, same, side="right")
+        out_chunk, out_blob, at = [], [], 0
+        for chunk, row in zip(frame["chunk"], rows):
+            own = np.arange(at, at + len(row[0]))
+            at += len(row[0])
+            gone, some = own[whole[own]], own[~whole[own] & (end[own] > begin[own])]
+            many = end[some] - begin[some]
+            place = np.repeat(begin[some] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            parts = (np.concatenate((piece[gone], np.repeat(piece[some], many))), np.concatenate((np.zeros(len(gone), np.int64), lo[place])), np.concatenate((size[gone] - window + 1, hi[place])))
+            if len(parts[0]):
+                out_chunk.append(chunk)
+                out_blob.append(_packed(*(p.astype(np.int32) for p in parts)))
+        release()
+        return pd.DataFrame({"chunk": out_chunk, "answer": out_blob})
+
+    return run
+
+
 def _dealt_out(window: int):
     """Pieces of buckets that are too large, as windows: equal windows go to the same share."""
 
@@ -475,14 +585,40 @@ def _cut_rows(window: int, whole_chars: bool):
     return run
 
 
-def removals(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, bucket_keys: int = 2_000_000, bucket_bytes: int = 4 << 20, most_bytes: int = 32 << 20, whole_chars: bool = False) -> DataFrame:
+def _celled(sent: DataFrame, groups: int, most_bytes: int | None = None) -> DataFrame:
+    """``sent`` (bucket, chunk, ..) with ``range`` for bucket and ``cell``: a range is dealt to ``groups`` cells by chunk, to more where one would be too large."""
+    group = F.pmod(F.xxhash64("chunk"), F.lit(groups))
+    rows = sent.withColumnRenamed("bucket", "range").withColumn("group", group)
+    if most_bytes is not None:
+        parts = F.ceil(F.sum("size") / most_bytes).cast("int")
+        large = rows.groupBy(F.col("range").alias("r"), F.col("group").alias("g")).agg(parts.alias("parts")).filter("parts > 1")
+        rows = rows.join(large, (F.col("range") == F.col("r")) & (F.col("group") == F.col("g")), "left")
+        rows = rows.withColumn("group", F.col("group") + F.lit(groups) * F.pmod(F.xxhash64("chunk", F.lit(3)), F.coalesce("parts", F.lit(1)))).drop("r", "g", "parts")
+    # numbers of cells are below 2 ** 63: ranges are at most fan, groups at most buckets
+    return rows.withColumn("cell", F.col("range").cast("long") * F.lit(1 << 40) + F.col("group")).drop("group")
+
+
+def _answered(sent: DataFrame, window: int, most_bytes: int) -> DataFrame:
+    """(chunk, answer) for the senders of pieces (bucket, chunk, size, blob); buckets that unpack to too much are dealt out by windows."""
+    parts = F.ceil(F.col("bytes") * window / most_bytes).cast("int")  # every byte starts a window
+    large = stored(sent.groupBy(F.col("bucket").alias("b")).agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > most_bytes).select("b", parts.alias("parts")), "large")
+    groups = sent.select("bucket", F.lit(0).alias("part"), "chunk", "blob")
+    if not large.isEmpty():
+        same = F.col("bucket") == F.col("b")
+        dealt = sent.join(large, same).drop("b").mapInArrow(freeing(_dealt_out(window)), "bucket int, part int, chunk long, blob binary")
+        groups = groups.join(large, same, "left_anti").union(dealt)
+    return groups.groupBy("bucket", "part").applyInPandas(_solved(window), "chunk long, answer binary")
+
+
+def removals(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, bucket_keys: int = 2_000_000, bucket_bytes: int = 4 << 20, most_bytes: int = 32 << 20, fan: int = 512, whole_chars: bool = False) -> DataFrame:
     """REMOVED: one row for each distinct (id, text digest) of ``docs`` (doc_id, text) that loses bytes.
 
     With ``whole_chars`` what a cut leaves of a character is not kept either.
 
     ``window`` is 32 to 56. ``bucket_keys`` anchors and the pieces of
     ``bucket_bytes`` of text meet in a bucket on average; one whose pieces
-    unpack to more than ``most_bytes`` is dealt out by windows.
+    unpack to more than ``most_bytes`` is dealt out by windows. ``fan``: buckets
+    or ranges of them that a chunk sends to at most.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -498,21 +634,30 @@ def removals(docs: DataFrame, window: int = 50, chunk_bytes: int = 4 << 20, buck
 
     key_buckets, buckets = max(1, -(-total // (14 * bucket_keys))), max(1, -(-total // bucket_bytes))
     key_bits = min(48, max(24, int(total).bit_length() + 6))  # about 1 anchor in 1000 meets a stranger, which costs a piece and no error
-    keys = chunks.mapInArrow(freeing(_key_rows(window, key_buckets, key_bits)), "bucket int, chunk long, blob binary")
-    masks = keys.groupBy("bucket").applyInPandas(_shared_keys, "chunk long, bucket int, mask binary")
+    width = -(-(1 << key_bits) // key_buckets)
+    key_inner, inner = -(-key_buckets // fan), -(-buckets // fan)  # buckets of a range; 1: a chunk sends to the buckets themselves
+    key_ranges = -(-key_buckets // key_inner)
+    keys = chunks.mapInArrow(freeing(_key_rows(window, width * key_inner, key_ranges, key_bits)), "bucket int, chunk long, blob binary")
+    solved = "chunk long, bucket int, n long, mask binary"
+    if key_inner == 1:
+        masks = keys.groupBy("bucket").applyInPandas(_shared_keys, solved)
+    else:
+        cells = stored(_celled(keys, key_inner), "key_cells", "uncompressed")
+        merged = cells.groupBy("cell").applyInPandas(_merged_keys(width, key_inner), "bucket int, chunk long, blob binary")
+        answers = merged.groupBy("bucket").applyInPandas(_shared_keys, solved)
+        masks = cells.groupBy("cell").cogroup(answers.groupBy("chunk")).applyInPandas(_spread_masks, "chunk long, bucket int, mask binary")
     masks = masks.groupBy(F.col("chunk").alias("to")).agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))
     ready = chunks.join(masks.hint("shuffle_hash"), F.col("chunk") == F.col("to")).join(skip.hint("shuffle_hash"), F.col("chunk") == F.col("of"), "left")
-    pieces = stored(ready.select("chunk", "ids", "sizes", "digests", "texts", "masks", "skip").mapInArrow(freeing(_piece_rows(window, buckets, key_buckets, key_bits)), "kind int, bucket int, chunk long, size long, blob binary"), "pieces", "uncompressed")
+    pieces = stored(ready.select("chunk", "ids", "sizes", "digests", "texts", "masks", "skip").mapInArrow(freeing(_piece_rows(window, buckets, inner, width * key_inner, key_ranges, key_bits)), "kind int, bucket int, chunk long, size long, blob binary"), "pieces", "uncompressed")
 
     sent = pieces.filter("kind = 0").drop("kind")
-    parts = F.ceil(F.col("bytes") * window / most_bytes).cast("int")  # every byte starts a window
-    large = stored(sent.groupBy(F.col("bucket").alias("b")).agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > most_bytes).select("b", parts.alias("parts")), "large")
-    groups = sent.select("bucket", F.lit(0).alias("part"), "chunk", "blob")
-    if not large.isEmpty():
-        same = F.col("bucket") == F.col("b")
-        dealt = sent.join(large, same).drop("b").mapInArrow(freeing(_dealt_out(window)), "bucket int, part int, chunk long, blob binary")
-        groups = groups.join(large, same, "left_anti").union(dealt)
-    answers = groups.groupBy("bucket", "part").applyInPandas(_solved(window), "chunk long, answer binary")
+    if inner == 1:
+        answers = _answered(sent, window, most_bytes)
+    else:
+        cells = stored(_celled(sent, inner, most_bytes), "piece_cells", "uncompressed")
+        merged = stored(cells.groupBy("cell").applyInPandas(_merged_pieces(buckets, inner), "bucket int, chunk long, size long, blob binary"), "merged", "uncompressed")
+        answers = _answered(merged, window, most_bytes)
+        answers = cells.groupBy("cell").cogroup(answers.groupBy("chunk")).applyInPandas(_spread_answers(window), "chunk long, answer binary")
     answers = answers.groupBy(F.col("chunk").alias("to")).agg(F.collect_list("answer").alias("answers"))
     places = pieces.filter("kind = 1").select(F.col("chunk").alias("of"), "blob")
     ready = chunks.join(places.hint("shuffle_hash"), F.col("chunk") == F.col("of")).join(answers.hint("shuffle_hash"), F.col("chunk") == F.col("to"), "left")

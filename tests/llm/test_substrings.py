@@ -48,12 +48,33 @@ def texts(seed, count=60):
     return rows
 
 
-@pytest.mark.parametrize("how", [{}, {"chunk_bytes": 3000, "bucket_bytes": 4000, "bucket_keys": 50}, {"chunk_bytes": 20000, "bucket_bytes": 50000, "most_bytes": 2000}])
+@pytest.mark.parametrize("how", [{}, {"chunk_bytes": 3000, "bucket_bytes": 4000, "bucket_keys": 50}, {"chunk_bytes": 20000, "bucket_bytes": 50000, "most_bytes": 2000}, {"chunk_bytes": 1500, "bucket_bytes": 1000, "bucket_keys": 20, "fan": 4}, {"chunk_bytes": 1500, "bucket_bytes": 900, "bucket_keys": 20, "fan": 3, "most_bytes": 600}])
 def test_planted_passages_against_brute_force(spark, how):
     rows = texts(len(how) + 1)
     assert sorted(map(tuple, substrings.digested(made(spark, rows), **how).collect()), key=str) == slow(rows)
 
 
+def test_rows_sent_grow_with_the_bytes(spark, monkeypatch):
+    """Four times the documents: chunks send about four times the rows, though chunks and buckets both grow by four."""
+    kept, sent = substrings.stored, {}
+
+    def counting(frame, name, *codec):
+        out = kept(frame, name, *codec)
+        sent.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(substrings, "stored", counting)
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    shared = [" ".join(word() for _ in range(12)) for _ in range(400)]
+    for count in (60, 240):
+        rows = [(i, " ".join([" ".join(word() for _ in range(30)), shared[rng.randrange(count)], shared[rng.randrange(count)]])) for i in range(count)]
+        assert sorted(map(tuple, substrings.digested(made(spark, rows), chunk_bytes=1000, bucket_bytes=1000, bucket_keys=70, fan=4).collect()), key=str) == slow(rows)
+    for name in ("key_cells", "piece_cells"):
+        small, large = sent[name]
+        assert large <= 6 * small, (name, small, large)
+
+
 def test_odd_rows(spark):
     long = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(200))
     rows = [
