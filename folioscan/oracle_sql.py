@@ -79,6 +79,21 @@ def _pad(byte: int) -> str:
     return bytes(b ^ byte for b in b"key of this installation".ljust(64, b"\0")).hex()
 
 
+
+
+def _snippet(source: str, term: str) -> str:
+    """SQL for the snippet of 160 characters around the first hit of a short term, of texts that are their own normal form."""
+    flat = lambda text: f"regexp_replace({text}, '\\s+', ' ', 'g')"
+    at = f"instr(lower({source}), {term})"
+    left, right = flat(f"substr({source}, 1, {at} - 1)"), flat(f"substr({source}, {at} + length({term}))")
+    hit = f"substr({source}, {at}, length({term}))"
+    before = f"least(45, length({left}), 158 - length({term}))"
+    after = f"(158 - {before} - length({term}))"
+    lead = f"CASE WHEN length({left}) > {before} THEN '…' ELSE '' END || right({left}, {before})"
+    tail = f"substr({right}, 1, {after}) || CASE WHEN length({right}) > {after} THEN '…' ELSE '' END"
+    return f"trim({lead} || {hit} || {tail}, E' \t\n')"
+
+
 TOOLS = """t AS (SELECT conv_id AS session, turn AS line, '/corpus/root' || (conv_id % 2) || '/src' || (conv_id % 20) || '/doc-' || (conv_id + 2 * turn) || '.txt' AS path,
  CASE role WHEN 'user' THEN 'user-provided' ELSE 'other-tool' END AS source, CASE role WHEN 'user' THEN 'medium' ELSE 'high' END AS confidence,
  CASE role WHEN 'user' THEN 'response_item/message' WHEN 'assistant' THEN 'response_item/function_call' ELSE 'response_item/custom_tool_call' END AS event_type FROM conversations)"""
@@ -103,6 +118,18 @@ ORACLE_SQL = {
  concat_ws(chr(10), CASE WHEN contains(lower(b.heading), 'the than') THEN b.heading END, CASE WHEN contains(lower(b.content), 'the than') THEN b.content END) AS source,
  row_number() OVER (PARTITION BY b.document_id ORDER BY (b.ordinal = coalesce(pos.ordinal, -1)) DESC, b.ordinal) AS place
  FROM pos JOIN blk b ON b.document_id = pos.id WHERE position <= 50 AND (contains(lower(b.content), 'the than') OR coalesce(contains(lower(b.heading), 'the than'), false))) WHERE place <= 2"""),
+    "snippet_page": _with("the than", False, f""", p AS (SELECT pos.position, pos.id, CASE "by" WHEN 'heading' THEN b.heading WHEN 'content' THEN b.content ELSE pos.filename END AS source
+ FROM pos LEFT JOIN blk b ON b.document_id = pos.id AND b.ordinal = pos.ordinal WHERE position <= 20) SELECT position, id, {_snippet('source', "'the than'")} AS snippet, false AS snippet_truncated FROM p""").replace("SELECT id, path, modified_at_ms, status", "SELECT id, path, filename, modified_at_ms, status"),
+    "context_passages": _with("re ing", True, f""", h AS (SELECT b.*, coalesce(contains(lower(heading), 're'), false) AS h0, coalesce(contains(lower(heading), 'ing'), false) AS h1, contains(lower(content), 're') AS c0, contains(lower(content), 'ing') AS c1
+ FROM pos JOIN blk b ON b.document_id = pos.id WHERE position <= 20),
+ r AS (SELECT document_id, ordinal, CASE WHEN h0 OR h1 THEN 2 ELSE 1 END AS rank, location_value AS location, CASE WHEN h0 OR h1 THEN heading ELSE content END AS source, CASE WHEN h0 OR h1 THEN h0 ELSE c0 END AS m0, CASE WHEN h0 OR h1 THEN h1 ELSE c1 END AS m1 FROM h),
+ m AS (SELECT *, m0::INT + m1::INT AS n FROM r WHERE m0 OR m1),
+ a1 AS (SELECT *, 1 AS place FROM m QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY n DESC, rank DESC, ordinal) = 1),
+ a2 AS (SELECT m.*, 2 AS place FROM m JOIN a1 x USING (document_id) WHERE m.ordinal <> x.ordinal QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY (m.m0 AND NOT x.m0)::INT + (m.m1 AND NOT x.m1)::INT DESC, m.n DESC, m.rank DESC, m.ordinal) = 1),
+ a3 AS (SELECT m.*, 3 AS place FROM m JOIN a1 x USING (document_id) JOIN a2 y USING (document_id) WHERE m.ordinal NOT IN (x.ordinal, y.ordinal)
+  QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY (m.m0 AND NOT x.m0 AND NOT y.m0)::INT + (m.m1 AND NOT x.m1 AND NOT y.m1)::INT DESC, m.n DESC, m.rank DESC, m.ordinal) = 1),
+ f AS (SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3), t AS (SELECT *, CASE WHEN m0 AND (NOT m1 OR instr(lower(source), 're') < instr(lower(source), 'ing')) THEN 're' ELSE 'ing' END AS term FROM f)
+ SELECT document_id, place, ordinal, rank, location, {_snippet('source', 'term')} AS snippet, false AS snippet_truncated FROM t"""),
     "all_terms_passages": _with("re ing", True, """, h AS (SELECT b.document_id, b.ordinal, b.heading, b.location_value, coalesce(contains(lower(b.heading), 're'), false) AS h0, coalesce(contains(lower(b.heading), 'ing'), false) AS h1, contains(lower(b.content), 're') AS c0, contains(lower(b.content), 'ing') AS c1, b.content
  FROM pos JOIN blk b ON b.document_id = pos.id WHERE position <= 50),
  s AS (SELECT document_id, ordinal, heading, location_value, h0 OR c0 AS t0, h1 OR c1 AS t1, concat_ws(chr(10), CASE WHEN h0 OR h1 THEN heading END, CASE WHEN c0 OR c1 THEN content END) AS source FROM h WHERE h0 OR h1 OR c0 OR c1),
