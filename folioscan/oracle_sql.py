@@ -147,6 +147,12 @@ ORACLE_SQL = {
     "gram_candidates": f"WITH {INV}, {BLK} SELECT document_id FROM blk GROUP BY document_id HAVING " + " AND ".join(f"bool_or(contains(lower(content), '{g}'))" for g in ("tht", "hti", "tio", "ion")),
     "gram_vs_scan": f"WITH {INV}, {BLK} SELECT document_id, min(ordinal) AS ordinal FROM blk WHERE contains(lower(content), 'thtion') GROUP BY document_id",
     "filename_grams": f"WITH {INV} SELECT gram, count(DISTINCT id) AS n_documents FROM (SELECT id, unnest(list_transform(range(1, length(filename)), lambda i: substr(lower(filename), i, 2))) AS gram FROM inv) GROUP BY gram",
+    "html_blocks": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs') AS h FROM pages),
+ b AS (SELECT page_id, regexp_replace(regexp_replace(h, '<a [^>]*href="([^"]*)"[^>]*>', ' \1 ', 'g'), '<(title|h[1-6])[^>]*>', chr(1) || chr(2), 'g') AS h FROM a),
+ c AS (SELECT page_id, regexp_replace(regexp_replace(h, '</?(title|h[1-6]|p|div|li|ul|nav|article|footer|br|html|head|body)( [^>]*)?/?>', chr(1), 'g'), '<[^>]*>', '', 'g') AS h FROM b),
+ d AS (SELECT page_id, unnest(range(len(l))) AS i, unnest(l) AS piece FROM (SELECT page_id, string_split(h, chr(1)) AS l FROM c)),
+ e AS (SELECT page_id, i, starts_with(piece, chr(2)) AS head, trim(regexp_replace(replace(replace(replace(replace(replace(piece, chr(2), ''), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS content FROM d)
+ SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS ordinal, last_value(CASE WHEN head THEN content END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i) AS heading, content FROM e WHERE content <> ''""",
     "html_titles": "SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages",
     "markdown_sections": "SELECT doc_id, 0 AS ordinal, 'doc ' || doc_id AS heading, rtrim('# doc ' || doc_id || chr(10) || text, E' \\n\\t') AS content, 1 AS start_line FROM documents",
     "status_counts": f"WITH {INV} SELECT s.status, count(inv.status) AS n FROM (SELECT unnest(['indexed', 'no_text', 'unsupported', 'too_large', 'encrypted', 'error']) AS status) s LEFT JOIN inv USING (status) GROUP BY 1",
