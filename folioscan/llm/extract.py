@@ -43,28 +43,27 @@ PATH_SLOTS, WORD_SLOTS, WIDTH, HIDDEN = 1 << 14, 1 << 13, 16, 20
 TEXTS = "page_id long, url string, text string, n_blocks int, n_main int"
 
 
-def path_tokens(block: html_blocks.Block) -> list[str]:
-    """Tokens of the tag path: every element and name on it, the last two once more, sizes and links in steps."""
-    out = []
-    for depth, tokens in enumerate(block.path):
-        out += tokens
-        if depth >= len(block.path) - 2:
-            out += [f"{len(block.path) - depth}{t}" for t in tokens]
-    size = len(block.text)
-    out.append(f"size{min(9, size.bit_length())}")
-    out.append(f"link{4 * min(size, block.linked) // max(1, size)}")
-    out.append(f"end{block.text[-1] in '.!?'}")
-    return out
-
-
 @lru_cache(maxsize=1 << 16)
 def _slot(token: str, slots: int) -> int:
     return crc32(token.encode("utf-8", "replace")) % slots
 
 
+@lru_cache(maxsize=1 << 12)
+def _path_slots(path: tuple) -> tuple:
+    """Every element and name on a tag path, the last two once more with their place; neighbours on a page share their paths."""
+    out = []
+    for depth, tokens in enumerate(path):
+        out += tokens
+        if depth >= len(path) - 2:
+            out += [f"{len(path) - depth}{t}" for t in tokens]
+    return tuple(_slot(t, PATH_SLOTS) for t in out)
+
+
 def block_ids(block: html_blocks.Block) -> tuple[list[int], list[int]]:
-    words = block.text.lower().split()
-    return [_slot(t, PATH_SLOTS) for t in path_tokens(block)], [_slot(w, WORD_SLOTS) for w in words]
+    """Slots of the tag path with the size and the share of links in steps, and of the words."""
+    size = len(block.text)
+    marks = (f"size{min(9, size.bit_length())}", f"link{4 * min(size, block.linked) // max(1, size)}", f"end{block.text[-1] in '.!?'}")
+    return [*_path_slots(block.path), *[_slot(t, PATH_SLOTS) for t in marks]], [_slot(w, WORD_SLOTS) for w in block.text.lower().split()]
 
 
 def _means(table: np.ndarray, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,7 +200,7 @@ def trained(count: int = PAGES) -> Labeller:
 
 def kept(spark: SparkSession, count: int = PAGES) -> Labeller:
     """The labeller of the shared folder; trained and put there if it is not. The key follows the code that it comes from."""
-    code = "".join(inspect.getsource(part) for part in (html_blocks, html_pages, Labeller, path_tokens, block_ids, training_pages))
+    code = "".join(inspect.getsource(part) for part in (html_blocks, html_pages, Labeller, _path_slots, block_ids, training_pages))
     path = f"{shared_dir(spark)}/labeller-{count}-{PATH_SLOTS}-{WORD_SLOTS}-{WIDTH}-{HIDDEN}-{crc32(code.encode('utf-8')):08x}"
     model = Labeller.__new__(Labeller)
     try:
