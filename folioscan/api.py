@@ -113,12 +113,16 @@ class Collection:
             raise scan.RootError("ROOT_IS_EMPTY", start)
         chosen = stored(inventory.classified(disk, inside, rebuild), "chosen")
         reasons = {r.reason: r["count"] for r in chosen.groupBy("reason").count().collect()}
+        gone = stored(inventory.missing(inside, disk, start, protected).select("id", "path", "protected"), "gone")
+        removed = {r.protected: r["count"] for r in gone.groupBy("protected").count().collect()}
+        skipped = {r.rule: r["count"] for r in listed.filter("rule is not null").groupBy("rule").count().collect()}
+        told = {"plan": plan.kind, "reasons": reasons, "removed": removed.get(False, 0), "protected": removed.get(True, 0), "unreadable": protected, "skipped": skipped}
+        if set(reasons) <= {"unchanged"} and not told["removed"] and plan.kind in ("existing", "subtree"):
+            return told | {"version": self.store.version(), "committed": {}, "read": 0}  # nothing to write, so no new version
         due = chosen.filter("action <> 'skip'").select("path", "action", "reason").join(disk, "path")
         read = parsers.read_listed(due.filter("action = 'parse'"))
         known = due.filter("action = 'metadata'").select("path", "filename", "extension", "size_bytes", "modified_at_ms", F.lit("unsupported").alias("status"))
         read = stored(read.unionByName(known, allowMissingColumns=True), "read")
-        gone = stored(inventory.missing(inside, disk, start, protected).select("id", "path", "protected"), "gone")
-        removed = {r.protected: r["count"] for r in gone.groupBy("protected").count().collect()}
         base = (old.agg(F.max("id")).first()[0] or 0) + 1
         fresh = read.join(old.select("path", F.col("id").alias("old_id")), "path", "left")
         numbered = self._numbered(fresh.filter("old_id is null").select("path"))
@@ -133,11 +137,7 @@ class Collection:
             self.store.touch(moved)
         version = self.store.patch(dead, roots=self._roots_with(plan.root, False, plan.merged), documents=new, blocks=parts, postings=grams)
         committed = {r.reason: r["count"] for r in due.join(new.select("path"), "path", "left_semi").groupBy("reason").count().collect()}
-        skipped = {r.rule: r["count"] for r in listed.filter("rule is not null").groupBy("rule").count().collect()}
-        return {
-            "version": version, "plan": plan.kind, "reasons": reasons, "committed": committed, "read": read.filter("status <> 'unsupported'").count(), "removed": removed.get(False, 0),
-            "protected": removed.get(True, 0), "unreadable": protected, "skipped": skipped,
-        }
+        return told | {"version": version, "committed": committed, "read": read.filter("status <> 'unsupported'").count()}
 
     # -- use -----------------------------------------------------------------------------------------
 
