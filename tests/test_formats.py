@@ -198,6 +198,17 @@ def test_parsers_in_a_process_of_their_own():
         assert problem.value.code == code and time.monotonic() - start < 8
 
 
+def test_registered_parsers_reach_the_tasks(spark, tmp_path):
+    (tmp_path / "a.odd").write_bytes(b"odd text")
+    parsers.register(".ODD", lambda data: [(0, None, data.decode().upper(), "section", "whole")])
+    try:
+        assert [r.blocks[0].content for r in parsers.read_files(spark, str(tmp_path)).collect()] == ["ODD TEXT"]
+        files = spark.createDataFrame([(str(tmp_path / "a.odd"), 8, 1.0), (str(tmp_path / "gone.odd"), 8, 1.0)], "path string, size_bytes long, modified_at_ms double")
+        assert {r.filename: (r.status, r.error_code) for r in parsers.read_listed(files).collect()} == {"a.odd": ("indexed", None), "gone.odd": ("error", "FILE_READ_FAILED")}
+    finally:
+        del parsers.PARSERS[".odd"]
+
+
 def test_every_new_format_is_read_from_a_folder(spark, tmp_path):
     (tmp_path / "a.msg").write_bytes(mail({"__substg1.0_1000001F": "hello mail".encode("utf-16-le")}))
     (tmp_path / "b.doc").write_bytes(doc({"body": "hello doc\r"}))
