@@ -6,7 +6,7 @@ big-endian bytes. It is cut into blocks of 16 bits; documents meet where
 ``shared`` blocks agree. With B blocks, B - shared >= max_distance, no pair
 within ``max_distance`` can miss each other; otherwise a pair at bit
 difference p meets in each block with (1 - p) ** 16, and ``overlap`` adds the
-blocks that start in the middle of these.
+blocks that start at the bytes between these.
 
 Copies collapse into one class a fingerprint before anything is linked. A
 block that very many classes share is never dealt to one task: within
@@ -212,20 +212,24 @@ def _close_pairs(group: np.ndarray, side: np.ndarray, fp: np.ndarray, most: int)
     return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
 
-def links(classes: DataFrame, tables: int, shared: int, max_distance: int, tile: int = 4096, overlap: bool = False, sure: int | None = None) -> DataFrame:
+def links(classes: DataFrame, tables: int, shared: int, max_distance: int, tile: int = 4096, overlap: bool = False, sure: int | None = None, block_bytes: int = 2) -> DataFrame:
     """(a, b, apart): links that connect all classes (fp, node) within ``max_distance`` bits that share ``shared`` blocks.
 
+    ``block_bytes``: rows that share a block by chance grow with the table over 256 ** block_bytes. Two bytes serve
+    tens of millions of classes; beyond that three bytes with more tables keep chance and recall where they were.
+
     ``apart`` is 0 for links within ``sure`` bits (default: all), else the distance of just this pair.
     """
-    blocks = 4 * tables
+    blocks = 8 * tables // block_bytes
     sure = max_distance if sure is None else sure
-    keys = [F.concat(F.lit(bytes(chosen)), *[F.substring("fp", 2 * b + 1, 2) for b in chosen]) for chosen in combinations(range(blocks), shared)]
-    if overlap:
-        keys += [F.concat(F.lit(bytes([blocks + b])), F.substring("fp", 2 * b + 2, 2)) for b in range(blocks - 1)]
+    block = lambda start: F.substring("fp", start + 1, block_bytes)
+    keys = [F.concat(F.lit(bytes(chosen)), *[block(block_bytes * b) for b in chosen]) for chosen in combinations(range(blocks), shared)]
+    if overlap:  # their names have two bytes, so no key of both kinds is the same
+        keys += [F.concat(F.lit(start.to_bytes(2, "big")), block(start)) for start in range(8 * tables - block_bytes + 1) if start % block_bytes]
     keyed = classes.select("fp", "node", F.explode(F.array(*keys)).alias("key"))
     hot, told = stored_and_told(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile), "hot", rows=F.count(F.lit(1)))
     rows = keyed.join(F.broadcast(hot) if told["rows"] <= _BROADCAST_KEYS else hot, "key", "left")
-    star = tables == 1 and max_distance <= 2
+    star = tables == 1 and max_distance <= 2 and block_bytes == 2
 
     def pairs(batches):
         held: list = []
@@ -318,7 +322,7 @@ def _confirmed(found: DataFrame, texts: DataFrame, classes: DataFrame, shingle:
     return placed.union(united.select("node", "root").join(roots.select("node"), "node", "left_anti"))
 
 
-def _groups(docs: DataFrame, by_id: bool, shingle: int = 3, tables: int = 1, shared: int = 2, max_distance: int = 2, tile: int = 4096, overlap: bool = False, similar: float | None = None, sure: int = 0) -> tuple[DataFrame, DataFrame]:
+def _groups(docs: DataFrame, by_id: bool, shingle: int = 3, tables: int = 1, shared: int = 2, max_distance: int = 2, tile: int = 4096, overlap: bool = False, similar: float | None = None, sure: int = 0, block_bytes: int = 2) -> tuple[DataFrame, DataFrame]:
     """(rows of ``docs`` as (doc_id, row, fp), (fp, node, root, head) of each distinct fingerprint).
 
     ``root`` is one node of the group, ``head`` the least (no id, doc_id, row) of the fingerprint's rows. Nodes are
@@ -327,7 +331,7 @@ def _groups(docs: DataFrame, by_id: bool, shingle: int = 3, tables: int = 1, sha
     marked = stored(fingerprints(docs, shingle, tables), "simhash")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head")
     classes = stored(marked.groupBy("fp").agg(head).withColumn("node", F.monotonically_increasing_id()), "classes")
-    found = links(classes.select("fp", "node"), tables, shared, max_distance, tile, overlap, None if similar is None else sure)
+    found = links(classes.select("fp", "node"), tables, shared, max_distance, tile, overlap, None if similar is None else sure, block_bytes)
     if by_id:
         ids = marked.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
         again = marked.join(ids, "doc_id").select("fp", "low").filter("fp <> low").distinct()

@@ -164,8 +164,8 @@ def test_open_links_of_a_group_are_those_of_the_closest_pairs(spark):
             if jaccard(s, t) >= 0.8:
                 low, high = sorted((find(a), find(b)))
                 root[high] = low
-    for tile in (2, 4096):
-        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(made(spark, rows), tile=tile, **simhash.EIGHTY_PERCENT).collect()}
+    for other in ({"tile": 2}, {"tile": 4096}, {"block_bytes": 3, "tables": 32, "sure": 4 * 56, "max_distance": 4 * 100}):
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(made(spark, rows), **(simhash.EIGHTY_PERCENT | other)).collect()}
         assert got == {d: find(d) for d in root}
 
 
