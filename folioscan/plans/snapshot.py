@@ -1,9 +1,11 @@
 """Immutable snapshots with a manifest: a new version becomes current by one small write.
 
-Documents, blocks and postings are dealt to ``buckets`` by document id; a
-version names a folder for each bucket of each table. A change of some
-documents writes the buckets that hold them and no others; the new version
-shares the rest with the one before.
+Documents, blocks and postings are dealt to buckets by document id; a version
+names a folder for each bucket of each table. A change of some documents writes
+the buckets that hold them and no others; the new version shares the rest with
+the one before. A bucket holds about ``target`` documents: when a collection
+has outgrown its buckets the next change deals everything to more of them
+(at most ``MOST``), so each document is dealt anew a few times only.
 
 A version's manifest entry is created under its number and never replaced, so
 of two writers that start from one version one fails with ``Conflict`` and has
@@ -24,6 +26,8 @@ from pyspark.sql.types import StructType
 #: Tables and the column whose hash deals their rows to buckets; None: one folder.
 TABLES = {"documents": "id", "blocks": "document_id", "postings": "document_id", "roots": None}
 BUCKET = "__bucket"
+#: Buckets of a small collection, and the most that a manifest names.
+LEAST, MOST = 32, 4096
 
 
 class Conflict(RuntimeError):
@@ -33,8 +37,8 @@ class Conflict(RuntimeError):
 class SnapshotStore:
     """Tables below ``path``/v-<id>/ and one entry for each version below ``path``/manifest."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, target: int = 50_000):
+        self.spark, self.path, self.target = spark, path.rstrip("/"), target
 
     # -- files ---------------------------------------------------------------------------------------
 
@@ -93,35 +97,48 @@ class SnapshotStore:
 
     # -- writing -------------------------------------------------------------------------------------
 
-    def _bucket(self, column: str):
-        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
+    @staticmethod
+    def _bucket(column: str, buckets: int):
+        return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
 
-    def _written(self, name: str, table: DataFrame, folder: str) -> dict:
+    def _buckets_for(self, documents: int) -> int:
+        wanted = LEAST
+        while wanted < MOST and wanted * self.target < documents:
+            wanted *= 2
+        return wanted
+
+    def _written(self, name: str, table: DataFrame, folder: str, buckets: int) -> dict:
         """Writes a table and returns its folders by bucket."""
         key = TABLES[name]
         if key is None:
             table.write.option("compression", "zstd").parquet(f"{folder}/{name}")
             return {"0": f"{folder}/{name}"}
-        # a bucket is one task's work and one file; postings are sorted so that a look-up reads few row groups
-        dealt = table.withColumn(BUCKET, self._bucket(key)).repartition(self.buckets, BUCKET).sortWithinPartitions(BUCKET, *[c for c in ("gram", key, "ordinal") if c in table.columns])
+        # rebalanced: small buckets share a task, a large one is split over several; postings are sorted so that a look-up reads few row groups
+        dealt = table.withColumn(BUCKET, self._bucket(key, buckets)).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *[c for c in ("gram", key, "ordinal") if c in table.columns])
         dealt.write.option("compression", "zstd").partitionBy(BUCKET).parquet(f"{folder}/{name}")
         place, files = self._place(f"{folder}/{name}")
         names = [s.getPath().getName() for s in files.listStatus(place)]
         return {n.partition("=")[2]: f"{folder}/{name}/{n}" for n in names if n.startswith(f"{BUCKET}=")}
 
-    def _finish(self, before: dict | None, tables: dict) -> int:
+    def _finish(self, before: dict | None, tables: dict, buckets: int) -> int:
         number = (before["data_version"] if before else 0) + 1
-        self._create(f"{self.path}/manifest/{number:012d}.json", json.dumps({"schema_version": 2, "data_version": number, "tables": tables}) + "\n")
+        self._create(f"{self.path}/manifest/{number:012d}.json", json.dumps({"schema_version": 2, "data_version": number, "buckets": buckets, "tables": tables}) + "\n")
         return number
 
     def commit(self, **tables: DataFrame) -> int:
-        """Writes whole tables as a new version; those not given stay as the version before has them."""
+        """Writes whole tables as a new version; those not given stay as the version before has them.
+
+        New buckets need all tables that the version before has.
+        """
         folder, found = f"{self.path}/v-{uuid.uuid4().hex}", self._manifest()
         before = found[-1] if found else None
         places = dict(before["tables"]) if before else {}
+        dealt = {n for n in (*places, *tables) if TABLES[n]}
+        whole = "documents" in tables and dealt <= set(tables)
+        buckets = self._buckets_for(tables["documents"].count()) if whole or not before and "documents" in tables else before["buckets"] if before else LEAST
         for name, table in tables.items():
-            places[name] = {"schema": json.loads(table.schema.json()), "parts": self._written(name, table, folder)}
-        return self._finish(before, places)
+            places[name] = {"schema": json.loads(table.schema.json()), "parts": self._written(name, table, folder, buckets)}
+        return self._finish(before, places, buckets)
 
     def patch(self, gone: DataFrame, roots: DataFrame | None = None, **fresh: DataFrame) -> int:
         """A new version without the documents of ``gone`` (id) and with the ``fresh`` rows of the tables; only touched buckets are written.
@@ -129,23 +146,29 @@ class SnapshotStore:
         A document that changes is both gone and fresh. Buckets are few, so their numbers are collected.
         """
         folder, before = f"{self.path}/v-{uuid.uuid4().hex}", self._entry()
-        tables = dict(before["tables"])
+        tables, buckets = dict(before["tables"]), before["buckets"]
         dead = gone.select(F.col("id").cast("long").alias("id")).distinct()
-        touched = dead.select(self._bucket("id").alias("b"))
-        for name, rows in fresh.items():
-            touched = touched.union(rows.select(self._bucket(TABLES[name])))
-        only = sorted(str(r.b) for r in touched.distinct().collect())
+        wanted = buckets
+        if "documents" in fresh:
+            wanted = self._buckets_for(self._table(before, "documents").count() + fresh["documents"].count())
+        if wanted > buckets:
+            only, buckets = None, wanted
+        else:
+            touched = dead.select(self._bucket("id", buckets).alias("b"))
+            for name, rows in fresh.items():
+                touched = touched.union(rows.select(self._bucket(TABLES[name], buckets)))
+            only = sorted(str(r.b) for r in touched.distinct().collect())
         for name, key in TABLES.items():
-            if key is None or name not in tables:
+            if key is None or name not in tables or only == []:
                 continue
             old = self._table(before, name, only)
             left = old.join(dead.withColumnRenamed("id", key), key, "left_anti").select(*old.columns)
             whole = left.unionByName(fresh[name].select(*old.columns)) if name in fresh else left
-            parts = {b: p for b, p in tables[name]["parts"].items() if b not in only}
-            tables[name] = tables[name] | {"parts": parts | (self._written(name, whole, folder) if only else {})}
+            kept = {} if only is None else {b: p for b, p in tables[name]["parts"].items() if b not in only}
+            tables[name] = tables[name] | {"parts": kept | self._written(name, whole, folder, buckets)}
         if roots is not None:
-            tables["roots"] = {"schema": json.loads(roots.schema.json()), "parts": self._written("roots", roots, folder)}
-        return self._finish(before, tables)
+            tables["roots"] = {"schema": json.loads(roots.schema.json()), "parts": self._written("roots", roots, folder, buckets)}
+        return self._finish(before, tables, buckets)
 
     def upsert(self, documents: DataFrame, blocks: DataFrame) -> int:
         """Replaces whole documents by path, ids kept; repeated ordinals of a document fail it."""
@@ -163,13 +186,14 @@ class SnapshotStore:
     def touch(self, documents: DataFrame) -> int:
         """Replaces the rows of known documents by id and leaves their blocks and postings as they are."""
         folder, before = f"{self.path}/v-{uuid.uuid4().hex}", self._entry()
-        only = sorted(str(r.b) for r in documents.select(self._bucket("id").alias("b")).distinct().collect())
-        old = self._table(before, "documents", only)
-        whole = old.join(documents.select("id"), "id", "left_anti").select(*old.columns).unionByName(documents.select(*old.columns))
-        tables = dict(before["tables"])
-        parts = {b: p for b, p in tables["documents"]["parts"].items() if b not in only}
-        tables["documents"] = tables["documents"] | {"parts": parts | (self._written("documents", whole, folder) if only else {})}
-        return self._finish(before, tables)
+        tables, buckets = dict(before["tables"]), before["buckets"]
+        only = sorted(str(r.b) for r in documents.select(self._bucket("id", buckets).alias("b")).distinct().collect())
+        if only:
+            old = self._table(before, "documents", only)
+            whole = old.join(documents.select("id"), "id", "left_anti").select(*old.columns).unionByName(documents.select(*old.columns))
+            kept = {b: p for b, p in tables["documents"]["parts"].items() if b not in only}
+            tables["documents"] = tables["documents"] | {"parts": kept | self._written("documents", whole, folder, buckets)}
+        return self._finish(before, tables, buckets)
 
     def remove(self, gone: DataFrame) -> int:
         """Drops the documents of ``gone`` (path), their blocks and postings."""

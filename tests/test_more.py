@@ -139,6 +139,24 @@ def test_a_change_writes_its_buckets_only(spark, tmp_path):
         store.read("documents", 1)
 
 
+def test_a_collection_that_grows_gets_more_buckets(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "s"), target=10)
+    rows = lambda lo, hi: (spark.range(lo, hi).select("id", F.format_string("/d/%05d", "id").alias("path"), F.lit(1).cast("long").alias("size_bytes")), spark.range(lo, hi).select(F.col("id").alias("document_id"), F.lit(0).alias("ordinal"), F.lit("t").alias("content")))
+    none = spark.createDataFrame([], "id long")
+    store.commit(documents=rows(0, 0)[0], blocks=rows(0, 0)[1])
+    seen = []
+    for lo, hi in ((0, 100), (100, 300), (300, 900), (900, 910)):
+        docs, blocks = rows(lo, hi)
+        store.patch(none, documents=docs, blocks=blocks)
+        seen.append(store._entry()["buckets"])
+        assert store.read("documents").count() == hi == store.read("blocks").select("document_id").distinct().count()
+    assert seen == [32, 32, 128, 128]
+    before = store._entry()["tables"]["blocks"]["parts"]
+    store.patch(spark.createDataFrame([(5,)], "id long"))
+    after = store._entry()["tables"]["blocks"]["parts"]
+    assert sum(after.get(b) != p for b, p in before.items()) == 1 and store.read("documents").count() == 909
+
+
 def test_two_writers_never_make_one_version(spark, tmp_path):
     store = stored(spark, tmp_path / "s", 20)
     results, start = [], threading.Barrier(2)
