@@ -144,7 +144,12 @@ class Collection:
     def session(self, text: str, mode: str = "phrase", field: str = "all", sort: str = "relevance", types: str | None = None, under: str | None = None) -> search.Session:
         root, subtree = self.scope(under) if under else (None, None)
         what = search.Search(text, mode, field, sort, tuple(parse_types(types)) if types else (), (), root, subtree)
-        return search.Session(self.store.read("documents"), self.store.read("blocks"), what, self.store.version(), self.store.version, self.store.read("postings"))
+        version = self.store.version()
+        tables = [self.store.read(name, version) for name in ("documents", "blocks")]
+        return search.Session(*tables, what, version, self.store.version, self._postings(version))
+
+    def _postings(self, version: int):
+        return lambda grams: self.store.lookup("postings", grams, version)
 
     def page(self, text: str, number: int, size: int = 20, **how) -> DataFrame:
         """A page of at most 50 of the first 500 results, as tools ask for them."""
@@ -152,7 +157,8 @@ class Collection:
         return search.with_reference(search.limited_page(session.found(), number, size)).orderBy("position")
 
     def compact(self, keep: int = 1) -> int:
-        """Deletes what only older versions than the last ``keep`` use."""
+        """Makes the postings anew and deletes what only older versions than the last ``keep`` use."""
+        self.store.commit(postings=postings.gram_postings(self.store.read("blocks"), 1, 2, 3, headings=True))
         return self.store.compact(keep)
 
     def search(self, text: str, limit: int = 20, **how) -> DataFrame:
@@ -161,7 +167,7 @@ class Collection:
     def context(self, selected: list[tuple[str, str]], form: str = "md", **how) -> str:
         version = self.store.version()
         tables = [self.store.read(name, version) for name in ("documents", "blocks")]
-        return context.rendered(context.bundle(*tables, selected, version=version, current=self.store.version, postings=self.store.read("postings", version), **how), form)
+        return context.rendered(context.bundle(*tables, selected, version=version, current=self.store.version, postings=self._postings(version), **how), form)
 
     def status(self) -> dict:
         """Counts of the newest version; they are kept until there is another one."""

@@ -9,6 +9,7 @@ grams of a document are found with numpy over its blocks in one row, so no
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -75,11 +76,22 @@ def query_grams(term: str, most: int = LOOKED_UP) -> list[str]:
     return [every[i] for i in sorted({k * (len(every) - 1) // max(1, most - 1) for k in range(most)})] if len(every) > most else every
 
 
-def candidates(postings: DataFrame, *terms: str) -> DataFrame:
-    """(document_id) of documents that hold every gram of one of the terms: one aggregation over the rows of these grams."""
+#: Postings as a table, or as a function that gives the rows of some grams.
+Postings = DataFrame | Callable[[list[int]], DataFrame]
+
+
+def candidates(postings: Postings, *terms: str) -> DataFrame:
+    """(document_id) of documents that hold every gram of one of the terms: one aggregation over the rows of these grams.
+
+    A row that stands there twice counts once, so postings that were added to stay right.
+    """
     wanted = [[number(g) for g in query_grams(t)] for t in terms]
-    rows = postings.filter(F.col("gram").isin(sorted({g for grams in wanted for g in grams})))
-    held = [F.sum(F.col("gram").isin(grams).cast("int")) == len(grams) for grams in wanted]
+    every = sorted({g for grams in wanted for g in grams})
+    rows = postings(every) if callable(postings) else postings.filter(F.col("gram").isin(every))
+    held = []
+    for grams in wanted:
+        bit = F.coalesce(*[F.when(F.col("gram") == g, 1 << i) for i, g in enumerate(grams)], F.lit(0))
+        held.append(F.bit_or(bit) == (1 << len(grams)) - 1)
     return rows.groupBy("document_id").agg(reduce(lambda a, b: a | b, held).alias("all")).filter("all").select("document_id")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import below
 from ..functions.text import query_terms
-from .postings import candidates
+from .postings import Postings, candidates
 
 REASONS = ("content", "heading", "filename contains", "filename equals")
 FAST_TOTAL = 500
@@ -85,7 +85,7 @@ def evidence(blocks: DataFrame, terms: list[str]) -> DataFrame:
     )
 
 
-def matches(docs: DataFrame, blocks: DataFrame, search: Search, postings: DataFrame | None = None) -> DataFrame:
+def matches(docs: DataFrame, blocks: DataFrame, search: Search, postings: Postings | None = None) -> DataFrame:
     """Every matching document with rank, source, ordinal and reason; not ordered. ``postings`` (of contents and headings) prune the blocks."""
     query, terms = query_terms(search.text, search.mode)
     docs = in_scope(docs, search)
@@ -151,7 +151,7 @@ def limited_page(found: DataFrame, number: int, size: int, most: int = TOOL_PAGE
     return top(found, sort, min(number * size, REACHABLE)).filter(F.col("position") > (number - 1) * size)
 
 
-def phases(docs: DataFrame, blocks: DataFrame, search: Search, postings: DataFrame | None = None) -> list[DataFrame]:
+def phases(docs: DataFrame, blocks: DataFrame, search: Search, postings: Postings | None = None) -> list[DataFrame]:
     """The matches by class, best first: whole file names, parts of file names, headings, contents. Nothing runs until one is read."""
     classes = []
     if search.field != "content":
@@ -163,7 +163,7 @@ def phases(docs: DataFrame, blocks: DataFrame, search: Search, postings: DataFra
     return classes
 
 
-def phased(docs: DataFrame, blocks: DataFrame, search: Search, limit: int = 20, postings: DataFrame | None = None) -> DataFrame:
+def phased(docs: DataFrame, blocks: DataFrame, search: Search, limit: int = 20, postings: Postings | None = None) -> DataFrame:
     """The first ``limit`` by relevance; a class is only looked at if those before it do not fill the result.
 
     The classes are searched one after the other with a small job each, which
@@ -180,7 +180,7 @@ def phased(docs: DataFrame, blocks: DataFrame, search: Search, limit: int = 20,
     return top(taken, "relevance", limit)
 
 
-def refined(before: DataFrame, docs: DataFrame, blocks: DataFrame, search: Search, postings: DataFrame | None = None) -> DataFrame:
+def refined(before: DataFrame, docs: DataFrame, blocks: DataFrame, search: Search, postings: Postings | None = None) -> DataFrame:
     """A new condition over the documents of ``before``; types, root and subtree no longer apply.
 
     The rank of the first layer is carried along as ``first_rank``: with the
@@ -230,7 +230,7 @@ class Latest:
 class Session:
     """Layers of refinement over one pinned version of the data, all in the order of the first layer."""
 
-    def __init__(self, docs: DataFrame, blocks: DataFrame, search: Search, version=None, current=lambda: None, postings: DataFrame | None = None):
+    def __init__(self, docs: DataFrame, blocks: DataFrame, search: Search, version=None, current=lambda: None, postings: Postings | None = None):
         self._docs, self._blocks, self._postings, self._version, self._current = docs, blocks, postings, version, current
         first = matches(docs, blocks, search, postings)
         self._layers = [(search, first.withColumn("first_rank", F.col("rank")))]

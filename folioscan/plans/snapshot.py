@@ -1,9 +1,12 @@
 """Immutable snapshots with a manifest: a new version becomes current by one small write.
 
-Documents, blocks and postings are dealt to buckets by document id; a version
-names a folder for each bucket of each table. A change of some documents writes
-the buckets that hold them and no others; the new version shares the rest with
-the one before. A bucket holds about ``target`` documents: when a collection
+Documents and blocks are dealt to buckets by document id; a version names the
+folders of each bucket of each table. A change of some documents writes the
+buckets that hold them and no others; the new version shares the rest with the
+one before. Postings are dealt by gram, so that a look-up reads the buckets of
+its grams only; a change appends to them. What they say of documents that have
+changed or gone stays until they are made anew: postings may name too many
+candidates, never too few, and candidates are always checked. A bucket holds about ``target`` documents: when a collection
 has outgrown its buckets the next change deals everything to more of them
 (at most ``MOST``), so each document is dealt anew a few times only.
 
@@ -16,15 +19,19 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import uuid
 
+import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Tables and the column whose hash deals their rows to buckets; None: one folder.
-TABLES = {"documents": "id", "blocks": "document_id", "postings": "document_id", "roots": None}
+TABLES = {"documents": "id", "blocks": "document_id", "postings": "gram", "roots": None}
+#: Tables that a change only adds to.
+APPENDED = ("postings",)
 BUCKET = "__bucket"
 #: Buckets of a small collection, and the most that a manifest names.
 LEAST, MOST = 32, 4096
@@ -89,12 +96,20 @@ class SnapshotStore:
         if name not in entry["tables"]:
             raise LookupError("no such snapshot")
         schema = StructType.fromJson(entry["tables"][name]["schema"])
-        parts = [p for b, p in sorted(entry["tables"][name]["parts"].items()) if only is None or b in only]
+        parts = [p for b, paths in sorted(entry["tables"][name]["parts"].items()) if only is None or b in only for p in paths]
         return self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         return self._table(self._entry(version), name)
 
+    def lookup(self, name: str, keys: list[int], version: int | None = None) -> DataFrame:
+        """The rows of a table whose bucket key, a long, is one of ``keys``: only their buckets are read."""
+        entry = self._entry(version)
+        column, buckets = TABLES[name], entry["buckets"]
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
+        only = {str(signed(xxhash.xxh64_intdigest(struct.pack("<q", k), 42)) % buckets) for k in keys}  # as Spark hashes a long
+        return self._table(entry, name, sorted(only)).filter(F.col(column).isin(sorted(set(keys))))
+
     # -- writing -------------------------------------------------------------------------------------
 
     @staticmethod
@@ -112,13 +127,13 @@ class SnapshotStore:
         key = TABLES[name]
         if key is None:
             table.write.option("compression", "zstd").parquet(f"{folder}/{name}")
-            return {"0": f"{folder}/{name}"}
+            return {"0": [f"{folder}/{name}"]}
         # rebalanced: small buckets share a task, a large one is split over several; postings are sorted so that a look-up reads few row groups
         dealt = table.withColumn(BUCKET, self._bucket(key, buckets)).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *[c for c in ("gram", key, "ordinal") if c in table.columns])
         dealt.write.option("compression", "zstd").partitionBy(BUCKET).parquet(f"{folder}/{name}")
         place, files = self._place(f"{folder}/{name}")
         names = [s.getPath().getName() for s in files.listStatus(place)]
-        return {n.partition("=")[2]: f"{folder}/{name}/{n}" for n in names if n.startswith(f"{BUCKET}=")}
+        return {n.partition("=")[2]: [f"{folder}/{name}/{n}"] for n in names if n.startswith(f"{BUCKET}=")}
 
     def _finish(self, before: dict | None, tables: dict, buckets: int) -> int:
         number = (before["data_version"] if before else 0) + 1
@@ -133,7 +148,7 @@ class SnapshotStore:
         folder, found = f"{self.path}/v-{uuid.uuid4().hex}", self._manifest()
         before = found[-1] if found else None
         places = dict(before["tables"]) if before else {}
-        dealt = {n for n in (*places, *tables) if TABLES[n]}
+        dealt = {n for n in (*places, *tables) if TABLES[n]}  # tables that are dealt to buckets
         whole = "documents" in tables and dealt <= set(tables)
         buckets = self._buckets_for(tables["documents"].count()) if whole or not before and "documents" in tables else before["buckets"] if before else LEAST
         for name, table in tables.items():
@@ -156,13 +171,22 @@ class SnapshotStore:
         else:
             touched = dead.select(self._bucket("id", buckets).alias("b"))
             for name, rows in fresh.items():
-                touched = touched.union(rows.select(self._bucket(TABLES[name], buckets)))
+                touched = touched if name in APPENDED else touched.union(rows.select(self._bucket(TABLES[name], buckets)))
             only = sorted(str(r.b) for r in touched.distinct().collect())
         for name, key in TABLES.items():
-            if key is None or name not in tables or only == []:
+            if key is None or name not in tables:
+                continue
+            if name in APPENDED and only is not None:
+                if name in fresh:
+                    parts = dict(tables[name]["parts"])
+                    for b, paths in self._written(name, fresh[name], folder, buckets).items():
+                        parts[b] = [*parts.get(b, []), *paths]
+                    tables[name] = tables[name] | {"parts": parts}
+                continue
+            if only == []:
                 continue
             old = self._table(before, name, only)
-            left = old.join(dead.withColumnRenamed("id", key), key, "left_anti").select(*old.columns)
+            left = old if name in APPENDED else old.join(dead.withColumnRenamed("id", key), key, "left_anti").select(*old.columns)
             whole = left.unionByName(fresh[name].select(*old.columns)) if name in fresh else left
             kept = {} if only is None else {b: p for b, p in tables[name]["parts"].items() if b not in only}
             tables[name] = tables[name] | {"parts": kept | self._written(name, whole, folder, buckets)}
@@ -202,7 +226,7 @@ class SnapshotStore:
     def compact(self, keep: int = 1) -> int:
         """Deletes the folders and manifest entries that only versions before the last ``keep`` use; the number of folders that went."""
         found = self._manifest()
-        entries = lambda chosen: {p for e in chosen for t in e["tables"].values() for p in t["parts"].values()}
+        entries = lambda chosen: {p for e in chosen for t in e["tables"].values() for paths in t["parts"].values() for p in paths}
         old = found[: max(0, len(found) - keep)]
         gone = entries(old) - entries(found[len(old) :])
         for path in gone:

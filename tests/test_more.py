@@ -157,6 +157,27 @@ def test_a_collection_that_grows_gets_more_buckets(spark, tmp_path):
     assert sum(after.get(b) != p for b, p in before.items()) == 1 and store.read("documents").count() == 909
 
 
+def test_postings_are_looked_up_by_gram_and_only_added_to(spark, tmp_path):
+    top = tmp_path / "files"
+    top.mkdir()
+    for i in range(30):
+        (top / f"f{i}.txt").write_text(f"common words and the number x{i}y")
+    c = Collection(spark, str(tmp_path / "store"))
+    c.index(str(top))
+    parts = c.store._entry()["tables"]["postings"]["parts"]
+    rows = c.store.lookup("postings", [postings.number("x7y"), postings.number("com")])
+    assert rows.filter(F.col("gram") == postings.number("x7y")).count() == 1 and rows.count() == 31
+    assert len(rows.inputFiles()) < len(c.store.read("postings").inputFiles())
+    (top / "f7.txt").write_text("common words and the number z7y")
+    c.index(str(top))
+    after = c.store._entry()["tables"]["postings"]["parts"]
+    assert all(after[b][: len(p)] == p for b, p in parts.items())
+    for text, names in (("x7y", set()), ("z7y", {"f7.txt"}), ("x8y", {"f8.txt"}), ("number", {f"f{i}.txt" for i in range(30)})):
+        assert {r.filename for r in c.search(text, 50).collect()} == names
+    c.compact()
+    assert c.store.lookup("postings", [postings.number("x7y")]).count() == 0 and c.search("z7y").count() == 1
+
+
 def test_two_writers_never_make_one_version(spark, tmp_path):
     store = stored(spark, tmp_path / "s", 20)
     results, start = [], threading.Barrier(2)
