@@ -11,6 +11,7 @@ import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import wraps
 
 import pyarrow as pa
@@ -40,14 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-#: For each dropped_after() that is open the intermediate folders made since.
-_SCOPES: list[list[str]] = []
+#: For the dropped_after() that is open in this thread or task: the intermediate folders made since.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("folioscan_scope", default=None)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    made = _SCOPE.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
@@ -63,11 +65,13 @@ def drop(spark: SparkSession, path: str) -> None:
 @contextmanager
 def dropped_after(spark: SparkSession):
     """Deletes what operators store inside the block when it ends: write the result inside, frames of it can not be computed afterwards."""
-    _SCOPES.append([])
+    made: list[str] = []
+    before = _SCOPE.set(made)
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        _SCOPE.reset(before)
+        for path in made:
             drop(spark, path)
 
 
@@ -94,6 +98,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(columns, *wanted: str) -> list[str]:
+    """Names for helper columns that no column of a table has, in any case of letters."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in wanted:
+        given, n = f"folio_{name}", 0
+        while given in taken:
+            given, n = f"folio_{name}_{n}", n + 1
+        taken.add(given)
+        found.append(given)
+    return found
+
+
 def word_list(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes; bytes.split() splits at just these six characters."""
     return text.split()

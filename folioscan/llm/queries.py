@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, licenses, linefreq, mixing, quality, simhash, substrings, toxicity, warc
+from . import compaction, decontaminate, extract, licenses, linefreq, mixing, quality, simhash, substrings, toxicity, warc
 from .common import table
 
 
@@ -46,4 +46,8 @@ def op10_substrings(spark, sf_dir):
     return substrings.digested(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_linefreq": op3_linefreq, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate, "op7_licenses": op7_licenses, "op8_extract": op8_extract, "op9_quality": op9_quality, "op10_substrings": op10_substrings}
+def op13_compaction(spark, sf_dir):
+    return compaction.compacted(table(spark, sf_dir, "clicks"))
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_linefreq": op3_linefreq, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate, "op7_licenses": op7_licenses, "op8_extract": op8_extract, "op9_quality": op9_quality, "op10_substrings": op10_substrings, "op13_compaction": op13_compaction}
