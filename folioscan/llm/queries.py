@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, compaction, decontaminate, extract, licenses, linefreq, mixing, quality, simhash, substrings, toxicity, warc
+from . import alignment, compaction, decontaminate, extract, jaccard, licenses, linefreq, mixing, quality, simhash, substrings, toxicity, warc
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op10_substrings(spark, sf_dir):
     return substrings.digested(table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard(spark, sf_dir):
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark, sf_dir):
     return alignment.aligned(table(spark, sf_dir, "documents"))
 
@@ -54,4 +58,4 @@ def op13_compaction(spark, sf_dir):
     return compaction.compacted(table(spark, sf_dir, "clicks"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_linefreq": op3_linefreq, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate, "op7_licenses": op7_licenses, "op8_extract": op8_extract, "op9_quality": op9_quality, "op10_substrings": op10_substrings, "op12_alignment": op12_alignment, "op13_compaction": op13_compaction}
+QUERIES = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_linefreq": op3_linefreq, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate, "op7_licenses": op7_licenses, "op8_extract": op8_extract, "op9_quality": op9_quality, "op10_substrings": op10_substrings, "op11_jaccard": op11_jaccard, "op12_alignment": op12_alignment, "op13_compaction": op13_compaction}
