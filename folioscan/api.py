@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from .functions import paths
 from .functions.text import normalized, parse_types
 from .operators import context, inventory, postings, search
-from .plans.scratch import stored
+from .plans.scratch import dropped_after, stored
 from .plans.snapshot import Conflict, SnapshotStore
 from .sources import parsers, scan
-from .streaming.live import with_back_off
+from .streaming.live import verified_again, with_back_off
 
 #: The file of a root that holds its ignore rules.
 RULES_FILE = "ignore.rules"
@@ -33,8 +33,8 @@ class Collection:
 
     # -- roots ---------------------------------------------------------------------------------------
 
-    def roots(self) -> list[str]:
-        return sorted(r.root for r in self.store.read("roots").filter("not trashed").collect())
+    def roots(self, version: int | None = None) -> list[str]:
+        return sorted(r.root for r in self.store.read("roots", version).filter("not trashed").collect())
 
     def scope(self, path: str) -> tuple[str, str | None]:
         """(the longest registered root that covers the path, the path itself if it lies below that root)."""
@@ -44,15 +44,14 @@ class Collection:
         root = max(covering, key=lambda r: len(paths.parts(r)))
         return root, None if paths.parts(root) == paths.parts(path) else path
 
-    def _roots_with(self, root: str, trashed: bool, merged: tuple = ()) -> DataFrame:
-        now = time.time() * 1000
-        old = self.store.read("roots").filter(~F.col("root").isin(root, *merged))
-        return old.unionByName(self.spark.createDataFrame([(root, trashed, now)], ROOTS))
+    def _root(self, root: str, trashed: bool) -> DataFrame:
+        return self.spark.createDataFrame([(root, trashed, time.time() * 1000)], ROOTS)
 
     def trash(self, root: str) -> int:
         """Drops the documents of a root and remembers it; index() restores it, purge() forgets it."""
-        gone = self.store.read("documents").filter(F.col("root") == root)
-        return self.store.patch(gone.select("id"), roots=self._roots_with(root, True))
+        read = self.store.version()
+        gone = self.store.read("documents", read).filter(F.col("root") == root)
+        return self.store.patch(gone.select("id"), roots=self._root(root, True), read=read)
 
     def restore(self, root: str) -> dict:
         """Takes a root out of the trash and indexes it anew."""
@@ -65,7 +64,7 @@ class Collection:
 
     def purge(self) -> int:
         """Forgets the roots in the trash; their documents are gone since trash()."""
-        return self.store.commit(roots=self.store.read("roots").filter("not trashed"))
+        return self.store.patch(self.spark.createDataFrame([], "id long"), forgotten=self.trashed())
 
     # -- index ---------------------------------------------------------------------------------------
 
@@ -81,33 +80,41 @@ class Collection:
 
     def _numbered(self, rows: DataFrame) -> DataFrame:
         """(path, n): consecutive numbers from 0 in order of path, by a range partitioning and a count for each partition."""
-        sorted_rows = rows.repartitionByRange("path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id()).cache()
-        sizes = {r.part: r["count"] for r in sorted_rows.groupBy("part").count().collect()}
+        ranged = stored(rows.repartitionByRange("path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id()), "numbered")
+        sizes = {r.part: r["count"] for r in ranged.groupBy("part").count().collect()}
         start, begins = 0, []
         for part in sorted(sizes):
             begins.append((part, start))
             start += sizes[part]
         offsets = self.spark.createDataFrame(begins, "part int, start long")
         place = F.row_number().over(Window.partitionBy("part").orderBy("path"))
-        return sorted_rows.withColumn("place", place).join(F.broadcast(offsets), "part").select("path", (F.col("start") + F.col("place") - 1).alias("n"))
+        return ranged.withColumn("place", place).join(F.broadcast(offsets), "part").select("path", (F.col("start") + F.col("place") - 1).alias("n"))
 
     def index(self, folder: str, rebuild: bool = False, allow_empty: bool = False) -> dict:
-        """Like refreshed(), tried again after growing delays where another writer was faster."""
-        return with_back_off(lambda: self.refreshed(folder, rebuild, allow_empty), Conflict)
+        """Like refreshed(), repeated after growing delays where another writer has changed the same documents meanwhile."""
+
+        def once() -> dict:
+            with dropped_after(self.spark):
+                return self.refreshed(folder, rebuild, allow_empty)
+
+        return with_back_off(once, Conflict)
 
     def refreshed(self, folder: str, rebuild: bool = False, allow_empty: bool = False) -> dict:
         """Brings the index of a folder up to date; only files that need it are read. Returns counts of what was done.
 
+        Files that changed while they were read are not committed (``changed_meanwhile``); the next run reads them.
+
         Documents below folders that could not be read stay. A root without a
         single file is an error while the index has documents of it, as under a
         mount point whose volume is missing, unless ``allow_empty``.
         """
         folder = scan.validated(folder)
-        plan = paths.plan_root(folder, self.roots())
+        version = self.store.version()
+        plan = paths.plan_root(folder, self.roots(version))
         start = plan.subtree or plan.root
         listed, protected = self._listed(start, plan.root)
         disk = listed.filter("rule is null")
-        old = self.store.read("documents")
+        old = self.store.read("documents", version)
         inside = old.filter(paths.below("path", start))
         if not allow_empty and disk.isEmpty() and not protected and not inside.isEmpty():
             raise scan.RootError("ROOT_IS_EMPTY", start)
@@ -118,26 +125,29 @@ class Collection:
         skipped = {r.rule: r["count"] for r in listed.filter("rule is not null").groupBy("rule").count().collect()}
         told = {"plan": plan.kind, "reasons": reasons, "removed": removed.get(False, 0), "protected": removed.get(True, 0), "unreadable": protected, "skipped": skipped}
         if set(reasons) <= {"unchanged"} and not told["removed"] and plan.kind in ("existing", "subtree"):
-            return told | {"version": self.store.version(), "committed": {}, "read": 0}  # nothing to write, so no new version
+            return told | {"version": version, "committed": {}, "read": 0, "changed_meanwhile": 0}  # nothing to write, so no new version
         due = chosen.filter("action <> 'skip'").select("path", "action", "reason").join(disk, "path")
         read = parsers.read_listed(due.filter("action = 'parse'"))
         known = due.filter("action = 'metadata'").select("path", "filename", "extension", "size_bytes", "modified_at_ms", F.lit("unsupported").alias("status"))
         read = stored(read.unionByName(known, allowMissingColumns=True), "read")
-        base = (old.agg(F.max("id")).first()[0] or 0) + 1
+        checked = verified_again(read, scan.seen_again(read.select("path")))
+        read = stored(checked.filter("commit").drop("commit"), "checked")
+        meanwhile = checked.count() - read.count()
         fresh = read.join(old.select("path", F.col("id").alias("old_id")), "path", "left")
-        numbered = self._numbered(fresh.filter("old_id is null").select("path"))
+        added = stored(fresh.filter("old_id is null").select("path"), "added")
+        n = added.count()
+        base = self.store.reserved(n) if n else 0
+        numbered = self._numbered(added)
         fresh = stored(fresh.join(numbered, "path", "left").withColumn("id", F.coalesce("old_id", F.col("n") + base)), "fresh")
         new = fresh.select("id", F.lit(plan.root).alias("root"), "path", "filename", "extension", "size_bytes", "modified_at_ms", "status", "error_code", "error_message", F.lit(inventory.TEXT_VERSION).alias("parse_version"), F.lit(time.time() * 1000).alias("indexed_at_ms"), normalized("filename").alias("filename_norm"))
         parts = fresh.select(F.col("id").alias("document_id"), F.inline("blocks"))
         parts = stored(parts.withColumn("heading_norm", normalized("heading")).withColumn("content_norm", normalized("content")), "blocks")
         grams = postings.gram_postings(parts, 1, 2, 3, headings=True)
         dead = gone.filter("not protected").select("id").union(new.select("id"))
-        if plan.merged:
-            moved = old.filter(F.col("root").isin(*plan.merged)).withColumn("root", F.lit(plan.root)).select(*old.columns)
-            self.store.touch(moved)
-        version = self.store.patch(dead, roots=self._roots_with(plan.root, False, plan.merged), documents=new, blocks=parts, postings=grams)
+        moved = old.filter(F.col("root").isin(*plan.merged)).join(dead, "id", "left_anti").withColumn("root", F.lit(plan.root)).select(*old.columns) if plan.merged else None
+        version = self.store.patch(dead, roots=self._root(plan.root, False), read=version, forgotten=list(plan.merged), moved=moved, documents=new, blocks=parts, postings=grams)
         committed = {r.reason: r["count"] for r in due.join(new.select("path"), "path", "left_semi").groupBy("reason").count().collect()}
-        return told | {"version": version, "committed": committed, "read": read.filter("status <> 'unsupported'").count()}
+        return told | {"version": version, "committed": committed, "read": read.filter("status <> 'unsupported'").count(), "changed_meanwhile": meanwhile}
 
     # -- use -----------------------------------------------------------------------------------------
 
@@ -158,7 +168,11 @@ class Collection:
 
     def compact(self, keep: int = 1) -> int:
         """Makes the postings anew and deletes what only older versions than the last ``keep`` use."""
-        self.store.commit(postings=postings.gram_postings(self.store.read("blocks"), 1, 2, 3, headings=True))
+        def anew() -> int:
+            read = self.store.version()
+            return self.store.commit(read=read, postings=postings.gram_postings(self.store.read("blocks", read), 1, 2, 3, headings=True))
+
+        with_back_off(anew, Conflict)
         return self.store.compact(keep)
 
     def search(self, text: str, limit: int = 20, **how) -> DataFrame:

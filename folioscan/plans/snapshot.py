@@ -10,9 +10,21 @@ candidates, never too few, and candidates are always checked. A bucket holds abo
 has outgrown its buckets the next change deals everything to more of them
 (at most ``MOST``), so each document is dealt anew a few times only.
 
-A version's manifest entry is created under its number and never replaced, so
-of two writers that start from one version one fails with ``Conflict`` and has
-changed nothing that readers see; it reads again and repeats its work.
+Writers work without locks. A writer names the version that it has ``read``;
+when it commits, versions that others have made since are looked at:
+
+* no bucket of documents was touched by both: its change is put on top of theirs;
+* else the documents that differ in the buckets that both touched are compared
+  with its own: the same document, or the same path, is a ``Conflict``, and the
+  writer reads again and repeats its work; others do not disturb it.
+
+Ids come from ranges that are reserved under the collection before anything is
+committed, so two writers never give one id to two documents. A manifest entry
+is created under its number and never replaced: of two writers that commit at
+the same moment one looks again, and only what readers see is decided there.
+
+``ledger`` holds the last batch of each stream that writes (its name and
+number): a batch that is handed over again, after a restart, changes nothing.
 """
 
 from __future__ import annotations
@@ -20,10 +32,11 @@ from __future__ import annotations
 import json
 import os
 import struct
+import time
 import uuid
 
 import xxhash
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -37,8 +50,18 @@ BUCKET = "__bucket"
 LEAST, MOST = 32, 4096
 
 
+#: How often a writer whose version was taken by another one puts its change on top of that one before it gives up.
+TRIES = 20
+#: Folders that no version names are kept so long, as their writer may still be at work; milliseconds.
+GRACE = 3_600_000
+
+
 class Conflict(RuntimeError):
-    """Another writer has made this version."""
+    """Another writer has changed what this one was working on."""
+
+
+class _Taken(Conflict):
+    """Another writer has made the version of this number."""
 
 
 class SnapshotStore:
@@ -60,37 +83,64 @@ class SnapshotStore:
             if files.getScheme() == "file":  # its create() is not atomic
                 local = place.toUri().getPath()
                 os.makedirs(os.path.dirname(local), exist_ok=True)
-                with open(local, "x", encoding="utf-8") as out:
+                draft = f"{os.path.dirname(local)}/.{uuid.uuid4().hex}"
+                with open(draft, "w", encoding="utf-8") as out:
                     out.write(text)
+                try:
+                    os.link(draft, local)  # whole at once, and only if it is not there
+                finally:
+                    os.remove(draft)
                 return
             stream = files.create(place, False)
         except FileExistsError as found:
-            raise Conflict(path) from found
+            raise _Taken(path) from found
         except Exception as found:  # noqa: BLE001  the exception of the JVM that says the file exists
             if "AlreadyExists" in str(found):
-                raise Conflict(path) from found
+                raise _Taken(path) from found
             raise
         stream.write(bytearray(text.encode("utf-8")))
         stream.close()
 
-    def _manifest(self) -> list[dict]:
-        try:
-            rows = self.spark.read.text(f"{self.path}/manifest", wholetext=True).collect()
-        except AnalysisException:
+    def _numbers(self, folder: str) -> list[int]:
+        """The numbers of the small files of a folder, in order."""
+        place, files = self._place(f"{self.path}/{folder}")
+        if not files.exists(place):
             return []
-        return sorted((json.loads(r.value) for r in rows if r.value.endswith("\n")), key=lambda r: r["data_version"])
+        names = [s.getPath().getName() for s in files.listStatus(place)]
+        return sorted(int(n.partition(".")[0]) for n in names if n[0] != "." and n.endswith(".json"))
+
+    def _small(self, folder: str, number: int) -> dict | None:
+        """One small file; None while its writer is still at it, or if it has just gone."""
+        place, files = self._place(f"{self.path}/{folder}/{number:012d}.json")
+        try:
+            stream = files.open(place)
+        except Py4JJavaError as gone:
+            if "FileNotFound" in str(gone):
+                return None
+            raise
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text) if text.endswith("\n") else None
+
+    def _manifest(self, after: int = 0) -> list[dict]:
+        return [e for n in self._numbers("manifest") if n > after and (e := self._small("manifest", n)) is not None]
+
+    def _newest(self, folder: str) -> dict | None:
+        return next((e for n in reversed(self._numbers(folder)) if (e := self._small(folder, n)) is not None), None)
 
     # -- reading -------------------------------------------------------------------------------------
 
     def version(self) -> int:
-        found = self._manifest()
-        return found[-1]["data_version"] if found else 0
+        found = self._newest("manifest")
+        return found["data_version"] if found else 0
 
     def _entry(self, version: int | None = None) -> dict:
-        found = [r for r in self._manifest() if version is None or r["data_version"] == version]
+        found = self._newest("manifest") if version is None else self._small("manifest", version)
         if not found:
             raise LookupError("no such snapshot")
-        return found[-1]
+        return found
 
     def _table(self, entry: dict, name: str, only: list[str] | None = None) -> DataFrame:
         if name not in entry["tables"]:
@@ -135,44 +185,124 @@ class SnapshotStore:
         names = [s.getPath().getName() for s in files.listStatus(place)]
         return {n.partition("=")[2]: [f"{folder}/{name}/{n}"] for n in names if n.startswith(f"{BUCKET}=")}
 
-    def _finish(self, before: dict | None, tables: dict, buckets: int) -> int:
+    def _finish(self, before: dict | None, tables: dict, buckets: int, touched: list[str] | None = None, batch: tuple[str, int] | None = None) -> int:
+        """Creates the next version. ``touched``: the buckets of documents that it writes, None for all."""
         number = (before["data_version"] if before else 0) + 1
-        self._create(f"{self.path}/manifest/{number:012d}.json", json.dumps({"schema_version": 2, "data_version": number, "buckets": buckets, "tables": tables}) + "\n")
+        ledger = dict(before.get("ledger", {})) if before else {}
+        if batch:
+            ledger[batch[0]] = batch[1]
+        entry = {"schema_version": 3, "data_version": number, "buckets": buckets, "tables": tables, "touched": touched, "ledger": ledger}
+        self._create(f"{self.path}/manifest/{number:012d}.json", json.dumps(entry) + "\n")
         return number
 
-    def commit(self, **tables: DataFrame) -> int:
+    def reserved(self, n: int) -> int:
+        """The first of ``n`` ids that no other writer gets; the range is taken by one small file, whose number must not exist yet."""
+        for _ in range(1000):
+            last = self._newest("ids")
+            if last is None:
+                held = self.read("documents").agg(F.max("id")).first()[0] if self.version() else None
+                last = {"number": 0, "next": (held or 0) + 1}
+            try:
+                self._create(f"{self.path}/ids/{last['number'] + 1:012d}.json", json.dumps({"number": last["number"] + 1, "next": last["next"] + n}) + "\n")
+                return last["next"]
+            except _Taken:
+                continue
+        raise Conflict(f"{self.path}/ids")
+
+    def written(self, batch: tuple[str, int]) -> bool:
+        """Whether this batch of a stream, or a later one, is in the newest version."""
+        found = self._newest("manifest")
+        return bool(found) and found.get("ledger", {}).get(batch[0], -1) >= batch[1]
+
+    def commit(self, read: int | None = None, **tables: DataFrame) -> int:
         """Writes whole tables as a new version; those not given stay as the version before has them.
 
-        New buckets need all tables that the version before has.
+        New buckets need all tables that the version before has. With ``read`` it
+        is a Conflict if that is not the newest version any more.
         """
-        folder, found = f"{self.path}/v-{uuid.uuid4().hex}", self._manifest()
-        before = found[-1] if found else None
+        folder, before = f"{self.path}/v-{uuid.uuid4().hex}", self._newest("manifest")
+        if read is not None and read != (before["data_version"] if before else 0):
+            raise Conflict(f"version {read} is not the newest")
         places = dict(before["tables"]) if before else {}
         dealt = {n for n in (*places, *tables) if TABLES[n]}  # tables that are dealt to buckets
         whole = "documents" in tables and dealt <= set(tables)
         buckets = self._buckets_for(tables["documents"].count()) if whole or not before and "documents" in tables else before["buckets"] if before else LEAST
         for name, table in tables.items():
             places[name] = {"schema": json.loads(table.schema.json()), "parts": self._written(name, table, folder, buckets)}
-        return self._finish(before, places, buckets)
-
-    def patch(self, gone: DataFrame, roots: DataFrame | None = None, **fresh: DataFrame) -> int:
+        return self._finish(before, places, buckets, None if "documents" in tables else [])
+
+    def _differing(self, read: dict, newest: dict, only: list[str] | None) -> DataFrame:
+        """(id, path) of the documents of some buckets that are not the same in both versions."""
+        old, new = (self._table(e, "documents", only if read["buckets"] == newest["buckets"] else None) for e in (read, newest))
+        new = new.select(*old.columns)
+        return old.exceptAll(new).unionByName(new.exceptAll(old)).select("id", "path")
+
+    def _checked(self, read: int, newest: dict, touched: list[str] | None, dead: DataFrame, fresh: DataFrame | None) -> None:
+        """Conflict if a version after ``read`` has changed a document of this change, or has added a path of it."""
+        since = [e for e in self._manifest(read) if e["data_version"] <= newest["data_version"]]
+        theirs: set[str] | None = set()
+        for e in since:
+            theirs = None if theirs is None or e.get("touched") is None else theirs | set(e["touched"])
+        only = touched if theirs is None else sorted(theirs) if touched is None else sorted(theirs & set(touched))
+        if fresh is None and only == []:
+            return  # disjoint buckets, and no path that others may have added under another id
+        try:
+            before = self._entry(read)
+        except LookupError as gone:
+            raise Conflict(f"version {read} is not kept any more") from gone
+        changed = self._differing(before, newest, None if theirs is None else sorted(theirs))
+        mine = dead.select("id").unionByName(fresh.select("id")) if fresh is not None else dead.select("id")
+        clash = changed.join(mine, "id", "left_semi").select("path")
+        if fresh is not None:
+            clash = clash.union(changed.join(fresh.select("path"), "path", "left_semi").select("path"))
+        met = clash.first()
+        if met is not None:
+            raise Conflict(f"{met.path} has changed since version {read}")
+
+    def patch(self, gone: DataFrame, roots: DataFrame | None = None, read: int | None = None, batch: tuple[str, int] | None = None, forgotten: list[str] | None = None, moved: DataFrame | None = None, **fresh: DataFrame) -> int:
         """A new version without the documents of ``gone`` (id) and with the ``fresh`` rows of the tables; only touched buckets are written.
 
-        A document that changes is both gone and fresh. Buckets are few, so their numbers are collected.
+        A document that changes is both gone and fresh. ``moved``: rows of known
+        documents that replace theirs while blocks and postings stay. ``roots``
+        and ``forgotten`` (names) are put on top of the roots of the newest
+        version. ``read``: the version that all this was worked out from.
+        ``batch``: name and number of a stream's batch, which commits once.
         """
-        folder, before = f"{self.path}/v-{uuid.uuid4().hex}", self._entry()
+        for _ in range(TRIES):
+            if batch and self.written(batch):
+                return self.version()
+            folder = f"{self.path}/v-{uuid.uuid4().hex}"
+            try:
+                return self._patched(folder, gone, roots, read, batch, forgotten or [], moved, fresh)
+            except _Taken:
+                self._drop(folder)
+            except Conflict:
+                self._drop(folder)
+                raise
+        raise Conflict(f"{TRIES} times another writer was faster")
+
+    def _drop(self, folder: str) -> None:
+        place, files = self._place(folder)
+        files.delete(place, True)
+
+    def _patched(self, folder: str, gone: DataFrame, roots: DataFrame | None, read: int | None, batch, forgotten: list[str], moved: DataFrame | None, fresh: dict) -> int:
+        before = self._entry()
         tables, buckets = dict(before["tables"]), before["buckets"]
         dead = gone.select(F.col("id").cast("long").alias("id")).distinct()
         wanted = buckets
         if "documents" in fresh:
             wanted = self._buckets_for(self._table(before, "documents").count() + fresh["documents"].count())
+        numbers = lambda rows: sorted(str(r.b) for r in rows.distinct().collect())  # noqa: E731  buckets are few
         if wanted > buckets:
-            only, buckets = None, wanted
+            only, buckets, retouched = None, wanted, None
         else:
             touched = dead.select(self._bucket("id", buckets).alias("b"))
             for name, rows in fresh.items():
                 touched = touched if name in APPENDED else touched.union(rows.select(self._bucket(TABLES[name], buckets)))
-            only = sorted(str(r.b) for r in touched.distinct().collect())
+            only = numbers(touched)
+            retouched = only if moved is None else sorted({*only, *numbers(moved.select(self._bucket("id", buckets).alias("b")))})
+        if read is not None and read != before["data_version"]:
+            self._checked(read, before, retouched if buckets == before["buckets"] else None, dead if moved is None else dead.union(moved.select("id")), fresh.get("documents"))
         for name, key in TABLES.items():
             if key is None or name not in tables:
                 continue
@@ -183,56 +313,74 @@ class SnapshotStore:
                         parts[b] = [*parts.get(b, []), *paths]
                     tables[name] = tables[name] | {"parts": parts}
                 continue
-            if only == []:
+            mine = retouched if name == "documents" else only
+            if mine == []:
                 continue
-            old = self._table(before, name, only)
-            left = old if name in APPENDED else old.join(dead.withColumnRenamed("id", key), key, "left_anti").select(*old.columns)
+            old = self._table(before, name, mine)
+            replaced = dead.union(moved.select("id")) if name == "documents" and moved is not None else dead
+            left = old if name in APPENDED else old.join(replaced.withColumnRenamed("id", key), key, "left_anti").select(*old.columns)
             whole = left.unionByName(fresh[name].select(*old.columns)) if name in fresh else left
-            kept = {} if only is None else {b: p for b, p in tables[name]["parts"].items() if b not in only}
+            if name == "documents" and moved is not None:
+                whole = whole.unionByName(moved.join(dead, "id", "left_anti").select(*old.columns))
+            kept = {} if mine is None else {b: p for b, p in tables[name]["parts"].items() if b not in mine}
             tables[name] = tables[name] | {"parts": kept | self._written(name, whole, folder, buckets)}
-        if roots is not None:
-            tables["roots"] = {"schema": json.loads(roots.schema.json()), "parts": self._written("roots", roots, folder, buckets)}
-        return self._finish(before, tables, buckets)
-
-    def upsert(self, documents: DataFrame, blocks: DataFrame) -> int:
-        """Replaces whole documents by path, ids kept; repeated ordinals of a document fail it."""
+        if roots is not None or forgotten:
+            now = self._table(before, "roots") if "roots" in tables else None
+            for name in [*forgotten, *([r.root for r in roots.select("root").collect()] if roots is not None else [])]:
+                now = now.filter(F.col("root") != name) if now is not None else None
+            whole = roots if now is None else now if roots is None else now.unionByName(roots)
+            tables["roots"] = {"schema": json.loads(whole.schema.json()), "parts": self._written("roots", whole, folder, buckets)}
+        return self._finish(before, tables, buckets, retouched, batch)
+
+    def upsert(self, documents: DataFrame, blocks: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Replaces whole documents by path, ids kept; repeated ordinals of a document fail it.
+
+        ``batch``: name and number of a stream's batch; handed over again it changes nothing.
+        """
         if not blocks.groupBy("document_id", "ordinal").count().filter("count > 1").isEmpty():
             raise ValueError("a document has an ordinal twice")
-        if not self.version():
+        read = self.version()
+        if not read:
             return self.commit(documents=documents, blocks=blocks)
-        old = self.read("documents")
+        if batch and self.written(batch):
+            return read
+        old = self.read("documents", read)
         kept_id = old.select("path", F.col("id").alias("old_id"))
         placed = documents.join(kept_id, "path", "left").withColumn("new_id", F.coalesce("old_id", "id"))
         new = placed.withColumn("id", F.col("new_id")).select(*old.columns)
-        moved = blocks.join(placed.select(F.col("id").alias("document_id"), "new_id"), "document_id").withColumn("document_id", F.col("new_id")).select(*blocks.columns)
-        return self.patch(new.select("id"), documents=new, blocks=moved)
+        renamed = blocks.join(placed.select(F.col("id").alias("document_id"), "new_id"), "document_id").withColumn("document_id", F.col("new_id")).select(*blocks.columns)
+        return self.patch(new.select("id"), read=read, batch=batch, documents=new, blocks=renamed)
 
-    def touch(self, documents: DataFrame) -> int:
+    def touch(self, documents: DataFrame, read: int | None = None) -> int:
         """Replaces the rows of known documents by id and leaves their blocks and postings as they are."""
-        folder, before = f"{self.path}/v-{uuid.uuid4().hex}", self._entry()
-        tables, buckets = dict(before["tables"]), before["buckets"]
-        only = sorted(str(r.b) for r in documents.select(self._bucket("id", buckets).alias("b")).distinct().collect())
-        if only:
-            old = self._table(before, "documents", only)
-            whole = old.join(documents.select("id"), "id", "left_anti").select(*old.columns).unionByName(documents.select(*old.columns))
-            kept = {b: p for b, p in tables["documents"]["parts"].items() if b not in only}
-            tables["documents"] = tables["documents"] | {"parts": kept | self._written("documents", whole, folder, buckets)}
-        return self._finish(before, tables, buckets)
+        return self.patch(documents.select("id").limit(0), read=read, moved=documents)
 
     def remove(self, gone: DataFrame) -> int:
         """Drops the documents of ``gone`` (path), their blocks and postings."""
-        return self.patch(self.read("documents").join(gone.select("path"), "path", "left_semi").select("id"))
+        read = self.version()
+        return self.patch(self.read("documents", read).join(gone.select("path"), "path", "left_semi").select("id"), read=read)
 
-    def compact(self, keep: int = 1) -> int:
-        """Deletes the folders and manifest entries that only versions before the last ``keep`` use; the number of folders that went."""
+    def compact(self, keep: int = 1, grace: int = GRACE) -> int:
+        """Deletes what only versions before the last ``keep`` use, and folders of writers that never came to commit; the number of folders that went.
+
+        A folder that no version names goes once it is ``grace`` milliseconds old: its writer may still be at work.
+        """
         found = self._manifest()
         entries = lambda chosen: {p for e in chosen for t in e["tables"].values() for paths in t["parts"].values() for p in paths}
         old = found[: max(0, len(found) - keep)]
-        gone = entries(old) - entries(found[len(old) :])
+        kept = entries(found[len(old) :])
+        gone = entries(old) - kept
         for path in gone:
-            place, files = self._place(path)
-            files.delete(place, True)
+            self._drop(path)
         for entry in old:
             place, files = self._place(f"{self.path}/manifest/{entry['data_version']:012d}.json")
             files.delete(place, False)
-        return len(gone)
+        for number in self._numbers("ids")[:-2]:
+            place, files = self._place(f"{self.path}/ids/{number:012d}.json")
+            files.delete(place, False)
+        place, files = self._place(self.path)
+        used = {p.rpartition("/v-")[2].partition("/")[0] for p in kept}
+        lost = [s.getPath().toString() for s in files.listStatus(place) if s.getPath().getName().startswith("v-") and s.getPath().getName()[2:] not in used and s.getModificationTime() <= time.time() * 1000 - grace]
+        for path in lost:
+            self._drop(path)
+        return len(gone) + len(lost)

@@ -78,6 +78,23 @@ def _level(folders: DataFrame) -> DataFrame:
     return folders.select("path").mapInArrow(run, ENTRIES)
 
 
+def seen_again(files: DataFrame) -> DataFrame:
+    """(path, size_bytes, modified_at_ms) of the files (path) as they are now; those that are gone are left out."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    info = os.stat(path, follow_symlinks=False)
+                    rows.append((path, info.st_size, float(info.st_mtime_ns // 1_000_000)))
+                except OSError:
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 3, (pa.string(), pa.int64(), pa.float64()), strict=True)], names=["path", "size_bytes", "modified_at_ms"])
+
+    return files.select("path").mapInArrow(run, "path string, size_bytes long, modified_at_ms double")
+
+
 def scanned(spark: SparkSession, start: str, root: str, rules: list, own=lambda path: F.lit(False), rules_file: str | None = None) -> tuple[DataFrame, list[str]]:
     """((path, relative, filename, extension, size_bytes, modified_at_ms, rule) of each file and each folder kept out below ``start``, folders that could not be read).
 
