@@ -55,6 +55,8 @@ BUCKETS = 1 << 18
 #: Sizes for which subsets are thought of at all.
 LARGEST_LIGHT = 48
 SIGNATURE_WORDS = 16
+#: A subset is a row that is hashed and shuffled; a step along a list compares two numbers of one task. What the first costs in the second.
+SUBSET_COST = 20
 _SLAB = 1 << 20
 #: Wanted classes are broadcast up to this number, 24 bytes each; beyond it they are joined.
 _BROADCAST_KEYS = 400_000
@@ -93,7 +95,7 @@ class Threshold:
     def boundary(self, sizes: dict[int, int], list_length: float) -> int:
         """The size up to which subsets cost less than lists; ``sizes``: classes by size, up to LARGEST_LIGHT."""
         lists = [sizes.get(n, 0) * self.prefix(n) * list_length for n in range(LARGEST_LIGHT + 1)]
-        costs = [sum(sizes.get(n, 0) * self.subsets(n, limit) for n in range(1, limit + 1)) + sum(lists[limit + 1 :]) for limit in range(LARGEST_LIGHT + 1)]
+        costs = [SUBSET_COST * sum(sizes.get(n, 0) * self.subsets(n, limit) for n in range(1, limit + 1)) + sum(lists[limit + 1 :]) for limit in range(LARGEST_LIGHT + 1)]
         return min(range(len(costs)), key=lambda limit: (costs[limit], -limit))
 
 
