@@ -149,3 +149,49 @@ def test_query_finds_every_whole_copy(spark, sf):
     items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
     whole = {(d.doc_id, i.item_id) for d in docs for i in items if i.text in d.text}
     assert {(r.doc_id, r.item_id) for r in queries.op6_decontaminate(spark, sf).collect()} >= whole
+
+
+def zipf(rng, n, rank=50_000):
+    """Words by Zipf's law."""
+    share = 1 / np.arange(1, rank + 1)
+    return [f"w{x}" for x in rng.choice(rank, n, p=share / share.sum())]
+
+
+def test_cost_does_not_grow_with_the_items():
+    """Ten times the items: seeds name few of them."""
+    rng = np.random.default_rng(1)
+    docs = [decontaminate.word_hashes(" ".join(zipf(rng, 1000)).encode()) for _ in range(10)]
+    said = zipf(rng, 800_000)
+    met, most = [], 0
+    for n in (2_000, 20_000):
+        index = decontaminate.Index.of([(i, " ".join(said[40 * i : 40 * i + 40]).encode()) for i in range(n)], 3)
+        found = [index.candidates(d)[1] for d in docs]
+        met.append(sum(len(np.unique(f)) for f in found) / len(docs))
+        most = max(most, max(np.diff(index.seeds.first)))
+    every = decontaminate.Index.of([(i, " ".join(said[40 * i : 40 * i + 40]).encode()) for i in range(20_000)], 3, rare=10**9)
+    assert most <= 8 and met[1] < 0.3 * sum(len(np.unique(every.candidates(d)[1])) for d in docs) / len(docs), (met, most)
+
+
+def test_frequent_seeds_lose_no_pair():
+    """Items that share much: every edited copy against all items, as with all n-grams as seeds."""
+    rng = np.random.default_rng(7)
+    stock = [zipf(rng, 6, 300) for _ in range(40)]
+    items = [(i, " ".join(w for k in range(5) for w in [*stock[int(rng.integers(40))], *zipf(rng, 4, 3000)]).encode()) for i in range(300)]
+    every, seeds = decontaminate.Index.of(items, 3, rare=10**9), decontaminate.Index.of(items, 3, rare=4)
+    n = 0
+    for i in range(150):
+        words = items[int(rng.integers(300))][1].decode().split()
+        for _ in range(len(words) // int(rng.integers(4, 9))):
+            at = int(rng.integers(len(words)))
+            words[at : at + int(rng.integers(2))] = [["edited"], ["two", "words"], []][int(rng.integers(3))]
+        doc = decontaminate.word_hashes(" ".join(zipf(rng, 30) + words + zipf(rng, 30)).encode())
+        want, got = (sorted(decontaminate.leaks_of(doc, x, 0.5, -0.5, -0.5)) for x in (every, seeds))
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        n += len(want)
+    assert n > 100
+
+
+def test_equal_items_each_match(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my"
+    got = decontaminate.leaks(*made(spark, [(1, f"x {text} y")], [(5, text), (6, text.upper()), (7, "nothing of it at all in here")])).collect()
+    assert sorted((r.item_id, r.score) for r in got) == [(5, 1.0), (6, 1.0)]
