@@ -28,7 +28,7 @@ class Collection:
         self.spark, self.store = spark, SnapshotStore(spark, path)
         self._status: dict | None = None
         if not self.store.version():
-            empty = {"documents": DOCUMENTS, "blocks": BLOCKS, "postings": postings.POSTINGS, "roots": ROOTS}
+            empty = {"documents": DOCUMENTS, "blocks": BLOCKS, "postings": postings.PACKED, "roots": ROOTS}
             self.store.commit(**{name: spark.createDataFrame([], schema) for name, schema in empty.items()})
 
     # -- roots ---------------------------------------------------------------------------------------
@@ -142,7 +142,7 @@ class Collection:
         new = fresh.select("id", F.lit(plan.root).alias("root"), "path", "filename", "extension", "size_bytes", "modified_at_ms", "status", "error_code", "error_message", F.lit(inventory.TEXT_VERSION).alias("parse_version"), F.lit(time.time() * 1000).alias("indexed_at_ms"), normalized("filename").alias("filename_norm"))
         parts = fresh.select(F.col("id").alias("document_id"), F.inline("blocks"))
         parts = stored(parts.withColumn("heading_norm", normalized("heading")).withColumn("content_norm", normalized("content")), "blocks")
-        grams = postings.gram_postings(parts, 1, 2, 3, headings=True)
+        grams = postings.packed(postings.gram_postings(parts, 1, 2, 3, headings=True))
         dead = gone.filter("not protected").select("id").union(new.select("id"))
         moved = old.filter(F.col("root").isin(*plan.merged)).join(dead, "id", "left_anti").withColumn("root", F.lit(plan.root)).select(*old.columns) if plan.merged else None
         version = self.store.patch(dead, roots=self._root(plan.root, False), read=version, forgotten=list(plan.merged), moved=moved, documents=new, blocks=parts, postings=grams)
@@ -155,11 +155,13 @@ class Collection:
         root, subtree = self.scope(under) if under else (None, None)
         what = search.Search(text, mode, field, sort, tuple(parse_types(types)) if types else (), (), root, subtree)
         version = self.store.version()
-        tables = [self.store.read(name, version) for name in ("documents", "blocks")]
-        return search.Session(*tables, what, version, self.store.version, self._postings(version))
+        return search.Session(self.store.read("documents", version), self._blocks(version), what, version, self.store.version, self._postings(version))
 
-    def _postings(self, version: int):
-        return lambda grams: self.store.lookup("postings", grams, version)
+    def _blocks(self, version: int):
+        return lambda documents: self.store.narrowed("blocks", documents, version)
+
+    def _postings(self, version: int) -> postings.Index:
+        return postings.Index(lambda grams: self.store.lookup("postings", grams, version), self.store.documents(version))
 
     def page(self, text: str, number: int, size: int = 20, **how) -> DataFrame:
         """A page of at most 50 of the first 500 results, as tools ask for them."""
@@ -170,7 +172,7 @@ class Collection:
         """Makes the postings anew and deletes what only older versions than the last ``keep`` use."""
         def anew() -> int:
             read = self.store.version()
-            return self.store.commit(read=read, postings=postings.gram_postings(self.store.read("blocks", read), 1, 2, 3, headings=True))
+            return self.store.commit(read=read, postings=postings.packed(postings.gram_postings(self.store.read("blocks", read), 1, 2, 3, headings=True)))
 
         with_back_off(anew, Conflict)
         return self.store.compact(keep)
@@ -180,8 +182,7 @@ class Collection:
 
     def context(self, selected: list[tuple[str, str]], form: str = "md", **how) -> str:
         version = self.store.version()
-        tables = [self.store.read(name, version) for name in ("documents", "blocks")]
-        return context.rendered(context.bundle(*tables, selected, version=version, current=self.store.version, postings=self._postings(version), **how), form)
+        return context.rendered(context.bundle(self.store.read("documents", version), self._blocks(version), selected, version=version, current=self.store.version, postings=self._postings(version), **how), form)
 
     def status(self) -> dict:
         """Counts of the newest version; they are kept until there is another one."""

@@ -53,7 +53,7 @@ def display_width(column: str | Column) -> Column:
     return (F.char_length(F.regexp_replace(column, _NONE, "")) + F.regexp_count(column, F.lit(_WIDE))).cast("int")
 
 
-def bundle(docs: DataFrame, blocks: DataFrame, selected: list[tuple[str, str]], mode: str = "phrase", limit: int = 3, created_at: str | None = None, times: bool = True, version=None, current=lambda: None, postings: search.Postings | None = None) -> dict:
+def bundle(docs: DataFrame, blocks: search.Blocks, selected: list[tuple[str, str]], mode: str = "phrase", limit: int = 3, created_at: str | None = None, times: bool = True, version=None, current=lambda: None, postings: search.Postings | None = None) -> dict:
     """The bundle of selected (query, reference) pairs; each must still be among the first 500 results of its query.
 
     ``version`` is that of the data, ``current`` tells the newest one: a bundle of data that changed meanwhile is an error.
@@ -75,7 +75,7 @@ def bundle(docs: DataFrame, blocks: DataFrame, selected: list[tuple[str, str]],
         found[query] = rows
         terms = query_terms(query, mode)[1]
         shown_of[query] = {}
-        for p in passages.context_passages(results, blocks, terms, limit).orderBy("document_id", "place").collect():
+        for p in passages.context_passages(results, search.narrowed(blocks, results.select(F.col("id").alias("document_id"))), terms, limit).orderBy("document_id", "place").collect():
             shown_of[query].setdefault(p.document_id, []).append({"query": query, "rank": p.rank, "location": p.location, "snippet": p.snippet, "snippetTruncated": p.snippet_truncated})
     documents = []
     for query, reference in ((q.strip(), r) for q, r in selected):

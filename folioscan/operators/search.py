@@ -4,12 +4,14 @@ Match classes: 4 the whole query is the file name, 3 the file name holds all
 terms, 2 a heading does, 1 a block does; with several terms 1 as well where
 file name and blocks hold them between them. Blocks are reduced to one row a
 document before the join, and only blocks with a hit are shuffled. With
-postings only the blocks of documents that hold the grams of a term are read.
+postings of a stored collection only the blocks of documents that hold the
+rarest grams of a term are read: their buckets, and of these the row groups.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
@@ -85,12 +87,23 @@ def evidence(blocks: DataFrame, terms: list[str]) -> DataFrame:
     )
 
 
-def matches(docs: DataFrame, blocks: DataFrame, search: Search, postings: Postings | None = None) -> DataFrame:
+#: Blocks as a table, or a function that gives the blocks of some documents (document_id; None: of all).
+Blocks = DataFrame | Callable[[DataFrame | None], DataFrame]
+
+
+def narrowed(blocks: Blocks, documents: DataFrame | None) -> DataFrame:
+    if callable(blocks):
+        return blocks(documents)
+    return blocks if documents is None else blocks.join(documents, "document_id", "left_semi")
+
+
+def matches(docs: DataFrame, blocks: Blocks, search: Search, postings: Postings | None = None) -> DataFrame:
     """Every matching document with rank, source, ordinal and reason; not ordered. ``postings`` (of contents and headings) prune the blocks."""
     query, terms = query_terms(search.text, search.mode)
     docs = in_scope(docs, search)
-    if postings is not None and search.field != "filename":
-        blocks = blocks.join(candidates(postings, *terms), "document_id", "left_semi")
+    if search.field != "filename":
+        found = None if postings is None else candidates(postings, *terms)
+        blocks = narrowed(blocks, found)
     name = F.col("filename_norm")
     if search.field == "content":
         name_rank = F.lit(0)
@@ -189,7 +202,7 @@ def refined(before: DataFrame, docs: DataFrame, blocks: DataFrame, search: Searc
     kept_rank = "first_rank" if "first_rank" in before.columns else "rank"
     ids = before.select("id", F.col(kept_rank).alias("first_rank"))
     inside = docs.join(ids, "id", "left_semi")
-    own = blocks.join(ids, blocks["document_id"] == ids["id"], "left_semi")
+    own = narrowed(blocks, ids.select(F.col("id").alias("document_id")))
     kept = matches(inside, own, Search(**(search.__dict__ | {"types": (), "root": None, "subtree": None})), postings)
     return kept.join(ids, "id")
 

@@ -48,6 +48,8 @@ APPENDED = ("postings",)
 BUCKET = "__bucket"
 #: Buckets of a small collection, and the most that a manifest names.
 LEAST, MOST = 32, 4096
+#: Ids that narrowed() lists in a filter.
+LISTED = 1000
 
 
 #: How often a writer whose version was taken by another one puts its change on top of that one before it gives up.
@@ -69,6 +71,7 @@ class SnapshotStore:
 
     def __init__(self, spark: SparkSession, path: str, target: int = 50_000):
         self.spark, self.path, self.target = spark, path.rstrip("/"), target
+        self._held: tuple[int, int] = (-1, 0)
 
     # -- files ---------------------------------------------------------------------------------------
 
@@ -152,13 +155,38 @@ class SnapshotStore:
     def read(self, name: str, version: int | None = None) -> DataFrame:
         return self._table(self._entry(version), name)
 
+    @staticmethod
+    def _buckets_of(keys: list[int], buckets: int) -> list[str]:
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
+        return sorted({str(signed(xxhash.xxh64_intdigest(struct.pack("<q", k), 42)) % buckets) for k in keys})  # as Spark hashes a long
+
+    def documents(self, version: int) -> int:
+        """How many documents a version has."""
+        if self._held[0] != version:
+            self._held = (version, self.read("documents", version).count())
+        return self._held[1]
+
     def lookup(self, name: str, keys: list[int], version: int | None = None) -> DataFrame:
         """The rows of a table whose bucket key, a long, is one of ``keys``: only their buckets are read."""
         entry = self._entry(version)
         column, buckets = TABLES[name], entry["buckets"]
-        signed = lambda h: h - (1 << 64) if h >> 63 else h
-        only = {str(signed(xxhash.xxh64_intdigest(struct.pack("<q", k), 42)) % buckets) for k in keys}  # as Spark hashes a long
-        return self._table(entry, name, sorted(only)).filter(F.col(column).isin(sorted(set(keys))))
+        return self._table(entry, name, self._buckets_of(keys, buckets)).filter(F.col(column).isin(sorted(set(keys))))
+
+    def narrowed(self, name: str, ids: DataFrame | None, version: int | None = None) -> DataFrame:
+        """The rows of a table that is dealt by document id, of some documents (one column) or of all: only their buckets are read.
+
+        Up to ``LISTED`` ids are fetched and become a filter that Parquet applies
+        to its row groups; of more only the numbers of their buckets are.
+        """
+        entry, key = self._entry(version), TABLES[name]
+        if ids is None:
+            return self._table(entry, name)
+        ids = ids.toDF("_id")
+        few = [r[0] for r in ids.distinct().limit(LISTED + 1).collect()]
+        if len(few) <= LISTED:
+            return self._table(entry, name, self._buckets_of(few, entry["buckets"])).filter(F.col(key).isin(few))
+        only = sorted(str(r.b) for r in ids.select(self._bucket("_id", entry["buckets"]).alias("b")).distinct().collect())
+        return self._table(entry, name, only).join(ids, F.col(key) == F.col("_id"), "left_semi")
 
     # -- writing -------------------------------------------------------------------------------------
 
