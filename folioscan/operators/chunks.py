@@ -6,34 +6,67 @@ size; a payload is one distinct text, whichever blocks hold it.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed value: bytes of UTF-8 that a chunk holds.
+from ..plans.scratch import stored
+
+# Fixed value: UTF-16 units that a chunk holds.
 CHUNK = 64 << 10
 
 
-def chunk_numbers(sizes: list[int], limit: int = CHUNK) -> list[int]:
-    """The chunk of each block, from 0: one that would pass the limit starts a new chunk, one that is larger has its own."""
-    out, number, held = [], 0, 0
+def chunk_numbers(sizes: list[int], limit: int = CHUNK) -> list[int | None]:
+    """The chunk of each block, from 0; None for empty blocks, which are in no chunk.
+
+    Each block takes its size and one unit for a separator; a block that would
+    end behind the limit starts a new chunk, one that is larger has its own.
+    """
+    out: list[int | None] = []
+    number, held, begun = 0, 0, False
     for size in sizes:
-        if held and held + size > limit:
+        if not size:
+            out.append(None)
+            continue
+        if begun and held + size > limit:
             number, held = number + 1, 0
         out.append(number)
-        held += size
+        held, begun = held + size + 1, True
     return out
 
 
 def chunked(blocks: DataFrame, limit: int = CHUNK) -> DataFrame:
-    """(document_id, ordinal, size, chunk) of blocks (document_id, ordinal, content); only sizes are handed to Python, a document at a time."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ordinal")
-        return frame.assign(chunk=chunk_numbers(frame["size"].tolist(), limit))
+    """(document_id, ordinal, size, chunk) of blocks (document_id, ordinal, content) that are not empty, sizes in UTF-16 units.
 
-    sizes = blocks.select("document_id", "ordinal", F.octet_length("content").cast("long").alias("size"))
-    return sizes.groupBy("document_id").applyInPandas(run, "document_id long, ordinal int, size long, chunk int")
+    Where a chunk that starts at a block would end is a search in the running
+    sums of the sizes, done for all blocks at once by one sort. Which of these
+    starts are really reached from the first block is found by doubling: each
+    round joins the starts that are known with steps twice as long. So the
+    rounds grow with the logarithm of the chunks of a document, and no document
+    is gone through block by block. Documents that fit into one chunk, most of
+    them, take no round.
+    """
+    units = (F.octet_length(F.encode("content", "UTF-16BE")) / 2).cast("long")
+    by = Window.partitionBy("document_id").orderBy("ordinal")
+    rows = blocks.select("document_id", "ordinal", units.alias("size")).filter("size > 0")
+    rows = stored(rows.withColumn("k", F.row_number().over(by)).withColumn("end", F.sum(F.col("size") + 1).over(by.rowsBetween(Window.unboundedPreceding, 0))), "running")
+    totals = rows.groupBy("document_id").agg(F.max("end").alias("total"), F.max("k").alias("last")).filter(F.col("total") > limit + 1)
+    large = rows.join(totals.select("document_id"), "document_id", "left_semi")
+    # the next start behind a block is the first whose end passes the limit from there
+    asked = large.select("document_id", (F.col("end") - F.col("size") - 1 + limit + 1).alias("at"), F.lit(0).alias("is_end"), F.col("k").alias("from"), F.lit(None).cast("int").alias("to"))
+    ends = large.select("document_id", F.col("end").alias("at"), F.lit(1), F.lit(None).cast("int"), "k")
+    behind = Window.partitionBy("document_id").orderBy(F.col("at").desc(), "is_end").rowsBetween(Window.unboundedPreceding, 0)
+    steps = asked.union(ends).withColumn("next", F.min("to").over(behind)).filter("is_end = 0 and next is not null")
+    steps = stored(steps.select("document_id", "from", F.greatest("next", F.col("from") + 1).alias("next")), "steps")
+    starts = totals.select("document_id", F.lit(1).alias("k"))
+    most = totals.agg(F.max(F.least(F.ceil(2 * F.col("total") / limit) + 2, F.col("last")))).first()[0] or 0
+    for _ in range(max(0, int(most) - 1).bit_length()):
+        further = starts.join(steps.withColumnRenamed("from", "k"), ["document_id", "k"]).select("document_id", F.col("next").alias("k"))
+        starts = stored(starts.union(further), "starts")
+        then = steps.select("document_id", F.col("from").alias("next"), F.col("next").alias("end"))
+        steps = stored(steps.join(then, ["document_id", "next"]).select("document_id", "from", F.col("end").alias("next")), "steps")
+    marked = rows.join(starts.withColumn("start", F.lit(1)), ["document_id", "k"], "left")
+    number = F.greatest(F.sum(F.coalesce("start", F.lit(0))).over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1, F.lit(0))
+    return marked.select("document_id", "ordinal", "size", number.cast("int").alias("chunk"))
 
 
 def payloads(blocks: DataFrame) -> DataFrame:

@@ -6,10 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def summary(samples: DataFrame, key: str, value: str) -> DataFrame:
-    """Count, p50, p95 and maximum of ``value`` by ``key``; percentiles are nearest-rank, results have two decimals."""
+# Fixed value: samples of a key that its percentiles are taken from.
+SAMPLED = 20_000
+
+
+def sampled(samples: DataFrame, key: str, limit: int = SAMPLED) -> DataFrame:
+    """At most ``limit`` rows of each key: those with the smallest hashes of the whole row, all rows of a key with fewer.
+
+    Samples of parts of the data merge into that of the whole: Spark cuts each
+    task's rows to ``limit`` before it shuffles them, and again behind that, so a
+    key with all rows costs each task as much as any other. Equal rows have one hash.
+    """
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in samples.columns])))
+    return samples.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
+
+
+def summary(samples: DataFrame, key: str, value: str, limit: int = SAMPLED) -> DataFrame:
+    """Count, p50, p95 and maximum of ``value`` by ``key``, with two decimals; percentiles are nearest-rank, of a bounded sample where a key has more rows."""
     rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
-    return samples.groupBy(key).agg(F.count(value).alias("n"), F.round(rank(0.5), 2).alias("p50"), F.round(rank(0.95), 2).alias("p95"), F.round(F.max(value), 2).alias("most"))
+    whole = samples.groupBy(key).agg(F.count(value).alias("n"), F.round(F.max(value), 2).alias("most"))
+    ranks = sampled(samples.filter(F.col(value).isNotNull()), key, limit).groupBy(F.col(key).alias("_key")).agg(F.round(rank(0.5), 2).alias("p50"), F.round(rank(0.95), 2).alias("p95"))
+    return whole.join(ranks, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, "n", "p50", "p95", "most")
 
 
 def slowest(samples: DataFrame, value: str, ident: str, limit: int = 20) -> DataFrame:

@@ -208,9 +208,10 @@ ORACLE_SQL = {
  SELECT key, max(k) AS requests, max(accepted) AS accepted FROM w GROUP BY key""",
     "tool_evidence": f"WITH {TOOLS} SELECT * FROM t",
     "reference_buckets": f"WITH {TOOLS} SELECT session, count(DISTINCT path) AS n_visible, 0 AS n_low, 0 AS n_unknown FROM t GROUP BY 1",
-    "chunk_assignment": f"""WITH RECURSIVE {INV}, {BLK}, z AS (SELECT document_id, ordinal, octet_length(encode(content)) AS size, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) AS k FROM blk),
- c AS (SELECT document_id, ordinal, size, k, 0 AS chunk, size AS held FROM z WHERE k = 1 UNION ALL
-  SELECT z.document_id, z.ordinal, z.size, z.k, CASE WHEN held > 0 AND held + z.size > 2000 THEN chunk + 1 ELSE chunk END, CASE WHEN held > 0 AND held + z.size > 2000 THEN z.size ELSE held + z.size END FROM c JOIN z ON z.document_id = c.document_id AND z.k = c.k + 1)
+    "chunk_assignment": f"""WITH RECURSIVE {INV}, {BLK}, u AS (SELECT document_id, ordinal, length(content) + length(regexp_replace(content, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS size FROM blk WHERE content <> ''),
+ z AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) AS k FROM u),
+ c AS (SELECT document_id, ordinal, size, k, 0 AS chunk, size + 1 AS held FROM z WHERE k = 1 UNION ALL
+  SELECT z.document_id, z.ordinal, z.size, z.k, CASE WHEN held + z.size > 2000 THEN chunk + 1 ELSE chunk END, CASE WHEN held + z.size > 2000 THEN z.size + 1 ELSE held + z.size + 1 END FROM c JOIN z ON z.document_id = c.document_id AND z.k = c.k + 1)
  SELECT document_id, ordinal, size, chunk FROM c""",
     "payload_search": f"WITH {INV}, {BLK} SELECT document_id, ordinal FROM blk WHERE contains(lower(content), 'thtion')",
     "preview_ids": f"WITH {INV} SELECT id, sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode(path)))) AS preview FROM inv",

@@ -20,13 +20,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.paths import IgnoreRule, ancestors, below, excluded_by
 from ..operators.inventory import difference
 from ..operators.timings import summary
-from ..plans.scratch import shared
+from ..plans.scratch import fresh, shared, stored
 
 # Fixed values, in milliseconds and rows.
 QUIET, FORCED = 1_500, 15_000
 OLDEST, NEWEST = 400, 100
 OVERFLOW = 10_000
 COOL_DOWN, WINDOW, PER_WINDOW, BACK_OFF = 5_000, 60_000, 4, (5_000, 15_000, 60_000)
+KEYS = 1_024
 
 
 def millis(column: str = "ts"):
@@ -189,13 +190,46 @@ def throttle(times: list[int], **limits) -> list[bool]:
 
 
 def rescans(events: DataFrame, key: str, ts: str = "ts", **limits) -> DataFrame:
-    """Per key the number of requests and of accepted rescans."""
+    """(key, requests, accepted): what the throttle makes of the requests of each key.
+
+    After a pause as long as the window and the longest delay nothing is left
+    of what was before but the number of full windows met, and of that only
+    whether it is 0, 1, .. or enough for the longest delay. So pauses cut the
+    requests of a key into segments, which tasks work on by themselves, once
+    for each of these few states that they may start in. The state only grows,
+    so where it changes are the first segments that leave it: minima by key put
+    the segments together.
+    """
+    plain = Throttle(**limits)
+    pause, last = max(plain.window, *plain.back_off, plain.cool), len(plain.back_off) - 1
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        taken = throttle(sorted(frame["at"].tolist()), **limits)
-        return pd.DataFrame({"key": [frame["key"].iloc[0]], "requests": [len(taken)], "accepted": [sum(taken)]})
+        times, rows = sorted(frame["at"].tolist()), []
+        for entry in range(last + 1):
+            state = Throttle(**limits, refused=entry)
+            rows.append((frame["key"].iloc[0], int(frame["segment"].iloc[0]), entry, len(times), sum(map(state.request, times)), min(state.refused, last)))
+        return pd.DataFrame(rows, columns=["key", "segment", "entry", "requests", "accepted", "leaves"])
 
-    return events.select(F.col(key).cast("string").alias("key"), millis(ts).alias("at")).groupBy("key").applyInPandas(run, "key string, requests long, accepted long")
+    by = Window.partitionBy("key").orderBy("at")
+    rows = events.select(F.col(key).cast("string").alias("key"), millis(ts).alias("at")).withColumn("gap", F.col("at") - F.lag("at").over(by))
+    rows = rows.withColumn("segment", F.sum(F.when(F.col("gap") < pause, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    maps = stored(rows.select("key", "segment", "at").groupBy("key", "segment").applyInPandas(run, "key string, segment long, entry int, requests long, accepted long, leaves int"), "segments")
+    # (key, entry, since): from which segment on a key is in which state; a state may be skipped
+    now = maps.groupBy("key").agg(F.min("segment").alias("since")).select("key", F.lit(0).alias("entry"), "since")
+    reached = now
+    for entry in range(last):
+        here = now.filter(F.col("entry") == entry).select("key", "entry", "since")
+        left = maps.join(here, ["key", "entry"]).filter((F.col("segment") >= F.col("since")) & (F.col("leaves") > entry))
+        then = left.groupBy("key").agg(F.min_by(F.col("leaves"), "segment").alias("entry"), (F.min("segment") + 1).alias("since"))
+        reached, now = reached.union(then), now.union(then)
+    spans = reached.withColumn("until", F.lead("since").over(Window.partitionBy("key").orderBy("since", "entry")))
+    own = maps.join(spans, ["key", "entry"]).filter((F.col("segment") >= F.col("since")) & (F.col("until").isNull() | (F.col("segment") < F.col("until"))))
+    return own.groupBy("key").agg(F.sum("requests").alias("requests"), F.sum("accepted").alias("accepted"))
+
+
+def kept_keys(requests: DataFrame, limit: int = KEYS) -> DataFrame:
+    """(key, last_at) of the ``limit`` keys that asked last: of what a throttle remembers the keys that were not used longest go first."""
+    return requests.groupBy("key").agg(F.max("at").alias("last_at")).orderBy(F.col("last_at").desc(), "key").limit(limit)
 
 
 def absorbed(pending: DataFrame) -> DataFrame:

@@ -276,8 +276,9 @@ def test_volume_rules(spark):
 
 
 def test_chunks_and_library():
-    assert chunks.chunk_numbers([10, 20, 40, 5, 100, 1, 99], 50) == [0, 0, 1, 1, 2, 3, 3 + 1]
+    assert chunks.chunk_numbers([10, 20, 40, 5, 100, 1, 99], 50) == [0, 0, 1, 1, 2, 3, 4]
     assert chunks.chunk_numbers([], 5) == [] and chunks.chunk_numbers([70, 70], 50) == [0, 1]
+    assert chunks.chunk_numbers([0, 24, 25, 0, 1], 50) == [None, 0, 0, None, 1]  # 24 + 1 + 25 fit, one more and its separator do not
 
 
 def test_lists_that_are_full(spark, tmp_path):
