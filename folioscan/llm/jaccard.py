@@ -48,57 +48,16 @@ from pyspark.sql import functions as F
 from .common import freeing, lower_ascii, stored, stored_and_told, word_list
 from .components import components
 from .hashing import mixed
-from .simhash import _nearest_forest, shingle_hashes
+from .near import LARGEST_LIGHT, Threshold, near_pairs, signature
+from .simhash import shingle_hashes
 
 #: Counts of shingles by the first bits of their hash; 2 MB, whatever the input.
 BUCKETS = 1 << 18
-#: Sizes for which subsets are thought of at all.
-LARGEST_LIGHT = 48
-SIGNATURE_WORDS = 16
-#: A subset is a row that is hashed and shuffled; a step along a list compares two numbers of one task. What the first costs in the second.
-SUBSET_COST = 20
 _SLAB = 1 << 20
 #: Wanted classes are broadcast up to this number, 24 bytes each; beyond it they are joined.
 _BROADCAST_KEYS = 400_000
 
 
-class Threshold:
-    """Integer arithmetic of 100 * |A & B| >= percent * |A | B|."""
-
-    def __init__(self, percent: int = 85):
-        self.percent = percent
-
-    def shared(self, s, t):
-        """The least number of common shingles of linked sets of s and t shingles."""
-        return (self.percent * (s + t) + 99 + self.percent) // (100 + self.percent)
-
-    def least(self, n):
-        """The smallest size that can link with n."""
-        return (self.percent * n + 99) // 100
-
-    def largest(self, n):
-        return 100 * n // self.percent
-
-    def prefix(self, n):
-        """Of its shingles in the common order so many hold one of every set that can link with it."""
-        return n - self.least(n) + 1
-
-    def subset_sizes(self, n: int, limit: int) -> list[tuple[int, int, int]]:
-        """(s, t, subset size) of the pairs of sizes up to ``limit`` that a class of n shingles takes part in; equal sets are one class already."""
-        found = [(n, t, self.shared(n, t)) for t in range(n, min(limit, self.largest(n)) + 1)]
-        found += [(s, n, self.shared(s, n)) for s in range(self.least(n), n)]
-        return [(s, t, o) for s, t, o in found if o <= s and not s == t == o]
-
-    def subsets(self, n: int, limit: int) -> int:
-        return sum(comb(n, o) for _, _, o in self.subset_sizes(n, limit))
-
-    def boundary(self, sizes: dict[int, int], list_length: float) -> int:
-        """The size up to which subsets cost less than lists; ``sizes``: classes by size, up to LARGEST_LIGHT."""
-        lists = [sizes.get(n, 0) * self.prefix(n) * list_length for n in range(LARGEST_LIGHT + 1)]
-        costs = [SUBSET_COST * sum(sizes.get(n, 0) * self.subsets(n, limit) for n in range(1, limit + 1)) + sum(lists[limit + 1 :]) for limit in range(LARGEST_LIGHT + 1)]
-        return min(range(len(costs)), key=lambda limit: (costs[limit], -limit))
-
-
 def shingle_sets(texts: list, shingle: int):
     """The sorted distinct shingle hashes of each text (bytes or None)."""
     slab, held = [], 0
@@ -125,12 +84,6 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def signature(hashes: np.ndarray) -> bytes:
-    """Parities of the shingles by the last bits of their hash."""
-    bits = np.bincount((hashes & np.uint64(64 * SIGNATURE_WORDS - 1)).astype(np.int64), minlength=64 * SIGNATURE_WORDS) & 1
-    return np.packbits(bits.astype(bool)).tobytes()
-
-
 def subset_keys(hashes: np.ndarray, wanted: list[tuple[int, int, int]]) -> list[bytes]:
     """(s, t, 128 bits) of each subset of the wanted sizes, from sums of rehashed shingles."""
     n, out = len(hashes), []
@@ -242,78 +195,6 @@ def _not_alone(entries: DataFrame) -> DataFrame:
     return entries.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, class binary, n long, place int")
 
 
-def _whole_groups(batches):
-    """Tables of whole groups (column gid) from sorted batches."""
-    held: list = []
-    for batch in batches:
-        table = pa.Table.from_batches([*held, batch]).combine_chunks()
-        ids = table.column("gid").to_numpy()
-        cut = len(ids) - int((ids[::-1] != ids[-1]).argmax()) if len(ids) and (ids != ids[-1]).any() else 0
-        held = table.slice(cut).to_batches()
-        if cut:
-            yield table.slice(0, cut)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _passing(bound: Threshold, limit: int, gid, side, node, root, n, place, sign):
-    """(i, j, bits apart) of the rows of one group that may link."""
-
-    def kept(i, j):
-        a, b = n[i], n[j]
-        shared = bound.shared(a, b)
-        ok = (node[i] != node[j]) & (root[i] != root[j]) & (np.maximum(a, b) > limit) & (np.minimum(a - place[i], b - place[j]) >= shared)
-        ok &= (100 * np.minimum(a, b) >= bound.percent * np.maximum(a, b)) & ((side[i] != side[j]) | (side[i] == 2))
-        i, j, most = i[ok], j[ok], (a + b - 2 * shared)[ok]
-        apart = np.bitwise_count(sign[i] ^ sign[j]).sum(axis=1, dtype=np.int64)
-        close = apart <= most
-        return i[close], j[close], apart[close]
-
-    starts = np.flatnonzero(np.concatenate(([True], gid[1:] != gid[:-1])))
-    sizes = np.diff(np.concatenate((starts, [len(gid)])))
-    start_of, small = np.repeat(starts, sizes), np.repeat(sizes <= 48, sizes)
-    found = [(np.zeros(0, np.int64),) * 3]
-    for step in range(1, min(48, int(sizes.max(initial=0)))):
-        i = np.flatnonzero(small[:-step] & (start_of[:-step] == start_of[step:]))
-        if len(i):
-            found.append(kept(i, i + step))
-    for s, size in zip(starts[sizes > 48], sizes[sizes > 48], strict=True):
-        for lo in range(s, s + size, 64):
-            i, j = np.meshgrid(np.arange(lo, min(lo + 64, s + size)), np.arange(lo, s + size), indexing="ij")
-            upper = i < j
-            found.append(kept(i[upper], j[upper]))
-    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
-
-
-def _near(entries: DataFrame, bound: Threshold, limit: int, tile: int, every: bool) -> DataFrame:
-    """(a, b) of the pairs of a list (token, class, node, root, n, place, sign) that may link: all, or a forest of the nearest."""
-    hot, told = stored_and_told(entries.groupBy("token").agg(F.count("*").alias("of")).filter(F.col("of") > tile), "hot", rows=F.count(F.lit(1)))
-    rows = entries.join(F.broadcast(hot) if told["rows"] <= _BROADCAST_KEYS else hot, "token", "left")
-    tiles = F.ceil(F.coalesce("of", F.lit(1)) / tile).cast("int")
-    own = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    dealt = rows.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other")).select(
-        F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("gid"), "node", "root", "n", "place", "sign",
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
-
-    @freeing
-    def run(batches):
-        for table in _whole_groups(batches):
-            gid, side, node, root, n, place = (table.column(c).to_numpy() for c in ("gid", "side", "node", "root", "n", "place"))
-            sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint64).reshape(-1, SIGNATURE_WORDS)
-            i, j, apart = _passing(bound, limit, gid, side, node, root, n, place, sign)
-            if not len(i):
-                continue
-            if every:
-                a, b = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
-            else:
-                a, b, _ = _nearest_forest(node[i], node[j], apart, -1)
-                a, b = np.minimum(a, b), np.maximum(a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return dealt.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, "a long, b long").distinct()
-
-
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, bound: Threshold, shingle: int) -> DataFrame:
     """The pairs (a, b) that are links; their sets are made from their texts again."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -376,12 +257,12 @@ def linked(docs: DataFrame, percent: int = 85, shingle: int = 4, limit: int | No
     entries = _not_alone(index.select("class", "n", F.posexplode("tokens").alias("place", "token")).select("token", "class", "n", "place"))
     signs = index.select("class", "sign").join(classes.select("class", "node"), "class").dropDuplicates(["class"])
     entries = stored(entries.join(signs, "class").select("token", "node", "n", "place", "sign").dropDuplicates(["token", "node"]), "lists")
-    first = _near(entries.withColumn("root", F.col("node")), bound, limit, tile, False)
+    first = near_pairs(entries.withColumn("root", F.col("node")), bound, limit, tile, False)
     links = _confirmed(stored(first, "near"), classes, docs, bound, shingle).union(stored(_light_links(index, classes), "light"))
     roots = stored(components(links), "roots")
     placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_lists = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-    rest, told = stored_and_told(_near(placed.join(mixed_lists, "token", "left_semi"), bound, limit, tile, True), "rest", rows=F.count(F.lit(1)))
+    rest, told = stored_and_told(near_pairs(placed.join(mixed_lists, "token", "left_semi"), bound, limit, tile, True), "rest", rows=F.count(F.lit(1)))
     if told["rows"]:
         links = links.union(_confirmed(rest, classes, docs, bound, shingle))
     return members, classes, links

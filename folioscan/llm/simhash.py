@@ -15,10 +15,13 @@ variant has at most 33 members), beyond that it is cut into pairs of tiles.
 Linked pairs of a task are reduced to a spanning forest before they are
 returned, so no group gives more rows than it has members.
 
-With ``similar`` a link needs that share of common shingles. The forest is
-then one of smallest distances: links of at most ``sure`` bits hold, the
-others are looked up in the texts and compared exactly. What the closest pair
-of two groups does not reach, their other pairs reach still less.
+With ``similar`` a link needs that share of common shingles, and fingerprints
+only say which documents may belong together: those of one component. Inside
+each, parity signatures of the shingle sets leave the pairs that can reach the
+share (an exact bound), a forest of the nearest is looked up in the texts, and
+then every pair that is left and not yet in one group. So pairs are checked
+before they are reduced, no pair links unchecked, and a group of n copies gives
+about n rows.
 
 Defined results
     null text, no words   fingerprint zero; such documents link to each other
@@ -42,14 +45,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freeing, lower_ascii, stored, stored_and_told, word_list
+from .common import free_names, freeing, lower_ascii, stored, stored_and_told, word_list
 from .components import components
 from .hashing import mixed, xxh64_spans
+from .near import Threshold, forest, near_pairs, signature
 
 #: Settings for copies whose five-word shingles agree to 0.8 or more. The angle between such shingle counts is at most
-#: acos(8 / 9), 15.1 % of 512 bits: 78 with a standard deviation of 8, so 104 bits lose one in 1,000 and the texts decide
-#: from 57 bits on. At exactly 0.8 a pair meets in one of the 63 blocks with 0.967.
-EIGHTY_PERCENT = {"shingle": 5, "tables": 8, "shared": 1, "max_distance": 104, "overlap": True, "similar": 0.8, "sure": 56}
+#: acos(8 / 9), 15.1 % of 512 bits: 78 with a standard deviation of 8, so 104 bits lose one in 1,000. At exactly 0.8 a pair
+#: meets in one of the 63 blocks with 0.967.
+EIGHTY_PERCENT = {"shingle": 5, "tables": 8, "shared": 1, "max_distance": 104, "overlap": True, "similar": 0.8}
 
 #: Blocks above a tile are broadcast up to this number, 20 bytes each; beyond it they are joined.
 _BROADCAST_KEYS = 400_000
@@ -128,59 +132,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3, tables: int = 1) -> DataFram
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"), "row").mapInArrow(freeing(run), "doc_id long, row binary, fp binary")
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, smallest node linked to it) that join the same nodes as the links (a, b)."""
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        new = new[new]
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    moved = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[moved], nodes[root[moved]]
-
-
-def _nearest_forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (a, b, apart) that join the same nodes: a forest of the pairs within ``sure`` bits, and of the rest one of smallest distances.
-
-    Each round takes the closest pair of every group (ties by place) and unites the groups, so there are few rounds.
-    """
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    close = apart <= sure
-    group = np.arange(len(nodes))
-
-    def unite(p, q):
-        node, root = _forest(p, q)
-        to = np.arange(len(nodes))
-        to[node] = root
-        return node, root, to
-
-    node, root, to = unite(x[close], y[close])
-    group = to[group]
-    out = [(nodes[node], nodes[root], np.zeros(len(node), np.int64))]
-    order = np.argsort(apart, kind="stable")
-    x, y, apart = x[order], y[order], apart[order]
-    while True:
-        other = group[x] != group[y]
-        x, y, apart = x[other], y[other], apart[other]
-        if not len(x):
-            break
-        _, first = np.unique(np.stack((group[x], group[y]), axis=1).reshape(-1), return_index=True)
-        chosen = np.unique(first // 2)
-        out.append((nodes[x[chosen]], nodes[y[chosen]], apart[chosen]))
-        group = unite(group[x[chosen]], group[y[chosen]])[2][group]
-    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
-
-
 def _close_pairs(group: np.ndarray, side: np.ndarray, fp: np.ndarray, most: int):
     """(i, j, distance) of rows of one group (sorted by group) within ``most`` bits; side 0 rows of a tile pair meet side 1 rows only, side 2 rows meet all."""
     n = len(group)
@@ -212,16 +163,13 @@ def _close_pairs(group: np.ndarray, side: np.ndarray, fp: np.ndarray, most: int)
     return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
 
-def links(classes: DataFrame, tables: int, shared: int, max_distance: int, tile: int = 4096, overlap: bool = False, sure: int | None = None, block_bytes: int = 2) -> DataFrame:
-    """(a, b, apart): links that connect all classes (fp, node) within ``max_distance`` bits that share ``shared`` blocks.
+def links(classes: DataFrame, tables: int, shared: int, max_distance: int, tile: int = 4096, overlap: bool = False, block_bytes: int = 2) -> DataFrame:
+    """(a, b): links that connect all classes (fp, node) within ``max_distance`` bits that share ``shared`` blocks.
 
     ``block_bytes``: rows that share a block by chance grow with the table over 256 ** block_bytes. Two bytes serve
     tens of millions of classes; beyond that three bytes with more tables keep chance and recall where they were.
-
-    ``apart`` is 0 for links within ``sure`` bits (default: all), else the distance of just this pair.
     """
     blocks = 8 * tables // block_bytes
-    sure = max_distance if sure is None else sure
     block = lambda start: F.substring("fp", start + 1, block_bytes)
     keys = [F.concat(F.lit(bytes(chosen)), *[block(block_bytes * b) for b in chosen]) for chosen in combinations(range(blocks), shared)]
     if overlap:  # their names have two bytes, so no key of both kinds is the same
@@ -248,9 +196,9 @@ def links(classes: DataFrame, tables: int, shared: int, max_distance: int, tile:
         group = np.unique(table.column("gid").to_numpy(), return_inverse=True)[1] if table.num_rows else np.zeros(0, np.int64)
         fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(table.num_rows, tables)
         node = table.column("node").to_numpy()
-        x, y, apart = _close_pairs(group, table.column("side").to_numpy(), fp, max_distance)
+        x, y, _ = _close_pairs(group, table.column("side").to_numpy(), fp, max_distance)
         if len(x):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _nearest_forest(node[x], node[y], apart, sure)], names=["a", "b", "apart"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in forest(node[x], node[y])], names=["a", "b"])
 
     plain = rows.filter("n is null") if star else rows
     if star:
@@ -264,7 +212,7 @@ def links(classes: DataFrame, tables: int, shared: int, max_distance: int, tile:
                     F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
         )
     dealt = dealt.select(F.xxhash64("key", "i", "j").alias("gid"), "fp", "node", "side")
-    found = dealt.repartition("gid").sortWithinPartitions("gid").mapInArrow(freeing(pairs), "a long, b long, apart long")
+    found = dealt.repartition("gid").sortWithinPartitions("gid").mapInArrow(freeing(pairs), "a long, b long")
     if not star:
         return found
 
@@ -278,7 +226,7 @@ def links(classes: DataFrame, tables: int, shared: int, max_distance: int, tile:
 
     near = rows.filter("n is not null").select("key", "fp", "node").mapInArrow(freeing(variants), "key binary, variant binary, node long")
     groups = near.groupBy("key", "variant").agg(F.collect_set("node").alias("nodes")).filter("size(nodes) > 1")
-    return found.union(groups.select(F.explode("nodes").alias("a"), F.array_min("nodes").alias("b"), F.lit(0).cast("long").alias("apart")))
+    return found.union(groups.select(F.explode("nodes").alias("a"), F.array_min("nodes").alias("b")))
 
 
 def shingle_set(text: bytes | None, shingle: int) -> frozenset:
@@ -291,38 +239,44 @@ def similarity(a: frozenset, b: frozenset) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
-def _confirmed(found: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int, similar: float) -> DataFrame:
-    """(node, root) of the links ``found`` that hold: those without a distance, and of the others those whose texts share enough shingles.
-
-    Links inside a group that is held together already are not looked at; the
-    others unite whole groups, so their components are those of group roots.
-    """
-    found = stored(found.distinct(), "links")
-    roots = components(found.filter("apart = 0").select("a", "b"))
-    open_ = found.filter("apart > 0").select("a", "b")
-    for end in "ab":
-        own = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        open_ = open_.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    open_, told = stored_and_told(open_.filter("root_a <> root_b").select("a", "b", "root_a", "root_b").distinct(), "open", rows=F.count(F.lit(1)))
-    if not told["rows"]:
-        return roots
-    wanted = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", F.col("head.row").alias("row")), "node")
-    wanted, told = stored_and_told(wanted, "wanted", rows=F.count(F.lit(1)))
+def _confirmed(found: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int, similar: float, tile: int = 2048) -> DataFrame:
+    """(node, root) of the groups that pairs with enough common shingles hold together, within the components of the links ``found``."""
+    bound = Threshold(round(100 * similar))
+    moved = components(found)
+    may = stored(moved.union(moved.select(F.col("root").alias("node"), "root").distinct()), "may")
+    wanted, told = stored_and_told(may.join(classes.select("node", F.col("head.row").alias("row")), "node").select("row", "node", "root"), "wanted", rows=F.count(F.lit(1)))
     few = told["rows"] <= _BROADCAST_KEYS
-    said = stored(texts.select("row", F.col("text").cast("binary").alias("text")).join(F.broadcast(wanted) if few else wanted, "row").groupBy("node").agg(F.min("text").alias("text")), "said")
+    said = stored(texts.select("row", F.col("text").cast("binary").alias("text")).join(F.broadcast(wanted) if few else wanted, "row").groupBy("node").agg(F.min("root").alias("root"), F.min("text").alias("text")), "said")
+
+    def signed(batches):
+        for batch in batches:
+            rows = []
+            for text in batch.column(2).to_pylist():
+                words = word_list(lower_ascii(text or b""))
+                h = np.unique(shingle_hashes([b" ".join(words)], shingle)[0]) if words else np.zeros(0, np.uint64)
+                rows.append((len(h), 0, signature(h)))
+            cols = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary())))], names=["token", "node", "n", "place", "sign"])
 
     def compare(batches):
         for batch in batches:
             ok = [similarity(shingle_set(s, shingle), shingle_set(t, shingle)) >= similar for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select(["root_a", "root_b"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    def checked(pairs):
+        both = pairs.join(said.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(said.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(freeing(compare), "a long, b long"), "held")
 
-    both = open_.join(said.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(said.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    united = components(both.select("root_a", "root_b", "text_a", "text_b").mapInArrow(freeing(compare), "root_a long, root_b long").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-    placed = roots.join(united.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return placed.union(united.select("node", "root").join(roots.select("node"), "node", "left_anti"))
+    lists = stored(said.select("node", "root", "text").mapInArrow(freeing(signed), "token long, node long, n long, place int, sign binary"), "signs")
+    held = checked(stored(near_pairs(lists.withColumn("root", F.col("node")), bound, 0, tile, False), "near"))
+    roots = stored(components(held), "roots")
+    placed = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
+    rest, told = stored_and_told(near_pairs(placed.join(open_, "token", "left_semi"), bound, 0, tile, True), "rest", rows=F.count(F.lit(1)))
+    return components(held.union(checked(rest))) if told["rows"] else roots
 
 
-def _groups(docs: DataFrame, by_id: bool, shingle: int = 3, tables: int = 1, shared: int = 2, max_distance: int = 2, tile: int = 4096, overlap: bool = False, similar: float | None = None, sure: int = 0, block_bytes: int = 2) -> tuple[DataFrame, DataFrame]:
+def _groups(docs: DataFrame, by_id: bool, shingle: int = 3, tables: int = 1, shared: int = 2, max_distance: int = 2, tile: int = 4096, overlap: bool = False, similar: float | None = None, block_bytes: int = 2) -> tuple[DataFrame, DataFrame]:
     """(rows of ``docs`` as (doc_id, row, fp), (fp, node, root, head) of each distinct fingerprint).
 
     ``root`` is one node of the group, ``head`` the least (no id, doc_id, row) of the fingerprint's rows. Nodes are
@@ -331,13 +285,13 @@ def _groups(docs: DataFrame, by_id: bool, shingle: int = 3, tables: int = 1, sha
     marked = stored(fingerprints(docs, shingle, tables), "simhash")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head")
     classes = stored(marked.groupBy("fp").agg(head).withColumn("node", F.monotonically_increasing_id()), "classes")
-    found = links(classes.select("fp", "node"), tables, shared, max_distance, tile, overlap, None if similar is None else sure, block_bytes)
+    found = links(classes.select("fp", "node"), tables, shared, max_distance, tile, overlap, block_bytes)
     if by_id:
         ids = marked.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
         again = marked.join(ids, "doc_id").select("fp", "low").filter("fp <> low").distinct()
         again = again.join(classes.select("fp", F.col("node").alias("a")), "fp").join(classes.select(F.col("fp").alias("low"), F.col("node").alias("b")), "low")
-        found = found.union(again.select("a", "b", F.lit(0).cast("long").alias("apart")))
-    roots = components(found.select("a", "b")) if similar is None else _confirmed(found, docs, classes, shingle, similar)
+        found = found.union(again.select("a", "b"))
+    roots = components(found) if similar is None else _confirmed(found, docs, classes, shingle, similar)
     return marked, classes.join(roots, "node", "left").select("fp", "node", F.least("node", "root").alias("root"), "head")
 
 
@@ -360,8 +314,9 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
     Ids need not be unique: a row is known by the SHA-256 of its doc_id and text; of rows equal in both the first in order of the other columns stays.
     """
-    named = docs.withColumn("__folio_row", _row())
-    _, classes = _groups(named.select("doc_id", "text", F.col("__folio_row").alias("row")), False, **how)
-    heads = classes.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.row").alias("__folio_row"))
-    left = named.join(heads, "__folio_row", "left_semi").groupBy("__folio_row").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("__folio_first"))
-    return left.select("__folio_first.*")
+    row, first = free_names(docs.columns, "row", "first")
+    named = docs.withColumn(row, _row())
+    _, classes = _groups(named.select("doc_id", "text", F.col(row).alias("row")), False, **how)
+    heads = classes.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.row").alias(row))
+    left = named.join(heads, row, "left_semi").groupBy(row).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(first))
+    return left.select(f"{first}.*")
