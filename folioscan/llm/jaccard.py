@@ -37,7 +37,6 @@ from __future__ import annotations
 from functools import lru_cache
 from itertools import combinations
 from math import comb
-from math import comb
 
 import numpy as np
 import pyarrow as pa
