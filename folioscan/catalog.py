@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import paths
 from .functions.text import grams, query_terms
 from .operators import chunks, inventory, library, passages, postings, search, sessionlog, timings
 from .oracle_sql import ORACLE_SQL  # noqa: F401
+from .plans.scratch import fresh
 from .sources.corpus import searchable, table
 from .sources import corpus, parsers
-from .streaming import live
+from .streaming import live, queue
+from .streaming.reconcile import Reconcile
 
 Search = search.Search
 SHOWN = ("position", "id", "path", "rank", "by", "ordinal", "reason")
@@ -390,6 +394,20 @@ def queue_acknowledged(spark, sf_dir):
     return live.acknowledged(live.work_queue(work), acks).select("root", "rel_path", "generation")
 
 
+def stream_queue(spark, sf_dir):
+    """The same queue as the state of a stream that is stopped and started again half-way."""
+    work = _work(spark, sf_dir)
+    acks = work.filter("seq % 3 = 0").groupBy("root", "rel_path").agg((F.count("*") * 2 + 1).alias("up_to"), F.max("at").alias("at"))
+    events = work.select(F.col("root").cast("string"), "rel_path", "kind", "reason", F.col("at").cast("timestamp").alias("at"), "seq", F.lit(None).cast("long").alias("up_to"))
+    acks = acks.select(F.col("root").cast("string"), "rel_path", F.lit("ack").alias("kind"), F.lit(None).cast("string").alias("reason"), F.col("at").cast("timestamp").alias("at"), F.lit(None).cast("long").alias("seq"), "up_to")
+    source, home = fresh(spark, "entries"), None
+    early = F.unix_seconds("at") < (events.agg(F.avg(F.unix_seconds("at"))).first()[0] or 0)
+    for part in (events.filter(early), events.filter(~early), acks):
+        part.write.mode("append").parquet(source)
+        home = queue.run(spark, spark.readStream.schema(queue.ENTRIES).parquet(source), home, late="3650 days")
+    return queue.items(spark, home).select(F.col("root").cast("long").alias("root"), "rel_path", "generation")
+
+
 def queue_depth(spark, sf_dir):
     return live.work_queue(_work(spark, sf_dir)).groupBy("root").agg(F.count("*").alias("n"), F.min("created_at").alias("oldest"), F.max("generation").alias("generation"))
 
@@ -434,6 +452,17 @@ def reconcile_round(spark, sf_dir):
     return live.reconcile_round(inventory.difference(disk, index), "/corpus/root0/src2", 100)
 
 
+def reconcile_resumed(spark, sf_dir):
+    """A whole reconcile in rounds of one range, each by a new object on the stored frontier; removals come last."""
+    disk, index = _disk_and_index(spark, sf_dir)
+    home = Reconcile.begin(disk, index, "/corpus", range_rows=max(1, (disk.count() + index.count()) // 6)).home
+    out = []
+    while Reconcile(spark, home).round(lambda found, first: out.append(found), 2):
+        pass
+    gone = Reconcile(spark, home).removals().withColumn("change", F.lit("removed"))
+    return reduce(DataFrame.unionByName, [*out, gone])
+
+
 def verified_again(spark, sf_dir):
     disk, index = _disk_and_index(spark, sf_dir)
     return live.verified_again(index.select("path", "size_bytes", "modified_at_ms"), disk).groupBy("commit").agg(F.count("*").alias("n"))
@@ -486,7 +515,7 @@ QUERIES = {
     "root_merge": root_merge, "orphan_roots": orphan_roots, "imported_results": imported_results, "session_summary": session_summary, "session_references": session_references,
     "reference_totals": reference_totals, "recent_files": recent_files, "library_groups": library_groups, "saved_search_replay": saved_search_replay, "timing_percentiles": timing_percentiles,
     "slowest_topk": slowest_topk, "last_samples": last_samples, "trace_phase_rollup": trace_phase_rollup, "watcher_errors": watcher_errors, "event_bursts": event_bursts, "event_debounce": event_debounce,
-    "queue_generations": queue_generations, "queue_acknowledged": queue_acknowledged, "queue_depth": queue_depth, "queue_overflow": queue_overflow, "fair_batch": fair_batch,
+    "queue_generations": queue_generations, "queue_acknowledged": queue_acknowledged, "stream_queue": stream_queue, "reconcile_resumed": reconcile_resumed, "queue_depth": queue_depth, "queue_overflow": queue_overflow, "fair_batch": fair_batch,
     "rescan_throttle": rescan_throttle, "rescan_windows": rescan_windows, "intake_counts": intake_counts, "live_status": live_status, "folder_expansion": folder_expansion, "reconcile_round": reconcile_round, "verified_again": verified_again,
     "chunk_assignment": chunk_assignment, "payload_search": payload_search, "preview_ids": preview_ids, "search_pruned": search_pruned, "unicode_search": unicode_search, "tool_evidence": tool_evidence, "reference_buckets": reference_buckets,
     "pending_absorbed": pending_absorbed, "status_json": status_json, "list_preview": list_preview, "stream_debounce": stream_debounce,

@@ -163,6 +163,7 @@ ORACLE_SQL = {
  SELECT reason, CASE WHEN reason = 'unchanged' THEN 'skip' WHEN extension NOT IN {READ} THEN 'metadata' ELSE 'parse' END AS action, count(*) AS n FROM c GROUP BY ALL""",
     "text_upgrade_pending": f"{DISK} SELECT extension, count(*) AS n FROM idx WHERE extension IN {TEXT} AND coalesce(parse_version, 0) < 1 GROUP BY 1",
     "snapshot_diff": f"{DISK} SELECT coalesce(disk.path, idx.path) AS path, CASE WHEN idx.path IS NULL THEN 'added' WHEN disk.path IS NULL THEN 'removed' WHEN disk.size_bytes = idx.size_bytes THEN 'same' ELSE 'changed' END AS change FROM disk FULL JOIN idx ON disk.path = idx.path",
+    "reconcile_resumed": f"{DISK} SELECT coalesce(disk.path, idx.path) AS path, CASE WHEN idx.path IS NULL THEN 'added' WHEN disk.path IS NULL THEN 'removed' WHEN disk.size_bytes = idx.size_bytes THEN 'same' ELSE 'changed' END AS change FROM disk FULL JOIN idx ON disk.path = idx.path WHERE idx.path IS NULL OR disk.path IS NULL OR disk.size_bytes <> idx.size_bytes",
     "remove_missing_protected": f"{DISK} SELECT path, path LIKE '/corpus/root0/src2/%' OR path LIKE '/corpus/root0/src1/%' AS protected FROM idx WHERE path LIKE '/corpus/root0/%' AND path NOT IN (SELECT path FROM disk)",
     "ignore_rules": f"WITH {INV} SELECT path, {IGNORED} AS pattern FROM (SELECT *, substr(path, length(root) + 2) AS rel FROM inv) WHERE {IGNORED} IS NOT NULL",
     "skipped_by_rule": f"""WITH {INV}, r AS (SELECT id, CASE WHEN id % 29 = 0 THEN 'lib/node_modules/' || substr(path, length(root) + 2) WHEN id % 31 = 0 THEN '~$' || filename ELSE substr(path, length(root) + 2) END AS rel FROM inv),
@@ -192,6 +193,7 @@ ORACLE_SQL = {
     "event_bursts": "WITH g AS (SELECT *, CASE WHEN epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 21600000 THEN 0 ELSE 1 END AS new FROM events), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g) SELECT user_id, burst, count(*) AS n FROM b GROUP BY ALL",
     "queue_generations": f"WITH {WORK}, {QUEUE} SELECT root, rel_path, generation, reason FROM q",
     "queue_acknowledged": f"WITH {WORK}, {QUEUE}, a AS (SELECT root, rel_path, count(*) * 2 + 1 AS up_to FROM w WHERE event_id % 3 = 0 GROUP BY ALL) SELECT root, rel_path, generation FROM q LEFT JOIN a USING (root, rel_path) WHERE up_to IS NULL OR generation > up_to",
+    "stream_queue": f"WITH {WORK}, {QUEUE}, a AS (SELECT root, rel_path, count(*) * 2 + 1 AS up_to FROM w WHERE event_id % 3 = 0 GROUP BY ALL) SELECT root, rel_path, generation FROM q LEFT JOIN a USING (root, rel_path) WHERE up_to IS NULL OR generation > up_to",
     "queue_depth": f"WITH {WORK}, {QUEUE} SELECT root, count(*) AS n, min(created_at) AS oldest, max(generation) AS generation FROM q GROUP BY 1",
     "queue_overflow": f"""WITH {WORK.replace('user_id % 4 AS root', 'least(user_id % 8, 4) AS root')}, {QUEUE}, s AS (SELECT root, count(*) AS n FROM q GROUP BY 1)
  SELECT root, 'path' AS kind, reason, count(*) AS n FROM q WHERE root IN (SELECT root FROM s WHERE n <= 20) GROUP BY ALL UNION ALL SELECT root, 'dirty-scope', 'overflow', 1 FROM s WHERE n > 20""",

@@ -58,7 +58,7 @@ def test_percentiles_of_a_bounded_sample(spark):
     assert plan.count("WindowGroupLimit") == 2  # before and behind the shuffle
 
 
-@pytest.mark.parametrize("name", ["chunk_assignment", "rescan_throttle", "timing_percentiles", "live_status"])
+@pytest.mark.parametrize("name", ["chunk_assignment", "rescan_throttle", "timing_percentiles", "live_status", "stream_queue", "reconcile_resumed"])
 def test_twins(spark, name):
     import duckdb
 
