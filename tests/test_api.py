@@ -8,7 +8,7 @@ from folioscan.operators.context import ContextError
 
 def test_life_of_a_collection(spark, tmp_path):
     top = tmp_path / "files"
-    for name, data in {"a/one.txt": "hello world\nsecond line", "a/two.md": "# Hello heading\nbody", "a/skip.log": "hello", "a/node_modules/x.txt": "hello", "b/three.csv": "hello,there", "b/pic.bin": "x", "b/bad.docx": "no"}.items():
+    for name, data in {"a/one.txt": "hello world\nsecond line", "a/two.md": "# Hello heading\nbody", "a/skip.log": "hello", "a/node_modules/x.txt": "hello", "b/three.csv": "hello,there", "b/pic.bin": "x", "b/bad.rtf": "no"}.items():
         (top / name).parent.mkdir(parents=True, exist_ok=True)
         (top / name).write_text(data)
     (top / "a" / "ignore.rules").write_text("*.log\n")
@@ -36,9 +36,9 @@ def test_life_of_a_collection(spark, tmp_path):
     assert [r.filename for r in c.search("hello", under=str(top / "b")).collect()] == ["three.csv"]
     assert c.index(str(top / "b"))["plan"] == "subtree"
     status = c.status()
-    assert status["counts"]["unsupported"] >= 1 and status["counts"]["error"] == 1 and status["issues"][0]["path"].endswith("bad.docx")
-    explained = {n: c.explain(str(top / n)) for n in ("a/one.txt", "b/pic.bin", "b/bad.docx", "a/node_modules/x.txt", "a/none.txt")}
-    assert explained == {"a/one.txt": "indexed", "b/pic.bin": "filename-only", "b/bad.docx": "parse-failed", "a/node_modules/x.txt": "excluded", "a/none.txt": "unindexed"}
+    assert status["counts"]["unsupported"] >= 1 and status["counts"]["error"] == 1 and status["issues"][0]["path"].endswith("bad.rtf")
+    explained = {n: c.explain(str(top / n)) for n in ("a/one.txt", "b/pic.bin", "b/bad.rtf", "a/node_modules/x.txt", "a/none.txt")}
+    assert explained == {"a/one.txt": "indexed", "b/pic.bin": "filename-only", "b/bad.rtf": "parse-failed", "a/node_modules/x.txt": "excluded", "a/none.txt": "unindexed"}
     assert c.explain("/elsewhere/x") == "outside-root"
     row = c.search("changed").first()
     assert "hello changed" in c.context([("changed", row.reference)])

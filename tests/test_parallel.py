@@ -58,13 +58,13 @@ def test_percentiles_of_a_bounded_sample(spark):
     assert plan.count("WindowGroupLimit") == 2  # before and behind the shuffle
 
 
-@pytest.mark.parametrize("name", ["chunk_assignment", "rescan_throttle", "timing_percentiles", "live_status", "stream_queue", "reconcile_resumed"])
+@pytest.mark.parametrize("name", ["chunk_assignment", "rescan_throttle", "html_blocks", "html_titles", "timing_percentiles", "live_status", "stream_queue", "reconcile_resumed"])
 def test_twins(spark, name):
     import duckdb
 
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for t in ("documents", "events"):
+    for t in ("documents", "events", "pages"):
         con.sql(f"CREATE VIEW {t} AS FROM '{sf}/{t}.parquet'")
     found = catalog.QUERIES[name](spark, sf)
     columns = sorted(found.columns)
