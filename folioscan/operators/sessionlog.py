@@ -15,6 +15,8 @@ import re
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as Expired
+from dataclasses import dataclass
+from itertools import groupby
 from urllib.parse import unquote, urlsplit
 
 import pandas as pd
@@ -113,7 +115,8 @@ def text_paths(texts: pd.Series) -> pd.Series:
 # Keys whose strings are paths, and keys that name a tool.
 PATH_KEYS = ("path", "file", "file_path", "filePath", "filename", "cwd", "workdir", "directory", "root")
 TOOL_KEYS = ("name", "tool_name", "toolName", "tool")
-_PATCH = re.compile(r"^\*\*\* (?:Update|Add|Delete) File: (.+?)\s*$", re.M)
+SERVER_KEYS = ("server", "server_name", "serverName", "namespace")
+_PATCH = re.compile(r"^\*\*\* (?:(?:Update|Add|Delete) File|Move to|Copy to): (.+?)\s*$", re.M)
 
 
 def strings_of(value, depth: int = DEEPEST) -> Iterator[str]:
@@ -172,68 +175,115 @@ def _prompted(text: str) -> list[str]:
     return paths if paths and all(paths) else []
 
 
-def _kind(event: dict, payload: dict) -> str:
-    kind = event.get("type")
-    inner = payload.get("type")
-    return f"{kind}/{inner}" if kind in ("response_item", "event_msg") and isinstance(inner, str) else str(kind)
+@dataclass(frozen=True)
+class Rule:
+    """Where events of a kind name paths, and what that is evidence of.
 
+    ``kind`` is the type of the event, with that of its payload behind a slash
+    for the two that carry others; ``*`` stands for all types that no rule and
+    none of SILENT names. ``at`` are places in the event, or in each member of
+    the list at ``each``. ``where`` asks for values at places (in lower case,
+    without underscores). Of rules with one ``turn`` the first that finds
+    something counts.
+    """
 
-def _named(keys, *records: dict) -> str:
-    return next((r[k].lower() for r in records for k in keys if isinstance(r.get(k), str)), "")
+    kind: str
+    at: tuple[str, ...]
+    read: str
+    source: str
+    confidence: str
+    where: tuple[tuple[str, str], ...] = ()
+    each: str = ""
+    searched: bool | None = None
+    turn: str = ""
+
+
+# Event types that are no evidence where no rule names them.
+SILENT = ("session_meta", "turn_context", "world_state", "compacted", "response_item", "event_msg")
+_USER = ("^payload.role", "user")
+_CALL, _CUSTOM, _ITEM = "response_item/function_call", "response_item/custom_tool_call", "event_msg/item_completed"
+RULES = (
+    Rule("response_item/message", ("text",), "listed", "prompt", "high", (_USER, ("type", "inputtext")), "payload.content", turn="typed"),
+    Rule("response_item/message", ("text",), "inside", "user-provided", "medium", (_USER, ("type", "inputtext")), "payload.content", turn="typed"),
+    Rule("response_item/message", ("",), "said", "user-provided", "medium", (_USER, ("type", "inputimage")), "payload.content"),
+    Rule(_CALL, ("payload.arguments",), "said", "search-tool", "high", searched=True),
+    Rule(_CALL, ("payload.arguments",), "said", "other-tool", "high", (("tool", "shellcommand"),), searched=False),
+    Rule(_CUSTOM, ("payload.input",), "patch", "other-tool", "high", (("tool", "applypatch"),)),
+    Rule(_CUSTOM, ("payload.input",), "said", "other-tool", "high", (("tool", "exec"),)),
+    Rule(_ITEM, ("payload.item",), "changed", "other-tool", "high", (("payload.item.type", "filechange"),)),
+    Rule(_ITEM, ("payload.item.command", "payload.item.parsed_cmd"), "said", "other-tool", "high", (("payload.item.type", "commandexecution"),)),
+    Rule(_ITEM, ("payload.item.arguments", "payload.item.input"), "said", "search-tool", "high", (("payload.item.type", "mcptoolcall"),), searched=True),
+    Rule("*", ("message", "text", "payload.message", "payload.text"), "said", "user-provided", "low"),
+)
+
+
+def _changed(values: list) -> list[str]:
+    """The paths of file changes: values of path fields, and the names under ``changes``."""
+    out: list[str] = []
+    for item in filter(lambda v: isinstance(v, dict), values):
+        changes = item.get("changes") if isinstance(item.get("changes"), dict) else {}
+        out += [*fields_of({k: v for k, v in item.items() if k != "changes"}), *changes]
+    return [p for p in map(absolute_path, out) if p]
 
 
-def evidence_of(line: str, search_tools: tuple = ("document_search",)) -> list[tuple[str, str, str, str]]:
-    """(path, source, confidence, event type) of each path that one JSON line of a session gives evidence of.
+READERS: dict[str, Callable[[list], list[str]]] = {
+    "said": lambda values: [p for v in values for p in _said(v)],
+    "inside": lambda values: [p for v in values if isinstance(v, str) for p in paths_in(v)],
+    "listed": lambda values: [p for v in values if isinstance(v, str) for p in _prompted(v)],
+    "patch": lambda values: [p for v in values for text in strings_of(v) for p in patch_paths(text)],
+    "changed": _changed,
+}
 
-    What a user types counts as user-provided (a list of paths alone as a
-    prompt), arguments of the tools named in ``search_tools`` as search-tool,
-    of shell commands, patches and file changes as other-tool. Other structured
-    events say nothing; loose messages count with low confidence.
-    """
+
+def _at(record, place: str):
+    """The value at a place of nested records; None where there is none."""
+    for name in filter(None, place.split(".")):
+        record = record.get(name) if isinstance(record, dict) else None
+    return record
+
+
+def _plain(value) -> str:
+    return str(value or "").replace("_", "").lower()
+
+
+def _searched(event: dict, tools: tuple) -> bool:
+    """Whether a tool or server of the event is one that searches."""
+    held = [r for r in (_at(event, "payload.item"), event.get("payload"), event) if isinstance(r, dict)]
+    named = [v.lower() for r in held for k, v in r.items() if k in SERVER_KEYS and isinstance(v, str)]
+    return any(name == t or name.startswith(f"mcp__{t}") for t in tools for name in (*named, _tool(event)))
+
+
+def _tool(event: dict) -> str:
+    held = [r for r in (event.get("payload"), event) if isinstance(r, dict)]
+    return next((r[k].lower() for r in held for k in TOOL_KEYS if isinstance(r.get(k), str)), "")
+
+
+def evidence_of(line: str, search_tools: tuple = ("document_search",)) -> list[tuple[str, str, str, str]]:
+    """(path, source, confidence, event type) of each path that one JSON line of a session gives evidence of, by RULES."""
     try:
         event = json.loads(line) if len(line) <= LONGEST_LINE else None
     except ValueError:
         event = None
     if not isinstance(event, dict):
         return []
-    payload = event["payload"] if isinstance(event.get("payload"), dict) else {}
-    item = payload["item"] if isinstance(payload.get("item"), dict) else {}
-    kind, tool = _kind(event, payload), _named(TOOL_KEYS, payload, event)
-    servers = [v.lower() for r in (item, payload, event) for k, v in r.items() if k in ("server", "server_name", "serverName", "namespace") and isinstance(v, str)]
-    searched = any(name == t or name.startswith(f"mcp__{t}") for t in search_tools for name in (*servers, tool))
-    found: list[tuple[list[str], str, str]] = []
-    if kind == "response_item/message":
-        for part in payload.get("content") or [] if str(payload.get("role", "")).lower() == "user" and isinstance(payload.get("content"), list) else []:
-            what = str(part.get("type", "")).lower() if isinstance(part, dict) else ""
-            if what == "input_text" and isinstance(part.get("text"), str):
-                listed = _prompted(part["text"])
-                found.append((listed, "prompt", "high") if listed else (paths_in(part["text"]), "user-provided", "medium"))
-            elif what == "input_image":
-                found.append((_said(part), "user-provided", "medium"))
-    elif kind == "response_item/function_call":
-        if searched:
-            found.append((_said(payload.get("arguments")), "search-tool", "high"))
-        elif tool == "shell_command":
-            found.append((_said(payload.get("arguments")), "other-tool", "high"))
-    elif kind == "response_item/custom_tool_call":
-        given = payload.get("input")
-        if tool == "apply_patch":
-            found.append(([p for text in strings_of(given) for p in patch_paths(text)], "other-tool", "high"))
-        elif tool == "exec":
-            found.append((_said(given), "other-tool", "high"))
-    elif kind == "event_msg/item_completed":
-        what = str(item.get("type", "")).replace("_", "").lower()
-        if what == "filechange":
-            changed = item.get("changes") if isinstance(item.get("changes"), dict) else {}
-            named = [*fields_of({k: v for k, v in item.items() if k != "changes"}), *changed]
-            found.append(([p for p in map(absolute_path, named) if p], "other-tool", "high"))
-        elif what == "commandexecution":
-            found.append((_said([item.get("command"), item.get("parsed_cmd")]), "other-tool", "high"))
-        elif what == "mcptoolcall" and searched:
-            found.append((_said([item.get("arguments"), item.get("input")]), "search-tool", "high"))
-    elif not kind.startswith(("session_meta", "turn_context", "world_state", "compacted", "response_item", "event_msg")):
-        found.append((_said([event.get("message"), event.get("text"), payload.get("message"), payload.get("text")]), "user-provided", "low"))
-    return list(dict.fromkeys((path, source, confidence, kind) for paths, source, confidence in found for path in paths))
+    inner = _at(event, "payload.type")
+    kind = str(event.get("type")) + (f"/{inner}" if event.get("type") in ("response_item", "event_msg") and isinstance(inner, str) else "")
+    searched, tool = _searched(event, search_tools), _tool(event)
+    found: dict[tuple, None] = {}
+    for group, rules in groupby((r for r in RULES if r.kind == kind or r.kind == "*" and not kind.startswith(SILENT)), key=lambda r: (r.turn, r.each)):
+        rules = list(rules)
+        members = _at(event, group[1]) if group[1] else [event]
+        for member in members if isinstance(members, list) else []:
+            for rule in rules:
+                held = {"tool": tool, **{p: _at(event, p[1:]) if p[0] == "^" else _at(member, p) for p, _ in rule.where if p != "tool"}}
+                if rule.searched not in (None, searched) or any(_plain(held[p]) != want for p, want in rule.where):
+                    continue
+                values = [v for v in (_at(member, p) for p in rule.at) if v is not None]
+                told = [(path, rule.source, rule.confidence, kind) for path in READERS[rule.read](values)]
+                found.update(dict.fromkeys(told))
+                if told and rule.turn:
+                    break
+    return list(found)
 
 
 def evidence(lines: DataFrame, search_tools: tuple = ("document_search",)) -> DataFrame:

@@ -376,6 +376,8 @@ def test_evidence_of_tool_calls():
         (json.dumps({"type": "note", "message": "in /a/low.txt here"}), [("/a/low.txt", "user-provided", "low")]),
         (line("turn_context", {"cwd": "/a"}), []), ("{broken", []), ("[1]", []), ("", []),
     ]
+    moved = "*** Begin Patch\n*** Update File: /a/one.py\n*** Move to: /a/three.py\n*** Copy to: /a/four.py\n"
+    cases.append((line("response_item", {"type": "custom_tool_call", "name": "apply_patch", "input": moved}), [(p, "other-tool", "high") for p in ("/a/one.py", "/a/three.py", "/a/four.py")]))
     for value, want in cases:
         assert [e[:3] for e in sessionlog.evidence_of(value)] == want, value
 
