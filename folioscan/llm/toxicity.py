@@ -5,9 +5,12 @@ shared by all thresholds t_1 < t_2 < ..: P(grade <= k) = sigmoid(t_k - f(x)).
 The output is the expected severity, the sum of P(grade > k).
 
 Labels say only whether a document is toxic, so the grades of the training
-rows come from their density of toxic wording: features that the labelled
-sample shows in toxic rows only are counted per 100 words and cut at fixed
-densities. Training reads at most ``most`` labelled documents (a documented
+rows come from how much toxic wording they hold: features that the labelled
+sample shows far more often in toxic rows are counted (a word of over five
+letters as itself and as its stem) and the count is cut at fixed amounts. The
+amount is that of the whole text, so of two toxic texts of one density the
+longer one has the higher grade; texts that are not toxic have grade 0 at any
+length. Training reads at most ``most`` labelled documents (a documented
 bound, drawn by hash), whole texts, on the driver; scoring is a sparse dot
 product for each document.
 
