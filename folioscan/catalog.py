@@ -222,6 +222,13 @@ def ignore_rules(spark, sf_dir):
     return docs.select("path", paths.ignored_by("relative", F.lit(False), paths.ignore_rules(IGNORE)).alias("pattern")).filter("pattern is not null")
 
 
+def ignore_rules_roots(spark, sf_dir):
+    """Both roots of the collection, each with rules of its own."""
+    docs = _relative(corpus.inventory(table(spark, sf_dir, "documents"))).select("root", "path", "relative", F.lit(False).alias("is_folder"))
+    rules = paths.rule_table(spark, {"/corpus/root0": IGNORE, "/corpus/root1": "src3/\n*-2?.*\n/src1/doc-1*"})
+    return paths.ignored_by_roots(docs, rules).select("path", "pattern").filter("pattern is not null")
+
+
 def skipped_by_rule(spark, sf_dir):
     docs = _relative(corpus.inventory(table(spark, sf_dir, "documents")))
     relative = F.when(F.col("id") % 29 == 0, F.concat(F.lit("lib/node_modules/"), F.col("relative"))).when(F.col("id") % 31 == 0, F.concat(F.lit("~$"), F.col("filename"))).otherwise(F.col("relative"))
@@ -511,7 +518,7 @@ QUERIES = {
     "snippet_page": snippet_page, "stable_reference": stable_reference, "heading_min_ordinal": heading_min_ordinal, "gram_postings": gram_postings, "gram_candidates": gram_candidates,
     "gram_vs_scan": gram_vs_scan, "filename_grams": filename_grams, "html_blocks": html_blocks, "html_titles": html_titles, "markdown_sections": markdown_sections, "status_counts": status_counts, "extension_stats": extension_stats,
     "documents_in_scope": documents_in_scope, "reprocess_reasons": reprocess_reasons, "text_upgrade_pending": text_upgrade_pending, "snapshot_diff": snapshot_diff,
-    "remove_missing_protected": remove_missing_protected, "ignore_rules": ignore_rules, "skipped_by_rule": skipped_by_rule, "explain_path": explain_path, "root_cover": root_cover,
+    "remove_missing_protected": remove_missing_protected, "ignore_rules": ignore_rules, "ignore_rules_roots": ignore_rules_roots, "skipped_by_rule": skipped_by_rule, "explain_path": explain_path, "root_cover": root_cover,
     "root_merge": root_merge, "orphan_roots": orphan_roots, "imported_results": imported_results, "session_summary": session_summary, "session_references": session_references,
     "reference_totals": reference_totals, "recent_files": recent_files, "library_groups": library_groups, "saved_search_replay": saved_search_replay, "timing_percentiles": timing_percentiles,
     "slowest_topk": slowest_topk, "last_samples": last_samples, "trace_phase_rollup": trace_phase_rollup, "watcher_errors": watcher_errors, "event_bursts": event_bursts, "event_debounce": event_debounce,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -102,6 +102,33 @@ def ignored_by(relative: str | Column, is_folder: Column, rules: list[IgnoreRule
     return F.coalesce(*[hit(r) for r in rules], F.lit(None).cast("string"))
 
 
+RULES = "root string, n int, pattern string, regex string, folders_only boolean"
+
+
+def rule_table(spark, texts: dict[str, str]) -> DataFrame:
+    """RULES: the ignore rules of several roots in order, from their texts."""
+    return spark.createDataFrame([(root, n, r.pattern, r.regex, r.folders_only) for root, text in texts.items() for n, r in enumerate(ignore_rules(text))], RULES)
+
+
+def ignored_by_roots(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """``files`` (root, relative, is_folder) with ``pattern``: the first rule of the own root that matches the path or a folder above it, else null.
+
+    Rules are rows and meet the paths of their root in one join, whatever the
+    number of roots. Each folder is matched once, not once for each file below
+    it; files then take over what holds for the folders above them.
+    """
+    pieces = F.split("relative", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda n: F.array_join(F.slice(pieces, F.lit(1), n), "/"))
+    own = files.select("root", F.regexp_replace("relative", r"\\", "/").alias("relative"), "is_folder").distinct()
+    inside = own.filter(F.size(pieces) > 1).select("root", "relative", F.explode(above).alias("folder"))
+    first = F.min(F.struct("n", "pattern")).alias("rule")
+    folders = inside.select("root", "folder").distinct().join(rules, "root").filter("folder RLIKE regex").groupBy("root", "folder").agg(first)
+    leaves = own.join(rules, "root").filter("relative RLIKE regex AND (NOT folders_only OR is_folder)").groupBy("root", "relative", "is_folder").agg(first)
+    below_ = inside.join(folders, ["root", "folder"]).groupBy("root", "relative").agg(F.min("rule").alias("above"))
+    found = own.join(leaves, ["root", "relative", "is_folder"], "left").join(below_, ["root", "relative"], "left").select("root", F.col("relative").alias("_path"), "is_folder", F.least("rule", "above")["pattern"].alias("pattern"))
+    return files.withColumn("_path", F.regexp_replace("relative", r"\\", "/")).join(found, ["root", "_path", "is_folder"], "left").drop("_path")
+
+
 # Folders and files that are never sources, by name; then folders directly below the root of a volume,
 # and those that are kept out by default where a whole volume is the root (* is one component).
 FOLDERS = {".git": "builtin:.git", "node_modules": "builtin:node-modules", ".folioscan": "builtin:folioscan"}

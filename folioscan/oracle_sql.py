@@ -165,6 +165,9 @@ ORACLE_SQL = {
     "snapshot_diff": f"{DISK} SELECT coalesce(disk.path, idx.path) AS path, CASE WHEN idx.path IS NULL THEN 'added' WHEN disk.path IS NULL THEN 'removed' WHEN disk.size_bytes = idx.size_bytes THEN 'same' ELSE 'changed' END AS change FROM disk FULL JOIN idx ON disk.path = idx.path",
     "reconcile_resumed": f"{DISK} SELECT coalesce(disk.path, idx.path) AS path, CASE WHEN idx.path IS NULL THEN 'added' WHEN disk.path IS NULL THEN 'removed' WHEN disk.size_bytes = idx.size_bytes THEN 'same' ELSE 'changed' END AS change FROM disk FULL JOIN idx ON disk.path = idx.path WHERE idx.path IS NULL OR disk.path IS NULL OR disk.size_bytes <> idx.size_bytes",
     "remove_missing_protected": f"{DISK} SELECT path, path LIKE '/corpus/root0/src2/%' OR path LIKE '/corpus/root0/src1/%' AS protected FROM idx WHERE path LIKE '/corpus/root0/%' AND path NOT IN (SELECT path FROM disk)",
+    "ignore_rules_roots": f"""WITH {INV}, r AS (SELECT path, CASE WHEN root = '/corpus/root0' THEN {IGNORED} WHEN regexp_matches(rel, '(?i)(?:^|/)src3/') THEN 'src3/'
+ WHEN regexp_matches(rel, '(?i)(?:^|/)[^/]*-2[^/]\\.[^/]*$') THEN '*-2?.*' WHEN regexp_matches(rel, '(?i)^src1/doc-1[^/]*$') THEN '/src1/doc-1*' END AS pattern FROM (SELECT *, substr(path, length(root) + 2) AS rel FROM inv))
+ SELECT path, pattern FROM r WHERE pattern IS NOT NULL""",
     "ignore_rules": f"WITH {INV} SELECT path, {IGNORED} AS pattern FROM (SELECT *, substr(path, length(root) + 2) AS rel FROM inv) WHERE {IGNORED} IS NOT NULL",
     "skipped_by_rule": f"""WITH {INV}, r AS (SELECT id, CASE WHEN id % 29 = 0 THEN 'lib/node_modules/' || substr(path, length(root) + 2) WHEN id % 31 = 0 THEN '~$' || filename ELSE substr(path, length(root) + 2) END AS rel FROM inv),
  x AS (SELECT CASE WHEN id % 41 = 0 THEN 'index-artifact' WHEN id % 37 = 0 THEN 'link' WHEN contains(rel, 'node_modules/') THEN 'builtin:node-modules' WHEN starts_with(rel, '~$') THEN 'builtin:office-temp' ELSE 'user-rule:' || {IGNORED} END AS rule FROM r)

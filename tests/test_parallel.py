@@ -58,7 +58,23 @@ def test_percentiles_of_a_bounded_sample(spark):
     assert plan.count("WindowGroupLimit") == 2  # before and behind the shuffle
 
 
-@pytest.mark.parametrize("name", ["chunk_assignment", "rescan_throttle", "html_blocks", "html_titles", "timing_percentiles", "live_status", "stream_queue", "reconcile_resumed"])
+def test_rules_of_many_roots(spark):
+    """As one root after the other with its own rules."""
+    from folioscan.functions import paths
+
+    texts = {"/a": "*.log\nbuild/\n/src/**/x?.txt", "/b": "doc*/\n*.TXT", "/c": "# none"}
+    names = ["x.log", "build", "build/y.txt", "src/x1.txt", "src/d/e/x2.txt", "docs/a.log", "docs", "A.txt", "sub\\\\build\\\\z.md", "docsfile"]
+    rows = [(r, n, f) for r in (*texts, "/d") for n in names for f in (False, True)]
+    df = spark.createDataFrame(rows, "root string, relative string, is_folder boolean")
+    got = {tuple(r)[:3]: r.pattern for r in paths.ignored_by_roots(df, paths.rule_table(spark, texts)).select("root", "relative", "is_folder", "pattern").collect()}
+    want = {}
+    for root in (*texts, "/d"):
+        mine = df.filter(F.col("root") == root)
+        want |= {tuple(r)[:3]: r.pattern for r in mine.withColumn("pattern", paths.ignored_by("relative", F.col("is_folder"), paths.ignore_rules(texts.get(root, "")))).collect()}
+    assert got == want and len(got) == len(rows) and len({p for p in got.values() if p}) == 5
+
+
+@pytest.mark.parametrize("name", ["ignore_rules_roots", "chunk_assignment", "rescan_throttle", "html_blocks", "html_titles", "timing_percentiles", "live_status", "stream_queue", "reconcile_resumed"])
 def test_twins(spark, name):
     import duckdb
 
