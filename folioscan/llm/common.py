@@ -129,6 +129,12 @@ def release() -> None:
         trim(0)
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage: Spark drops shuffles and broadcasts of steps that are over only when their frames are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def freeing(batches_of):
     """Wraps a function on batches: Python workers are kept between tasks, so each task ends with a release()."""
 

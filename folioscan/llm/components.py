@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, stored_and_told
+from .common import settle, stored, stored_and_told
 
 #: The largest number of nodes whose minima are broadcast, 16 bytes each.
 LARGE = 100_000
@@ -59,4 +59,5 @@ def components(edges: DataFrame, most: int = 64) -> DataFrame:
         wide = stored(_star(now, True, limit), "edges")
         seen = found
         now, found = stored_and_told(_star(wide, False, limit), "edges", **told)
+        settle(edges.sparkSession)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
