@@ -14,7 +14,7 @@ from .oracle_sql import ORACLE_SQL  # noqa: F401
 from .plans.scratch import fresh
 from .sources.corpus import searchable, table
 from .sources import corpus, parsers
-from .streaming import live, queue
+from .streaming import eventlog, live, queue
 from .streaming.reconcile import Reconcile
 
 Search = search.Search
@@ -440,6 +440,22 @@ def intake_counts(spark, sf_dir):
     return live.intake_counts(events, paths.ignore_rules("*.log"))
 
 
+def intake_batches(spark, sf_dir):
+    """The batches in which a stream takes up the events, in two runs: at most 4,000 events, 100 KB of properties, a week."""
+    events = table(spark, sf_dir, "events").select(live.millis().alias("at_ms"), F.col("event_id").alias("seq"), F.octet_length("props").cast("long").alias("size"))
+    home = fresh(spark, "intake")
+    eventlog.append(events, f"{home}/log")
+
+    def handle(batch, number):
+        rows = batch.agg(F.count("*").alias("n"), F.sum(F.coalesce("size", F.lit(0))).alias("size"), F.min("at_ms").alias("first_ms"), F.max("at_ms").alias("last_ms"))
+        rows.write.mode("overwrite").parquet(f"{home}/out/batch={number}")
+
+    for once in (True, False):
+        eventlog.run(spark, f"{home}/log", home, handle, once=once, items=4_000, size=100_000, span=7 * 86_400_000)
+    form = "n long, size long, first_ms long, last_ms long, batch int"
+    return spark.read.schema(form).parquet(f"{home}/out") if eventlog.length(f"{home}/log") else spark.createDataFrame([], form)
+
+
 def live_status(spark, sf_dir):
     samples = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("root"), "value")
     return live.live_status(live.work_queue(_work(spark, sf_dir)), samples, "2024-02-01 00:00:00")
@@ -523,7 +539,7 @@ QUERIES = {
     "reference_totals": reference_totals, "recent_files": recent_files, "library_groups": library_groups, "saved_search_replay": saved_search_replay, "timing_percentiles": timing_percentiles,
     "slowest_topk": slowest_topk, "last_samples": last_samples, "trace_phase_rollup": trace_phase_rollup, "watcher_errors": watcher_errors, "event_bursts": event_bursts, "event_debounce": event_debounce,
     "queue_generations": queue_generations, "queue_acknowledged": queue_acknowledged, "stream_queue": stream_queue, "reconcile_resumed": reconcile_resumed, "queue_depth": queue_depth, "queue_overflow": queue_overflow, "fair_batch": fair_batch,
-    "rescan_throttle": rescan_throttle, "rescan_windows": rescan_windows, "intake_counts": intake_counts, "live_status": live_status, "folder_expansion": folder_expansion, "reconcile_round": reconcile_round, "verified_again": verified_again,
+    "rescan_throttle": rescan_throttle, "rescan_windows": rescan_windows, "intake_counts": intake_counts, "intake_batches": intake_batches, "live_status": live_status, "folder_expansion": folder_expansion, "reconcile_round": reconcile_round, "verified_again": verified_again,
     "chunk_assignment": chunk_assignment, "payload_search": payload_search, "preview_ids": preview_ids, "search_pruned": search_pruned, "unicode_search": unicode_search, "tool_evidence": tool_evidence, "reference_buckets": reference_buckets,
     "pending_absorbed": pending_absorbed, "status_json": status_json, "list_preview": list_preview, "stream_debounce": stream_debounce,
 }

@@ -223,6 +223,13 @@ ORACLE_SQL = {
     "search_pruned": _search("the than"),
     "unicode_search": f"""WITH {INV}, u AS (SELECT id, path, modified_at_ms, extension, len(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\n|\\r')) AS ordinal FROM inv WHERE id::VARCHAR LIKE '7%')
  SELECT row_number() OVER (ORDER BY modified_at_ms DESC, path) AS position, id, path, 1 AS rank, 'content' AS "by", ordinal, 'content' AS reason FROM u QUALIFY position <= 50""",
+    "intake_batches": """WITH RECURSIVE e AS (SELECT row_number() OVER w AS k, epoch_us(ts) // 1000 AS tm, coalesce(strlen(props), 0) AS size, (sum(coalesce(strlen(props), 0)) OVER w)::BIGINT AS total FROM events WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT k, ask, min(hit) OVER (ORDER BY x DESC, ask ROWS UNBOUNDED PRECEDING) AS hit FROM (SELECT tm AS x, 0 AS ask, k, k AS hit FROM e UNION ALL SELECT tm + 604800000, 1, k, NULL FROM e)),
+b AS (SELECT k, ask, min(hit) OVER (ORDER BY x DESC, ask DESC ROWS UNBOUNDED PRECEDING) AS hit FROM (SELECT total AS x, 0 AS ask, k, k AS hit FROM e UNION ALL SELECT total - size + 100000, 1, k, NULL FROM e)),
+step AS (SELECT t.k, least(t.k + 4000, t.hit, CASE WHEN b.hit IS NOT NULL THEN greatest(t.k + 1, b.hit) END) AS next FROM t JOIN b USING (k) WHERE t.ask = 1 AND b.ask = 1),
+s AS (SELECT 0 AS batch, 1::BIGINT AS k WHERE EXISTS (FROM e) UNION ALL SELECT batch + 1, next FROM s JOIN step USING (k) WHERE next <= (SELECT max(k) FROM e)),
+r AS (SELECT batch, k AS lo, lead(k) OVER (ORDER BY k) AS hi FROM s)
+SELECT batch, count(*) AS n, sum(size)::BIGINT AS size, min(tm) AS first_ms, max(tm) AS last_ms FROM e JOIN r ON e.k >= lo AND (hi IS NULL OR e.k < hi) GROUP BY batch""",
     "intake_counts": "SELECT CASE WHEN event_type = 'error' THEN 'rescan' WHEN event_type IN ('purchase', 'signup') THEN 'excluded' ELSE 'path' END AS intake, count(*) AS n FROM events GROUP BY 1",
     "live_status": f"""WITH {WORK}, {QUEUE}, d AS (SELECT root, count(*) AS waiting, min(created_at) AS oldest FROM q GROUP BY 1),
  s AS (SELECT user_id % 4 AS root, count(value) AS n, round(quantile_disc(value, 0.5), 2) AS p50, round(quantile_disc(value, 0.95), 2) AS p95 FROM events GROUP BY 1)

@@ -74,7 +74,7 @@ def test_rules_of_many_roots(spark):
     assert got == want and len(got) == len(rows) and len({p for p in got.values() if p}) == 5
 
 
-@pytest.mark.parametrize("name", ["ignore_rules_roots", "chunk_assignment", "rescan_throttle", "html_blocks", "html_titles", "timing_percentiles", "live_status", "stream_queue", "reconcile_resumed"])
+@pytest.mark.parametrize("name", ["ignore_rules_roots", "chunk_assignment", "rescan_throttle", "intake_batches", "html_blocks", "html_titles", "timing_percentiles", "live_status", "stream_queue", "reconcile_resumed"])
 def test_twins(spark, name):
     import duckdb
 
