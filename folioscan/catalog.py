@@ -456,6 +456,12 @@ def intake_batches(spark, sf_dir):
     return spark.read.schema(form).parquet(f"{home}/out") if eventlog.length(f"{home}/log") else spark.createDataFrame([], form)
 
 
+def prepared_groups(spark, sf_dir):
+    """All documents as work of four roots, in groups of at most 50 items and 20,000 characters."""
+    items = table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("root"), F.col("doc_id").cast("string").alias("path"), F.length("text").alias("chars"), F.col("doc_id").alias("seq"))
+    return live.prepared_groups(items, chars=20_000).select("root", F.col("path").cast("long").alias("doc_id"), F.col("group").alias("number"))
+
+
 def live_status(spark, sf_dir):
     samples = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("root"), "value")
     return live.live_status(live.work_queue(_work(spark, sf_dir)), samples, "2024-02-01 00:00:00")
@@ -539,7 +545,7 @@ QUERIES = {
     "reference_totals": reference_totals, "recent_files": recent_files, "library_groups": library_groups, "saved_search_replay": saved_search_replay, "timing_percentiles": timing_percentiles,
     "slowest_topk": slowest_topk, "last_samples": last_samples, "trace_phase_rollup": trace_phase_rollup, "watcher_errors": watcher_errors, "event_bursts": event_bursts, "event_debounce": event_debounce,
     "queue_generations": queue_generations, "queue_acknowledged": queue_acknowledged, "stream_queue": stream_queue, "reconcile_resumed": reconcile_resumed, "queue_depth": queue_depth, "queue_overflow": queue_overflow, "fair_batch": fair_batch,
-    "rescan_throttle": rescan_throttle, "rescan_windows": rescan_windows, "intake_counts": intake_counts, "intake_batches": intake_batches, "live_status": live_status, "folder_expansion": folder_expansion, "reconcile_round": reconcile_round, "verified_again": verified_again,
+    "rescan_throttle": rescan_throttle, "rescan_windows": rescan_windows, "intake_counts": intake_counts, "intake_batches": intake_batches, "prepared_groups": prepared_groups, "live_status": live_status, "folder_expansion": folder_expansion, "reconcile_round": reconcile_round, "verified_again": verified_again,
     "chunk_assignment": chunk_assignment, "payload_search": payload_search, "preview_ids": preview_ids, "search_pruned": search_pruned, "unicode_search": unicode_search, "tool_evidence": tool_evidence, "reference_buckets": reference_buckets,
     "pending_absorbed": pending_absorbed, "status_json": status_json, "list_preview": list_preview, "stream_debounce": stream_debounce,
 }

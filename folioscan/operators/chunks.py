@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.doubling import most, numbered, passed
 from ..plans.scratch import stored
 
 # Fixed value: UTF-16 units that a chunk holds.
@@ -47,26 +48,13 @@ def chunked(blocks: DataFrame, limit: int = CHUNK) -> DataFrame:
     """
     units = (F.octet_length(F.encode("content", "UTF-16BE")) / 2).cast("long")
     by = Window.partitionBy("document_id").orderBy("ordinal")
-    rows = blocks.select("document_id", "ordinal", units.alias("size")).filter("size > 0")
-    rows = stored(rows.withColumn("k", F.row_number().over(by)).withColumn("end", F.sum(F.col("size") + 1).over(by.rowsBetween(Window.unboundedPreceding, 0))), "running")
+    rows = blocks.select("document_id", "ordinal", (units + 1).alias("size")).filter("size > 1")
+    rows = stored(rows.withColumn("k", F.row_number().over(by)).withColumn("end", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0))), "running")
     totals = rows.groupBy("document_id").agg(F.max("end").alias("total"), F.max("k").alias("last")).filter(F.col("total") > limit + 1)
     large = rows.join(totals.select("document_id"), "document_id", "left_semi")
-    # the next start behind a block is the first whose end passes the limit from there
-    asked = large.select("document_id", (F.col("end") - F.col("size") - 1 + limit + 1).alias("at"), F.lit(0).alias("is_end"), F.col("k").alias("from"), F.lit(None).cast("int").alias("to"))
-    ends = large.select("document_id", F.col("end").alias("at"), F.lit(1), F.lit(None).cast("int"), "k")
-    behind = Window.partitionBy("document_id").orderBy(F.col("at").desc(), "is_end").rowsBetween(Window.unboundedPreceding, 0)
-    steps = asked.union(ends).withColumn("next", F.min("to").over(behind)).filter("is_end = 0 and next is not null")
-    steps = stored(steps.select("document_id", "from", F.greatest("next", F.col("from") + 1).alias("next")), "steps")
-    starts = totals.select("document_id", F.lit(1).alias("k"))
-    most = totals.agg(F.max(F.least(F.ceil(2 * F.col("total") / limit) + 2, F.col("last")))).first()[0] or 0
-    for _ in range(max(0, int(most) - 1).bit_length()):
-        further = starts.join(steps.withColumnRenamed("from", "k"), ["document_id", "k"]).select("document_id", F.col("next").alias("k"))
-        starts = stored(starts.union(further), "starts")
-        then = steps.select("document_id", F.col("from").alias("next"), F.col("next").alias("end"))
-        steps = stored(steps.join(then, ["document_id", "next"]).select("document_id", "from", F.col("end").alias("next")), "steps")
-    marked = rows.join(starts.withColumn("start", F.lit(1)), ["document_id", "k"], "left")
-    number = F.greatest(F.sum(F.coalesce("start", F.lit(0))).over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1, F.lit(0))
-    return marked.select("document_id", "ordinal", "size", number.cast("int").alias("chunk"))
+    steps = passed(large, "document_id", limit + 1).filter("to is not null").select("document_id", "from", F.greatest("to", F.col("from") + 1).alias("next"))
+    found = numbered(rows, "document_id", steps, most(totals, F.least(F.ceil(2 * F.col("total") / limit) + 2, F.col("last"))), "chunk")
+    return found.select("document_id", "ordinal", (F.col("size") - 1).alias("size"), "chunk")
 
 
 def payloads(blocks: DataFrame) -> DataFrame:

@@ -230,6 +230,11 @@ step AS (SELECT t.k, least(t.k + 4000, t.hit, CASE WHEN b.hit IS NOT NULL THEN g
 s AS (SELECT 0 AS batch, 1::BIGINT AS k WHERE EXISTS (FROM e) UNION ALL SELECT batch + 1, next FROM s JOIN step USING (k) WHERE next <= (SELECT max(k) FROM e)),
 r AS (SELECT batch, k AS lo, lead(k) OVER (ORDER BY k) AS hi FROM s)
 SELECT batch, count(*) AS n, sum(size)::BIGINT AS size, min(tm) AS first_ms, max(tm) AS last_ms FROM e JOIN r ON e.k >= lo AND (hi IS NULL OR e.k < hi) GROUP BY batch""",
+    "prepared_groups": """WITH RECURSIVE d AS (SELECT doc_id % 4 AS root, doc_id, coalesce(length(text), 0) AS chars, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) AS k FROM documents),
+g AS (SELECT root, k, doc_id, chars AS held, 1 AS n, 0 AS number FROM d WHERE k = 1
+UNION ALL SELECT d.root, d.k, d.doc_id, CASE WHEN n = 50 OR held + chars > 20000 THEN chars ELSE held + chars END, CASE WHEN n = 50 OR held + chars > 20000 THEN 1 ELSE n + 1 END, CASE WHEN n = 50 OR held + chars > 20000 THEN number + 1 ELSE number END
+FROM g JOIN d ON d.root = g.root AND d.k = g.k + 1)
+SELECT root, doc_id, number FROM g""",
     "intake_counts": "SELECT CASE WHEN event_type = 'error' THEN 'rescan' WHEN event_type IN ('purchase', 'signup') THEN 'excluded' ELSE 'path' END AS intake, count(*) AS n FROM events GROUP BY 1",
     "live_status": f"""WITH {WORK}, {QUEUE}, d AS (SELECT root, count(*) AS waiting, min(created_at) AS oldest FROM q GROUP BY 1),
  s AS (SELECT user_id % 4 AS root, count(value) AS n, round(quantile_disc(value, 0.5), 2) AS p50, round(quantile_disc(value, 0.95), 2) AS p95 FROM events GROUP BY 1)

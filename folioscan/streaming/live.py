@@ -20,6 +20,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.paths import IgnoreRule, ancestors, below, excluded_by
 from ..operators.inventory import difference
 from ..operators.timings import summary
+from ..plans.doubling import most as largest
+from ..plans.doubling import numbered, passed
 from ..plans.scratch import fresh, shared, stored
 
 # Fixed values, in milliseconds and rows.
@@ -329,19 +331,20 @@ def expanded(folders: DataFrame, listing: DataFrame, budget: int = EXPAND_BUDGET
 
 
 def prepared_groups(items: DataFrame, most: int = BATCH_ITEMS, chars: int = BATCH_CHARS) -> DataFrame:
-    """(root, path, group): items (root, path, chars, seq) in order, a new group after ``most`` items or before ``chars`` are passed."""
+    """(root, path, group): items (root, path, chars, seq) in order, a new group after ``most`` items or before ``chars`` are passed.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["seq", "path"])
-        group, n, held, out = 0, 0, 0, []
-        for size in frame["chars"].tolist():
-            if n == most or n and held + size > chars:
-                group, n, held = group + 1, 0, 0
-            n, held = n + 1, held + size
-            out.append(group)
-        return frame[["root", "path"]].assign(group=out)
-
-    return items.groupBy("root").applyInPandas(run, "root string, path string, group int")
+    An item without ``chars`` counts none. The starts of the groups come by
+    doubling, no root is walked through; what waits for a root is bounded by
+    the overflow rule.
+    """
+    by = Window.partitionBy("root").orderBy("seq", "path")
+    rows = items.select("root", "path", F.coalesce(F.col("chars").cast("long"), F.lit(0)).alias("size"), F.row_number().over(by).alias("k"))
+    rows = stored(rows.withColumn("end", F.sum("size").over(Window.partitionBy("root").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))), "waiting")
+    full = F.col("from") + most
+    steps = passed(rows, "root", chars).select("root", "from", F.least(full, F.greatest("to", F.when(F.col("to").isNotNull(), F.col("from") + 1))).alias("next"))
+    totals = rows.groupBy("root").agg(F.max("end").alias("total"), F.max("k").alias("last"))
+    bound = largest(totals, F.least(F.ceil(2 * F.col("total") / chars) + F.ceil(F.col("last") / most) + 2, F.col("last")))
+    return numbered(rows, "root", steps, bound, "group").select("root", "path", "group")
 
 
 def next_turn(now: int, reconciled_at: int | None, reconcile_waits: bool, local_waits: bool) -> str:

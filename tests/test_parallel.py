@@ -25,6 +25,22 @@ def test_chunks_by_doubling(spark):
     assert chunks.chunked(df.limit(0), 40).count() == 0
 
 
+def test_prepared_groups_by_doubling(spark):
+    rng, rows, want = random.Random(7), [], {}
+    for root, n in (("a", 300), ("b", 1), ("c", 60)):
+        number, held, count = 0, 0, 0
+        for i in range(n):
+            size = rng.choice([None, 0, 3, 40, 90, 150])
+            if count == 6 or count and held + (size or 0) > 100:
+                number, held, count = number + 1, 0, 0
+            held, count = held + (size or 0), count + 1
+            rows.append((root, f"p{i}", size, i))
+            want[root, f"p{i}"] = number
+    df = spark.createDataFrame(rows, "root string, path string, chars int, seq int").repartition(5)
+    assert {(r.root, r.path): r.group for r in live.prepared_groups(df, 6, 100).collect()} == want
+    assert live.prepared_groups(df.limit(0), 6, 100).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_throttle_by_segments(spark, seed):
     rng = random.Random(seed)
@@ -74,7 +90,7 @@ def test_rules_of_many_roots(spark):
     assert got == want and len(got) == len(rows) and len({p for p in got.values() if p}) == 5
 
 
-@pytest.mark.parametrize("name", ["ignore_rules_roots", "chunk_assignment", "rescan_throttle", "intake_batches", "html_blocks", "html_titles", "timing_percentiles", "live_status", "stream_queue", "reconcile_resumed"])
+@pytest.mark.parametrize("name", ["ignore_rules_roots", "chunk_assignment", "rescan_throttle", "intake_batches", "prepared_groups", "html_blocks", "html_titles", "timing_percentiles", "live_status", "stream_queue", "reconcile_resumed"])
 def test_twins(spark, name):
     import duckdb
 
