@@ -18,15 +18,17 @@ Blocks of a document, for each template, are windows over all of its words,
 whatever its lines: ``step`` words are the least power of two from 8 on that
 is 1.25 times the words of the template or more; windows are two steps long
 and start every step, so a passage of up to ``step`` words is whole in one of
-them and no block is much longer than the template. Templates of fewer than
-``short`` distinct words need all of their words and pairs.
-
-A set of words says nothing about their order, so an exact check follows: of
-the template's neighbouring word pairs a share of ``pairs`` must be neighbours
-in the block too. Matches that pass it are returned; ``best`` marks those that
-no rival (a template of another label that shares at least half of the words
-of both, such as another version of the license) matches better in the same
-block or one that overlaps it, and only these give labels.
+them and no block is much longer than the template. Every block that reaches
+the threshold is returned.
+
+A set of words says nothing about their order, so each block has its ``order``:
+the share of the template's neighbouring word pairs that are neighbours in the
+block too. Blocks are ``firm`` with an order of ``pairs`` or more; templates of
+fewer than ``short`` distinct words need all of their words and pairs for that.
+``best`` marks firm blocks that no rival (a template of another label that
+shares at least half of the words of both, such as another version of the
+license) matches better in the same block or one that overlaps it, and only
+these give labels; the score comes from firm blocks.
 
 Words: A-Z lower-cased, runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``.
 
@@ -77,11 +79,41 @@ TEMPLATES = (
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("mit", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"),
+    ("isc", "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("bsd", "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("apache-2", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details"),
+)
+
+# Identifiers and links of public licenses, label and text.
+IDENTIFIERS = (
+    ("apache-2", "SPDX-License-Identifier: Apache-2.0"),
+    ("mit", "SPDX-License-Identifier: MIT"),
+    ("gpl-2", "SPDX-License-Identifier: GPL-2.0"),
+    ("gpl-3", "SPDX-License-Identifier: GPL-3.0"),
+    ("lgpl", "SPDX-License-Identifier: LGPL-2.1"),
+    ("lgpl", "SPDX-License-Identifier: LGPL-3.0"),
+    ("agpl-3", "SPDX-License-Identifier: AGPL-3.0"),
+    ("bsd", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("bsd", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("mpl-2", "SPDX-License-Identifier: MPL-2.0"),
+    ("isc", "SPDX-License-Identifier: ISC"),
+    ("unlicense", "SPDX-License-Identifier: Unlicense"),
+    ("cc0", "SPDX-License-Identifier: CC0-1.0"),
+    ("cc-by", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("cc-by-sa", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    ("cc-by-nc", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    ("cc-by", "creativecommons.org/licenses/by/4.0"),
+    ("cc-by-sa", "creativecommons.org/licenses/by-sa/4.0"),
+    ("cc-by-nc", "creativecommons.org/licenses/by-nc/4.0"),
+    ("cc0", "creativecommons.org/publicdomain/zero/1.0"),
 )
 
-SCAN = "doc_id long, n_words long, places array<struct<label: string, word: long>>, blocks array<struct<label: string, first_word: long, words: long, containment: double, best: boolean>>"
+SCAN = "doc_id long, n_words long, places array<struct<label: string, word: long>>, blocks array<struct<label: string, first_word: long, words: long, containment: double, order: double, firm: boolean, best: boolean>>"
 
-#: The templates with fewer distinct words need all words and pairs; the share of neighbouring pairs that the others need.
+#: Templates with fewer distinct words are firm with all words and pairs only; the share of neighbouring pairs that the others need.
 SHORT, PAIRS = 10, 0.5
 
 
@@ -110,7 +142,8 @@ class Templates:
 
     labels: list[str]
     words: list[tuple]
-    least: list[int]
+    least: list[int]  # words that a block needs
+    firm: list[int]  # words that a firm block needs
     steps: list[int]
     near: list[set]  # neighbouring words
     least_near: list[int]
@@ -121,9 +154,10 @@ class Templates:
     def of(cls, templates, threshold: float, frequency: dict, short: int = SHORT, pairs: float = PAIRS) -> "Templates":
         said = [words_of(t.encode("utf-8")) for _, t in templates]
         sets = [tuple(sorted(set(w), key=lambda w: (frequency.get(w, 0), w))) for w in said]
-        least = [len(s) if len(s) < short else math.ceil(threshold * len(s) - 1e-9) for s in sets]
+        least = [math.ceil(threshold * len(s) - 1e-9) for s in sets]
+        firm = [len(s) if len(s) < short else n for s, n in zip(sets, least)]
         near = [_neighbours(w) for w in said]
-        out = cls([label for label, _ in templates], sets, least, [step_of(len(w)) for w in said], near, [len(n) if len(s) < short else math.ceil(pairs * len(n) - 1e-9) for s, n in zip(sets, near)])
+        out = cls([label for label, _ in templates], sets, least, firm, [step_of(len(w)) for w in said], near, [len(n) if len(s) < short else math.ceil(pairs * len(n) - 1e-9) for s, n in zip(sets, near)])
         for number, (words, need) in enumerate(zip(sets, least)):
             for place, word in enumerate(words[: len(words) - need + 1]):
                 out.prefix.setdefault(word, []).append((number, place))
@@ -131,13 +165,13 @@ class Templates:
         out.rivals = [[m for m, other in enumerate(sets) if out.labels[m] != out.labels[n] and alike(words, other)] for n, words in enumerate(sets)]
         return out
 
-    def shared(self, number: int, own: set, near: set) -> int:
-        """Words of a template that a block holds; 0 where they are too few or their order is another one."""
-        n = sum(w in own for w in self.words[number])
-        return n if n >= self.least[number] and len(self.near[number] & near) >= self.least_near[number] else 0
+    def held(self, number: int, own: set, near: set) -> tuple[int, int, bool]:
+        """Words and neighbouring pairs of a template that a block holds, and whether they make it firm."""
+        n, pairs = sum(w in own for w in self.words[number]), len(self.near[number] & near)
+        return n, pairs, n >= self.firm[number] and pairs >= self.least_near[number]
 
-    def matches(self, words: list[bytes], start: int, step: int) -> list[tuple[int, float, bool]]:
-        """(template, containment, whether no rival matches better) of each template with this step that the block from ``start`` on holds."""
+    def matches(self, words: list[bytes], start: int, step: int) -> list[tuple[int, float, float, bool, bool]]:
+        """(template, containment, order, firm, best) of each template with this step that the block from ``start`` on holds."""
         block = words[start : start + 2 * step]
         own = set(block)
         first: dict[int, int] = {}
@@ -150,20 +184,22 @@ class Templates:
             target, need = self.words[number], self.least[number]
             if len(own) < need or len(target) - place < need or sum(w in own for w in target[place:]) < need:
                 continue
-            shared = self.shared(number, own, _neighbours(block))
-            if not shared:
+            shared, pairs, firm = self.held(number, own, _neighbours(block))
+            if shared < need:
                 continue
-            if around is None:  # a block that holds the end of a notice overlaps one that holds all of it
-                last = max(0, -(-len(words) // step) - 2) * step
-                parts = [words[s : s + 2 * step] for s in (start - step, start, start + step) if 0 <= s <= last]
-                around = [(set(part), _neighbours(part)) for part in parts]
-            rank = (shared / len(target), shared)
-            others = [(n / len(self.words[r]), n) for r in self.rivals[number] for n in (self.shared(r, *part) for part in around)]
-            found.append((number, rank[0], not any(other > rank for other in others)))
+            rank, best = (shared / len(target), shared), firm
+            if firm and self.rivals[number]:
+                if around is None:  # a block that holds the end of a notice overlaps one that holds all of it
+                    last = max(0, -(-len(words) // step) - 2) * step
+                    parts = [words[s : s + 2 * step] for s in (start - step, start, start + step) if 0 <= s <= last]
+                    around = [(set(part), _neighbours(part)) for part in parts]
+                others = [(r, self.held(r, *part)) for r in self.rivals[number] for part in around]
+                best = not any(sure and (n / len(self.words[r]), n) > rank for r, (n, _, sure) in others)
+            found.append((number, rank[0], pairs / len(self.near[number]) if self.near[number] else 1.0, firm, best))
         return found
 
-    def found(self, words: list[bytes]) -> list[tuple[int, int, int, float, bool]]:
-        """(template, first word, words, containment, best) of each block of a text that holds a template."""
+    def found(self, words: list[bytes]) -> list[tuple[int, int, int, float, float, bool, bool]]:
+        """(template, first word, words, containment, order, firm, best) of each block of a text that holds a template."""
         if self.prefix.keys().isdisjoint(words):
             return []
         places: dict[int, list[int]] = {}
@@ -173,7 +209,7 @@ class Templates:
         out = []
         for step, at in sorted(places.items()):
             for start in window_starts(at, step, len(words)):
-                out += [(n, start, min(2 * step, len(words) - start), c, b) for n, c, b in self.matches(words, start, step)]
+                out += [(n, start, min(2 * step, len(words) - start), *found) for n, *found in self.matches(words, start, step)]
         return out
 
 
@@ -212,11 +248,11 @@ def document_frequency(docs: DataFrame, templates) -> dict[bytes, int]:
     return {bytes(r[0]): r[1] for r in rows.groupBy("word").agg(F.sum("n")).collect()}  # at most the words of the templates
 
 
-def scan(docs: DataFrame, phrases: dict = PHRASES, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, phrases: dict = PHRASES, templates=TEMPLATES + IDENTIFIERS, threshold: float = 0.8) -> DataFrame:
     """SCAN for every row of ``docs`` (doc_id, text): phrase places and blocks that hold a template."""
     index = Templates.of(templates, threshold, document_frequency(docs, templates))
     place_type = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
-    block_type = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("words", pa.int64()), ("containment", pa.float64()), ("best", pa.bool_())]))
+    block_type = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("words", pa.int64()), ("containment", pa.float64()), ("order", pa.float64()), ("firm", pa.bool_()), ("best", pa.bool_())]))
 
     def run(batches):
         for batch in batches:
@@ -225,7 +261,7 @@ def scan(docs: DataFrame, phrases: dict = PHRASES, templates=TEMPLATES, threshol
                 words = words_of(text)
                 counts.append(len(words))
                 places.append([{"label": label, "word": at} for label, at in phrase_places(words, phrases)])
-                blocks.append([{"label": index.labels[n], "first_word": at, "words": size, "containment": c, "best": b} for n, at, size, c, b in index.found(words)])
+                blocks.append([{"label": index.labels[n], "first_word": at, "words": size, "containment": c, "order": o, "firm": f, "best": b} for n, at, size, c, o, f, b in index.found(words)])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(places, place_type), pa.array(blocks, block_type)], names=["doc_id", "n_words", "places", "blocks"])
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(freeing(run), SCAN)
@@ -235,7 +271,7 @@ def labelled(docs: DataFrame, **how) -> DataFrame:
     """The digest of a scan: counts and first and last place of the phrases, labels, the best containment as score."""
     base = F.array_sort(F.array_distinct("places.label"))
     every = F.array_sort(F.array_distinct(F.concat("places.label", F.expr("filter(blocks, b -> b.best).label"))))
-    score = F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("blocks.containment"), F.lit(0.0)))
+    score = F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.expr("filter(blocks, b -> b.firm).containment")), F.lit(0.0)))
     return scan(docs, **how).select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.word").alias("first_word"), F.array_max("places.word").alias("last_word"),
         F.concat_ws(",", base).alias("base_labels"), F.concat_ws(",", every).alias("labels"), score.alias("score"),

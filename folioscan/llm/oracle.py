@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import PAIRS, PHRASES, SHORT, TEMPLATES, step_of, words_of
+from .licenses import IDENTIFIERS, PHRASES, TEMPLATES
 
 OP1 = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
@@ -53,20 +53,23 @@ FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
 _WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 
-def _listed(words) -> str:
-    return "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
+
+def _rows(pairs) -> str:
+    return ", ".join("('{}', '{}')".format(label, text.replace("'", "''")) for label, text in pairs)
 
 
 OP7 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 s AS (SELECT *, regexp_extract_all(t, {_WORDS}) AS w FROM d),
-phrases(label, p) AS (VALUES {", ".join(f"('{label}', {_listed(words_of(phrase.encode()))})" for phrase, label in PHRASES.items())}),
+phrases AS (SELECT label, string_split(t, ' ') AS p FROM (VALUES {_rows((label, phrase) for phrase, label in PHRASES.items())}) AS x(label, t)),
 places AS (SELECT rid, label, i - 1 AS pos FROM (SELECT rid, label, w, p, unnest(range(1, len(w) - len(p) + 2)) AS i FROM s, phrases WHERE list_has_all(w, p)) WHERE w[i:i + len(p) - 1] = p),
-templates(k, label, step, said, tw) AS (VALUES {", ".join(f"({k}, '{label}', {step_of(len(words_of(text.encode())))}, {_listed(words_of(text.encode()))}, {_listed(sorted(set(words_of(text.encode()))))})" for k, (label, text) in enumerate(TEMPLATES))}),
-rules AS (SELECT *, CASE WHEN len(tw) < {SHORT} THEN len(tw) ELSE ceil(0.8 * len(tw) - 1e-9) END AS need, list_distinct(list_transform(range(1, len(said)), lambda i: said[i] || ' ' || said[i + 1])) AS near, CASE WHEN len(tw) < {SHORT} THEN len(near) ELSE ceil({PAIRS} * len(near) - 1e-9) END AS need_near FROM templates),
-cuts AS (SELECT rid, step, unnest(range(0, greatest(1, len(w) - step), step)) AS b FROM s, (SELECT DISTINCT step FROM rules)),
+templates AS (SELECT row_number() OVER () AS k, label, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS said FROM (VALUES {_rows(TEMPLATES + IDENTIFIERS)}) AS x(label, t)),
+paired AS (SELECT *, list_distinct(said) AS tw, (2 ** greatest(3, ceil(log2(1.25 * len(said)))))::BIGINT AS step, list_distinct(list_transform(range(1, len(said)), lambda i: said[i] || ' ' || said[i + 1])) AS near FROM templates),
+rules AS (SELECT *, CASE WHEN len(tw) < 10 THEN len(tw) ELSE ceil(0.8 * len(tw) - 1e-9) END AS need, CASE WHEN len(tw) < 10 THEN len(near) ELSE ceil(0.5 * len(near) - 1e-9) END AS need_near FROM paired),
+able AS (SELECT rid, k FROM (SELECT rid, list_distinct(w) AS u FROM s) JOIN rules ON len(list_intersect(u, tw)) >= need),
+cuts AS (SELECT rid, step, unnest(range(0, greatest(1, len(w) - step), step)) AS b FROM s JOIN (SELECT DISTINCT rid, step FROM able JOIN rules USING (k)) USING (rid)),
 blocks AS (SELECT rid, step, b, w[b + 1:b + 2 * step] AS w FROM cuts JOIN s USING (rid)),
-held AS (SELECT rid, b, c.step, k, label, tw, c.w AS w, len(list_intersect(c.w, tw)) AS n FROM blocks c JOIN rules r ON c.step = r.step WHERE len(list_intersect(c.w, tw)) >= need),
+held AS (SELECT rid, b, c.step, k, label, tw, c.w AS w, len(list_intersect(c.w, tw)) AS n FROM blocks c JOIN able USING (rid) JOIN rules r USING (k) WHERE c.step = r.step AND len(list_intersect(c.w, tw)) >= need),
 pairs AS (SELECT h.*, list_distinct(list_transform(range(1, len(h.w)), lambda i: h.w[i] || ' ' || h.w[i + 1])) AS near FROM held h),
 firm AS (SELECT h.*, n / len(h.tw) AS c FROM pairs h JOIN rules r USING (k) WHERE len(list_intersect(h.near, r.near)) >= r.need_near),
 wide AS (SELECT f.rid, f.b, f.step, f.k, f.label, f.tw, c.w, list_distinct(list_transform(range(1, len(c.w)), lambda i: c.w[i] || ' ' || c.w[i + 1])) AS near FROM firm f JOIN blocks c ON c.rid = f.rid AND c.step = f.step AND abs(c.b - f.b) <= f.step),

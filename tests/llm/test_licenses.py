@@ -16,7 +16,7 @@ def words(text):
 
 
 def slow(rows, threshold=0.8):
-    templates = [(label, words(t)) for label, t in licenses.TEMPLATES]
+    templates = [(label, words(t)) for label, t in licenses.TEMPLATES + licenses.IDENTIFIERS]
     pairs = lambda w: {(w[i], w[i + 1]) for i in range(len(w) - 1)}
 
     def held(template, block):
@@ -72,6 +72,7 @@ def test_blocks_against_brute_force(spark):
             cut = rng.randrange(len(w))
             parts += [" ".join(w[:cut]) + rng.choice(["\n", " ", "\n\n"]) + " ".join(w[cut:]), " ".join(rng.choice(pool) for _ in range(rng.randrange(40)))]
         rows.append((i, rng.choice(["\n", "\n \n"]).join(parts)))
+    rows += [(500 + i, f"{t} {u}\n{t}") for i, ((_, t), (_, u)) in enumerate((rng.choice(licenses.IDENTIFIERS), rng.choice(licenses.TEMPLATES + licenses.IDENTIFIERS)) for _ in range(60))]
     rows += [(1000, "filler line here\n" * 400 + licenses.TEMPLATES[9][1].replace(" ", "\n") + "\nfiller line here" * 400)]
     rows += [(None, None), (1001, ""), (1002, "CC-BY-NC cc by nc; CC.BY.NC"), (1002, "CC-BY-NC cc by nc; CC.BY.NC"), (1003, "é`under`the[MIT]license_under the mit license9"), (1004, "mit " * 60000)]
     for threshold in (0.8, 0.9, 1.0):
@@ -112,3 +113,27 @@ def test_notices_in_long_lines_and_over_lines(spark):
         rows += [(i, f"{prose(rng.randrange(3000))} {t}. {prose(rng.randrange(3000))}"), (100 + i, prose(50) + "\n" + t.replace(" ", "\n") + "\n" + prose(7))]
     got = {r.doc_id: set(r.labels.split(",")) for r in licenses.labelled(made(spark, rows)).collect()}
     assert all(licenses.TEMPLATES[d % 100][0] in labels for d, labels in got.items())
+
+
+def test_all_blocks_with_their_order(spark):
+    rng = random.Random(3)
+    long, short = licenses.TEMPLATES[9][1], licenses.TEMPLATES[0][1]
+    mixed = long.split()
+    rng.shuffle(mixed)
+    rows = [(1, long), (2, " ".join(mixed)), (3, "released under the GPL License"), (4, "nothing of that kind")]
+    got = {r.doc_id: [b for b in r.blocks if b.containment < 1 or b.label == "bsd"] for r in licenses.scan(made(spark, rows), templates=[licenses.TEMPLATES[9], ("mit", short)]).collect()}
+    assert [(b.containment, b.order, b.firm, b.best) for b in got[1]] == [(1.0, 1.0, True, True)]
+    assert len(got[2]) == 1 and got[2][0].containment == 1.0 and got[2][0].order < 0.5 and not got[2][0].firm and not got[2][0].best
+    assert [(b.label, b.containment, b.firm) for b in got[3]] == [("mit", 0.8, False)] and got[3][0].order == 0.5
+    assert got[4] == [] and {(r.doc_id, r.labels) for r in licenses.labelled(made(spark, rows)).collect()} == {(1, "bsd"), (2, ""), (3, ""), (4, "")}
+
+
+def test_spdx_lines_links_and_bodies(spark):
+    rows = [
+        (1, "// SPDX-License-Identifier: Apache-2.0\nint main() {}"), (2, "see https://creativecommons.org/licenses/by-sa/4.0/ for it"), (3, "# SPDX-License-Identifier: GPL-3.0-or-later"),
+        (4, "shared under http://creativecommons.org/licenses/by/4.0/."), (5, "an identifier of the license, spdx or not, mit or bsd"), (6, "apache 2.0 web server, identifier and license by spdx"),
+        (7, 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'),
+        (8, "4. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ]
+    got = {r.doc_id: r.labels for r in licenses.labelled(made(spark, rows)).collect()}
+    assert got == {1: "apache-2", 2: "cc-by-sa", 3: "gpl-3", 4: "cc-by", 5: "", 6: "", 7: "mit", 8: "bsd"}
