@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import below
 from ..functions.text import query_terms
+from ..plans.scratch import stored
 from .postings import Postings, candidates
 
 REASONS = ("content", "heading", "filename contains", "filename equals")
@@ -134,13 +135,16 @@ def top(found: DataFrame, sort: str = "relevance", limit: int = 20, rank: str =
 
 
 def page(found: DataFrame, number: int, size: int, sort: str = "relevance", total: int | None = None, rank: str = "rank") -> DataFrame:
-    """One page with positions. Errors only if there are results but not that many pages."""
+    """One page with positions. Errors only if there are results but not that many pages; they are counted where the page is empty."""
     if number <= 0 or size <= 0:
         raise ValueError("page and page size must be positive")
-    total = found.count() if total is None else total
+    shown = top(found, sort, number * size, rank).filter(F.col("position") > (number - 1) * size)
+    if total is None and number > 1:
+        shown = stored(shown, "page")
+        total = found.count() if shown.isEmpty() else None
     if total and number > max(1, -(-total // size)):
         raise ValueError(f"there are {max(1, -(-total // size))} pages")
-    return top(found, sort, number * size, rank).filter(F.col("position") > (number - 1) * size)
+    return shown
 
 
 def total(found: DataFrame, exact: bool, page_end: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ Markdown the first such line is the heading.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITE, normalized
@@ -29,17 +29,41 @@ def inventory(documents: DataFrame) -> DataFrame:
     )
 
 
+BLANK = f"^[{WHITE}]*$"
+
+
+def _lines(text: Column) -> Column:
+    """The lines of a text; one end of lines is looked for where texts have no other, which takes no pattern."""
+    return F.split(F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text), "\n")
+
+
+def _blocks(inventory: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """Each line with text as a row: its place, the heading, the content, and the same of other forms of the text with the same lines.
+
+    What belongs to a document is made once, before its lines become rows: what
+    a row of a line refers to is a column then, which no filter computes again
+    (the outer form takes no filter in front that would make the lines twice).
+    """
+    rows = inventory.filter("status = 'indexed'").select(F.col("id").alias("document_id"), (F.col("extension") == ".md").alias("headed"), *[_lines(c).alias(f"content{kind}") for kind, c in texts.items()])
+    first = F.when(F.col("headed"), F.array_position(F.transform("content", lambda x: x.rlike(BLANK)), False).cast("int") - 1)
+    rows = rows.withColumn("first", first).select("document_id", *[F.get(f"content{kind}", F.col("first")).alias(f"heading{kind}") for kind in texts], F.arrays_zip(*[f"content{kind}" for kind in texts]).alias("lines"))
+    rows = rows.select("document_id", *[f"heading{kind}" for kind in texts], F.posexplode_outer("lines").alias("ordinal", "line")).filter(~F.col("line.content").rlike(BLANK))
+    shown = [F.col(f"line.content{kind}").alias(f"content{kind}") for kind in texts]
+    place = [F.lit("line").alias("location_kind"), F.concat(F.lit("line "), F.col("ordinal") + 1).alias("location_value")]
+    return rows.select("document_id", "ordinal", "heading", shown[0], *place, *[c for kind, c in zip(texts, shown) if kind for c in (F.col(f"heading{kind}"), c)])
+
+
 def line_blocks(inventory: DataFrame) -> DataFrame:
     """document_id, ordinal (the line number from 0, gaps kept), heading, content, location of each line with text."""
-    blank = f"^[{WHITE}]*$"
-    lines = F.split("text", "\r\n|\n|\r")
-    heading = F.when(F.col("extension") == ".md", F.get(F.filter(lines, lambda x: ~x.rlike(blank)), 0))
-    rows = inventory.filter("status = 'indexed'").select(F.col("id").alias("document_id"), heading.alias("heading"), F.posexplode(lines).alias("ordinal", "content"))
-    return rows.filter(~F.col("content").rlike(blank)).select("document_id", "ordinal", "heading", "content", F.lit("line").alias("location_kind"), F.concat(F.lit("line "), F.col("ordinal") + 1).alias("location_value"))
+    return _blocks(inventory, {"": F.col("text")})
 
 
 def searchable(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(inventory, blocks) with the search columns in normal form."""
+    """(inventory, blocks) with the search columns in normal form.
+
+    The normal form is taken of whole texts: it neither makes nor drops line
+    ends, and no line end composes with what is beside it.
+    """
     docs = inventory(documents).withColumn("filename_norm", normalized("filename"))
-    blocks = line_blocks(docs).withColumn("heading_norm", normalized("heading")).withColumn("content_norm", normalized("content"))
+    blocks = _blocks(docs, {"": F.col("text"), "_norm": normalized("text")})
     return docs.drop("text"), blocks

@@ -191,3 +191,24 @@ def test_grams_are_of_code_points(spark):
     for n in (1, 2, 3):
         got = [set(r[0]) for r in df.select(grams("t", n)).collect()]
         assert got == [{t[i : i + n] for i in range(len(t) - n + 1)} for t in texts]
+
+
+def test_blocks_are_made_once(spark):
+    """Lines, heading and normal form come once a document, whatever is filtered; line ends of all kinds, as Python's normal form of each line."""
+    import re
+
+    from folioscan.sources.corpus import searchable
+
+    texts = ["ﬁrst\r\n \r\rCafé é x\n\nΣΑΣ\nEnd", "a\n \nB", " \n", None]
+    rows = [(i, t, lang, "s", len(t or "")) for i, (t, lang) in enumerate((t, lang) for t in texts for lang in ("fr", "en"))]
+    docs, blocks = searchable(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    want = set()
+    for i, text, lang, *_ in rows:
+        lines = [(n, x) for n, x in enumerate(re.split("\r\n|\n|\r", text or "")) if x.strip("   ")]
+        heading = lines[0][1] if lang == "fr" and lines else None
+        want |= {(i, n, heading, x, f"line {n + 1}", heading and normalize(heading), normalize(x)) for n, x in lines}
+    columns = ["document_id", "ordinal", "heading", "content", "location_value", "heading_norm", "content_norm"]
+    assert {tuple(r) for r in blocks.select(columns).collect()} == want
+    plan = search.evidence(blocks, ["first", "end"])._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Generate ", 1)
+    assert plan.count("ArrowEvalPython") == 1 and "split(" not in above.rpartition("Aggregate")[2] and "Contains(heading" not in below
