@@ -102,3 +102,17 @@ def test_twins(spark, name):
     columns = sorted(found.columns)
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({oracle_sql.ORACLE_SQL[name]})").fetchall() if hasattr(oracle_sql, "ORACLE_SQL") else con.sql(f"SELECT {', '.join(columns)} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(tuple, found.select(*columns).collect()), key=str) == sorted(want, key=str)
+
+
+def test_percentiles_of_all_rows(spark):
+    """Exact, with more rows of a key than a sample holds, few distinct values, nulls, a null key and keys of one row or none."""
+    value = F.when(F.col("id") % 50 == 7, None).otherwise((F.col("id") * 7919 % 60_013).cast("double"))
+    rows = spark.range(60_000).select(F.lit("hot").alias("key"), value.alias("value"))
+    rows = rows.union(spark.range(50_000).select(F.lit(None).cast("string"), F.when(F.col("id") < 40_000, 1.0).otherwise(2.0)))
+    rows = rows.union(spark.createDataFrame([("one", 3.0), ("none", None)], "key string, value double"))
+    held: dict = {}
+    for key, v in rows.collect():
+        held.setdefault(key, []).extend([] if v is None else [v])
+    nearest = lambda v, p: sorted(v)[max(1, -(-len(v) * p // 100)) - 1] if v else None
+    got = {r.key: (r.n, r.p50, r.p95) for r in timings.summary(rows, "key", "value").collect()}
+    assert got == {k: (len(v), nearest(v, 50), nearest(v, 95)) for k, v in held.items()}
