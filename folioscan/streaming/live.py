@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -87,13 +88,14 @@ def debounced_stream(events: DataFrame, key: str, ts: str = "ts", quiet: int = Q
         done = []
         if state.hasTimedOut:
             done, held = [held], None
-        for frame in frames:
-            for at in sorted(frame["at"].tolist()):
-                if held is not None and at < held[3]:
-                    held = (held[0], max(held[1], at), held[2] + 1, min(max(held[1], at) + quiet, held[0] + forced))
-                else:
-                    done += [held] if held is not None else []
-                    held = (at, at, 1, min(at + quiet, at + forced))
+        # Spark hands over the rows of a key in any order and cuts them into frames where it likes
+        parts = [frame["at"].to_numpy() for frame in frames]
+        for at in np.sort(np.concatenate(parts)).tolist() if parts else ():
+            if held is not None and at < held[3]:
+                held = (held[0], max(held[1], at), held[2] + 1, min(max(held[1], at) + quiet, held[0] + forced))
+            else:
+                done += [held] if held is not None else []
+                held = (at, at, 1, min(at + quiet, at + forced))
         if held is None:
             state.remove()
         else:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from folioscan.functions.paths import ignore_rules
 from folioscan.streaming import live
 
@@ -30,3 +32,17 @@ def test_reconcile_keeps_what_it_cannot_see(spark):
     pending = spark.createDataFrame([("/r/d/x",)], "path string")
     got = {r.path: r.change for r in live.reconciled(disk, index, "/r", ["/r/c"], pending).collect()}
     assert got == {"/r/a": "same", "/r/b": "changed", "/r/n": "added", "/r/c/x": "kept", "/r/d/x": "kept", "/r/e": "removed"}
+
+
+def test_stream_of_a_key_in_many_frames(spark, tmp_path):
+    """A key with more rows than one frame holds, in no order."""
+    rows = spark.range(3_000).select((F.col("id") % 2).alias("user_id"), F.timestamp_millis((F.col("id") * 7919 % 3_001) * 900).alias("ts"), F.col("id").alias("event_id"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "100")
+    try:
+        got = live.replayed(spark, f"{tmp_path}/events.parquet", "user_id", 2_000, 30_000)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, live.debounced(rows, "user_id", quiet=2_000, forced=30_000).collect()))
+    finally:
+        spark.conf.set(limit, before)
