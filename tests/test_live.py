@@ -36,7 +36,7 @@ def test_reconcile_keeps_what_it_cannot_see(spark):
 
 def test_stream_of_a_key_in_many_frames(spark, tmp_path):
     """A key with more rows than one frame holds, in no order."""
-    rows = spark.range(3_000).select((F.col("id") % 2).alias("user_id"), F.timestamp_millis((F.col("id") * 7919 % 3_001) * 900).alias("ts"), F.col("id").alias("event_id"))
+    rows = spark.range(3_000).select((F.col("id") % 2).alias("user_id"), F.timestamp_millis(1_700_000_000_000 + (F.col("id") * 7919 % 3_001) * 900).alias("ts"), F.col("id").alias("event_id"))
     rows.write.parquet(f"{tmp_path}/events.parquet")
     limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(limit)
