@@ -51,19 +51,26 @@ def gram_text(numbers: pd.Series) -> pd.Series:
     return numbers.map(gram)
 
 
-def numbers_of(texts: list[str], sizes) -> np.ndarray:
-    """The distinct grams of some texts, sorted; none goes over the end of a text."""
+def numbers_of(texts: list[str], sizes, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The distinct grams of some texts, sorted, or those of ``wanted``; none goes over the end of a text."""
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
     ends = np.repeat(np.cumsum([len(t) for t in texts]), [len(t) for t in texts])
     found = []
     for n in sizes:
         at = np.flatnonzero(np.arange(len(points)) + n <= ends)
-        found.append(reduce(lambda key, k: key << 21 | points[at + k], range(1, n), points[at]))
+        grams = reduce(lambda key, k: key << 21 | points[at + k], range(1, n), points[at])
+        found.append(grams if wanted is None else grams[np.isin(grams, wanted)])
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def gram_postings(blocks: DataFrame, *sizes: int, headings: bool = False) -> DataFrame:
-    """POSTINGS: each distinct gram of ``sizes`` code points of a document's blocks (document_id, content_norm, heading_norm)."""
+def gram_postings(blocks: DataFrame, *sizes: int, headings: bool = False, terms: tuple = ()) -> DataFrame:
+    """POSTINGS: each distinct gram of ``sizes`` code points of a document's blocks (document_id, content_norm, heading_norm).
+
+    With ``terms`` only the grams that candidates() looks up for them leave the tasks.
+    """
+    asked = {g for t in terms for g in query_grams(t)}
+    wanted = np.array([number(g) for g in asked], np.int64) if terms else None
+    sizes = [n for n in sizes if not terms or any(len(g) == n for g in asked)]
     texts = [F.col("content_norm"), F.col("heading_norm")] if headings else [F.col("content_norm")]
     whole = blocks.groupBy("document_id").agg(F.flatten(F.collect_list(F.array_compact(F.array(*texts)))).alias("texts"))
     names = [c.split()[0] for c in POSTINGS.split(", ")]
@@ -71,7 +78,9 @@ def gram_postings(blocks: DataFrame, *sizes: int, headings: bool = False) -> Dat
     def run(batches):
         for batch in batches:
             for document, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                grams = numbers_of(texts, sizes)
+                grams = numbers_of(texts, sizes, wanted)
+                if terms and not len(grams):
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(np.full(len(grams), document, np.int64))], names=names)
 
     return whole.mapInArrow(run, POSTINGS)

@@ -67,3 +67,14 @@ def test_packed_rows(spark, monkeypatch):
     assert sorted(map(tuple, postings.unpacked(packed).collect())) == sorted(rows)
     assert postings.packed(df.limit(0)).count() == 0
     assert packed.groupBy().agg(F.sum("n")).first()[0] == len(rows)
+
+
+def test_postings_of_some_terms(spark):
+    """As all postings, less the grams that the terms do not ask for."""
+    _, blocks = searchable(table(spark, "/root/testdata/sf0.001", "documents"))
+    terms = ("the than", "re")
+    some = postings.gram_postings(blocks, 1, 2, 3, headings=True, terms=terms)
+    wanted = [postings.number(g) for t in terms for g in postings.query_grams(t)]
+    whole = postings.gram_postings(blocks, 1, 2, 3, headings=True)
+    rows = sorted(map(tuple, some.collect()))
+    assert rows and rows == sorted(map(tuple, whole.filter(whole.gram.isin(wanted)).collect()))
