@@ -89,3 +89,32 @@ def test_empty_log_nulls_and_one_large_event(spark, tmp_path):
     assert eventlog.append(spark.createDataFrame(rows, EVENTS), log) == 4
     got = taken(spark, log, str(tmp_path / "b"))
     assert [len(got[n]) for n in sorted(got)] == [2, 1, 1]
+
+
+@pytest.mark.parametrize("bounds", [{"items": 20, "size": 10**9, "span": 10**9}, {"items": 10**9, "size": 90, "span": 10**9}, {"items": 30, "size": 250, "span": 1_500}])
+def test_a_micro_batch_of_many_batches(spark, tmp_path, bounds):
+    """Numbers go on over micro-batches, restarts, other values of ``ahead``, late appends and a failure; few jobs are started."""
+    log, home, got, seen = str(tmp_path / "log"), str(tmp_path / "a"), {}, []
+    rows = [(None, 0, None, "null"), *made(150)]
+    eventlog.append(spark.createDataFrame(rows, EVENTS), log, segment=17)
+
+    def handle(frame, number):
+        seen.append(number)
+        held = {}
+        for *row, batch in frame.collect():
+            held.setdefault(batch, []).append(tuple(row))
+        if seen.count(number) == 1 and number == 1:
+            raise ValueError("lost")
+        got.update(held)
+
+    want = walked(rows, **bounds)
+    order = lambda: [sorted(got[n], key=lambda r: (r[0] is not None, r[0], r[1])) for n in sorted(got)]
+    eventlog.run(spark, log, home, handle, once=True, ahead=2, **bounds)
+    assert order() == want[:2] and sorted(got) == [0, 1]
+    with pytest.raises(Exception, match="lost"):
+        eventlog.run(spark, log, home, handle, ahead=3, **bounds)
+    more = made(40, seed=5)  # older than the end of the log
+    eventlog.append(spark.createDataFrame(more, EVENTS), log)
+    eventlog.run(spark, log, home, handle, ahead=100, **bounds)
+    assert sorted(got) == list(range(len(got))) and order()[: len(want) - 1] == want[:-1]
+    assert len(seen) == 4 and sum(map(len, got.values())) == 191
